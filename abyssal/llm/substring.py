@@ -58,14 +58,16 @@ def intervals(covered: np.ndarray, width: int, n_words: int) -> tuple[list[int],
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, and the columns of ``carry``): n_words, starts, ends, kept_text.
+    """Per row of ``docs``: doc_id, n_words, starts, ends, kept_text, and ``row``, a struct of the columns named in ``carry``.
 
     ``starts``/``ends`` are the maximal word ranges of windows whose sequence also starts in a document of smaller
     doc_id, judged on the input; ``kept_text`` is the rest, joined by one space.  Words are runs of anything but ASCII
     white space.  Null and empty texts have no words; texts under ``width`` words lose none; rows of equal doc_id are
     one document for this purpose; a row of null doc_id comes after all others.
     """
-    segs = segments(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), ["doc_id", "text", *carry])
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *row)
+    segs = segments(picked, picked.columns)
     total = segs.agg(F.sum("text_bytes")).first()[0] or 0
     n_buckets = max(32, -(-total // bucket_bytes))
     small_batches(docs.sparkSession, 200)
@@ -93,8 +95,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
     sent = segs.select("segment_id", "body").mapInArrow(entries, "bucket int, segment_id long, keys binary, base long, low binary")
     replies = sent.groupBy("bucket").applyInArrow(answer, "segment_id long, bucket int, bits binary, n long")
 
-    kinds = dict(docs.dtypes)
-    schema = "doc_id long, n_words long, starts array<int>, ends array<int>, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = "doc_id long, n_words long, starts array<int>, ends array<int>, kept_text string" + (f", row {dict(picked.dtypes)['row']}" if carry else "")
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -115,7 +116,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
                     s, e, kept = [], [], w
                 out.append((len(w), s, e, b" ".join(kept).decode("utf-8", "replace")))
             cols = {"doc_id": table.column("doc_id")} | {k: pa.array([r[j] for r in out], t) for j, (k, t) in enumerate((("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kept_text", pa.string())))}
-            return pa.table(cols | {c: table.column(c) for c in carry})
+            return pa.table(cols | ({"row": table.column("row")} if carry else {}))
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int32())), "ends": pa.array([], pa.list_(pa.int32())), "kept_text": pa.array([], pa.string())})
 
     return segs.groupBy("segment_id").cogroup(replies.groupBy("segment_id")).applyInArrow(finish, schema)
