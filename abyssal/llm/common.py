@@ -136,7 +136,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
     """``keys`` ascending 64-bit hashes; buckets are equal ranges of their upper 32 bits.  Returns n + 1 offsets."""
-    at = -(-(np.arange(1, n, dtype=np.uint64) << np.uint64(32)) // np.uint64(n)) if n > 1 else np.zeros(0, np.uint64)
+    at = ((np.arange(1, n, dtype=np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n) if n > 1 else np.zeros(0, np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, at << np.uint64(32)), [len(keys)]]).astype(np.int64)
 
 

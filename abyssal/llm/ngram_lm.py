@@ -44,9 +44,9 @@ class _Tokens:
     def __init__(self, table: pa.Table, folds: int):
         self.doc_id = table.column("doc_id")
         ids = self.doc_id.to_pylist()
-        words = [(x or b"").lower().split() + [END] for x in table.column("text").cast(pa.large_binary()).to_pylist()]
-        self.n = np.array([len(w) for w in words], np.int64)
-        h = word_hashes([x for w in words for x in w])
+        hashes = [word_hashes([*(x.as_py() or b"").lower().split(), END]) for x in table.column("text").cast(pa.large_binary())]
+        self.n = np.array([len(x) for x in hashes], np.int64)
+        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         self.words, self.at = np.unique(h, return_inverse=True)
         self.train_doc = np.array([train_row(x, folds) for x in ids], bool)
         self.train = np.repeat(self.train_doc, self.n)

@@ -12,6 +12,8 @@ another is about n * n / 2**65.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,15 +26,19 @@ BUCKET_BYTES = 3_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
+def _words(table: pa.Table) -> Iterator[list[bytes]]:
+    """The words of each row in turn, so that one text's words are held at a time."""
+    for x in table.column("text").cast(pa.large_binary()):
+        yield (x.as_py() or b"").split()
+
+
 def _windows(table: pa.Table, width: int):
-    """The words of each row, and per window: hash, row, document order (a null doc_id comes after all others)."""
-    texts = table.column("text").cast(pa.large_binary()).to_pylist()
-    words = [(x or b"").split() for x in texts]
+    """Windows of each row, and per window: hash, document order (a null doc_id comes after all others)."""
     ids = np.array([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-    hashes = [shingle_hash(word_hashes(w), width) for w in words]
+    hashes = [shingle_hash(word_hashes(w), width) for w in _words(table)]
     n = np.array([len(h) for h in hashes], np.int64)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return words, n, h, np.repeat(ids, n)
+    return n, h, np.repeat(ids, n)
 
 
 def _distinct(h: np.ndarray, ids: np.ndarray):
@@ -75,7 +81,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
     def entries(batches):
         for batch in batches:
             for seg, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, h, ids = _windows(from_ipc(body.as_buffer()), width)
+                _, h, ids = _windows(from_ipc(body.as_buffer()), width)
                 keys, low, _ = _distinct(h, ids)
                 cut = bucket_bounds(keys, n_buckets)
                 rows = [(b, seg, pack_sorted(keys[s:e]), int(low[s:e].min()), pack((low[s:e] - low[s:e].min()).astype(np.uint64))) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
@@ -101,13 +107,13 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
         out: list[tuple] = []
         if left.num_rows:
             table = from_ipc(left.column("body")[0].as_buffer())
-            words, n, h, ids = _windows(table, width)
+            n, h, ids = _windows(table, width)
             keys, low, at = _distinct(h, ids)
             parts = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "bits", "n")), strict=True))
             bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=m) for _, b, m in parts]).astype(bool) if parts else np.zeros(0, bool)
             gone = bits[at] | (ids > low[at]) if len(h) else np.zeros(0, bool)
             ends = np.cumsum(n)
-            for i, w in enumerate(words):
+            for i, w in enumerate(_words(table)):
                 here = np.flatnonzero(gone[ends[i] - n[i] : ends[i]])
                 if len(here):
                     s, e = intervals(here, width, len(w))
