@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 #: Words held by a Python worker before the cache starts anew.  Memory only: ids don't depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -39,11 +40,23 @@ def check_separable(path: str) -> bool:
     return all(ids(sep.join(words)) == [i for w in words for i in ids(w)] and ids(sep) == [] for sep in (" ", "\n", "\t ", "\r\n", "\x0b\x0c"))
 
 
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def check_parts(path: str) -> bool:
+    """Whether letters and the punctuation after them are encoded apart, and A-Z like a-z."""
+    t = _load(path)
+    ids = lambda x: t.encode(x, add_special_tokens=False).ids
+    words, tails = ("that", "Über", "naïvE", "x9", "don't", "東京"), (".", ",", "!!", "'", "%%%", "&&&", "...\"", "-", "_)")
+    return all(ids(w + p) == ids(w.lower()) + ids(p) for w in words for p in tails)
+
+
 class Encoder:
     """``encode(text) -> uint32 array``; keeps arrays of ids per cached word."""
 
     def __init__(self, path: str):
         self.tokenizer, self.separable = _load(path), check_separable(path)
+        self.parts = self.separable and check_parts(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -52,10 +65,43 @@ class Encoder:
         self.start = np.zeros(1, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        """New words.  One of plain letters and a tail of ASCII punctuation is its parts side by side, in any case of a-z; only parts not met yet are encoded."""
+        if not self.parts:
+            return self._encode(list(words))
+        whole, joined, need = [], [], set()
+        for w in words:
+            base = w.lower().rstrip(_PUNCTUATION)
+            if len(base) == len(w) and base == w or b"<|" in w or not base or not (base[-1:].isalnum() or base[-4:].decode("utf-8", "ignore")[-1:].isalpha()):
+                whole.append(w)
+                continue
+            tail = w[len(base) :]
+            joined.append((w, base, tail))
+            need.add(base)
+            if tail:
+                need.add(tail)
+        known = self.known
+        self._encode([*whole, *need.difference(known, whole)])
+        flat, start = self.ids, self.start
+        n = len(joined)
+        if n:
+            a = np.fromiter((known[x[1]] for x in joined), np.int64, n)
+            b = np.fromiter((known[x[2]] if x[2] else -1 for x in joined), np.int64, n)
+            na, nb = start[a + 1] - start[a], np.where(b >= 0, start[b + 1] - start[b], 0)
+            ends = np.cumsum(np.stack([na, nb], 1).ravel())
+            sizes = np.stack([na, nb], 1).ravel()
+            begins = np.stack([start[a], start[b]], 1).ravel()
+            take = np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+            self._append([x[0] for x in joined], na + nb, flat[take])
+
+    def _encode(self, words: list[bytes]) -> None:
+        if not words:
+            return
         rows = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         n = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((i for r in rows for i in r), np.uint32, int(n.sum()))
+        self._append(words, n, np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())))
+
+    def _append(self, words: list[bytes], n: np.ndarray, flat: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -74,7 +120,7 @@ class Encoder:
         flat = [w for ws in words for w in ws]
         new = set(flat).difference(self.known)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         s = self.start[at]
         n = self.start[at + 1] - s
