@@ -55,7 +55,7 @@ def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(_table(spark, sf_dir, "documents"))
-    return token_files.read_tokens(spark, files).drop("ids")
+    return token_files.read_tokens(spark, files, with_ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_substring_dedup, op4_decontaminate, op5_lm_score, op6_language_id, op7_packing, op8_html_extract, op9_chroma, op10_token_files)}

@@ -164,8 +164,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     return spark.read.schema(manifest.schema).parquet(table)
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Every document of the files, in its place: (doc_id, start, n_tokens, ids array<int>, ids_crc32).
+def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Every document of the files, in its place: (doc_id, start, n_tokens, ids_crc32, ids array<int>); ``with_ids`` False leaves the last out.
 
     A file's offset is the sum of the ids of the files before it: a running sum over one row per file.
     """
@@ -189,10 +189,12 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                         start += int(n.sum())
                         doc = r.index["doc_id"][lo:hi]
                         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(starts), pa.array(n), flat, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                        columns = {"doc_id": pa.array(doc, mask=doc == NO_ID), "start": pa.array(starts), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}
+                        if with_ids:
+                            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+                        yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long"
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return files.repartition("file").select("file", "first").mapInArrow(read, schema)
 
 

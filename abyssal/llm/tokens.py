@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import os
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Words held by a Python worker before the cache starts anew.  Memory only: ids don't depend on it.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_500_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -118,10 +118,12 @@ class Encoder:
             self._clear()
         words = [(x or "").encode("utf-8", "replace").split() for x in texts]
         flat = [w for ws in words for w in ws]
-        new = set(flat).difference(self.known)
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [flat[i] for i in missing]
+            self._learn(set(new))
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         s = self.start[at]
         n = self.start[at + 1] - s
         ends = np.cumsum(n)
