@@ -22,8 +22,10 @@ from .common import small_batches, stage
 RATE, FRAME, HOP = 8000, 2048, 512
 LOW_HZ, HIGH_HZ = 55.0, 3520.0
 WIDTH = 8  # frames that a filter looks at
-#: Shared integers at one offset from which a pair is judged; bit errors up to which it is a match.
+#: Shared keys at one offset from which a pair is judged; bit errors up to which it is a match.
 MIN_VOTES, MAX_BER = 4, 0.25
+#: Frames between the two codes of an index key: no window of samples in common.
+LAG = 4
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -150,10 +152,12 @@ def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def align(queries: DataFrame, reps: DataFrame, min_votes: int = MIN_VOTES, max_ber: float = MAX_BER) -> DataFrame:
     """(query_id, class_id, frames_apart, votes, bit_error): query classes against all other classes with ``min_votes`` shared integers at one offset.
 
-    A code that is frequent is first counted per class and place, and the join on codes is an ordinary shuffle join,
-    split where it is skewed.  The offset with most votes is taken; ties go to the smallest shift, then the lower.
+    The index key is a code with the one ``LAG`` frames later, since frames next to each other overlap and single codes
+    of unlike recordings often agree by chance.  The join on keys is an ordinary shuffle join, split where it is skewed.  The offset with most votes is taken; ties go to the smallest shift, then the lower.
     """
-    place = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode("codes").alias(f"{name}_at", "code"))
+    later = F.transform(F.sequence(F.lit(1), F.size("codes") - LAG), lambda i: F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + LAG)))
+    keys = F.when(F.size("codes") > LAG, later)
+    place = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode(keys).alias(f"{name}_at", "code"))
     q, d = place(queries.select("class_id", "codes"), "query_id"), place(reps, "class_id")
     votes = q.join(d, "code").where("query_id <> class_id").groupBy("query_id", "class_id", (F.col("class_id_at") - F.col("query_id_at")).alias("frames_apart")).agg(F.count("*").alias("votes"))
     best = votes.where(F.col("votes") >= min_votes).groupBy("query_id", "class_id").agg(F.max_by(F.struct("frames_apart", "votes"), F.struct("votes", -F.abs("frames_apart"), -F.col("frames_apart"))).alias("b")).select("query_id", "class_id", "b.*")

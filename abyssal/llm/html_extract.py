@@ -1,6 +1,6 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host are dealt into groups of about ``group_pages``.  A group induces a wrapper: the DOM trees are aligned,
+Pages are dealt by ranges of host and id, and read in groups of at most ``group_pages`` of one host.  A group induces a wrapper: the DOM trees are aligned,
 one after another, to a growing template by simple tree matching (ordered, same-label nodes, largest number of matched
 nodes; Yang 1991), with a run of like siblings taken as one repeated node.  A template node remembers in how many
 different pages a text stood at it: text that stays is template, text that varies fills a slot.  The slots that hold
@@ -328,14 +328,34 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     small_batches(pages.sparkSession, 1000)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
-    cut = F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.lit(1), F.ceil(F.col("n") / group_pages)).cast("long"))
-    dealt = rows.join(sizes, "host").select("page_id", "url", "html", F.xxhash64("host", cut.cast("string")).alias("part"))
+    # ranges of (host, page) cut a large host over many tasks and keep a small one together; one shuffle
+    dealt = rows.repartitionByRange("host", "page_id", "url").sortWithinPartitions("host", "page_id", "url")
     kind = dict(pages.dtypes)["page_id"]
 
-    def extract(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("page_id", "ascending"), ("url", "ascending")])
-        texts = extract_group(table.column("html").to_pylist())
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
+    def extract(batches):
+        held: list[pa.RecordBatch] = []  # pages of one host, fewer than a group
 
-    return dealt.groupBy("part").applyInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            texts = extract_group(table.column("html").to_pylist())
+            out = {"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            return pa.table(out).combine_chunks().to_batches()[0]
+
+        n, current = 0, None
+        for batch in batches:
+            hosts, start = batch.column(3).to_pylist(), 0
+            for i, h in enumerate(hosts):
+                if h != current or n == group_pages:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        yield done()
+                    start, n, current = i, 0, h
+                n += 1
+            if len(hosts) > start:
+                held.append(batch.slice(start))
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
