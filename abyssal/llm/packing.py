@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage
-from .tokens import default_path, encoder, slices
+from .tokens import CACHE_WORDS, default_path, encoder, slices
 
 SEQUENCE = 4096
 END_ID = 2
@@ -58,13 +58,13 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return at, offset
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) per piece of each row's ids followed by ``end_id``."""
     path = tokenizer or default_path()
     small_batches(docs.sparkSession, 500)
 
     def each(batches):
-        enc, end = encoder(path), np.array([end_id], "<u4")
+        enc, end = encoder(path, cache_words), np.array([end_id], "<u4")
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows: list[tuple] = []
@@ -77,13 +77,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, seed: int = 7, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, seed: int = 7, group_pieces: int = GROUP_PIECES, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``pieces`` with (sequence_id, offset).
 
     Offsets of a sequence are gapless from 0.  Null and empty texts are a single end id.  Rows with equal or null doc_id
     are packed as separate rows.  An empty table gives no rows.
     """
-    cut = stage(pieces(docs, tokenizer, length, end_id), "pieces")
+    cut = stage(pieces(docs, tokenizer, length, end_id, cache_words), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
 
     def packed(table: pa.Table) -> pa.Table:

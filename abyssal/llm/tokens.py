@@ -54,7 +54,8 @@ def check_parts(path: str) -> bool:
 class Encoder:
     """``encode(text) -> uint32 array``; keeps arrays of ids per cached word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.limit = cache_words
         self.tokenizer, self.separable = _load(path), check_separable(path)
         self.parts = self.separable and check_parts(path)
         self._clear()
@@ -114,7 +115,7 @@ class Encoder:
         """The ids of each text; null texts have none.  Call with a bounded batch."""
         if not self.separable:
             return [np.array(self.tokenizer.encode(x or "", add_special_tokens=False).ids, np.uint32) for x in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > self.limit:
             self._clear()
         words = [(x or "").encode("utf-8", "replace").split() for x in texts]
         flat = [w for ws in words for w in ws]
@@ -134,8 +135,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One per worker process, kept from task to task."""
+    return Encoder(path, cache_words)
 
 
 def slices(texts: list[str | None], limit: int = 1_000_000) -> list[slice]:
