@@ -63,11 +63,12 @@ def intervals(covered: np.ndarray, width: int, n_words: int) -> tuple[list[int],
     return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
-def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, starts, ends, kept_text, and ``row``, a struct of the columns named in ``carry``.
 
     ``starts``/``ends`` are the maximal word ranges of windows whose sequence also starts in a document of smaller
-    doc_id, judged on the input; ``kept_text`` is the rest, joined by one space.  Words are runs of anything but ASCII
+    doc_id, judged on the input; ``kept_text`` is the rest, joined by one space
+    (with ``verbatim``, a text that loses nothing is returned as it is).  Words are runs of anything but ASCII
     white space.  Null and empty texts have no words; texts under ``width`` words lose none; rows of equal doc_id are
     one document for this purpose; a row of null doc_id comes after all others.
     """
@@ -113,6 +114,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
             bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=m) for _, b, m in parts]).astype(bool) if parts else np.zeros(0, bool)
             gone = bits[at] | (ids > low[at]) if len(h) else np.zeros(0, bool)
             ends = np.cumsum(n)
+            texts = table.column("text")
             for i, w in enumerate(_words(table)):
                 here = np.flatnonzero(gone[ends[i] - n[i] : ends[i]])
                 if len(here):
@@ -120,7 +122,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
                     kept = [x for a, b in zip([0, *e], [*s, len(w)], strict=True) for x in w[a:b]]
                 else:
                     s, e, kept = [], [], w
-                out.append((len(w), s, e, b" ".join(kept).decode("utf-8", "replace")))
+                out.append((len(w), s, e, texts[i].as_py() if verbatim and not s else b" ".join(kept).decode("utf-8", "replace")))
             cols = {"doc_id": table.column("doc_id")} | {k: pa.array([r[j] for r in out], t) for j, (k, t) in enumerate((("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kept_text", pa.string())))}
             return pa.table(cols | ({"row": table.column("row")} if carry else {}))
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int32())), "ends": pa.array([], pa.list_(pa.int32())), "kept_text": pa.array([], pa.string())})
