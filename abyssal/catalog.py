@@ -1,5 +1,7 @@
-"""Registered queries of the reference's operators, and their SQL."""
+"""Registered queries of the library's operators, and their SQL."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import models, series, streams  # noqa: F401  (register their queries)
+from .plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "welch_psd_median"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
