@@ -44,6 +44,29 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: workers live on from stage to stage, beside the heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(each):
+    """A function of Arrow batches that releases memory when its task ends."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for sizing buckets; one column is scanned and one number returned."""
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
@@ -102,7 +125,7 @@ def segments(docs: DataFrame, columns: list[str], text: str = "text", limit: int
                 {"segment_id": pa.array([part << 24 | k], pa.int64()), "n_rows": pa.array([t.num_rows], pa.int64()), "text_bytes": pa.array([size], pa.int64()), "body": pa.array([to_ipc(t)], pa.binary())}
             )
 
-    return stage(picked.mapInArrow(cut, SEGMENT_SCHEMA), "segments")
+    return stage(picked.mapInArrow(tidy(cut), SEGMENT_SCHEMA), "segments")
 
 
 # --- compact integers ----------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_ipc, pack, runs, small_batches, stage, text_bytes, to_ipc, unpack
+from .common import from_ipc, pack, runs, small_batches, stage, text_bytes, tidy, to_ipc, unpack
 
 #: Lower-cases A-Z and turns what separates words into spaces; bytes from 0x80 on belong to words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], carry: tuple[str,
             )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(picked.mapInArrow(build, "segment_id long, rows binary, starts binary, terms binary, offsets binary, gaps binary"), "postings")
+    return stage(picked.mapInArrow(tidy(build), "segment_id long, rows binary, starts binary, terms binary, offsets binary, gaps binary"), "postings")
 
 
 def document_rows(index: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def search(index: DataFrame, vocabulary: dict[bytes, int], queries: dict[tuple[b
                 d, item, a, e = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array((seg << 20) + d, pa.int64()), doc_ids.combine_chunks().take(pa.array(d)), pa.array(item, pa.int32()), pa.array(a, pa.int64()), pa.array(e, pa.int64())], names=["row_id", "doc_id", "item", "start", "end"])
 
-    hits = index.select("segment_id", "rows", "starts", "terms", "offsets", "gaps").mapInArrow(look, schema)
+    hits = index.select("segment_id", "rows", "starts", "terms", "offsets", "gaps").mapInArrow(tidy(look), schema)
     names = index.sparkSession.createDataFrame([(i, None if x is None else str(x)) for i, x in enumerate(items)], "item int, item_id string")
     return hits.join(F.broadcast(names), "item").select("row_id", "doc_id", "item_id", "start", "end")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 DIM = 4096
 ORDERS = (1, 2, 3, 4)
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, folds: int = 3, held: int = 1, max_rows: int = MAX_ROWS
             x = features(b.column(1).to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
-    got = sorted(map(tuple, chosen.mapInArrow(vectors, "lang string, x binary").collect()))
+    got = sorted(map(tuple, chosen.mapInArrow(tidy(vectors), "lang string, x binary").collect()))
     lang = np.array([g[0] for g in got])
     x = np.stack([np.frombuffer(g[1], np.float16) for g in got]).astype(np.float32)
     return fit_rows(x, lang)
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> Data
                 score += [float(y) if o else 0.0 for y, o in zip(q, ok, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    return picked.mapInArrow(predict, f"row {dict(picked.dtypes)['row']}, lang_pred string, score double")
+    return picked.mapInArrow(tidy(predict), f"row {dict(picked.dtypes)['row']}, lang_pred string, score double")
 
 
 def language_table(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

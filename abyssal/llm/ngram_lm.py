@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, from_ipc, pack, pack_sorted, segments, small_batches, stage, unpack, unpack_sorted, word_hashes
+from .common import bucket_bounds, from_ipc, pack, pack_sorted, release, segments, small_batches, stage, tidy, unpack, unpack_sorted, word_hashes
 from .elias_fano import TrieLevel, mapped
 
 ADD = 0.1
@@ -128,7 +128,7 @@ def _level_words(segs: DataFrame, n_buckets: int, folds: int) -> DataFrame:
         out = [(r["segment_id"], r["bucket"], 1, pack_sorted(at[s:e].astype(np.uint64)), pack(total[at[s:e]].astype(np.uint64)), False, float(total.sum()), int((total > 0).sum())) for r, s, e in zip(rows, cut, cut[1:], strict=False)]
         return pa.table({k: pa.array(c, ty) for k, c, ty in zip(("segment_id", "bucket", "level", "ranks", "counts", "wide", "bucket_n", "bucket_v"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.int64()), strict=True)})
 
-    sent = segs.select("segment_id", "body").mapInArrow(entries, "bucket long, segment_id long, keys binary, n binary")
+    sent = segs.select("segment_id", "body").mapInArrow(tidy(entries), "bucket long, segment_id long, keys binary, n binary")
     return stage(sent.groupBy("bucket").applyInArrow(add, "segment_id long, bucket long, level int, ranks binary, counts binary, wide boolean, bucket_n double, bucket_v long"), "words")
 
 
@@ -138,6 +138,7 @@ _REPLY_FIELDS = (("segment_id", pa.int64()), ("bucket", pa.int64()), ("level", p
 
 def _level_grams(segs: DataFrame, replies: DataFrame, level: int, last: bool, n_buckets: int, folds: int) -> DataFrame:
     def entries(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         rows: list[tuple] = []
         if left.num_rows:
             t = _Tokens(from_ipc(left.column("body")[0].as_buffer()), folds)
@@ -149,6 +150,7 @@ def _level_grams(segs: DataFrame, replies: DataFrame, level: int, last: bool, n_
         return pa.table({k: pa.array(c, ty) for (k, ty), c in zip((("bucket", pa.int64()), ("segment_id", pa.int64()), ("parents", pa.binary()), ("words", pa.binary()), ("n", pa.binary())), cols, strict=True)})
 
     def serve(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         parents = [unpack_sorted(r["parents"]) for r in rows]
         cut = np.cumsum([0, *map(len, parents)])
@@ -197,6 +199,7 @@ def score(docs: DataFrame, order: int = 2, folds: int = 10, add: float = ADD, ba
         replies = replies.unionByName(stage(more, f"level{level}") if level < order else more)
 
     def combine(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         fields = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
         if not left.num_rows:
             return pa.table({k: pa.array([], ty) for k, ty in fields})

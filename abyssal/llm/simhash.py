@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, tidy
 from .components import connected_components
 
 BITS = 64
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
             fp = np.fromiter((fingerprint(x, shingle) for x in b.column(1).to_pylist()), "<u8", b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view("<i8"))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(each), "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -117,7 +117,7 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
                 yield done()
 
         ready = both.where(F.col("n") <= bucket_rows).select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
-        out.append(ready.mapInArrow(forest, "a long, b long"))
+        out.append(ready.mapInArrow(tidy(forest), "a long, b long"))
         big = both.where(F.col("n") > bucket_rows)
         if not big.limit(1).count():
             break

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, from_ipc, pack, pack_sorted, segments, shingle_hash, small_batches, unpack, unpack_sorted, word_hashes
+from .common import bucket_bounds, from_ipc, pack, pack_sorted, release, segments, shingle_hash, small_batches, tidy, unpack, unpack_sorted, word_hashes
 
 #: Text bytes per bucket of hashes.
 BUCKET_BYTES = 3_000_000
@@ -90,6 +90,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "segment_id", "keys", "base", "low"])
 
     def answer(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         keys = [unpack_sorted(r["keys"]) for r in rows]
         low = [unpack(r["low"]).astype(np.int64) + r["base"] for r in rows]
@@ -99,12 +100,13 @@ def repeated_spans(docs: DataFrame, width: int = 13, bucket_bytes: int = BUCKET_
         bit = ids > least[at]
         return pa.table({"segment_id": pa.array([r["segment_id"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "bits": pa.array([np.packbits(bit[s:e]).tobytes() for s, e in zip(n, n[1:], strict=False)], pa.binary()), "n": pa.array(np.diff(n), pa.int64())})
 
-    sent = segs.select("segment_id", "body").mapInArrow(entries, "bucket int, segment_id long, keys binary, base long, low binary")
+    sent = segs.select("segment_id", "body").mapInArrow(tidy(entries), "bucket int, segment_id long, keys binary, base long, low binary")
     replies = sent.groupBy("bucket").applyInArrow(answer, "segment_id long, bucket int, bits binary, n long")
 
     schema = "doc_id long, n_words long, starts array<int>, ends array<int>, kept_text string" + (f", row {dict(picked.dtypes)['row']}" if carry else "")
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out: list[tuple] = []
         if left.num_rows:
             table = from_ipc(left.column("body")[0].as_buffer())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, tidy
 from .tokens import default_path, encoder, slices
 
 FRAME_BYTES = 1 << 20
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = (rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    manifest = dealt.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
+    manifest = dealt.mapInArrow(tidy(write), "part long, file string, n_docs long, n_ids long")
     table = f"{out}/manifest"
     manifest.write.mode("overwrite").parquet(table)
     return spark.read.schema(manifest.schema).parquet(table)
