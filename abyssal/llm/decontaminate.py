@@ -177,7 +177,8 @@ def search(index: DataFrame, vocabulary: dict[bytes, int], queries: dict[tuple[b
                             hits.setdefault(i, []).append(np.stack([at, at + len(phrase)], 1))
                 if not hits:
                     continue
-                doc_ids = from_ipc(rows).column("doc_id")
+                table = from_ipc(rows)
+                doc_ids, n_words = table.column("doc_id"), table.column("n_words").to_numpy()
                 out = []
                 for i, found in hits.items():
                     r = np.concatenate(found)
@@ -187,7 +188,7 @@ def search(index: DataFrame, vocabulary: dict[bytes, int], queries: dict[tuple[b
                     a = r[new, 0]
                     e = reach[np.append(np.flatnonzero(new)[1:] - 1, len(r) - 1)]
                     d = np.searchsorted(starts, a, "right") - 1
-                    out.append((d, np.full(len(a), i), np.maximum(a - starts[d], 0), e - starts[d]))
+                    out.append((d, np.full(len(a), i), np.maximum(a - starts[d], 0), np.minimum(e - starts[d], n_words[d])))
                 d, item, a, e = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array((seg << 20) + d, pa.int64()), doc_ids.combine_chunks().take(pa.array(d)), pa.array(item, pa.int32()), pa.array(a, pa.int64()), pa.array(e, pa.int64())], names=["row_id", "doc_id", "item", "start", "end"])
 
