@@ -71,7 +71,7 @@ def _(spark, sf):
     return windows.trim_common(read_samples(spark, sf), ["Z", "H", "1", "2"]).select("sample_id", "component", "v")
 
 
-@query("tumbling_complete", f"WITH {S}, e AS (SELECT min(epoch(ts)) AS t0, max(epoch(ts)) AS t1 FROM s) SELECT CAST(floor((epoch(ts) - t0) / 86400) AS BIGINT) AS window_id, count(*) AS n, avg(v) AS mean FROM s, e WHERE t0 + (floor((epoch(ts) - t0) / 86400) + 1) * 86400 <= t1 GROUP BY 1", "mean")
+@query("tumbling_complete", f"WITH {S}, e AS (SELECT min(epoch(ts)) AS t0, max(epoch(ts)) AS t1 FROM s) SELECT CAST(floor((epoch(ts) - t0) / 86400) AS BIGINT) AS window_id, count(*) AS n, avg(v) AS mean FROM s, e WHERE t0 + (floor((epoch(ts) - t0) / 86400) + 1) * 86400 <= t1 GROUP BY 1", "mean", 8)
 def _(spark, sf):
     return windows.tumbling(read_samples(spark, sf), 86400).groupBy("window_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
 
@@ -103,22 +103,22 @@ def _(spark, sf):
     return windows.newest(rows, "component", "hour", by="sample_id")
 
 
-@query("gap_interpolate", f"WITH {T} SELECT * FROM t", "v")
+@query("gap_interpolate", f"WITH {T} SELECT * FROM t", "v", 8)
 def _(spark, sf):
     return trace(spark, sf)
 
 
-@query("detrend_line", "SELECT vec_id AS window_id, n, CAST(embedding[n + 1] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) - (CAST(embedding[64] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)) / 63 * n AS x FROM embeddings, range(64) r(n)", "x")
+@query("detrend_line", "SELECT vec_id AS window_id, n, CAST(embedding[n + 1] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) - (CAST(embedding[64] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)) / 63 * n AS x FROM embeddings, range(64) r(n)", "x", 8)
 def _(spark, sf):
     return read_segments(spark, sf).select("window_id", F.posexplode(windows.detrend_line(F.col("data"))).alias("n", "x"))
 
 
-@query("detrend_mean", f"WITH {EM} SELECT window_id, n, v - avg(v) OVER (PARTITION BY window_id) AS x FROM e", "x")
+@query("detrend_mean", f"WITH {EM} SELECT window_id, n, v - avg(v) OVER (PARTITION BY window_id) AS x FROM e", "x", 8)
 def _(spark, sf):
     return read_segments(spark, sf).select("window_id", F.posexplode(windows.detrend_mean(F.col("data"))).alias("n", "x"))
 
 
-@query("fir_decimate", f"WITH {T} SELECT component, seq, y AS v FROM (SELECT component, seq, 0.1 * lag(v, 2) OVER w + 0.2 * lag(v, 1) OVER w + 0.4 * v + 0.2 * lead(v, 1) OVER w + 0.1 * lead(v, 2) OVER w AS y FROM t WINDOW w AS (PARTITION BY component ORDER BY seq)) WHERE seq % 5 = 0 AND y IS NOT NULL", "v")
+@query("fir_decimate", f"WITH {T} SELECT component, seq, y AS v FROM (SELECT component, seq, 0.1 * lag(v, 2) OVER w + 0.2 * lag(v, 1) OVER w + 0.4 * v + 0.2 * lead(v, 1) OVER w + 0.1 * lead(v, 2) OVER w AS y FROM t WINDOW w AS (PARTITION BY component ORDER BY seq)) WHERE seq % 5 = 0 AND y IS NOT NULL", "v", 8)
 def _(spark, sf):
     return windows.decimate(trace(spark, sf), [0.1, 0.2, 0.4, 0.2, 0.1], 5)
 
@@ -233,17 +233,17 @@ def _(spark, sf):
     return both.groupBy("station", "k").pivot("stage", ["raw", "half"]).agg(F.avg("p"))
 
 
-@query("savgol_smooth", f"WITH {T} SELECT component, seq, CASE WHEN count(v) OVER w = 10 THEN avg(v) OVER w END AS smooth FROM t WINDOW w AS (PARTITION BY component ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)", "smooth")
+@query("savgol_smooth", f"WITH {T} SELECT component, seq, CASE WHEN count(v) OVER w = 10 THEN avg(v) OVER w END AS smooth FROM t WINDOW w AS (PARTITION BY component ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)", "smooth", 8)
 def _(spark, sf):
     return windows.smooth(trace(spark, sf)).select("component", "seq", "smooth")
 
 
-@query("outlier_ffill", f"WITH {T} SELECT component, seq, coalesce(last_value(CASE WHEN v <= 60 THEN v END IGNORE NULLS) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), last_value(v) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM t", "v")
+@query("outlier_ffill", f"WITH {T} SELECT component, seq, coalesce(last_value(CASE WHEN v <= 60 THEN v END IGNORE NULLS) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), last_value(v) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM t", "v", 8)
 def _(spark, sf):
     return windows.fill_outliers(trace(spark, sf), 60)
 
 
-@query("azimuth_normalise", f"WITH {T} SELECT component, seq, abs(v - 50) AS angle, fmod(fmod(CASE WHEN v - 50 < 0 THEN v * 4 + 180 ELSE v * 4 END, 360) + 360, 360) AS azimuth FROM t", "angle azimuth")
+@query("azimuth_normalise", f"WITH {T} SELECT component, seq, abs(v - 50) AS angle, fmod(fmod(CASE WHEN v - 50 < 0 THEN v * 4 + 180 ELSE v * 4 END, 360) + 360, 360) AS azimuth FROM t", "angle azimuth", 8)
 def _(spark, sf):
     angle, azimuth = windows.normalise_azimuth(F.col("v") - 50, F.col("v") * 4)
     return trace(spark, sf).select("component", "seq", angle.alias("angle"), azimuth.alias("azimuth"))
@@ -281,7 +281,7 @@ def _(spark, sf):
     return clean.exclude(read_samples(spark, sf), _spans(spark, sf), zero=True).select("sample_id", "v")
 
 
-@query("periodic_stack_remove", f"WITH {T} SELECT component, seq, v - avg(v) OVER (PARTITION BY component, seq % 24) AS clean FROM t", "clean")
+@query("periodic_stack_remove", f"WITH {T} SELECT component, seq, v - avg(v) OVER (PARTITION BY component, seq % 24) AS clean FROM t", "clean", 8)
 def _(spark, sf):
     return clean.remove_periodic(trace(spark, sf), 24).select("component", "seq", "clean")
 
