@@ -33,7 +33,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+    return ngram_lm.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
