@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,17 +133,23 @@ def segments(docs: DataFrame, columns: list[str], text: str = "text", limit: int
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers at the smallest whole number of bytes that holds the largest."""
+    """Unsigned integers at the smallest whole number of bytes that holds the largest, byte by byte: all lowest bytes first.
+
+    Bytes of one weight are alike, so zstandard shortens them; the first byte is the width, plus 128 where it did.
+    """
     values = np.ascontiguousarray(values, dtype="<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    short = zstandard.compress(planes, 1) if len(planes) > 64 else planes
+    return bytes([width | 128]) + short if len(short) < len(planes) else bytes([width]) + planes
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
+    width = blob[0] & 127
+    planes = zstandard.decompress(blob[1:]) if blob[0] & 128 else blob[1:]
+    raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
     return out.view("<u8").ravel()
 
 
