@@ -9,6 +9,10 @@ Work on a bucket is bounded.  Buckets hold distinct fingerprints.  One of more t
 free bits are dealt to r + 1 parts, and two fingerprints that differ in r bits agree on one part, so every pair meets
 in a sub-bucket with fewer free bits.  After a few cuts the free bits alone bound the rows.  A bucket yields a spanning
 forest of its links, never its pairs.
+
+A similarity threshold asks for more than a radius: texts that share four shingles in five lie about ten bits apart, where
+no fingerprint of 64 bits tells them from strangers.  With ``jaccard``, the links within the radius are joined by those
+of a min-wise sketch: 256 bytes a text, band keys that nominate, and an estimate from all 256 that decides.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from .common import small_batches, stage, tidy
 from .components import connected_components
 
 BITS = 64
+#: Values of a sketch; its band keys take BANDS times BAND_ROWS of them: a pair at 0.8 shares a key with probability 0.99.
+SKETCH, BAND_ROWS, BANDS = 256, 4, 9
+_ODD = np.random.default_rng(64).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -31,18 +38,27 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if (label[i] & v).bit_count() & 1) for v in range(1, n)]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def describe(text: str | None, shingle: int = 3, sketched: bool = False) -> tuple[int, np.ndarray | None]:
+    """Fingerprint and, if asked for, the least value of the shingle hashes under each of ``SKETCH`` multipliers (None without words)."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return 0, None
     n = max(1, len(words) - shingle + 1)
     votes = np.zeros(BITS, np.int64)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max) if sketched else None
     for at in range(0, n, 32768):  # bounded memory for very long texts
         h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + 32768))), "<u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+        if low is not None:
+            for s in range(0, len(h), 512):
+                np.minimum(low, (h[s : s + 512, None] * _ODD).min(axis=0), out=low)
+    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little"), low
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return describe(text, shingle)[0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -57,28 +73,91 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(each), "doc_id long, fp long")
 
 
+def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, fp, sid, sketch, keys): the fingerprint; a hash of the sketch, its bytes and its band keys, null without words."""
+    from xxhash import xxh64_intdigest
+
+    small_batches(docs.sparkSession)
+
+    def each(batches):
+        for b in batches:
+            fps, sids, bodies, keys = [], [], [], []
+            for x in b.column(1).to_pylist():
+                fp, low = describe(x, shingle, True)
+                fps.append(fp)
+                if low is None:
+                    sids, bodies, keys = [*sids, None], [*bodies, None], [*keys, None]
+                    continue
+                body = (low >> np.uint64(40)).astype(np.uint8).tobytes()
+                raw = (low >> np.uint64(24)).astype("<u4")[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+                sids.append(_signed(xxh64_intdigest(low.tobytes())))
+                bodies.append(body)
+                keys.append([_signed(xxh64_intdigest(r.tobytes(), j)) for j, r in enumerate(raw)])
+            cols = [b.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "sketch", "keys"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return picked.mapInArrow(tidy(each), "doc_id long, fp long, sid long, sketch binary, keys array<long>")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links within ``radius`` among distinct fingerprints: breadth first, a frontier row against the unseen rest."""
-    left, a, b = np.arange(len(fp)), [], []
+def _forest(rows: np.ndarray, node: np.ndarray, near) -> tuple[list[int], list[int]]:
+    """Spanning forest of the links ``near(others, one)`` among distinct rows: breadth first, a frontier row against the unseen rest."""
+    left, a, b = np.arange(len(rows)), [], []
     queue: list[int] = []
     while len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         i = queue.pop()
-        near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
-        if near.any():
-            found = left[near]
-            left = left[~near]
+        found = near(rows[left], rows[i])
+        if found.any():
+            found, left = left[found], left[~found]
             a += [int(node[i])] * len(found)
             b += node[found].tolist()
             queue += found.tolist()
     return a, b
 
 
+def _bucket_forests(rows: DataFrame, value: str, decode, near) -> DataFrame:
+    """``rows`` (key, ``value``, node) -> edges (a, b), the spanning forest of each key's links."""
+
+    def forest(batches):
+        """Rows arrive sorted by key; a bucket may run over batches."""
+        held_key, values, nodes = None, [], []
+
+        def done():
+            # a key is a hash: comparing rows that share it by chance does no harm
+            a, b = _forest(np.concatenate(values), np.concatenate(nodes), near)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for t in batches:
+            if not t.num_rows:
+                continue
+            k, v, nd = t.column(0).to_numpy(), decode(t.column(1)), t.column(2).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+            for s, e in zip(cut, cut[1:], strict=False):
+                if held_key is not None and k[s] != held_key:
+                    yield done()
+                    values, nodes = [], []
+                held_key = k[s]
+                values.append(v[s:e])
+                nodes.append(nd[s:e])
+        if values:
+            yield done()
+
+    ready = rows.select("key", value, "node").repartition("key").sortWithinPartitions("key")
+    return ready.mapInArrow(tidy(forest), "a long, b long")
+
+
+def _crowded(keyed: DataFrame, name: str) -> DataFrame:
+    """``keyed`` with the rows ``n`` of each key, staged; keys of one row go."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return stage(keyed.join(sizes, "key"), name)
+
+
 def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """``reps`` (fp, node): distinct fingerprints -> edges (a, b) that join exactly the rows linked within ``radius``."""
     masks = covering_masks(radius)
@@ -87,37 +166,9 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     out = []
     parts = radius + 1
     for level in range(8):
-        key = F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))
-        keyed = keyed.withColumn("key", key)
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        both = stage(keyed.join(sizes, "key").select("key", "fp", "node", "mask", "n"), f"buckets{level}")
-
-        def forest(batches):
-            """Rows arrive sorted by key; a bucket may run over batches."""
-            held_key, fps, nodes = None, [], []
-
-            def done():
-                # a key is a hash: only rows that agree under their mask are compared, and comparing more would do no harm
-                a, b = _forest(np.concatenate(fps).view(np.uint64), np.concatenate(nodes), radius)
-                return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-            for t in batches:
-                if not t.num_rows:
-                    continue
-                k, fp, nd = (t.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
-                for s, e in zip(cut, cut[1:], strict=False):
-                    if held_key is not None and k[s] != held_key:
-                        yield done()
-                        fps, nodes = [], []
-                    held_key = k[s]
-                    fps.append(fp[s:e])
-                    nodes.append(nd[s:e])
-            if fps:
-                yield done()
-
-        ready = both.where(F.col("n") <= bucket_rows).select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
-        out.append(ready.mapInArrow(tidy(forest), "a long, b long"))
+        keyed = keyed.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        both = _crowded(keyed, f"buckets{level}")
+        out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), "fp", lambda c: c.to_numpy().view(np.uint64), lambda others, one: np.bitwise_count(others ^ one) <= radius))
         big = both.where(F.col("n") > bucket_rows)
         if not big.limit(1).count():
             break
@@ -137,20 +188,64 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     return edges
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
+def sketch_links(reps: DataFrame, jaccard: float, bucket_rows: int = 4096) -> DataFrame:
+    """``reps`` (node, sketch, keys): distinct sketches -> edges (a, b) of pairs that share a band key and whose estimated similarity is ``jaccard`` or more.
+
+    A bucket of more than ``bucket_rows`` sketches is a crowd of close texts.  It is cut again by runs of 8, then 16 to
+    128 of the 256 bytes, each sketch going into the bucket of every run, so that close texts still meet in many; what
+    stays crowded through all cuts is compared with the smallest node of its bucket.
+    """
+    least = jaccard * (1 - 1 / 256) + 1 / 256  # a byte agrees by chance, too
+    near = lambda others, one: (others == one).mean(axis=-1) >= least
+    decode = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH)
+    keyed = reps.select("node", "sketch", F.explode("keys").alias("key"))
+    out = []
+    for width in (8, 16, 32, 64, 128, None):
+        both = _crowded(keyed, "bands")
+        out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), "sketch", decode, near))
+        big = both.where(F.col("n") > bucket_rows).drop("n")
+        if not big.limit(1).count():
+            break
+        if width is None:
+            first = big.groupBy("key").agg(F.min_by("sketch", "node").alias("first"), F.min("node").alias("a"))
+
+            def compare(batches):
+                for t in batches:
+                    if t.num_rows:
+                        hit = (decode(t.column(2)) == decode(t.column(3))).mean(axis=-1) >= least
+                        yield t.select(["a", "b"]).filter(pa.array(hit))
+
+            out.append(big.join(first, "key").where("node <> a").select("a", F.col("node").alias("b"), "sketch", "first").mapInArrow(tidy(compare), "a long, b long"))
+            break
+        runs = F.array(*[F.xxhash64("key", F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(SKETCH // width)])
+        keyed = big.select("node", "sketch", F.explode(runs).alias("key"))
+    edges = out[0]
+    for x in out[1:]:
+        edges = edges.unionByName(x)
+    return edges
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096, jaccard: float | None = None) -> DataFrame:
     """Per row of ``docs``: (doc_id, fp, component_id), the smallest doc_id reachable over links of at most ``radius`` differing bits.
 
-    Null, empty and wordless texts have fingerprint 0 and link like any other.  Rows with equal doc_id are separate rows
-    of one node.  A null doc_id gets a null component.  An empty table gives no rows.
+    With ``jaccard``, texts whose sketches put their shingle sets at that similarity or more are linked, too.  Null,
+    empty and wordless texts have fingerprint 0 and link like any other.  Rows with equal doc_id are separate rows of
+    one node.  A null doc_id gets a null component.  An empty table gives no rows.
     """
-    fps = stage(fingerprints(docs, text, shingle), "fingerprints")
-    reps = stage(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    same_id = fps.where("doc_id is not null").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    fps = stage(fingerprints(docs, text, shingle) if jaccard is None else sketches(docs, text, shingle), "fingerprints")
+    known = fps.where("doc_id is not null")
+    reps = stage(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
+    same_id = known.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     repeated = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
     edges = links(reps, radius, bucket_rows).unionByName(same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi"))
+    if jaccard is not None:
+        told = known.where("sid is not null")
+        drawn = stage(told.groupBy("sid").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sketch", "keys"), "doc_id").alias("s")).select("sid", "node", "s.sketch", "s.keys"), "sketches")
+        both = told.select("fp", "sid").distinct().join(reps.withColumnRenamed("node", "a"), "fp").join(drawn.select("sid", F.col("node").alias("b")), "sid")
+        edges = edges.unionByName(both.select("a", "b").where("a <> b")).unionByName(sketch_links(drawn, jaccard, bucket_rows))
     comp = connected_components(edges)
     labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return fps.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -134,6 +134,38 @@ def test_pipeline_near_duplicates_leave_others_alone(spark):
     assert {0, *range(5, 25)} <= kept and 1 not in kept
 
 
+@pytest.mark.parametrize("rows", [4096, 6])
+def test_sketch_links_find_copies_beyond_the_radius(spark, rows):
+    """Texts that lose a few places each: all at 0.85 or more share a class, none under 0.7 does; few rows: crowded buckets are cut again."""
+    rng = np.random.default_rng(1)
+    word = lambda n: ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    groups = []
+    for edits in (1, 2, 4, 5):
+        base = word(400)
+        group = [base]
+        for _ in range(12):
+            w = list(base)
+            for i in rng.choice(400, edits, replace=False):
+                w[i] = word(1)[0]
+            group.append(w)
+        groups.append(group)
+    half = word(200)
+    apart = [half + word(200) for _ in range(8)]  # a third of the shingles shared
+    texts = [w for g in groups for w in g] + apart
+    table = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (902, "one"), (None, "one"), (903, "one")]
+    got = simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), shingle=5, radius=5, jaccard=0.8, bucket_rows=rows).collect()
+    label = {r.doc_id: r.component_id for r in got}
+    assert len(got) == len(table) and label[None] is None and label[900] == label[901] and label[902] == label[903] == 902
+    sets = [grams(w) for w in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert j < 0.85 or label[a] == label[b], (a, b, j)
+            assert j >= 0.3 or label[a] != label[b], (a, b, j)
+    assert len({label[len(texts) - 1 - i] for i in range(8)}) == 8
+
+
 def test_decontamination(spark, sf, docs, texts):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())
