@@ -191,38 +191,24 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
 def sketch_links(reps: DataFrame, jaccard: float, bucket_rows: int = 4096) -> DataFrame:
     """``reps`` (node, sketch, keys): distinct sketches -> edges (a, b) of pairs that share a band key and whose estimated similarity is ``jaccard`` or more.
 
-    A bucket of more than ``bucket_rows`` sketches is a crowd of close texts.  It is cut again by runs of 8, then 16 to
-    128 of the 256 bytes, each sketch going into the bucket of every run, so that close texts still meet in many; what
-    stays crowded through all cuts is compared with the smallest node of its bucket.
+    A bucket of more than ``bucket_rows`` sketches is dealt into blocks, and every block is compared with every other and
+    with itself, each pair of blocks as a bucket of its own: no pair is lost, and a task holds about ``bucket_rows`` rows.
     """
     least = jaccard * (1 - 1 / 256) + 1 / 256  # a byte agrees by chance, too
     near = lambda others, one: (others == one).mean(axis=-1) >= least
     decode = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH)
-    keyed = reps.select("node", "sketch", F.explode("keys").alias("key"))
-    out = []
-    for width in (8, 16, 32, 64, 128, None):
-        both = _crowded(keyed, "bands")
-        out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), "sketch", decode, near))
-        big = both.where(F.col("n") > bucket_rows).drop("n")
-        if not big.limit(1).count():
-            break
-        if width is None:
-            first = big.groupBy("key").agg(F.min_by("sketch", "node").alias("first"), F.min("node").alias("a"))
-
-            def compare(batches):
-                for t in batches:
-                    if t.num_rows:
-                        hit = (decode(t.column(2)) == decode(t.column(3))).mean(axis=-1) >= least
-                        yield t.select(["a", "b"]).filter(pa.array(hit))
-
-            out.append(big.join(first, "key").where("node <> a").select("a", F.col("node").alias("b"), "sketch", "first").mapInArrow(tidy(compare), "a long, b long"))
-            break
-        runs = F.array(*[F.xxhash64("key", F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(SKETCH // width)])
-        keyed = big.select("node", "sketch", F.explode(runs).alias("key"))
-    edges = out[0]
-    for x in out[1:]:
-        edges = edges.unionByName(x)
-    return edges
+    both = _crowded(reps.select("node", "sketch", F.explode("keys").alias("key")), "bands")
+    dealt = _blocks(both.withColumn("blocks", F.ceil(2 * F.col("n") / bucket_rows)).withColumn("blocks", F.when(F.col("n") <= bucket_rows, 1).otherwise(F.col("blocks"))), "node")
+    return _bucket_forests(dealt, "sketch", decode, near)
+
+
+def _blocks(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (key, blocks, ``by``, ...) with one key for each pair of a key's blocks; a row goes to the pairs that hold its block."""
+    mine, other = F.pmod(F.xxhash64("key", by), F.col("blocks")), F.col("_other")
+    every = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    # a block meets itself in its pairs with the others
+    met = every.where((F.col("blocks") == 1) | (F.col("_mine") != other))
+    return met.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_mine", other), F.greatest("_mine", other)))).drop("_mine", "_other", "blocks")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096, jaccard: float | None = None) -> DataFrame:

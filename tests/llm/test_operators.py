@@ -166,6 +166,20 @@ def test_sketch_links_find_copies_beyond_the_radius(spark, rows):
     assert len({label[len(texts) - 1 - i] for i in range(8)}) == 8
 
 
+@pytest.mark.parametrize("rows", [4096, 6, 2])
+def test_a_hub_text_keeps_its_copies_in_crowded_buckets(spark, rows):
+    rng = np.random.default_rng(11)
+    hub = [f"u{int(x)}" for x in rng.integers(0, 10_000, 300)]
+    table = [(1000, " ".join(hub))]
+    for i in range(80):  # like the hub (276 of 316 shingles), less like each other
+        words = list(hub)
+        for at in rng.choice(30, 4, replace=False):
+            words[10 * at + 5] = f"e{i}x{at}"
+        table.append((i, " ".join(words)))
+    got = simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), shingle=5, radius=3, jaccard=0.8, bucket_rows=rows).collect()
+    assert {r.component_id for r in got} == {0}
+
+
 def test_decontamination(spark, sf, docs, texts):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())
