@@ -11,8 +11,9 @@ in a sub-bucket with fewer free bits.  After a few cuts the free bits alone boun
 forest of its links, never its pairs.
 
 A similarity threshold asks for more than a radius: texts that share four shingles in five lie about ten bits apart, where
-no fingerprint of 64 bits tells them from strangers.  With ``jaccard``, the links within the radius are joined by those
-of a min-wise sketch: 256 bytes a text, band keys that nominate, and an estimate from all 256 that decides.
+no fingerprint of 64 bits tells them from strangers.  With ``jaccard``, the links within the radius and the band keys of
+a min-wise sketch only nominate: the sets of shingle hashes of the texts in a bucket decide, and texts are joined exactly
+where the sets' similarity reaches the threshold.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from .common import small_batches, stage, tidy
 from .components import connected_components
 
 BITS = 64
-#: Values of a sketch; its band keys take BANDS times BAND_ROWS of them: a pair at 0.8 shares a key with probability 0.99.
-SKETCH, BAND_ROWS, BANDS = 256, 4, 9
+#: Values of a sketch; its band keys take BANDS times BAND_ROWS of them: a pair at 0.8 shares none with probability 0.00003.
+SKETCH, BAND_ROWS, BANDS = 256, 4, 20
+#: The sets are compared where the sketches' similarity is at most so far under the threshold: six standard deviations at 0.8.
+MARGIN = 0.15
+#: Bytes of shingle hashes that a task holds of a bucket, about.
+BUCKET_BYTES = 32_000_000
 _ODD = np.random.default_rng(64).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,27 +43,35 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if (label[i] & v).bit_count() & 1) for v in range(1, n)]
 
 
-def describe(text: str | None, shingle: int = 3, sketched: bool = False) -> tuple[int, np.ndarray | None]:
-    """Fingerprint and, if asked for, the least value of the shingle hashes under each of ``SKETCH`` multipliers (None without words)."""
+def _hashes(text: str | None, shingle: int):
+    """The XXH64 of every shingle, in order and in pieces: bounded memory for very long texts."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0, None
-    n = max(1, len(words) - shingle + 1)
-    votes = np.zeros(BITS, np.int64)
-    low = np.full(SKETCH, np.iinfo(np.uint64).max) if sketched else None
-    for at in range(0, n, 32768):  # bounded memory for very long texts
-        h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + 32768))), "<u8")
+    n = max(1, len(words) - shingle + 1) if words else 0
+    for at in range(0, n, 32768):
+        yield np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + 32768))), "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, hashes=None) -> int:
+    n, votes = 0, np.zeros(BITS, np.int64)
+    for h in _hashes(text, shingle) if hashes is None else hashes:
+        n += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if low is not None:
-            for s in range(0, len(h), 512):
-                np.minimum(low, (h[s : s + 512, None] * _ODD).min(axis=0), out=low)
-    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little"), low
+    return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
+
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes, ascending; none without words."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_hashes(text, shingle)]))
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    return describe(text, shingle)[0]
+
+def least_values(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of ``SKETCH`` multipliers."""
+    low = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for s in range(0, len(hashes), 512):
+        np.minimum(low, (hashes[s : s + 512, None] * _ODD).min(axis=0), out=low)
+    return low
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -74,45 +87,60 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
 
 
 def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, sid, sketch, keys): the fingerprint; a hash of the sketch, its bytes and its band keys, null without words."""
+    """(doc_id, fp, sid, size, sketch, keys): the fingerprint; a hash of the shingle set, its size, its sketch and band keys (no keys without words)."""
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
 
     def each(batches):
         for b in batches:
-            fps, sids, bodies, keys = [], [], [], []
+            fps, sids, sizes, bodies, keys = [], [], [], [], []
             for x in b.column(1).to_pylist():
-                fp, low = describe(x, shingle, True)
-                fps.append(fp)
-                if low is None:
-                    sids, bodies, keys = [*sids, None], [*bodies, None], [*keys, None]
-                    continue
-                body = (low >> np.uint64(40)).astype(np.uint8).tobytes()
+                pieces = list(_hashes(x, shingle))
+                fps.append(fingerprint(None, hashes=pieces))
+                held = np.unique(np.concatenate([np.zeros(0, "<u8"), *pieces]))
+                low = least_values(held)
                 raw = (low >> np.uint64(24)).astype("<u4")[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
-                sids.append(_signed(xxh64_intdigest(low.tobytes())))
-                bodies.append(body)
-                keys.append([_signed(xxh64_intdigest(r.tobytes(), j)) for j, r in enumerate(raw)])
-            cols = [b.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "sketch", "keys"])
+                sids.append(_signed(xxh64_intdigest(held.tobytes())))
+                sizes.append(len(held))
+                bodies.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
+                keys.append([_signed(xxh64_intdigest(r.tobytes(), j)) for j, r in enumerate(raw)] if len(held) else [])
+            cols = [b.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "size", "sketch", "keys"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(tidy(each), "doc_id long, fp long, sid long, sketch binary, keys array<long>")
+    return picked.mapInArrow(tidy(each), "doc_id long, fp long, sid long, size long, sketch binary, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(node, sid, hashes) of ``wanted`` (node, sid): the shingle set, as bytes, of the text of doc_id ``node`` whose set hashes to ``sid``."""
+    from xxhash import xxh64_intdigest
+
+    small_batches(docs.sparkSession)
+
+    def each(batches):
+        for b in batches:
+            held = [shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(xxh64_intdigest(x)) for x in held], pa.int64()), pa.array(held, pa.binary())], names=["node", "sid", "hashes"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(wanted.select("node").distinct(), "node", "left_semi")
+    made = picked.mapInArrow(tidy(each), "node long, sid long, hashes binary")
+    return made.join(wanted, ["node", "sid"], "left_semi").groupBy("node", "sid").agg(F.first("hashes").alias("hashes"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(rows: np.ndarray, node: np.ndarray, near) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links ``near(others, one)`` among distinct rows: breadth first, a frontier row against the unseen rest."""
-    left, a, b = np.arange(len(rows)), [], []
+def _forest(node: np.ndarray, near) -> tuple[list[int], list[int]]:
+    """Spanning forest of the links ``near(others, one)`` among rows, given by their places: breadth first, a frontier row against the unseen rest."""
+    left, a, b = np.arange(len(node)), [], []
     queue: list[int] = []
     while len(left):
         if not queue:
             queue, left = [int(left[0])], left[1:]
         i = queue.pop()
-        found = near(rows[left], rows[i])
+        found = near(left, i)
         if found.any():
             found, left = left[found], left[~found]
             a += [int(node[i])] * len(found)
@@ -121,37 +149,76 @@ def _forest(rows: np.ndarray, node: np.ndarray, near) -> tuple[list[int], list[i
     return a, b
 
 
-def _bucket_forests(rows: DataFrame, value: str, decode, near) -> DataFrame:
-    """``rows`` (key, ``value``, node) -> edges (a, b), the spanning forest of each key's links."""
+def _bucket_forests(rows: DataFrame, values: list[str], compare) -> DataFrame:
+    """``rows`` (key, node, ``values``) -> edges (a, b), the spanning forest of each key's links; ``compare`` of a bucket's values gives ``near``."""
 
     def forest(batches):
         """Rows arrive sorted by key; a bucket may run over batches."""
-        held_key, values, nodes = None, [], []
+        held_key, held = None, []
 
         def done():
             # a key is a hash: comparing rows that share it by chance does no harm
-            a, b = _forest(np.concatenate(values), np.concatenate(nodes), near)
+            t = pa.Table.from_batches(held)
+            a, b = _forest(t.column(1).to_numpy(), compare(*t.columns[2:]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for t in batches:
             if not t.num_rows:
                 continue
-            k, v, nd = t.column(0).to_numpy(), decode(t.column(1)), t.column(2).to_numpy()
+            k = t.column(0).to_numpy()
             cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
             for s, e in zip(cut, cut[1:], strict=False):
                 if held_key is not None and k[s] != held_key:
                     yield done()
-                    values, nodes = [], []
+                    held = []
                 held_key = k[s]
-                values.append(v[s:e])
-                nodes.append(nd[s:e])
-        if values:
+                held.append(t.slice(s, e - s))
+        if held:
             yield done()
 
-    ready = rows.select("key", value, "node").repartition("key").sortWithinPartitions("key")
+    ready = rows.select("key", "node", *values).repartition("key").sortWithinPartitions("key")
     return ready.mapInArrow(tidy(forest), "a long, b long")
 
 
+def _within(radius: int):
+    def compare(fps):
+        rows = fps.to_numpy().view(np.uint64)
+        return lambda others, one: np.bitwise_count(rows[others] ^ rows[one]) <= radius
+
+    return compare
+
+
+def _similar(jaccard: float, chunk: int = 1_000_000):
+    """Texts whose shingle sets have the similarity ``jaccard``; sketches far below it spare the sets."""
+    least = jaccard - MARGIN
+
+    def compare(sketch, hashes):
+        drawn = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sets = [np.frombuffer(x, "<u8") for x in hashes.to_pylist()]
+        size = np.array([len(x) for x in sets])
+
+        def near(others, one):
+            out, mine = np.zeros(len(others), bool), sets[one]
+            if not len(mine):
+                out[:] = size[others] == 0
+                return out
+            n = size[others]
+            able = (n > 0) & (np.minimum(n, len(mine)) >= jaccard * np.maximum(n, len(mine)))
+            at = np.flatnonzero(able & ((drawn[others] == drawn[one]).mean(axis=-1) >= least))
+            piece = np.cumsum(n[at]) // chunk
+            for p in np.unique(piece):
+                some = at[piece == p]
+                every = np.concatenate([sets[i] for i in others[some]])
+                both = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                shared = np.add.reduceat(both, np.cumsum(n[some]) - n[some], dtype=np.int64)
+                out[some] = shared / (n[some] + len(mine) - shared) >= jaccard
+            return out
+
+        return near
+
+    return compare
+
+
 def _crowded(keyed: DataFrame, name: str) -> DataFrame:
     """``keyed`` with the rows ``n`` of each key, staged; keys of one row go."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -168,7 +235,7 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     for level in range(8):
         keyed = keyed.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         both = _crowded(keyed, f"buckets{level}")
-        out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), "fp", lambda c: c.to_numpy().view(np.uint64), lambda others, one: np.bitwise_count(others ^ one) <= radius))
+        out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), ["fp"], _within(radius)))
         big = both.where(F.col("n") > bucket_rows)
         if not big.limit(1).count():
             break
@@ -188,18 +255,22 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     return edges
 
 
-def sketch_links(reps: DataFrame, jaccard: float, bucket_rows: int = 4096) -> DataFrame:
-    """``reps`` (node, sketch, keys): distinct sketches -> edges (a, b) of pairs that share a band key and whose estimated similarity is ``jaccard`` or more.
+def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096) -> DataFrame:
+    """Edges (a, b) between the nodes of ``drawn`` (sid, node, size, sketch) that share a key of ``keyed`` (key, sid, node, size) and whose shingle sets have the similarity ``jaccard``.
 
-    A bucket of more than ``bucket_rows`` sketches is dealt into blocks, and every block is compared with every other and
-    with itself, each pair of blocks as a bucket of its own: no pair is lost, and a task holds about ``bucket_rows`` rows.
+    Keys that nominate the same sets are one.  A bucket of more than ``bucket_rows`` sets or ``BUCKET_BYTES`` is dealt into
+    blocks, and every block is compared with every other and with itself, each pair of blocks as a bucket of its own: no
+    pair is lost.
     """
-    least = jaccard * (1 - 1 / 256) + 1 / 256  # a byte agrees by chance, too
-    near = lambda others, one: (others == one).mean(axis=-1) >= least
-    decode = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SKETCH)
-    both = _crowded(reps.select("node", "sketch", F.explode("keys").alias("key")), "bands")
-    dealt = _blocks(both.withColumn("blocks", F.ceil(2 * F.col("n") / bucket_rows)).withColumn("blocks", F.when(F.col("n") <= bucket_rows, 1).otherwise(F.col("blocks"))), "node")
-    return _bucket_forests(dealt, "sketch", decode, near)
+    keyed = keyed.repartition("key")  # one shuffle for the counts and the rows: both read the same columns
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("sid", "node")).alias("x"), F.bit_xor(F.xxhash64("node", "sid")).alias("y")).where("n > 1")
+    sizes = sizes.groupBy("n", "hashes", "x", "y").agg(F.min("key").alias("key"))
+    crowd = F.greatest(F.col("n") / bucket_rows, 8 * F.col("hashes") / BUCKET_BYTES)
+    blocks = F.least(F.when(crowd <= 1, 1).otherwise(F.ceil(2 * crowd)), F.col("n")).cast("long")
+    buckets = stage(keyed.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "sid", "node", "blocks"), "bands")
+    wanted = stage(buckets.select("node", "sid").distinct(), "wanted")  # of known size: where it is small, no text is shuffled
+    sets = shingle_sets(docs, wanted, text, shingle).join(drawn.select("sid", "sketch"), "sid")
+    return _bucket_forests(_blocks(buckets, "sid").join(sets, ["node", "sid"]), ["sketch", "hashes"], _similar(jaccard))
 
 
 def _blocks(rows: DataFrame, by: str) -> DataFrame:
@@ -214,24 +285,32 @@ def _blocks(rows: DataFrame, by: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096, jaccard: float | None = None) -> DataFrame:
     """Per row of ``docs``: (doc_id, fp, component_id), the smallest doc_id reachable over links of at most ``radius`` differing bits.
 
-    With ``jaccard``, texts whose sketches put their shingle sets at that similarity or more are linked, too.  Null,
-    empty and wordless texts have fingerprint 0 and link like any other.  Rows with equal doc_id are separate rows of
-    one node.  A null doc_id gets a null component.  An empty table gives no rows.
+    With ``jaccard``, the links are those of texts whose shingle sets have at least that similarity; the radius then only
+    nominates.  Null, empty and wordless texts have fingerprint 0 and link like any other (with ``jaccard``: to each
+    other).  Rows with equal doc_id are separate rows of one node.  A null doc_id gets a null component.  An empty table
+    gives no rows.
     """
     fps = stage(fingerprints(docs, text, shingle) if jaccard is None else sketches(docs, text, shingle), "fingerprints")
     known = fps.where("doc_id is not null")
-    reps = stage(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    same_id = known.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    repeated = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
-    edges = links(reps, radius, bucket_rows).unionByName(same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi"))
-    if jaccard is not None:
-        told = known.where("sid is not null")
-        drawn = stage(told.groupBy("sid").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("sketch", "keys"), "doc_id").alias("s")).select("sid", "node", "s.sketch", "s.keys"), "sketches")
-        both = told.select("fp", "sid").distinct().join(reps.withColumnRenamed("node", "a"), "fp").join(drawn.select("sid", F.col("node").alias("b")), "sid")
-        edges = edges.unionByName(both.select("a", "b").where("a <> b")).unionByName(sketch_links(drawn, jaccard, bucket_rows))
+    one = "fp" if jaccard is None else "sid"
+    firsts = known.groupBy(one).agg(F.min("doc_id").alias("node"), *([] if jaccard is None else [F.min_by(F.struct("fp", "size", "sketch", "keys"), "doc_id").alias("s")]))
+    reps = stage(firsts if jaccard is None else firsts.select("sid", "node", "s.*"), "reps")
+    same_id = known.join(reps.select(one, "node"), one).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    repeated = fps.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
+    edges = same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi")
+    if jaccard is None:
+        edges = links(reps, radius, bucket_rows).unionByName(edges)
+    else:
+        # one node of each fingerprint stands for it in the radius; sets of the same fingerprint nominate each other
+        prints = stage(reps.groupBy("fp").agg(F.min("sid").alias("node")), "prints")
+        near = links(prints, radius, bucket_rows).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = near.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("sid"))
+        keys = F.concat("keys", F.array(F.xxhash64(F.lit("print"), "fp")))
+        keyed = reps.select(F.explode(keys).alias("key"), "sid", "node", "size").unionByName(pairs.join(reps.select("sid", "node", "size"), "sid"))
+        edges = edges.unionByName(set_links(docs, reps.drop("fp", "keys"), keyed, jaccard, text, shingle, bucket_rows))
     comp = connected_components(edges)
-    labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.select("doc_id", "fp").join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(one, F.coalesce("component", "node").alias("component_id"))
+    return fps.select("doc_id", *{"fp": 0, one: 0}).join(labels, one, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

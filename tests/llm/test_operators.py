@@ -180,6 +180,19 @@ def test_a_hub_text_keeps_its_copies_in_crowded_buckets(spark, rows):
     assert {r.component_id for r in got} == {0}
 
 
+def test_shingle_sets_decide_at_the_threshold(spark):
+    """Pairs just below, at and just above 0.8, and one within the radius but below: exactly those at 0.8 or more are linked."""
+    rows, want = [], {}
+    for g in range(60):
+        shared, total = [(79, 100), (80, 100), (81, 100)][g % 3]
+        base = [f"g{g}w{i}" for i in range(shared + 4)]
+        # words added at the end: every one is a new shingle of one text only
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + [f"g{g}x{i}" for i in range(total - shared)]))]
+        want[2 * g + 1] = 2 * g + (shared < 80)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, radius=5, jaccard=0.8).collect()}
+    assert {k: got[k] for k in want} == want and all(got[2 * g] == 2 * g for g in range(60))
+
+
 def test_decontamination(spark, sf, docs, texts):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.encode().lower())
