@@ -8,10 +8,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder is set where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` (or the context's checkpoint folder) with its scheme, as every library names it.
+
+    A temporary folder is set only in local mode, where driver and tasks are one process; a cluster without the setting
+    is an error.
+    """
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="abyssal-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="abyssal-"))
+        top = context.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    full = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = full.partition(":")
+    return (full if rest.startswith("//") else f"{scheme}://{rest}").rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
