@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -12,23 +12,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
+
 #: Text bytes of one segment; bounds what a task decodes at a time.
 SEGMENT_BYTES = 6_000_000
+#: Rows of one segment at most, and what a row counts for beside its text.
+SEGMENT_ROWS, ROW_BYTES = 1 << 18, 16
 SEGMENT_SCHEMA = "segment_id long, n_rows long, text_bytes long, body binary"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one is set where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or "file://" + tempfile.mkdtemp(prefix="abyssal-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share (``spark.checkpoint.dir``)."""
+    return new_folder(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +33,37 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """The file system of a path that tasks read or write themselves, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_file(path: str, body: bytes) -> None:
+    """A whole file or none: written under a name of its own and moved.  Attempts of one task write the same bytes."""
+    fs, at = file_system(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as f:
+        f.write(body)
+    try:
+        fs.move(own, at)
+    except OSError:  # another attempt was first, where a move doesn't replace
+        fs.delete_file(own)
+
+
+def map_file(path: str) -> np.ndarray:
+    """The bytes of a file, mapped into memory where the file system can; empty if there is no such file."""
+    from pyarrow import fs as kinds
+
+    fs, at = file_system(path)
+    if fs.get_file_info(at).type != kinds.FileType.File:
+        return np.zeros(0, np.uint8)
+    with pa.memory_map(at) if isinstance(fs, kinds.LocalFileSystem) else fs.open_input_file(at) as f:
+        return np.frombuffer(f.read_buffer(f.size()), np.uint8)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch handed to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -87,23 +113,27 @@ def from_ipc(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Regroup batches into tables of about ``limit`` bytes of ``column``; one longer document is a table of its own."""
-    held, size = [], 0
+def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int = SEGMENT_ROWS) -> Iterator[pa.Table]:
+    """Regroup batches into tables of about ``limit`` bytes of ``column`` and at most ``rows`` rows; one longer document is a table of its own.
+
+    A row counts for some bytes beside its text, so that short and null texts end a table too.
+    """
+    held, size, count = [], 0, 0
     for batch in batches:
         lengths = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()) if batch.num_rows else None
         if lengths is None:
             continue
         import pyarrow.compute as pc
 
-        n = np.asarray(pc.fill_null(pc.binary_length(lengths), 0)).astype(np.int64)
+        n = np.asarray(pc.fill_null(pc.binary_length(lengths), 0)).astype(np.int64) + ROW_BYTES
         start, total = 0, size
         for i, x in enumerate(n.tolist()):
             total += x
-            if total >= limit:
+            count += 1
+            if total >= limit or count == rows:
                 held.append(batch.slice(start, i + 1 - start))
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, start, total = [], i + 1, 0
+                held, start, total, count = [], i + 1, 0, 0
         if start < batch.num_rows:
             held.append(batch.slice(start))
         size = total
@@ -111,7 +141,7 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def segments(docs: DataFrame, columns: list[str], text: str = "text", limit: int = SEGMENT_BYTES) -> DataFrame:
+def segments(docs: DataFrame, columns: list[str], text: str = "text", limit: int = SEGMENT_BYTES, rows: int = SEGMENT_ROWS) -> DataFrame:
     """Stage ``columns`` of every row as compressed segments of whole documents (no shuffle: each scan task cuts its own)."""
     small_batches(docs.sparkSession)
     picked = docs.select(*columns)
@@ -120,7 +150,7 @@ def segments(docs: DataFrame, columns: list[str], text: str = "text", limit: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, t in enumerate(runs(batches, text, limit)):
+        for k, t in enumerate(runs(batches, text, limit, rows)):
             size = sum(len(x) for x in t.column(text).cast(pa.large_binary()).to_pylist() if x is not None)
             yield pa.RecordBatch.from_pydict(
                 {"segment_id": pa.array([part << 24 | k], pa.int64()), "n_rows": pa.array([t.num_rows], pa.int64()), "text_bytes": pa.array([size], pa.int64()), "body": pa.array([to_ipc(t)], pa.binary())}
@@ -153,6 +183,35 @@ def unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def pack_all(*arrays: np.ndarray) -> bytes:
+    """Several arrays of unsigned integers in one blob: their sizes and widths, then all byte planes, shortened together."""
+    heads, planes = [], []
+    for v in arrays:
+        v = np.ascontiguousarray(v, dtype="<u8")
+        width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+        heads.append(len(v) << 4 | width)
+        planes.append(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return np.array(heads, "<u8").tobytes() + zstandard.compress(b"".join(planes), 1)
+
+
+def unpack_all(blob, n: int) -> list[np.ndarray]:
+    """The ``n`` arrays of ``pack_all``."""
+    heads = np.frombuffer(blob[: 8 * n], "<u8").tolist()
+    raw, at, out = np.frombuffer(zstandard.decompress(blob[8 * n :]), np.uint8), 0, []
+    for head in heads:
+        size, width = head >> 4, head & 15
+        v = np.zeros((size, 8), np.uint8)
+        v[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        at += size * width
+        out.append(v.view("<u8").ravel())
+    return out
+
+
+def gaps(ascending: np.ndarray) -> np.ndarray:
+    """The first of an ascending sequence, then its differences."""
+    return np.diff(ascending, prepend=ascending[:1] * 0)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending unsigned integers: the first, then the gaps."""
     keys = np.ascontiguousarray(keys, dtype="<u8")

@@ -1,10 +1,7 @@
-"""Elias-Fano sequences and one level of an n-gram trie, as byte layouts that a memory map serves as they are."""
+"""Elias-Fano sequences and one level of an n-gram trie, as layouts of 64-bit words that a memory map serves as they are."""
 
 from __future__ import annotations
 
-import tempfile
-from contextlib import contextmanager
-
 import numpy as np
 
 _U = np.uint64
@@ -93,73 +90,141 @@ class EliasFano:
             lo, hi = np.where(below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
         return lo
 
+    def values(self) -> np.ndarray:
+        """The whole sequence: the places of the set bits give the high parts."""
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        at = np.arange(self.n)
+        return (ones - at).astype(_U) << _U(self.bits) | self._low(at)
+
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x, -1 if absent."""
+        """Place of each x, -1 if absent.  Many asked at once: the sequence is read through once and searched; few: each by its own high part."""
         x = np.asarray(x, _U)
         if not self.n:
             return np.full(len(x), -1, np.int64)
+        if len(x) * 8 >= self.n:
+            v = self.values()
+            at = np.minimum(np.searchsorted(v, x), self.n - 1)
+            return np.where(v[at] == x, at, -1)
         at = self.next_geq(x)
         ok = at < self.n
         ok[ok] = self.get(at[ok]) == x[ok]
         return np.where(ok, at, -1)
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """16-bit codes of positive counts: exact below 2**15, then steps of 1/2048 of an octave."""
-    c = np.asarray(counts, np.float64)
-    return np.where(c < 1 << 15, c, np.minimum(65535, (1 << 15) + np.round((np.log2(np.maximum(c, 1)) - 15) * 2048))).astype(np.uint16)
+#: Codes per power of ten of a probability; 16 bits reach down to 1e-16, and anything smaller is held there.
+STEPS = 4096
+
 
+def quantise(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities in (0, 1]: 1 for one, a step for each 1 / ``STEPS`` of a power of ten below; 0 is left for what is absent."""
+    return (1 + np.clip(np.round(-np.log10(np.asarray(p, np.float64)) * STEPS), 0, 65534)).astype(np.uint16)
 
-def dequantise(codes: np.ndarray) -> np.ndarray:
+
+def dequantise(codes: np.ndarray, absent: float = 0.0) -> np.ndarray:
     k = np.asarray(codes, np.float64)
-    return np.where(k < 1 << 15, k, 2.0 ** (15 + (k - (1 << 15)) / 2048))
+    return np.where(k > 0, 10.0 ** ((1 - k) / STEPS), absent)
+
+
+def _words(a: np.ndarray) -> np.ndarray:
+    """Any array as 64-bit words, after its length in items."""
+    raw = np.ascontiguousarray(a).tobytes()
+    return np.concatenate([np.array([len(a)], _U), np.frombuffer(raw + b"\0" * (-len(raw) % 8), _U)])
+
+
+class _Cursor:
+    """Parts laid one after another, read in turn without a copy."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.at = words, 0
+
+    def sequence(self) -> EliasFano:
+        e = EliasFano(self.words[self.at :])
+        self.at += e.size
+        return e
+
+    def array(self, kind) -> np.ndarray:
+        n = int(self.words[self.at])
+        size = -(-n * np.dtype(kind).itemsize // 8)
+        out = self.words[self.at + 1 : self.at + 1 + size].view(kind)[:n]
+        self.at += 1 + size
+        return out
+
+    def codes(self):
+        book = self.array(np.uint16)
+        return book, self.array(np.uint8 if len(book) <= 256 else np.uint16)
+
+
+def _coded(codes: np.ndarray) -> list[np.ndarray]:
+    """A code book and each item's place in it: a byte where the book is small."""
+    book, at = np.unique(codes, return_inverse=True)
+    return [_words(book.astype(np.uint16)), _words(at.astype(np.uint8 if len(book) <= 256 else np.uint16))]
+
+
+class WordLevel:
+    """Level 1: the words' hashes as an Elias-Fano sequence; each word's rank and count."""
+
+    def __init__(self, words: np.ndarray):
+        c = _Cursor(words)
+        self.hashes, self.ranks, self.counts = c.sequence(), c.array(np.uint32), c.array(np.uint64)
+
+    @staticmethod
+    def encode(hashes: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.concatenate([EliasFano.encode(hashes), _words(ranks.astype(np.uint32)), _words(counts.astype(_U))])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank plus one and count of each word; 0 and 0 if unknown."""
+        at = self.hashes.find(hashes)
+        ok = at >= 0
+        rank, count = np.zeros(len(at), _U), np.zeros(len(at), _U)
+        rank[ok], count[ok] = self.ranks[at[ok]].astype(_U) + _U(1), self.counts[at[ok]]
+        return rank, count
 
 
 class TrieLevel:
     """The n-grams of one level, under their contexts.
 
-    Contexts and last words are Elias-Fano sequences; pointers (monotone: where each context's successors begin) too.
-    A successor is stored relative to its context: the word's place in the level's word list plus the context's place
-    times the list's length, which makes the whole level one monotone sequence.  A code per n-gram is its quantised mass.
+    Words are stored once, as an Elias-Fano sequence of their ids; a context is the places of its words in that list, as
+    one number; pointers (monotone) say where each context's successors begin.  A successor is stored relative to its
+    context: its word's place plus the context's place times the list's length, which makes the level one monotone
+    sequence.  Each n-gram has the code of its discounted probability and, below the last level, that of the weight that
+    it gives to the lower order as a context.
     """
 
     def __init__(self, words: np.ndarray):
-        self.contexts = EliasFano(words)
-        self.words = EliasFano(words[(at := self.contexts.size) :])
-        self.pointers = EliasFano(words[(at := at + self.words.size) :])
-        self.successors = EliasFano(words[(at := at + self.pointers.size) :])
-        self.codes = words[at + self.successors.size :].view(np.uint16)
+        c = _Cursor(words)
+        self.words, self.contexts, self.pointers, self.successors = (c.sequence() for _ in range(4))
+        self.alpha, self.gamma = c.codes(), c.codes()
 
     @staticmethod
-    def encode(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """``context``, ``word``: distinct pairs in ascending order."""
-        contexts, first, at = np.unique(context, return_index=True, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
-        relative = at.astype(_U) * _U(max(1, len(words))) + w.astype(_U)
-        codes = quantise(counts)
-        codes = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint16)])
-        return np.concatenate([EliasFano.encode(contexts), EliasFano.encode(words), EliasFano.encode(np.append(first, len(context))), EliasFano.encode(relative), codes.view(_U)])
-
-    def mass(self, context: np.ndarray, word: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """The (quantised) count of each n-gram; 0 if it is not in the trie."""
-        out = np.zeros(len(context))
-        for s in range(0, len(context), step):
-            c, w = self.contexts.find(context[s : s + step]), self.words.find(word[s : s + step])
-            k = np.flatnonzero((c >= 0) & (w >= 0))
-            if len(k):
-                at = self.successors.find(c[k].astype(_U) * _U(max(1, self.words.n)) + w[k].astype(_U))
-                ok = at >= 0
-                begin, end = self.pointers.get(c[k][ok]).astype(np.int64), self.pointers.get(c[k][ok] + 1).astype(np.int64)
-                if not ((begin <= at[ok]) & (at[ok] < end)).all():
-                    raise ValueError("a successor lies outside its context's range")
-                out[s + k[ok]] = dequantise(self.codes[at[ok]])
-        return out
-
-
-@contextmanager
-def mapped(words: np.ndarray):
-    """The level as a read-only memory map of a file of this task's own, gone afterwards."""
-    with tempfile.TemporaryFile() as f:
-        f.write(words.tobytes())
-        f.flush()
-        yield TrieLevel(np.memmap(f, np.uint64, "r"))
+    def encode(context: list[np.ndarray], word: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """``context``: a column of word ids for each of its words; n-grams are distinct and in ascending order."""
+        words = np.unique(np.concatenate([*context, word]))
+        n = _U(max(1, len(words)))
+        place = lambda x: np.searchsorted(words, x).astype(_U)
+        key = place(context[0])
+        for x in context[1:]:
+            key = key * n + place(x)
+        contexts, first, at = np.unique(key, return_index=True, return_inverse=True)
+        parts = [EliasFano.encode(words), EliasFano.encode(contexts), EliasFano.encode(np.append(first, len(word))), EliasFano.encode(at.astype(_U) * n + place(word))]
+        return np.concatenate([*parts, *_coded(alpha), *_coded(gamma)])
+
+    def find(self, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (alpha, gamma) of each n-gram, 0 where the trie has none: the context's place, then the successor relative to it."""
+        alpha, gamma = np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
+        ids, back = np.unique(np.concatenate([*context, word]), return_inverse=True)
+        places = self.words.find(ids)[back].reshape(len(context) + 1, len(word))
+        k, n = np.flatnonzero((places >= 0).all(axis=0)), _U(max(1, self.words.n))
+        key = np.zeros(len(k), _U)
+        for row in places[:-1]:
+            key = key * n + row[k].astype(_U)
+        asked, back = np.unique(key, return_inverse=True)
+        at = self.contexts.find(asked)[back]
+        k, at = k[at >= 0], at[at >= 0]
+        found = self.successors.find(at.astype(_U) * n + places[-1][k].astype(_U))
+        k, at, found = k[found >= 0], at[found >= 0], found[found >= 0]
+        if len(k):
+            begin = self.pointers.values().astype(np.int64)
+            if not ((begin[at] <= found) & (found < begin[at + 1])).all():
+                raise ValueError("a successor lies outside its context's range")
+            alpha[k], gamma[k] = self.alpha[0][self.alpha[1][found]], self.gamma[0][self.gamma[1][found]]
+        return alpha, gamma

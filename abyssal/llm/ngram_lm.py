@@ -1,19 +1,25 @@
-"""n-gram language model in Elias-Fano trie levels, built and queried where its n-grams are dealt.
-
-Word counts and n-gram counts are combined per segment of documents before they are shuffled, and dealt by a hash of
-the whole n-gram, so neither a frequent word nor a frequent n-gram makes a hot task.  Each task holds one bucket of one
-level: it adds up the counts, lays the level out as a trie, maps it into memory and answers the n-grams that segments
-asked for.  Segments then put the levels together:
-
-    p1(w)     = (c(w) + a) / (N + a (V + 1))              unknown words share the one extra place
-    pn(w | h) = (c(h w) + K p(n-1)(w | h')) / (c(h) + K)   h' drops the first word; a text starts with a begin mark
-
-Every distribution adds up to one over the V known words and the unknown one (counts over 32,768 are held to within
-0.02 %).  Nothing of the corpus reaches the driver but N and V.
+"""n-gram language model in Elias-Fano trie levels, kept in the shared folder and searched where its n-grams are dealt.
+
+Texts are turned into hashes once; each segment of documents keeps its tokens in a side file of the shared folder.  Per
+level, a segment's distinct n-grams are combined before they are shuffled and dealt by a hash of their context, so that a
+context's successors stand side by side in one trie; a context of very many tokens is dealt by ranges of its successors'
+hashes as well.  The task of one bucket adds up the training counts, turns them into smoothed probabilities, writes them
+as one quantised trie level to the shared folder, maps that file and answers from it the n-grams that segments asked for.
+A model that is already there is mapped and searched in the same way, for any documents.
+
+    p1(w)     = (c(w) + a) / (N + a (V + 1))          unknown words share the one extra place
+    pn(w | h) = alpha(h w) + gamma(h) p(n-1)(w | h')  h' drops the first word; a text starts with a begin mark
+    alpha(h w) = c(h w) / (c(h) + K),  gamma(h) = K / (c(h) + K)
+
+alpha, gamma are what a level stores, as 16-bit codes of their logarithms; c(w) is kept as it is.  A code is half a step of
+1 / 4096 of a power of ten from its value at most, and alpha is made of a coded gamma, so the log10 probability of a token
+lies within one step of the exact one with bigrams and one and a half with trigrams.  Nothing of the corpus reaches the
+driver but N and V.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -21,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, from_ipc, pack, pack_sorted, release, segments, small_batches, stage, tidy, unpack, unpack_sorted, word_hashes
-from .elias_fano import TrieLevel, mapped
+from .common import bucket_bounds, gaps, map_file, new_path, pack_all, release, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
+from .common import SEGMENT_BYTES
+from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 
 ADD = 0.1
-#: Pseudo-count of the lower order, per level from 2 on; the last holds for all further ones.
+#: Pseudo-count K of the lower order, for levels 2 and 3.
 BACKOFF = (20.0, 5.0)
-BUCKET_BYTES = 3_000_000
-END, BEGIN = b" end", b" begin"  # no word has a space
-BEGIN_ID = 1 << 62
-_RANK_BITS = 24
+BUCKET_BYTES = 6_000_000
+#: Tokens of a context from which its successors are dealt to several buckets.
+SPLIT = 1 << 17
+END = b" end"  # no word has a space
+#: Ids in n-grams: words from 2 on.
+UNKNOWN, BEGIN = 0, 1
 
 
 def train_row(doc_id: int | None, folds: int = 10) -> bool:
@@ -39,33 +48,28 @@ def train_row(doc_id: int | None, folds: int = 10) -> bool:
 
 
 class _Tokens:
-    """The words of a segment: hashes ascending, each token's place among them, rows and training flags."""
+    """A segment's rows: ids, numbers of tokens, the distinct word hashes in ascending order and each token's place among them."""
 
-    def __init__(self, table: pa.Table, folds: int):
-        self.doc_id = table.column("doc_id")
-        ids = self.doc_id.to_pylist()
-        hashes = [word_hashes([*(x.as_py() or b"").lower().split(), END]) for x in table.column("text").cast(pa.large_binary())]
-        self.n = np.array([len(x) for x in hashes], np.int64)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.words, self.at = np.unique(h, return_inverse=True)
-        self.train_doc = np.array([train_row(x, folds) for x in ids], bool)
-        self.train = np.repeat(self.train_doc, self.n)
+    def __init__(self, ids: list, n: np.ndarray, words: np.ndarray, at: np.ndarray, folds: int):
+        self.ids, self.n, self.words, self.at = ids, n.astype(np.int64), words, at.astype(np.int64)
+        self.train_row = np.array([train_row(x, folds) for x in ids], bool)
+        self.train = np.repeat(self.train_row, self.n)
         self.first = np.cumsum(self.n) - self.n
-        self.row = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(len(h)) - np.repeat(self.first, self.n)
-
 
-def _replies(table: pa.Table, level: int) -> list[dict]:
-    return sorted((r for r in table.to_pylist() if r["level"] == level), key=lambda r: r["bucket"])
-
-
-def _ids(replies: list[dict]) -> np.ndarray:
-    """Node ids in the order of a segment's entries: bucket, then rank in it."""
-    return np.concatenate([(r["bucket"] << _RANK_BITS) + unpack_sorted(r["ranks"]).astype(np.int64) for r in replies]) if replies else np.zeros(0, np.int64)
+    @classmethod
+    def of_texts(cls, table: pa.Table, folds: int) -> _Tokens:
+        hashes = [word_hashes([*(x.as_py() or b"").lower().split(), END]) for x in table.column("text").cast(pa.large_binary())]
+        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        return cls(table.column("doc_id").to_pylist(), np.array([len(x) for x in hashes]), words, at, folds)
 
+    def dump(self) -> bytes:
+        ids = np.array([0 if x is None else x for x in self.ids], np.int64).view(np.uint64)
+        return pack_all(ids, np.array([x is None for x in self.ids]), self.n, gaps(self.words), self.at)
 
-def _counts(replies: list[dict]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r["counts"], "<f8") if r["wide"] else unpack(r["counts"]).astype(np.float64) for r in replies]) if replies else np.zeros(0)
+    @classmethod
+    def load(cls, path: str, folds: int) -> _Tokens:
+        ids, null, n, words, at = unpack_all(map_file(path).tobytes(), 5)
+        return cls([None if z else x for x, z in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)], n, np.cumsum(words, dtype=np.uint64), at, folds)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,150 +80,263 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(29)
 
 
-def _grams(t: _Tokens, replies: pa.Table, level: int, n_buckets: int):
-    """The distinct (parent, word) pairs of a level in the order they are sent; each token's place among them, -1 where the text is too young."""
-    word_id = _ids(_replies(replies, 1))
-    w = t.at
-    if level == 2:
-        parent_ids = np.append(word_id, BEGIN_ID)
-        parent = np.concatenate([[len(word_id)], w[:-1]])
-        parent[t.first] = len(word_id)
-        ok = np.ones(len(w), bool)
-    else:
-        order, at = _grams(t, replies, level - 1, n_buckets)[2:]
-        sent_ids = _ids(_replies(replies, level - 1))
-        rank = np.argsort(sent_ids, kind="stable")  # parents in ascending order of their ids
-        back = np.empty(len(rank), np.int64)
-        back[rank] = np.arange(len(rank))
-        parent_ids = sent_ids[rank]
-        parent = np.concatenate([[0], back[np.maximum(at[:-1], 0)]]) if len(at) else at
-        ok = t.place >= level - 2
-    width = max(1, len(t.words))
-    key = parent[ok] * width + w[ok]
-    keys, inverse = np.unique(key, return_inverse=True)
-    p, word = parent_ids[keys // width], word_id[keys % width]
-    bucket = (_mix(p, word) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-    order = np.argsort(bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.int64), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    at = np.full(len(w), -1, np.int64)
-    at[ok] = place[inverse]
-    return p[order], word[order], bucket[order].astype(np.int64), at
-
-
-def _level_words(segs: DataFrame, n_buckets: int, folds: int) -> DataFrame:
+def _bucket(context: list[np.ndarray], word: np.ndarray, tokens: np.ndarray, n_buckets: int, split: int) -> np.ndarray:
+    """Where an n-gram is dealt: by its context and, of a context of more than ``split`` tokens, by a range of the word's hash."""
+    h = np.zeros(len(word), np.uint64)
+    for x in context:
+        h = _mix(h, x)
+    parts = 1 + (tokens // split).astype(np.uint64)
+    part = (_mix(word, word) >> np.uint64(32)) * parts >> np.uint64(32)
+    h = np.where(part > 0, _mix(h, part), h)
+    return ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+class _Segment:
+    """A segment with what the levels have answered so far."""
+
+    def __init__(self, tokens: _Tokens, replies: pa.Table, n_buckets: int, backoff: tuple[float, ...], split: int):
+        self.t, self.n_buckets, self.backoff, self.split = tokens, n_buckets, backoff, split
+        self.replies: dict[int, list] = {}
+        for level, bucket, body in sorted(zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True)):
+            self.replies.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
+        found = self.replies[1]
+        rank = np.concatenate([r for _, r, _ in found])
+        bucket = np.repeat(np.array([b for b, _, _ in found], np.uint64), [len(r) for _, r, _ in found])
+        ids = np.where(rank > 0, np.uint64(1) + (rank - np.minimum(rank, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(1), np.uint64(UNKNOWN))
+        count = np.concatenate([c for _, _, c in found]).astype(np.float64)
+        self.count = count[tokens.at]
+        #: Ids of the segment in ascending order; a word is its place among them.
+        self.ids = np.unique(np.concatenate([np.array([UNKNOWN, BEGIN], np.uint64), ids]))
+        self.word = np.searchsorted(self.ids, ids)[tokens.at]
+        self.before = np.concatenate([[BEGIN], self.word[:-1]])
+        self.before[tokens.first] = BEGIN
+        # every training text has one begin and one end
+        self.context_count = np.concatenate([[0.0], self.count[:-1]])
+        self.context_count[tokens.first] = count[np.searchsorted(tokens.words, word_hashes([END])[0])]
+        self.place = np.arange(len(self.word)) - np.repeat(tokens.first, tokens.n)
+        self._bigrams()
+
+    def _bigrams(self) -> None:
+        size = len(self.ids)
+        ok = (self.word > UNKNOWN) & (self.before > UNKNOWN)
+        keys, first, inverse = np.unique(self.before[ok] * size + self.word[ok], return_index=True, return_inverse=True)
+        self.at2 = np.full(len(self.word), -1, np.int64)
+        self.at2[ok] = inverse
+        self.pair = keys // size, keys % size
+        self.tokens2 = self.context_count[ok][first]
+        self.gamma2 = quantise(self.backoff[0] / (self.tokens2 + self.backoff[0]))
+
+    def _order(self, context, word, tokens) -> tuple[np.ndarray, np.ndarray]:
+        bucket = _bucket([self.ids[x] for x in context], self.ids[word], tokens, self.n_buckets, self.split)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def _answers(self, level: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the level's n-grams in their ascending order."""
+        out = np.zeros((2, len(order)), np.uint16)
+        if level in self.replies:
+            for j in (0, 1):
+                out[j, order] = np.concatenate([r[j + 1] for r in self.replies[level]])
+        return out[0], out[1]
+
+    def level2(self):
+        u, w = self.pair
+        order, bucket = self._order([u], w, self.tokens2)
+        return [u], w, self.gamma2, self.at2, order, bucket
+
+    def level3(self):
+        """Trigrams whose context was seen in training; others have no count anywhere."""
+        order2 = self.level2()[4]
+        gamma = self._answers(2, order2)[1]
+        k, size = self.backoff[1], len(self.ids)
+        context = np.concatenate([[-1], self.at2[:-1]])
+        context[self.t.first] = -1
+        ok = (self.word > UNKNOWN) & (context >= 0)
+        ok[ok] = gamma[context[ok]] > 0
+        keys, inverse = np.unique(context[ok] * size + self.word[ok], return_inverse=True)
+        at = np.full(len(self.word), -1, np.int64)
+        at[ok] = inverse
+        c, w = keys // size, keys % size
+        tokens = k / dequantise(gamma[c], 1.0) - k
+        u, v = self.pair[0][c], self.pair[1][c]
+        order, bucket = self._order([u, v], w, tokens)
+        return [u, v], w, gamma[c], at, order, bucket
+
+    def asked(self, level: int, segment_id: int) -> list[tuple]:
+        """(bucket, segment, body) of a level: words in use, contexts and their weights, runs of successors and their training counts."""
+        context, word, gamma, at, order, bucket = self.level2() if level == 2 else self.level3()
+        n = np.bincount(at[self.t.train & (at >= 0)], minlength=len(word))[order]
+        context, word, gamma = [c[order] for c in context], word[order], gamma[order]
+        cut, rows = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2)) if len(bucket) else np.zeros(0, np.int64), []
+        for s, e in zip(cut, cut[1:], strict=False):
+            columns = [*(c[s:e] for c in context), word[s:e]]
+            used, back = np.unique(np.concatenate(columns), return_inverse=True)
+            *c, w = back.reshape(len(columns), e - s)
+            new = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in c], axis=0)]))
+            body = pack_all(gaps(self.ids[used]), gaps(c[0][new]), *(x[new] for x in c[1:]), gamma[s:e][new], np.diff(np.append(new, e - s)), w, n[s:e])
+            rows.append((int(bucket[s]), segment_id, body))
+        return rows
+
+    def scores(self, order: int, n_all: float, v_all: int, add: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's probability under the words alone and under the model."""
+        p1 = p = (self.count + add) / (n_all + add * (v_all + 1))
+        if order > 1:
+            *_, at, order2, _ = self.level2()
+            alpha, gamma = self._answers(2, order2)
+            weight = dequantise(quantise(self.backoff[0] / (self.context_count + self.backoff[0])))
+            p = np.where(at >= 0, dequantise(alpha)[at] if len(alpha) else 0.0, 0.0) + weight * p
+        if order > 2:
+            before = np.concatenate([[-1], at[:-1]])
+            before[self.t.first] = -1
+            weight = np.where(before >= 0, dequantise(gamma, 1.0)[before] if len(gamma) else 1.0, 1.0)
+            *_, at, order3, _ = self.level3()
+            alpha = self._answers(3, order3)[0]
+            p = np.where(at >= 0, dequantise(alpha)[at] if len(alpha) else 0.0, 0.0) + weight * p
+        return p1, p
+
+
+_ASK, _REPLY = "bucket long, segment_id long, body binary", "segment_id long, bucket long, level int, body binary"
+_ASK_FIELDS = pa.schema([("bucket", pa.int64()), ("segment_id", pa.int64()), ("body", pa.binary())])
+_REPLY_FIELDS = pa.schema([("segment_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("body", pa.binary())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema.types, strict=True)], schema=schema)
+
+
+def _level_file(model: str, level: int, bucket: int) -> str:
+    return f"{model}/level{level}/{bucket}.trie"
+
+
+def _words(docs: DataFrame, model: str, side: str, learn: bool, n_buckets: int, folds: int) -> DataFrame:
+    """Level 1, staged: each segment's words with their ranks and counts; tokens go to the side files."""
+
     def entries(batches):
-        for batch in batches:
-            for seg, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = _Tokens(from_ipc(body.as_buffer()), folds)
-                n = np.bincount(t.at[t.train], minlength=len(t.words)).astype(np.uint64)
-                cut = bucket_bounds(t.words, n_buckets)
-                rows = [(b, seg, pack_sorted(t.words[s:e]), pack(n[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
-                yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "segment_id", "keys", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [unpack_sorted(r["keys"]) for r in rows]
-        cut = np.cumsum([0, *map(len, keys)])
-        words, at = np.unique(np.concatenate(keys), return_inverse=True)
-        if len(words) >> _RANK_BITS:
-            raise ValueError("too many words in a bucket: use smaller buckets")
-        total = np.bincount(at, np.concatenate([unpack(r["n"]) for r in rows]).astype(np.float64), len(words))
-        out = [(r["segment_id"], r["bucket"], 1, pack_sorted(at[s:e].astype(np.uint64)), pack(total[at[s:e]].astype(np.uint64)), False, float(total.sum()), int((total > 0).sum())) for r, s, e in zip(rows, cut, cut[1:], strict=False)]
-        return pa.table({k: pa.array(c, ty) for k, c, ty in zip(("segment_id", "bucket", "level", "ranks", "counts", "wide", "bucket_n", "bucket_v"), zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.float64(), pa.int64()), strict=True)})
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for k, table in enumerate(runs(batches, "text", SEGMENT_BYTES)):
+            segment_id = part << 24 | k
+            t = _Tokens.of_texts(table, folds)
+            write_file(f"{side}/{segment_id}", t.dump())
+            n = np.bincount(t.at[t.train], minlength=len(t.words))
+            cut = bucket_bounds(t.words, n_buckets)
+            rows = [(b, segment_id, pack_all(gaps(t.words[s:e]), n[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
+            yield from _table(rows, _ASK_FIELDS).to_batches()
 
-    sent = segs.select("segment_id", "body").mapInArrow(tidy(entries), "bucket long, segment_id long, keys binary, n binary")
-    return stage(sent.groupBy("bucket").applyInArrow(add, "segment_id long, bucket long, level int, ranks binary, counts binary, wide boolean, bucket_n double, bucket_v long"), "words")
+    def serve(table: pa.Table) -> pa.Table:
+        release()
+        bucket = table.column("bucket")[0].as_py()
+        parts = [unpack_all(b, 2) for b in table.column("body").to_pylist()]
+        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
+        asked, at = np.unique(np.concatenate(keys), return_inverse=True)
+        if learn:
+            total = np.bincount(at, np.concatenate([n for _, n in parts]), len(asked))
+            held = np.flatnonzero(total > 0)
+            rank = np.empty(len(held), np.int64)
+            rank[np.argsort(-total[held], kind="stable")] = np.arange(len(held))
+            write_file(_level_file(model, 1, bucket), WordLevel.encode(asked[held], rank, total[held]).tobytes())
+        known = map_file(_level_file(model, 1, bucket))
+        rank, count = WordLevel(known.view(np.uint64)).find(asked) if len(known) else (np.zeros(len(asked), np.uint64),) * 2
+        cut = np.cumsum([0, *map(len, keys)])
+        rows = [(seg, bucket, 1, pack_all(rank[at[s:e]], count[at[s:e]]), float(count.sum()), int((count > 0).sum())) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
+        return _table(rows, _REPLY_FIELDS.append(pa.field("bucket_n", pa.float64())).append(pa.field("bucket_v", pa.int64())))
 
+    sent = docs.mapInArrow(tidy(entries), _ASK)
+    return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words")
 
-_REPLY = "segment_id long, bucket long, level int, ranks binary, counts binary, wide boolean"
-_REPLY_FIELDS = (("segment_id", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), ("ranks", pa.binary()), ("counts", pa.binary()), ("wide", pa.bool_()))
 
+def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
+    """The answers of level 2 or 3 to the segments' n-grams."""
 
-def _level_grams(segs: DataFrame, replies: DataFrame, level: int, last: bool, n_buckets: int, folds: int) -> DataFrame:
-    def entries(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def entries(table: pa.Table) -> pa.Table:
         release()
-        rows: list[tuple] = []
-        if left.num_rows:
-            t = _Tokens(from_ipc(left.column("body")[0].as_buffer()), folds)
-            p, word, bucket, at = _grams(t, right, level, n_buckets)
-            n = np.bincount(at[t.train & (at >= 0)], minlength=len(p)).astype(np.uint64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2)) if len(bucket) else np.zeros(0, np.int64)
-            rows = [(int(bucket[s]), left.column("segment_id")[0].as_py(), pack_sorted(p[s:e].astype(np.uint64)), pack(word[s:e].astype(np.uint64)), pack(n[s:e])) for s, e in zip(cut, cut[1:], strict=False)]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table({k: pa.array(c, ty) for (k, ty), c in zip((("bucket", pa.int64()), ("segment_id", pa.int64()), ("parents", pa.binary()), ("words", pa.binary()), ("n", pa.binary())), cols, strict=True)})
+        segment_id = table.column("segment_id")[0].as_py()
+        s = _Segment(_Tokens.load(f"{side}/{segment_id}", folds), table, n_buckets, backoff, split)
+        return _table(s.asked(level, segment_id), _ASK_FIELDS)
 
     def serve(table: pa.Table) -> pa.Table:
         release()
-        rows = table.to_pylist()
-        parents = [unpack_sorted(r["parents"]) for r in rows]
-        cut = np.cumsum([0, *map(len, parents)])
-        p, w = np.concatenate(parents), np.concatenate([unpack(r["words"]) for r in rows])
-        n = np.concatenate([unpack(r["n"]) for r in rows]).astype(np.float64)
-        order = np.lexsort((w, p))
-        new = np.concatenate([[True], (np.diff(p[order]) != 0) | (np.diff(w[order]) != 0)])
-        at = np.empty(len(order), np.int64)
-        at[order] = np.cumsum(new) - 1
-        p, w = p[order][new], w[order][new]
-        if len(p) >> _RANK_BITS:
-            raise ValueError("too many n-grams in a bucket: use smaller buckets")
-        total = np.bincount(at, n, len(p))
-        held = total > 0
-        with mapped(TrieLevel.encode(p[held], w[held], total[held])) as level_trie:
-            mass = level_trie.mass(p, w)
-        out = []
-        for r, s, e in zip(rows, cut, cut[1:], strict=False):
-            m = mass[at[s:e]]
-            wide = bool((m != np.floor(m)).any())
-            out.append((r["segment_id"], r["bucket"], level, b"" if last else pack_sorted(at[s:e].astype(np.uint64)), m.astype("<f8").tobytes() if wide else pack(m.astype(np.uint64)), wide))
-        return pa.table({k: pa.array(c, ty) for (k, ty), c in zip(_REPLY_FIELDS, zip(*out, strict=True), strict=True)})
-
-    sent = segs.select("segment_id", "body").groupBy("segment_id").cogroup(replies.groupBy("segment_id")).applyInArrow(entries, "bucket long, segment_id long, parents binary, words binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(serve, _REPLY)
-
-
-def score(docs: DataFrame, order: int = 2, folds: int = 10, add: float = ADD, backoff: tuple[float, ...] = BACKOFF, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        bucket, size = table.column("bucket")[0].as_py(), level - 1
+        parts = [unpack_all(b, size + 5) for b in table.column("body").to_pylist()]
+        ids = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        words = np.unique(np.concatenate(ids))
+        if len(words) ** level >= 1 << 63:
+            raise ValueError("too many words in a bucket: use smaller buckets")
+        key = []
+        for own, (_, *context, _, run, word, _) in zip(ids, parts, strict=True):
+            place = np.searchsorted(words, own)
+            k = place[np.cumsum(context[0], dtype=np.int64)]
+            for c in context[1:]:
+                k = k * len(words) + place[c.astype(np.int64)]
+            key.append(np.repeat(k, run.astype(np.int64)) * len(words) + place[word.astype(np.int64)])
+        cut = np.cumsum([0, *map(len, key)])
+        asked, first, at = np.unique(np.concatenate(key), return_index=True, return_inverse=True)
+        columns, rest = [words[asked % len(words)]], asked // len(words)
+        for _ in range(size):
+            columns.insert(0, words[rest % len(words)])
+            rest = rest // len(words)
+        *context, word = columns
+        if learn:
+            total = np.bincount(at, np.concatenate([p[-1] for p in parts]), len(asked))
+            weight = dequantise(np.concatenate([np.repeat(p[-4], p[-3].astype(np.int64)) for p in parts])[first])
+            held = np.flatnonzero(total > 0)
+            alpha = quantise(total[held] * weight[held] / backoff[level - 2])
+            gamma = np.zeros(len(held), np.uint16) if last else quantise(backoff[level - 1] / (total[held] + backoff[level - 1]))
+            write_file(_level_file(model, level, bucket), TrieLevel.encode([c[held] for c in context], word[held], alpha, gamma).tobytes())
+            del total, weight, held, alpha, gamma
+        known = map_file(_level_file(model, level, bucket))
+        codes = TrieLevel(known.view(np.uint64)).find(context, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
+        rows = [(seg, bucket, level, pack_all(codes[0][at[s:e]], codes[1][at[s:e]])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
+        return _table(rows, _REPLY_FIELDS)
+
+    return replies.groupBy("segment_id").applyInArrow(entries, _ASK).groupBy("bucket").applyInArrow(serve, _REPLY)
+
+
+def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, backoff: tuple[float, ...] = BACKOFF, bucket_bytes: int = BUCKET_BYTES, split: int = SPLIT, model: str | None = None, learn: bool = True) -> DataFrame:
     """Per row of ``docs``: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10.
 
     Rows whose crc32(doc_id as text) modulo ``folds`` is 0 are held out and train nothing.  Tokens are ASCII-lower-cased
     runs of anything but ASCII white space and one end mark per row.  Null and empty texts have the end mark alone; a
     null doc_id is the text ``null``; repeated rows are scored and counted each.  An empty table gives no rows.  Words
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes.  ``order`` is 1, 2 or 3.
+
+    The model's levels lie in the folder ``model`` (a new shared one by default) once the result has been computed.  With
+    ``learn`` False the levels found there are only searched: ``docs`` are scored by a model of other documents, with its
+    order, pseudo-counts and buckets.
     """
+    if not 1 <= order <= 3:
+        raise ValueError("order is 1, 2 or 3")
     spark = docs.sparkSession
-    segs = segments(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ["doc_id", "text"])
-    small_batches(spark, 200)
-    n_buckets = max(32, -(-(segs.agg(F.sum("text_bytes")).first()[0] or 0) // bucket_bytes))
-    words = _level_words(segs, n_buckets, folds)
-    n_all, v_all = words.select("bucket", "bucket_n", "bucket_v").distinct().agg(F.sum("bucket_n"), F.sum("bucket_v")).first()
-    n_all, v_all = float(n_all or 0), int(v_all or 0)
+    small_batches(spark)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model, side = model or new_path(spark, "lm"), new_path(spark, "lm-tokens")
+    if learn:
+        n_buckets = max(32, -(-text_bytes(picked) // bucket_bytes))
+    else:
+        known = json.loads(map_file(f"{model}/model.json").tobytes())
+        order, add, backoff, split, n_buckets = known["order"], known["add"], tuple(known["backoff"]), known["split"], known["n_buckets"]
+    words = _words(picked, model, side, learn, n_buckets, folds)
+    if learn:
+        n_all, v_all = words.select("bucket", "bucket_n", "bucket_v").distinct().agg(F.sum("bucket_n"), F.sum("bucket_v")).first()
+        n_all, v_all = float(n_all or 0), int(v_all or 0)
+        known = {"order": order, "add": add, "backoff": backoff, "split": split, "n_buckets": n_buckets, "n": n_all, "v": v_all}
+        write_file(f"{model}/model.json", json.dumps(known).encode())
+    n_all, v_all = known["n"], known["v"]
     replies = words.drop("bucket_n", "bucket_v")
     for level in range(2, order + 1):
-        more = _level_grams(segs, replies, level, level == order, n_buckets, folds)
-        replies = replies.unionByName(stage(more, f"level{level}") if level < order else more)
+        more = _level(replies, level, level == order, model, side, learn, n_buckets, folds, backoff, split)
+        replies = replies.unionByName(stage(more, "level2") if level < order else more)
+
+    fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def combine(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def combine(table: pa.Table) -> pa.Table:
         release()
-        fields = (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))
-        if not left.num_rows:
-            return pa.table({k: pa.array([], ty) for k, ty in fields})
-        t = _Tokens(from_ipc(left.column("body")[0].as_buffer()), folds)
-        end = np.searchsorted(t.words, word_hashes([END])[0])
-        c1 = _counts(_replies(right, 1))
-        c = c1[t.at]
-        p1 = p = (c + add) / (n_all + add * (v_all + 1))
-        context = np.concatenate([[0.0], c[:-1]])
-        context[t.first] = c1[end]  # every training text has one begin and one end
-        for level in range(2, order + 1):
-            at = _grams(t, right, level, n_buckets)[3]
-            ok = at >= 0
-            mass = _counts(_replies(right, level))
-            m = np.where(ok, mass[np.maximum(at, 0)], 0.0)
-            k = backoff[min(level - 2, len(backoff) - 1)]
-            p = np.where(ok, (m + k * p) / (context + k), p)
-            context = np.concatenate([[0.0], m[:-1]])
+        t = _Tokens.load(f"{side}/{table.column('segment_id')[0].as_py()}", folds)
+        s = _Segment(t, table, n_buckets, backoff, split)
+        p1, p = s.scores(order, n_all, v_all, add)
         logs = lambda x: np.add.reduceat(np.log10(x), t.first)
-        values = (t.doc_id.combine_chunks(), ~t.train_doc, t.n, np.add.reduceat((c > 0).astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
-        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, ty) for (k, ty), v in zip(fields, values, strict=True)})
+        values = (t.ids, ~t.train_row, t.n, np.add.reduceat((s.count > 0).astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
+        return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], schema=fields)
 
-    return segs.select("segment_id", "body").groupBy("segment_id").cogroup(replies.groupBy("segment_id")).applyInArrow(combine, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return replies.groupBy("segment_id").applyInArrow(combine, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -238,7 +238,7 @@ def test_language_model(docs, texts, order):
         if zlib.crc32(str(i).encode()) % 10:
             c.update(w), bi.update(zip([b" b", *w], w)), tri.update(zip([b" b", *w], w, w[1:]))
     n, v = sum(c.values()), len(c)
-    for r in ngram_lm.score(docs, order=order).collect():
+    for r in ngram_lm.score(docs, order=order, split=50).collect():  # contexts of over 50 tokens are dealt by ranges
         w, base, score = tok[r.doc_id], 0.0, 0.0
         for j, x in enumerate(w):
             p1 = (c[x] + 0.1) / (n + 0.1 * (v + 1))
@@ -247,10 +247,36 @@ def test_language_model(docs, texts, order):
                 u = w[j - 2] if j > 1 else b" b"
                 p = (tri[u, w[j - 1], x] + 5 * p) / (bi[u, w[j - 1]] + 5)
             base, score = base + math.log10(p1), score + math.log10(p)
-        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 1e-6
+        assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) <= len(w) * (order - 1) / elias_fano.STEPS  # the stated bound: 1 and 1.5 steps a token
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_a_stored_model_scores_other_documents_through_its_levels_alone(spark, docs, tmp_path):
+    model = f"file://{tmp_path}/lm"
+    first = {r.doc_id: r.score for r in ngram_lm.score(docs, model=model).collect()}
+    other = docs.where("doc_id % 3 = 0").withColumn("lang", F.lit(None))
+    again = {r.doc_id: r for r in ngram_lm.score(other, model=model, learn=False).collect()}
+    assert len(again) == other.count() and all(abs(r.score - first[i]) < 1e-9 for i, r in again.items())
+    for f in (tmp_path / "lm" / "level3").iterdir():  # without its last level, the model falls back on the one before
+        f.unlink()
+    lost = {r.doc_id: r.score for r in ngram_lm.score(other, model=model, learn=False).collect()}
+    assert sum(abs(x - first[i]) > 1e-3 for i, x in lost.items()) > 0.9 * len(lost)
+
+
+def test_trie_levels():
+    rng = np.random.default_rng(4)
+    grams = np.unique(rng.integers(2, 400, (5000, 3)), axis=0).astype(np.uint64)
+    alpha, gamma = rng.integers(1, 60000, len(grams)), rng.integers(1, 200, len(grams))
+    t = elias_fano.TrieLevel(elias_fano.TrieLevel.encode([grams[:, 0], grams[:, 1]], grams[:, 2], alpha, gamma))
+    asked = np.concatenate([grams[::7], rng.integers(2, 500, (300, 3)).astype(np.uint64)])
+    held = {tuple(g): (a, b) for g, a, b in zip(grams.tolist(), alpha.tolist(), gamma.tolist())}
+    for some in (asked, asked[:5]):  # read through, and by high parts
+        got = t.find([some[:, 0], some[:, 1]], some[:, 2])
+        assert list(zip(*(x.tolist() for x in got))) == [held.get(tuple(g), (0, 0)) for g in some.tolist()]
+    p = 10.0 ** -rng.uniform(0, 15, 1000)
+    assert np.abs(np.log10(elias_fano.dequantise(elias_fano.quantise(p))) - np.log10(p)).max() <= 0.5 / elias_fano.STEPS + 1e-12
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_table(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
