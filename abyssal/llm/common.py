@@ -64,6 +64,14 @@ def map_file(path: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(f.size()), np.uint8)
 
 
+def remove_file(path: str) -> None:
+    fs, at = file_system(path)
+    try:
+        fs.delete_file(at)
+    except OSError:  # another attempt has done it
+        pass
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound the rows of an Arrow batch handed to Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bounds, gaps, map_file, new_path, pack_all, release, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
-from .common import SEGMENT_BYTES
+from .common import SEGMENT_BYTES, bucket_bounds, gaps, map_file, new_path, pack_all, release, remove_file, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
 from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 
 ADD = 0.1
@@ -48,28 +47,30 @@ def train_row(doc_id: int | None, folds: int = 10) -> bool:
 
 
 class _Tokens:
-    """A segment's rows: ids, numbers of tokens, the distinct word hashes in ascending order and each token's place among them."""
+    """A segment's rows: ids, numbers of tokens, and each token's place among the segment's words (as their hashes ascend); the end mark's place."""
 
-    def __init__(self, ids: list, n: np.ndarray, words: np.ndarray, at: np.ndarray, folds: int):
-        self.ids, self.n, self.words, self.at = ids, n.astype(np.int64), words, at.astype(np.int64)
+    def __init__(self, ids: list, n: np.ndarray, at: np.ndarray, end: int, folds: int):
+        self.ids, self.n, self.at, self.end = ids, n.astype(np.int64), at.astype(np.int64), end
         self.train_row = np.array([train_row(x, folds) for x in ids], bool)
         self.train = np.repeat(self.train_row, self.n)
         self.first = np.cumsum(self.n) - self.n
 
     @classmethod
-    def of_texts(cls, table: pa.Table, folds: int) -> _Tokens:
+    def of_texts(cls, table: pa.Table, folds: int) -> tuple[_Tokens, np.ndarray]:
+        """The tokens, and the hashes of their words."""
         hashes = [word_hashes([*(x.as_py() or b"").lower().split(), END]) for x in table.column("text").cast(pa.large_binary())]
         words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        return cls(table.column("doc_id").to_pylist(), np.array([len(x) for x in hashes]), words, at, folds)
+        end = int(np.searchsorted(words, word_hashes([END])[0]))
+        return cls(table.column("doc_id").to_pylist(), np.array([len(x) for x in hashes]), at, end, folds), words
 
     def dump(self) -> bytes:
         ids = np.array([0 if x is None else x for x in self.ids], np.int64).view(np.uint64)
-        return pack_all(ids, np.array([x is None for x in self.ids]), self.n, gaps(self.words), self.at)
+        return pack_all(ids, np.array([x is None for x in self.ids]), self.n, self.at, np.array([self.end]))
 
     @classmethod
     def load(cls, path: str, folds: int) -> _Tokens:
-        ids, null, n, words, at = unpack_all(map_file(path).tobytes(), 5)
-        return cls([None if z else x for x, z in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)], n, np.cumsum(words, dtype=np.uint64), at, folds)
+        ids, null, n, at, end = unpack_all(map_file(path).tobytes(), 5)
+        return cls([None if z else x for x, z in zip(ids.view(np.int64).tolist(), null.tolist(), strict=True)], n, at, int(end[0]), folds)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,16 +95,23 @@ def _bucket(context: list[np.ndarray], word: np.ndarray, tokens: np.ndarray, n_b
 class _Segment:
     """A segment with what the levels have answered so far."""
 
-    def __init__(self, tokens: _Tokens, replies: pa.Table, n_buckets: int, backoff: tuple[float, ...], split: int):
-        self.t, self.n_buckets, self.backoff, self.split = tokens, n_buckets, backoff, split
-        self.replies: dict[int, list] = {}
+    def __init__(self, side: str, replies: pa.Table, folds: int, n_buckets: int, backoff: tuple[float, ...], split: int):
+        """``replies``: those of the last level asked; those of earlier levels are in side files, where these go, too."""
+        self.id, self.side = replies.column("segment_id")[0].as_py(), side
+        self.t, self.n_buckets, self.backoff, self.split = _Tokens.load(f"{side}/{self.id}", folds), n_buckets, backoff, split
+        tokens, self.known = self.t, {}
+        got: dict[int, list] = {}
         for level, bucket, body in sorted(zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True)):
-            self.replies.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
-        found = self.replies[1]
-        rank = np.concatenate([r for _, r, _ in found])
-        bucket = np.repeat(np.array([b for b, _, _ in found], np.uint64), [len(r) for _, r, _ in found])
-        ids = np.where(rank > 0, np.uint64(1) + (rank - np.minimum(rank, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(1), np.uint64(UNKNOWN))
-        count = np.concatenate([c for _, _, c in found]).astype(np.float64)
+            if level:
+                got.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
+        for level, rows in got.items():
+            first, second = (np.concatenate([r[j] for r in rows]) for j in (1, 2))
+            if level == 1:  # a rank in a bucket to an id of its own
+                bucket = np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[1]) for r in rows])
+                first = np.where(first > 0, (first - np.minimum(first, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(2), np.uint64(UNKNOWN))
+            self.known[level] = first, second
+        ids, count = self._known(1)
+        count = count.astype(np.float64)
         self.count = count[tokens.at]
         #: Ids of the segment in ascending order; a word is its place among them.
         self.ids = np.unique(np.concatenate([np.array([UNKNOWN, BEGIN], np.uint64), ids]))
@@ -112,10 +120,21 @@ class _Segment:
         self.before[tokens.first] = BEGIN
         # every training text has one begin and one end
         self.context_count = np.concatenate([[0.0], self.count[:-1]])
-        self.context_count[tokens.first] = count[np.searchsorted(tokens.words, word_hashes([END])[0])]
+        self.context_count[tokens.first] = count[tokens.end]
         self.place = np.arange(len(self.word)) - np.repeat(tokens.first, tokens.n)
         self._bigrams()
 
+    def _known(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        if level not in self.known:
+            raw = map_file(f"{self.side}/{self.id}.{level}")
+            self.known[level] = tuple(unpack_all(raw.tobytes(), 2)) if len(raw) else (np.zeros(0, np.uint64),) * 2
+        return self.known[level]
+
+    def keep(self, level: int) -> None:
+        """Later levels find this one's replies in a side file."""
+        if level in self.known:
+            write_file(f"{self.side}/{self.id}.{level}", pack_all(*self.known[level]))
+
     def _bigrams(self) -> None:
         size = len(self.ids)
         ok = (self.word > UNKNOWN) & (self.before > UNKNOWN)
@@ -124,7 +143,6 @@ class _Segment:
         self.at2[ok] = inverse
         self.pair = keys // size, keys % size
         self.tokens2 = self.context_count[ok][first]
-        self.gamma2 = quantise(self.backoff[0] / (self.tokens2 + self.backoff[0]))
 
     def _order(self, context, word, tokens) -> tuple[np.ndarray, np.ndarray]:
         bucket = _bucket([self.ids[x] for x in context], self.ids[word], tokens, self.n_buckets, self.split)
@@ -134,15 +152,15 @@ class _Segment:
     def _answers(self, level: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the level's n-grams in their ascending order."""
         out = np.zeros((2, len(order)), np.uint16)
-        if level in self.replies:
-            for j in (0, 1):
-                out[j, order] = np.concatenate([r[j + 1] for r in self.replies[level]])
+        for j, codes in enumerate(self._known(level)):
+            if len(codes):
+                out[j, order] = codes
         return out[0], out[1]
 
     def level2(self):
         u, w = self.pair
         order, bucket = self._order([u], w, self.tokens2)
-        return [u], w, self.gamma2, self.at2, order, bucket
+        return [u], w, self.tokens2, self.at2, order, bucket
 
     def level3(self):
         """Trigrams whose context was seen in training; others have no count anywhere."""
@@ -160,11 +178,17 @@ class _Segment:
         tokens = k / dequantise(gamma[c], 1.0) - k
         u, v = self.pair[0][c], self.pair[1][c]
         order, bucket = self._order([u, v], w, tokens)
-        return [u, v], w, gamma[c], at, order, bucket
+        return [u, v], w, tokens, at, order, bucket
+
+    def asked(self, level: int) -> list[tuple]:
+        """(bucket, segment, body) of a level: words in use, contexts, runs of successors and their training counts.
 
-    def asked(self, level: int, segment_id: int) -> list[tuple]:
-        """(bucket, segment, body) of a level: words in use, contexts and their weights, runs of successors and their training counts."""
-        context, word, gamma, at, order, bucket = self.level2() if level == 2 else self.level3()
+        Contexts that are dealt to several buckets carry the code of their weight; that of the others is known where all
+        their successors meet.
+        """
+        context, word, tokens, at, order, bucket = self.level2() if level == 2 else self.level3()
+        k = self.backoff[level - 2]
+        gamma = np.where(tokens >= self.split, quantise(k / (tokens + k)), 0)
         n = np.bincount(at[self.t.train & (at >= 0)], minlength=len(word))[order]
         context, word, gamma = [c[order] for c in context], word[order], gamma[order]
         cut, rows = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2)) if len(bucket) else np.zeros(0, np.int64), []
@@ -174,7 +198,7 @@ class _Segment:
             *c, w = back.reshape(len(columns), e - s)
             new = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in c], axis=0)]))
             body = pack_all(gaps(self.ids[used]), gaps(c[0][new]), *(x[new] for x in c[1:]), gamma[s:e][new], np.diff(np.append(new, e - s)), w, n[s:e])
-            rows.append((int(bucket[s]), segment_id, body))
+            rows.append((int(bucket[s]), self.id, body))
         return rows
 
     def scores(self, order: int, n_all: float, v_all: int, add: float) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +232,7 @@ def _level_file(model: str, level: int, bucket: int) -> str:
     return f"{model}/level{level}/{bucket}.trie"
 
 
-def _words(docs: DataFrame, model: str, side: str, learn: bool, n_buckets: int, folds: int) -> DataFrame:
+def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int) -> DataFrame:
     """Level 1, staged: each segment's words with their ranks and counts; tokens go to the side files."""
 
     def entries(batches):
@@ -217,11 +241,11 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, n_buckets: int,
         part = TaskContext.get().partitionId()
         for k, table in enumerate(runs(batches, "text", SEGMENT_BYTES)):
             segment_id = part << 24 | k
-            t = _Tokens.of_texts(table, folds)
+            t, words = _Tokens.of_texts(table, folds)
             write_file(f"{side}/{segment_id}", t.dump())
-            n = np.bincount(t.at[t.train], minlength=len(t.words))
-            cut = bucket_bounds(t.words, n_buckets)
-            rows = [(b, segment_id, pack_all(gaps(t.words[s:e]), n[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
+            n = np.bincount(t.at[t.train], minlength=len(words))
+            cut = bucket_bounds(words, n_buckets)
+            rows = [(b, segment_id, pack_all(gaps(words[s:e]), n[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
             yield from _table(rows, _ASK_FIELDS).to_batches()
 
     def serve(table: pa.Table) -> pa.Table:
@@ -237,6 +261,8 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, n_buckets: int,
             rank[np.argsort(-total[held], kind="stable")] = np.arange(len(held))
             write_file(_level_file(model, 1, bucket), WordLevel.encode(asked[held], rank, total[held]).tobytes())
         known = map_file(_level_file(model, 1, bucket))
+        if not keep:
+            remove_file(_level_file(model, 1, bucket))
         rank, count = WordLevel(known.view(np.uint64)).find(asked) if len(known) else (np.zeros(len(asked), np.uint64),) * 2
         cut = np.cumsum([0, *map(len, keys)])
         rows = [(seg, bucket, 1, pack_all(rank[at[s:e]], count[at[s:e]]), float(count.sum()), int((count > 0).sum())) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
@@ -246,14 +272,14 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, n_buckets: int,
     return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words")
 
 
-def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
+def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
     """The answers of level 2 or 3 to the segments' n-grams."""
 
     def entries(table: pa.Table) -> pa.Table:
         release()
-        segment_id = table.column("segment_id")[0].as_py()
-        s = _Segment(_Tokens.load(f"{side}/{segment_id}", folds), table, n_buckets, backoff, split)
-        return _table(s.asked(level, segment_id), _ASK_FIELDS)
+        s = _Segment(side, table, folds, n_buckets, backoff, split)
+        s.keep(level - 1)
+        return _table(s.asked(level), _ASK_FIELDS)
 
     def serve(table: pa.Table) -> pa.Table:
         release()
@@ -280,12 +306,17 @@ def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, le
         if learn:
             total = np.bincount(at, np.concatenate([p[-1] for p in parts]), len(asked))
             weight = dequantise(np.concatenate([np.repeat(p[-4], p[-3].astype(np.int64)) for p in parts])[first])
+            whole = np.unique(asked // len(words), return_inverse=True)[1]
+            here = backoff[level - 2] / (np.bincount(whole, total)[whole] + backoff[level - 2])
+            weight = np.where(weight > 0, weight, here)
             held = np.flatnonzero(total > 0)
             alpha = quantise(total[held] * weight[held] / backoff[level - 2])
             gamma = np.zeros(len(held), np.uint16) if last else quantise(backoff[level - 1] / (total[held] + backoff[level - 1]))
             write_file(_level_file(model, level, bucket), TrieLevel.encode([c[held] for c in context], word[held], alpha, gamma).tobytes())
-            del total, weight, held, alpha, gamma
+            del total, weight, whole, here, held, alpha, gamma
         known = map_file(_level_file(model, level, bucket))
+        if not keep:
+            remove_file(_level_file(model, level, bucket))
         codes = TrieLevel(known.view(np.uint64)).find(context, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
         rows = [(seg, bucket, level, pack_all(codes[0][at[s:e]], codes[1][at[s:e]])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
         return _table(rows, _REPLY_FIELDS)
@@ -301,22 +332,23 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, ba
     null doc_id is the text ``null``; repeated rows are scored and counted each.  An empty table gives no rows.  Words
     are told apart by 64-bit hashes.  ``order`` is 1, 2 or 3.
 
-    The model's levels lie in the folder ``model`` (a new shared one by default) once the result has been computed.  With
-    ``learn`` False the levels found there are only searched: ``docs`` are scored by a model of other documents, with its
-    order, pseudo-counts and buckets.
+    With a folder ``model``, the model's levels lie there once the result has been computed; without one, each goes as soon
+    as it has answered.  With ``learn`` False the levels found there are only searched: ``docs`` are scored by a model of
+    other documents, with its order, pseudo-counts and buckets.
     """
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, side = model or new_path(spark, "lm"), new_path(spark, "lm-tokens")
+    keep, side = model is not None, new_path(spark, "lm-tokens")
+    model = model or new_path(spark, "lm")
     if learn:
         n_buckets = max(32, -(-text_bytes(picked) // bucket_bytes))
     else:
         known = json.loads(map_file(f"{model}/model.json").tobytes())
         order, add, backoff, split, n_buckets = known["order"], known["add"], tuple(known["backoff"]), known["split"], known["n_buckets"]
-    words = _words(picked, model, side, learn, n_buckets, folds)
+    words = _words(picked, model, side, learn, keep, n_buckets, folds)
     if learn:
         n_all, v_all = words.select("bucket", "bucket_n", "bucket_v").distinct().agg(F.sum("bucket_n"), F.sum("bucket_v")).first()
         n_all, v_all = float(n_all or 0), int(v_all or 0)
@@ -324,17 +356,17 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, ba
         write_file(f"{model}/model.json", json.dumps(known).encode())
     n_all, v_all = known["n"], known["v"]
     replies = words.drop("bucket_n", "bucket_v")
+    # every segment goes through every level, even one that has nothing to ask
+    marks = words.select("segment_id").distinct().select("segment_id", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("level"), F.lit(b"").alias("body"))
     for level in range(2, order + 1):
-        more = _level(replies, level, level == order, model, side, learn, n_buckets, folds, backoff, split)
-        replies = replies.unionByName(stage(more, "level2") if level < order else more)
+        replies = _level(replies, level, level == order, model, side, learn, keep, n_buckets, folds, backoff, split).unionByName(marks)
 
     fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def combine(table: pa.Table) -> pa.Table:
         release()
-        t = _Tokens.load(f"{side}/{table.column('segment_id')[0].as_py()}", folds)
-        s = _Segment(t, table, n_buckets, backoff, split)
-        p1, p = s.scores(order, n_all, v_all, add)
+        s = _Segment(side, table, folds, n_buckets, backoff, split)
+        t, (p1, p) = s.t, s.scores(order, n_all, v_all, add)
         logs = lambda x: np.add.reduceat(np.log10(x), t.first)
         values = (t.ids, ~t.train_row, t.n, np.add.reduceat((s.count > 0).astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], schema=fields)
