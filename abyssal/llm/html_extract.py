@@ -1,13 +1,15 @@
 """Main-text extraction by wrapper induction.
 
-Pages are dealt by ranges of host and id, and read in groups of at most ``group_pages`` of one host.  A group induces a wrapper: the DOM trees are aligned,
-one after another, to a growing template by simple tree matching (ordered, same-label nodes, largest number of matched
-nodes; Yang 1991), with a run of like siblings taken as one repeated node.  A template node remembers in how many
-different pages a text stood at it: text that stays is template, text that varies fills a slot.  The slots that hold
-the article are those with most varying text outside navigation and other furniture; furniture is told by the element
-and by the words of its class, id and role.  A page on its own has no template and is read by the second rule alone.
-
-A large host is many groups, and no task holds more than one.
+A host's pages are dealt to parts of about ``group_pages``, alike in size whatever
+their number and the cluster's settings.  A part induces a wrapper: the DOM trees are aligned, one after another, to a
+growing template by simple tree matching (ordered, same-label nodes, largest number of matched nodes; Yang 1991), with a
+run of like siblings taken as one repeated node.  A template node remembers in how many different pages a text stood at
+it: text that stays is template and goes, wherever it stands; text that varies fills a slot and is content.  The slots
+read are those of the articles and of ``main``, or else of the element with nearly all varying text.  What alignment
+can't tell, varying furniture such as adverts and comments, is told by the element and by the words of its class, id and
+role.  A host of fewer than four different pages has no template and is read by the second rule alone.
+
+A large host is many parts, and no task holds more than one.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stage
 
 GROUP_PAGES = 48
+#: Hosts of several parts that are broadcast, at most.
+MAX_HOSTS = 200_000
 #: Nesting beyond which trees are no longer aligned (they are still read).
 ALIGN_DEPTH = 60
 
@@ -35,7 +39,8 @@ CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr opti
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody", "tfoot"), "thead": ("tr", "td", "th", "tbody"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 STOPS = frozenset("ul ol dl menu table select article section div body nav aside main header footer form blockquote td th".split())
 
-PLAIN = frozenset("article main p h1 h2 h3 h4 h5 h6 li blockquote pre td dd".split())
+#: Elements that belong to the text beside the articles of a ``main``.
+LEAD = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object embed button select textarea input svg canvas audio video map dialog menu title noembed noframes xmp".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|topbar|toolbar|header|comments?|commentlist|disqus\w*|replies|respond"
@@ -251,22 +256,32 @@ def induce(pages: list[Node]) -> tuple[Slot, list[list[tuple[str, Node]]]]:
     return template, all_blocks
 
 
-def container(root: Node) -> Node | None:
-    """The article element: the ``article``, or else ``main``, with most text."""
-    best: tuple[int, Node | None] = (0, None)
-    for tag in ("article", "main"):
-        stack = [root]
-        while stack:
-            n = stack.pop()
-            if n.tag == tag or tag == "main" and n.hint == "main":
-                size = sum(len(t) for t, _ in blocks(n, True))
-                if size > best[0]:
-                    best = (size, n)
-            else:
-                stack += [k for k in n.kids if isinstance(k, Node) and not furniture(k, False)]
-        if best[1]:
-            return best[1]
-    return None
+def outermost(root: Node, wanted) -> list[Node]:
+    """The wanted nodes outside furniture that lie in no other one, in page order."""
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if wanted(n):
+            out.append(n)
+        else:
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node) and not furniture(k, False)]
+    return out
+
+
+def article_blocks(root: Node) -> list[tuple[str, Node]]:
+    """The blocks of every ``article``, and the plain text that stands beside them in a ``main``; without articles, of the ``main``; none without both."""
+    articles = outermost(root, lambda n: n.tag == "article")
+    mains = outermost(root, lambda n: n.tag == "main" or n.hint == "main")
+    found = [x for n in mains or articles for x in blocks(n, True)]
+    if not mains or not articles:
+        return found
+    inside, stack = set(), list(articles)
+    while stack:
+        n = stack.pop()
+        inside.add(id(n))
+        stack += [k for k in n.kids if isinstance(k, Node)]
+    own = [x for x in found if id(x[1]) in inside or x[1].tag in LEAD]
+    return own if any(id(n) in inside for _, n in found) else [x for n in articles for x in blocks(n, True)]
 
 
 def dense(root: Node, constant) -> Node:
@@ -307,17 +322,26 @@ def extract_group(htmls: list[str | None], least: int = 4, share: float = 0.5) -
 
     out = []
     for root in pages:
-        article = container(root)
-        found = blocks(article, True) if article is not None else blocks(dense(root, constant))
-        # plain paragraphs and headings of an article are its text even where other articles share them
-        own = lambda n: article is not None and n.key in PLAIN
-        varying = [t for t, n in found if own(n) or not constant(t, n)]
+        found = article_blocks(root) or blocks(dense(root, constant))
+        varying = [t for t, n in found if not constant(t, n)]
         # a page whose text mostly stands on the others too is a copy of them, not template
         kept = varying if 2 * sum(map(len, varying)) > sum(len(t) for t, _ in found) else [t for t, _ in found]
         out.append("\n\n".join(kept))
     return out
 
 
+def grouped(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+    """``pages`` (with ``host``, page_id, url) and their ``part``: a host of n pages has ceil(n / group_pages) parts, alike in size, dealt by a hash of the page.
+
+    Only hosts of several parts are looked up; their list is broadcast up to ``MAX_HOSTS`` rows and joined by a shuffle beyond.
+    """
+    many = pages.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("parts")).where("parts > 1")
+    many = stage(many, "hosts")
+    many = F.broadcast(many) if many.count() <= MAX_HOSTS else many
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
+    return pages.join(many, "host", "left").withColumn("part", part).drop("parts")
+
+
 def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): (page_id, url, text, n_chars).
 
@@ -328,12 +352,12 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     small_batches(pages.sparkSession, 1000)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    # ranges of (host, page) cut a large host over many tasks and keep a small one together; one shuffle
-    dealt = rows.repartitionByRange("host", "page_id", "url").sortWithinPartitions("host", "page_id", "url")
+    # a large host is dealt over many tasks, part by part; pages are shuffled once
+    dealt = grouped(rows, group_pages).select("page_id", "url", "html", "host", "part").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url", F.xxhash64("html"))
     kind = dict(pages.dtypes)["page_id"]
 
     def extract(batches):
-        held: list[pa.RecordBatch] = []  # pages of one host, fewer than a group
+        held: list[pa.RecordBatch] = []  # pages of one part of a host
 
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
@@ -342,18 +366,17 @@ def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
             out = {"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             return pa.table(out).combine_chunks().to_batches()[0]
 
-        n, current = 0, None
+        current = None
         for batch in batches:
-            hosts, start = batch.column(3).to_pylist(), 0
-            for i, h in enumerate(hosts):
-                if h != current or n == group_pages:
+            parts, start = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)), 0
+            for i, h in enumerate(parts):
+                if h != current:
                     if i > start:
                         held.append(batch.slice(start, i - start))
                     if held:
                         yield done()
-                    start, n, current = i, 0, h
-                n += 1
-            if len(hosts) > start:
+                    start, current = i, h
+            if len(parts) > start:
                 held.append(batch.slice(start))
         if held:
             yield done()

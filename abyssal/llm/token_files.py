@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, tidy
+from .common import file_system, new_path, small_batches, tidy
 from .tokens import default_path, encoder, slices
 
 FRAME_BYTES = 1 << 20
@@ -32,12 +32,8 @@ SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u8")])
 #: doc_id of a row whose id is null.
 NO_ID = np.iinfo(np.int64).min
-
-
-def _fs(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+#: Tasks that read files, at most.
+MAX_TASKS = 100_000
 
 
 class Writer:
@@ -142,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
             if not b.num_rows:
                 continue
             if w is None:
-                fs, root = _fs(out)
+                fs, root = file_system(out)
                 fs.create_dir(root, recursive=True)
                 name = f"part-{part:05d}-{uuid.uuid4().hex}.tzs"
                 w = Writer(fs.open_output_stream(f"{root}/{name}", compression=None), width)
@@ -177,7 +173,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True)
     def read(batches):
         for b in batches:
             for file, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, p = _fs(file)
+                fs, p = file_system(file)
                 with fs.open_input_file(p) as f:
                     r = Reader(f, f.size())
                     start = first
@@ -195,31 +191,36 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, with_ids: bool = True)
                         yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition("file").select("file", "first").mapInArrow(read, schema)
+    # a stated number of partitions: adaptive execution doesn't join the few bytes that name the files into one task
+    return _spread(files, "part").select("file", "first").mapInArrow(read, schema)
+
+
+def _spread(files: DataFrame, key: str) -> DataFrame:
+    """Rows that stand for a file each, some to a task."""
+    return files.repartition(max(1, min(files.count(), MAX_TASKS)), key)
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the documents of ``wanted`` (doc_id): each file's index is searched and only their frames are decompressed."""
-
-    def find(key, files: pa.Table, ids: pa.Table) -> pa.Table:
-        want, out = np.unique(ids.column("doc_id").drop_null().to_numpy()), []
-        for file in files.column("file").to_pylist():
-            fs, p = _fs(file)
-            with fs.open_input_file(p) as f:
-                r = Reader(f, f.size())
-                out += [(int(r.index["doc_id"][i]), r.read(i).astype(np.int32).tolist()) for i in np.flatnonzero(np.isin(r.index["doc_id"], want)).tolist()]
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "ids": pa.array([x[1] for x in out], pa.list_(pa.int32()))})
-
-    def bounds(batches):
+    """(doc_id, ids) of the documents of ``wanted`` (doc_id): each file's index is listed, joined with the wanted ids, and only their frames are decompressed."""
+
+    def places(batches):
         for b in batches:
-            got = []
             for file in b.column(0).to_pylist():
-                fs, p = _fs(file)
+                fs, p = file_system(file)
                 with fs.open_input_file(p) as f:
-                    d = Reader(f, f.size()).index["doc_id"]
-                    got.append((file, int(d[0]), int(d[-1])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "lo", "hi"])
-
-    files = manifest.select("file").mapInArrow(bounds, "file string, lo long, hi long")
-    per_file = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(files, F.col("doc_id").between(F.col("lo"), F.col("hi"))).select(F.col("file").alias("in_file"), F.col("doc_id").alias("doc_id"))
-    return files.groupBy("file").cogroup(per_file.groupBy("in_file")).applyInArrow(find, "doc_id long, ids array<int>")
+                    ids = Reader(f, f.size()).index["doc_id"]
+                for s in range(0, len(ids), 1 << 16):
+                    some = ids[s : s + (1 << 16)]
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(some)), "place": pa.array(np.arange(s, s + len(some))), "doc_id": pa.array(some)})
+
+    def read(table: pa.Table) -> pa.Table:
+        fs, p = file_system(table.column("file")[0].as_py())
+        places = np.sort(table.column("place").to_numpy())
+        with fs.open_input_file(p) as f:
+            r = Reader(f, f.size())
+            ids = [r.read(i).astype(np.int32) for i in places.tolist()]
+        return pa.table({"doc_id": pa.array(r.index["doc_id"][places]), "ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    listed = _spread(manifest, "part").select("file").mapInArrow(places, "file string, place long, doc_id long")
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id") != NO_ID).distinct()
+    return listed.join(ids, "doc_id").groupBy("file").applyInArrow(read, "doc_id long, ids array<int>")

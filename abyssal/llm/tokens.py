@@ -8,6 +8,7 @@ of a text are the ids of its words in order; a new word is encoded by the librar
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain, repeat
 
@@ -43,12 +44,19 @@ def check_separable(path: str) -> bool:
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Words whose letters and tail of ASCII punctuation may be encoded apart, A-Z as a-z: ASCII and the letters of Latin-1, the last one a letter or digit.  None of
+#: these composes with what follows it, and the lower case of each is one letter; other words (U+0130 becomes a letter and a mark) go to the library whole.
+_PLAIN = re.compile(rb"(?:[\x21-\x7f]|\xc3[\x80-\xbf])*(?:[0-9A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])")
+
+
 def check_parts(path: str) -> bool:
-    """Whether letters and the punctuation after them are encoded apart, and A-Z like a-z."""
+    """Whether letters and the punctuation after them are encoded apart, and A-Z like a-z: every last character that ``_PLAIN`` admits, with every first one of a tail."""
     t = _load(path)
     ids = lambda x: t.encode(x, add_special_tokens=False).ids
-    words, tails = ("that", "Über", "naïvE", "x9", "don't", "東京"), (".", ",", "!!", "'", "%%%", "&&&", "...\"", "-", "_)")
-    return all(ids(w + p) == ids(w.lower()) + ids(p) for w in words for p in tails)
+    last = [c for c in map(chr, [*range(33, 127), *range(192, 256)]) if c.isalnum()]
+    tails = [c.decode() + d for c in (_PUNCTUATION[i : i + 1] for i in range(32)) for d in ("", "!", "'")]
+    ends, after = {c: ids("xY" + c.lower()) for c in last}, {x: ids(x) for x in tails}
+    return all(ids("xY" + c + x) == ends[c] + after[x] for c in last for x in tails)
 
 
 class Encoder:
@@ -67,13 +75,13 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: set[bytes]) -> None:
-        """New words.  One of plain letters and a tail of ASCII punctuation is its parts side by side, in any case of a-z; only parts not met yet are encoded."""
+        """New words.  A plain one with a tail of ASCII punctuation is its parts side by side, in any case of A-Z; only parts not met yet are encoded."""
         if not self.parts:
             return self._encode(list(words))
         whole, joined, need = [], [], set()
         for w in words:
             base = w.lower().rstrip(_PUNCTUATION)
-            if len(base) == len(w) and base == w or b"<|" in w or not base or not (base[-1:].isalnum() or base[-4:].decode("utf-8", "ignore")[-1:].isalpha()):
+            if len(base) == len(w) and base == w or b"<|" in w or not _PLAIN.fullmatch(base):
                 whole.append(w)
                 continue
             tail = w[len(base) :]

@@ -328,6 +328,26 @@ def test_token_file_frames_are_plain_zstandard_and_damage_is_found():
         [b.read(i) for i in range(len(docs))]
 
 
+def test_ids_of_strange_words_are_those_of_the_library():
+    import random
+
+    rng, e = random.Random(1), encoder(default_path())
+    alphabet = [*"abcXYZsStT'’.,!?-_()<>|&%$#@*09 \t\n\x1f\x0b\x1c\x85\xa0", *map(chr, range(0xC0, 0x180)), *"ſΣςσ\u0327\u0301\u0307\u030cǰ²½٣東京\u3000\u2028\u200d\ufeff😀ﬁ\u212a\u212bΩ"]
+    ends = ["", "'", ",", "'s", "...", "!)", "'S.", "|>", "<|", "'ll,"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) + rng.choice(ends) for _ in range(30_000)]
+    texts += [w + t for w in ("TAKSİ", "İ", "İstanbul'da", "J\u030c", "ÿ", "x×", "don't") for t in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, e.encode_all(texts), want) if a.tolist() != b.ids] == []
+
+
+def test_many_copies_of_one_row_are_packed_in_several_groups(spark):
+    d = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    got = packing.pack(d, length=16, group_pieces=100).collect()
+    rows = collections.Counter(r.sequence_id >> 32 for r in got)
+    assert len(got) == 3000 and len(rows) > 20 and max(rows.values()) < 300
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000
+
+
 def test_word_cache_is_exact():
     t = encoder(default_path(), 50)  # a cache that keeps starting anew
     for text in ["Don't STOP... now!!", "It's. IT'S,", "x²..", "İx. Σας, ΣΑΣ.", "<|endoftext|> <|ENDOFTEXT|>.", "é. é.", "a\x1fb c d", "", None, "word%%% x### 3.14"]:
@@ -343,6 +363,66 @@ def test_html():
     assert html_extract.extract_group(["<div>" * 5000 + "deep", "<p", "<!-- open", "a < b"])[0] == "deep"
 
 
+def test_html_keeps_every_article_and_what_stands_beside_it_in_main():
+    page = "<body><nav>menu</nav><main><p>lead</p><article><p>one</p></article><div>aside words</div><article><p>two</p></article></main><footer>f</footer></body>"
+    assert html_extract.extract_group([page]) == ["lead\n\none\n\ntwo"]
+    assert html_extract.extract_group(["<article><p>one</p></article><div>x</div><article><p>two</p></article>"]) == ["one\n\ntwo"]
+    assert html_extract.extract_group(["<main><p>one</p><div>two</div></main>"]) == ["one\n\ntwo"]
+
+
+def test_html_template_decides_where_names_say_nothing(spark):
+    """Furniture of neutral names, in the article too: what stays at its place on the pages of a host goes, on any number of partitions."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    stories = [(word(30), word(25)) for _ in range(97)]
+    rows = [(i, f"http://one.example/{i}", f"<div class=q1>Our house</div><article><div class=z>Read this first</div><p>{a}</p><p>All rights kept</p><p>{b}</p></article><div class=q2>End</div>") for i, (a, b) in enumerate(stories)]
+    pages = spark.createDataFrame([*rows, (1000, "http://few.example/1", rows[0][2]), (1001, None, None)], "page_id long, url string, html string")
+    results = []
+    for n in (1, 8, 20, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            results.append({r.page_id: r.text for r in html_extract.main_text(pages).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(r == results[0] for r in results) and len(results[0]) == 99
+    assert all(results[0][i] == f"{a}\n\n{b}" for i, (a, b) in enumerate(stories))
+    assert results[0][1000].startswith("Read this first") and results[0][1001] == ""
+
+
+def test_tree_matching_is_the_largest():
+    """Against the plain recursion over all subsets of children."""
+    rng = np.random.default_rng(5)
+
+    def tree(depth):
+        n = html_extract.Node("abc"[rng.integers(3)])
+        last = None
+        for _ in range(rng.integers(0, 4) if depth else 0):
+            kid = tree(depth - 1)
+            if kid.tag != last:  # like neighbours would be one node
+                n.kids.append(kid)
+                last = kid.tag
+        return n
+
+    def slot(n):
+        s = html_extract.Slot(n.key)
+        s.kids = [slot(k) for k in n.kids]
+        return s
+
+    def best(s, n):
+        if s.key != n.key:
+            return 0
+
+        def pairs(a, b):
+            return max(pairs(a[1:], b), pairs(a, b[1:]), pairs(a[1:], b[1:]) + best(a[0], b[0])) if a and b else 0
+
+        return 1 + pairs(s.kids, n.kids)
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        b.tag, b.key = a.tag, a.key
+        assert html_extract.match(slot(a), b, 0, {})[0] == best(slot(a), b)
+
+
 def test_licences(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "some words\nand more words that say nothing"), (3, "c/y.py", "code\nLicensed under the Apache License, Version 2.0.\nmore code and more words so that it is not a licence file"), (4, "c/z.py", "nothing here"), (5, "a/b/c/q", None), (6, None, "Released under the MIT License.")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
