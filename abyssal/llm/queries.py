@@ -60,7 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_substring_dedup, op4_decontaminate, op5_lm_score, op6_language_id, op7_packing, op8_html_extract, op9_chroma, op10_token_files)}
 
-_VALUES = ", ".join(f"({i}, '{name}', '{body}')" for i, (name, body) in enumerate(license_scan.TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{name}', '{body.replace(chr(39), chr(39) * 2)}')" for i, (name, body) in enumerate(license_scan.TEMPLATES))
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -73,15 +73,18 @@ df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(words) A
 n AS (SELECT count(*) AS n FROM files),
 idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
 w AS (SELECT template_id, license, term, tf * idf AS w, sum(tf * idf * tf * idf) OVER (PARTITION BY template_id) AS norm2 FROM tt JOIN idf USING (term)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM files),
-lw AS (SELECT doc_id, block, regexp_extract_all({_LOWER.format("line")}, '[a-z0-9]+') AS words FROM lines),
-bt AS (SELECT doc_id, block, len(words) AS block_words, term, count(*) AS btf FROM (SELECT doc_id, block, words, unnest(words) AS term FROM lw) GROUP BY ALL),
+cut AS (SELECT doc_id, text, string_split_regex(text, '{license_scan.BLANK}') AS ps, string_split(text, chr(10)) AS ls FROM files),
+pieces AS (SELECT doc_id, 0 AS kind, 0 AS block, text AS body FROM cut WHERE len(ps) > 1
+  UNION ALL SELECT * FROM (SELECT doc_id, 1, generate_subscripts(ps, 1) - 1, unnest(ps) AS body FROM cut) WHERE contains(body, chr(10))
+  UNION ALL SELECT doc_id, 2, generate_subscripts(ls, 1) - 1, unnest(ls) FROM cut),
+lw AS (SELECT doc_id, kind, block, regexp_extract_all({_LOWER.format("body")}, '[a-z0-9]+') AS words FROM pieces),
+bt AS (SELECT doc_id, kind, block, len(words) AS block_words, term, count(*) AS btf FROM (SELECT doc_id, kind, block, words, unnest(words) AS term FROM lw) GROUP BY ALL),
 bv AS (SELECT bt.*, btf * coalesce(idf, ln((n + 1)::DOUBLE) + 1) AS bw FROM bt LEFT JOIN idf USING (term), n),
-bn AS (SELECT doc_id, block, block_words, sum(bw * bw) AS bnorm2 FROM bv GROUP BY ALL),
-dots AS (SELECT doc_id, block, template_id, license, norm2, sum(bw * w) AS dot FROM bv JOIN w USING (term) GROUP BY ALL),
-scored AS (SELECT doc_id, block, template_id, license, block_words, round(dot / sqrt(norm2 * bnorm2), 6) AS score FROM dots JOIN bn USING (doc_id, block)),
-best AS (SELECT * FROM scored WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block, template_id) = 1),
-own AS (SELECT f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir, b.license AS own_license, b.score, coalesce(b.block_words >= len(d.words) * {license_scan.FILE_SHARE}, false) AS is_license_file FROM files f JOIN docs d USING (doc_id) LEFT JOIN best b USING (doc_id)),
+bn AS (SELECT doc_id, kind, block, block_words, sum(bw * bw) AS bnorm2 FROM bv GROUP BY ALL),
+dots AS (SELECT doc_id, kind, block, template_id, license, norm2, sum(bw * w) AS dot FROM bv JOIN w USING (term) GROUP BY ALL),
+scored AS (SELECT doc_id, kind, block, template_id, license, block_words, round(dot / sqrt(norm2 * bnorm2), 6) AS score FROM dots JOIN bn USING (doc_id, kind, block)),
+best AS (SELECT s.*, block_words >= len(d.words) * {license_scan.FILE_SHARE} AS covers FROM scored s JOIN docs d USING (doc_id) WHERE score >= {license_scan.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY block_words >= len(d.words) * {license_scan.FILE_SHARE} DESC, score DESC, kind, block, template_id) = 1),
+own AS (SELECT f.doc_id, f.path, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS dir, b.license AS own_license, b.score, coalesce(b.covers, false) AS is_license_file FROM files f LEFT JOIN best b USING (doc_id)),
 declared AS (SELECT dir AS ancestor, own_license AS dir_license FROM own WHERE is_license_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) = 1),
 nearest AS (SELECT o.dir, ancestor, dir_license FROM (SELECT DISTINCT dir FROM own) o JOIN declared ON ancestor = '' OR o.dir = ancestor OR starts_with(o.dir, ancestor || '/') QUALIFY row_number() OVER (PARTITION BY o.dir ORDER BY length(ancestor) DESC) = 1)
 SELECT doc_id, path, own_license, score, is_license_file, coalesce(own_license, dir_license) AS license, CASE WHEN own_license IS NULL THEN ancestor END AS inherited_from FROM own LEFT JOIN nearest USING (dir)

@@ -430,6 +430,27 @@ def test_licences(spark):
     assert [got[i].license for i in (2, 4, 5, 6)] == ["MIT", None, "MIT", "MIT"] and got[5].inherited_from == "a"
 
 
+def test_licence_files_of_many_lines_are_inherited(spark):
+    import textwrap
+
+    full = {name: body for name, body in license_scan.TEMPLATES if len(body) > 600}
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 70))
+    mit = next(b for n, b in license_scan.TEMPLATES if n == "MIT" and len(b) > 900)
+    paragraphs = mit.removeprefix("MIT License ").replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS", 1)
+    mit = "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + "\n\n".join(wrap(p) for p in paragraphs.split("\n\n"))
+    apache = next(b for n, b in license_scan.TEMPLATES if n == "Apache-2.0" and len(b) > 300)
+    code = "\n\n".join(f"def f{i}(x):\n    return x + {i} * value_{i}" for i in range(60))
+    rows = [
+        (1, "m/LICENSE", mit), (2, "m/a.py", code), (3, "m/deep/er/b.py", code), (4, "m/deep/LICENSE", "Copyright 2021 X\n\n" + wrap(full["BSD-3-Clause"])),
+        (5, "o/c.py", wrap(apache, "# ") + "\n\n" + code), (6, "o/d.py", code), (None, "o/e.py", "# " + wrap(apache, "# ")), (7, None, mit), (8, "r.py", None), (9, "s/LICENSE", wrap(full["ISC"])), (10, "s/x/y/z.c", ""),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(got[i].own_license, got[i].is_license_file) for i in (1, 4, 9, 7)] == [("MIT", True), ("BSD-3-Clause", True), ("ISC", True), ("MIT", True)]
+    assert (got[5].own_license, got[5].is_license_file) == ("Apache-2.0", False) and got[None].own_license == "Apache-2.0"
+    assert [(got[i].license, got[i].inherited_from) for i in (2, 3, 10)] == [("MIT", "m"), ("BSD-3-Clause", "m/deep"), ("ISC", "s")]
+    assert got[6].license == "Apache-2.0" and got[8].license is None
+
+
 def test_chroma_finds_noisy_and_shifted_copies(spark):
     rng = np.random.default_rng(3)
     v = [rng.normal(size=64).tolist() for _ in range(6)]
