@@ -22,10 +22,10 @@ from .common import small_batches, stage
 RATE, FRAME, HOP = 8000, 2048, 512
 LOW_HZ, HIGH_HZ = 55.0, 3520.0
 WIDTH = 8  # frames that a filter looks at
-#: Shared keys at one offset from which a pair is judged; bit errors up to which it is a match.
-MIN_VOTES, MAX_BER = 4, 0.25
-#: Frames between the two codes of an index key: no window of samples in common.
-LAG = 4
+#: Shared keys at one offset from which a pair is judged; bit errors up to which it is a match (unlike recordings come down to 0.25 at some offset by chance).
+MIN_VOTES, MAX_BER = 2, 0.1
+#: Frames between the two codes of an index key: from 4 on, no window of samples in common.
+LAGS = (4, 6, 8)
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -39,7 +39,7 @@ STEPS = (-0.15, 0.0, 0.15)
 
 
 def decode(media: bytes | None) -> np.ndarray:
-    """Mono samples at ``RATE`` from a WAV file of 8, 16 or 32 bits; broken or null media have none."""
+    """Mono samples at ``RATE`` from a WAV file of 8, 16, 24 or 32 bits; broken or null media have none."""
     if not media:
         return np.zeros(0)
     try:
@@ -47,8 +47,10 @@ def decode(media: bytes | None) -> np.ndarray:
             raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
     except (wave.Error, EOFError):
         return np.zeros(0)
-    if width not in (1, 2, 4) or not rate:
+    if width not in (1, 2, 3, 4) or not rate:
         return np.zeros(0)
+    if width == 3:  # to 32 bits, a zero byte below
+        raw, width = np.insert(np.frombuffer(raw[: len(raw) // 3 * 3], np.uint8).reshape(-1, 3), 0, 0, axis=1).tobytes(), 4
     x = np.frombuffer(raw[: len(raw) // width * width], {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
     x = (x - 128) / 128 if width == 1 else x / 2.0 ** (8 * width - 1)
     x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
@@ -152,12 +154,17 @@ def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def align(queries: DataFrame, reps: DataFrame, min_votes: int = MIN_VOTES, max_ber: float = MAX_BER) -> DataFrame:
     """(query_id, class_id, frames_apart, votes, bit_error): query classes against all other classes with ``min_votes`` shared integers at one offset.
 
-    The index key is a code with the one ``LAG`` frames later, since frames next to each other overlap and single codes
-    of unlike recordings often agree by chance.  The join on keys is an ordinary shuffle join, split where it is skewed.  The offset with most votes is taken; ties go to the smallest shift, then the lower.
+    An index key is a code with one of the codes ``LAGS`` frames later, since frames next to each other overlap and single
+    codes of unlike recordings often agree by chance; a run of equal keys, as steady tones give, counts once.  The join on
+    keys is an ordinary shuffle join, split where it is skewed.  The offset with most votes is taken; ties go to the
+    smallest shift, then the lower.
     """
-    later = F.transform(F.sequence(F.lit(1), F.size("codes") - LAG), lambda i: F.xxhash64(F.element_at("codes", i), F.element_at("codes", i + LAG)))
-    keys = F.when(F.size("codes") > LAG, later)
-    place = lambda df, name: df.select(F.col("class_id").alias(name), F.posexplode(keys).alias(f"{name}_at", "code"))
+
+    def place(df, name):
+        rows = df.select(F.col("class_id").alias(name), "codes", F.explode(F.array(*map(F.lit, LAGS))).alias("lag")).where(F.size("codes") > F.col("lag"))
+        rows = rows.withColumn("keys", F.transform(F.sequence(F.lit(1), F.size("codes") - F.col("lag")), lambda i: F.xxhash64("lag", F.element_at("codes", i), F.element_at("codes", i + F.col("lag")))))
+        return rows.select(name, F.posexplode("keys").alias(f"{name}_at", "code"), "keys").where((F.col(f"{name}_at") == 0) | (F.col("code") != F.get("keys", F.col(f"{name}_at") - 1))).drop("keys")
+
     q, d = place(queries.select("class_id", "codes"), "query_id"), place(reps, "class_id")
     votes = q.join(d, "code").where("query_id <> class_id").groupBy("query_id", "class_id", (F.col("class_id_at") - F.col("query_id_at")).alias("frames_apart")).agg(F.count("*").alias("votes"))
     best = votes.where(F.col("votes") >= min_votes).groupBy("query_id", "class_id").agg(F.max_by(F.struct("frames_apart", "votes"), F.struct("votes", -F.abs("frames_apart"), -F.col("frames_apart"))).alias("b")).select("query_id", "class_id", "b.*")

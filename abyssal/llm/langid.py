@@ -23,6 +23,8 @@ ORDERS = (1, 2, 3, 4)
 #: Rows used to fit, all labels together.
 MAX_ROWS = 3000
 UNDETERMINED = "und"
+#: Score under which a prediction is no identification: code, symbols and words of no learnt language lie below, one short word above.
+MIN_SCORE = 0.3
 #: Families of common ISO 639-1 codes.  Other labels join the family of the most similar known centroid.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -194,7 +196,7 @@ def language_table(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     return out.select("row.doc_id", "lang_pred", "score").select("doc_id", (_fold_column(folds) == held).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (no text, no letter)."""
-    model = fit(docs)
-    return identify(docs, model, tuple(docs.columns)).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the rows that are rejected: no text, no letter, or a prediction of a score under ``least``.  Where ``lang`` is null, the prediction takes its place."""
+    found = identify(docs, fit(docs), tuple(docs.columns)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.coalesce(f"row.`{c}`", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -239,6 +239,8 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
         big = both.where(F.col("n") > bucket_rows)
         if not big.limit(1).count():
             break
+        if level == 7:
+            raise ValueError(f"buckets of over {bucket_rows} fingerprints are left after eight cuts: allow more rows a bucket")
         # the free bits, in turn, to radius + 1 parts; a sub-bucket keeps one more part
         free = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.struct(i.alias("i"), (F.getbit(F.col("mask"), i) == 0).alias("free")))
         places = F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["i"])
@@ -314,6 +316,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingl
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of the smallest doc_id (rows without doc_id stay)."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each near-duplicate group: the one of the smallest doc_id.
+
+    Rows of a null doc_id take part under an id of their text, which is larger than any below 2**62.  Of rows that repeat
+    an id, the one of the smallest text is left (nulls last, then by the other columns' hash).
+    """
+    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    marked = docs.withColumn("_node", node)
+    kept = near_duplicates(docs.select(node.alias("doc_id"), "text"), **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = stage(kept.withColumnRenamed("doc_id", "_kept"), "kept")
+    rows = marked.join(kept, marked["_node"] == kept["_kept"])
+    single = rows.where("_rows = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not kept.where("_rows > 1").limit(1).count():
+        return single
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = rows.where("_rows > 1").groupBy("_kept").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.xxhash64(row))).alias("_row"))
+    return single.unionByName(first.select("_row.*"))

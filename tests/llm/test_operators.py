@@ -463,6 +463,42 @@ def test_chroma_finds_noisy_and_shifted_copies(spark):
     assert (a[10:] == b[: len(a) - 10]).all() and len(chroma.fingerprint(chroma.chroma(np.zeros(9000)))) == 0
 
 
+def test_chroma_recall_against_all_offsets(spark):
+    """Distorted copies up to the limit of bit errors: nine in ten are found; unlike recordings aren't."""
+    rng = np.random.default_rng(6)
+    base = [rng.normal(size=64) for _ in range(40)]
+    vectors = {100 * i: v for i, v in enumerate(base)} | {100 * i + 1: v + rng.normal(size=64) * 0.03 * (1 + i % 6) for i, v in enumerate(base)}
+    code = {k: chroma.fingerprint(chroma.chroma(chroma.decode(chroma.tones(v.tolist())))) for k, v in vectors.items()}
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "rec_id long, media array<double>")
+    found = {(r.rec_id, m.class_id) for r in chroma.search(d, render=chroma.tones).collect() if r.is_query for m in r.matches or []}
+    true = {(q, k) for q in range(0, 4000, 100) for k, c in code.items() if k != q and not np.array_equal(c, code[q]) and np.bitwise_count(c ^ code[q]).mean() <= 32 * chroma.MAX_BER}
+    assert len(true) >= 20 and len(true & found) >= 0.9 * len(true) and all(k == q + 1 for q, k in found)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and then runs far away"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for name, f in p.STAGES:
+        assert f(spark, none, str(tmp_path)).count() == 0
+        out = f(spark, odd, str(tmp_path))
+        got[name] = out.collect()
+        if name != "packing":
+            assert out.columns == odd.columns
+    ids = {k: sorted(str(r.doc_id) for r in v) for k, v in got.items()}
+    assert ids["language ID"] == sorted(map(str, [1, 2, 2, 7, 8, None, 100, -5])) or set(ids["language ID"]) <= set(map(str, [1, 2, 7, 8, None, 100, -5]))
+    assert ids["SimHash near-dedup"] == sorted(map(str, [1, 3, 6, 7, 8, None, 100, -5])) and ids["benchmark decontamination"] == sorted(map(str, [3, 4, 5, 6, 7, 8, None, 100, -5]))
+    assert ids["substring dedup"].count("2") == 0 and "1" in ids["substring dedup"] and len([r for r in got["packing"] if r.start == 0]) == 12
+
+
+def test_one_row_of_a_group_is_left(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, t, 5), (1, t, 3), (1, t, 4), (2, t, 1), (None, t, 0), (None, "quite another text of some more words", 1), (None, "quite another text of some more words", 2), (7, "b b b b b b b", 0), (7, "a a a a a a a", 0)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), shingle=5, radius=5, jaccard=0.8).collect()
+    assert sorted((str(r.doc_id), r.text[:5]) for r in got) == [("1", "one t"), ("7", "a a a"), ("None", "quite")]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
