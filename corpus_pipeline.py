@@ -15,17 +15,17 @@ CACHE_WORDS = 250_000
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a text or a letter go."""
+    """Documents whose language can be told; those without a text or a letter go, and those like no language learnt.  A null language is filled in."""
     return langid.keep_identified(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One row of each near-duplicate group, whatever ids repeat or are null."""
     return simhash.keep_first(docs, shingle=SHINGLE, radius=RADIUS, jaccard=JACCARD)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows that an earlier document has; a document that loses nothing keeps its text as it is, one that loses all goes."""
+    """Texts without the windows that an earlier document has; a document that loses nothing keeps its text as it is, one that loses all goes.  Rows of one id are one document; null ids come last."""
     names = docs.columns
     spans = substring.repeated_spans(docs, carry=tuple(c for c in names if c not in ("doc_id", "text")), verbatim=True)
     touched = F.size("starts") > 0
@@ -37,14 +37,15 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark passages."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Documents that are not contaminated with benchmark passages.  A row is told by its id and text: copies go together, others of its id stay."""
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.contamination(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, row == F.col("_gone"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 4096."""
+    """Pieces of the documents' tokens in sequences of 4096; every row is packed."""
     return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
