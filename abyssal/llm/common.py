@@ -26,11 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return new_folder(spark, name)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of it."""
-    path = new_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of it.
+
+    With ``settle`` the driver collects its garbage, upon which Spark removes the files of shuffles that no plan holds any more.
+    """
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    if settle:
+        spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def file_system(path: str):
@@ -199,7 +205,7 @@ def pack_all(*arrays: np.ndarray) -> bytes:
         width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
         heads.append(len(v) << 4 | width)
         planes.append(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-    return np.array(heads, "<u8").tobytes() + zstandard.compress(b"".join(planes), 1)
+    return np.array(heads, "<u8").tobytes() + zstandard.compress(b"".join(planes), 3)
 
 
 def unpack_all(blob, n: int) -> list[np.ndarray]:

@@ -33,7 +33,7 @@ from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 ADD = 0.1
 #: Pseudo-count K of the lower order, for levels 2 and 3.
 BACKOFF = (20.0, 5.0)
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 12_000_000
 #: Tokens of a context from which its successors are dealt to several buckets.
 SPLIT = 1 << 17
 END = b" end"  # no word has a space
@@ -269,7 +269,7 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
         return _table(rows, _REPLY_FIELDS.append(pa.field("bucket_n", pa.float64())).append(pa.field("bucket_v", pa.int64())))
 
     sent = docs.mapInArrow(tidy(entries), _ASK)
-    return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words")
+    return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words", settle=True)
 
 
 def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
