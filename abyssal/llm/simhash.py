@@ -31,6 +31,10 @@ BITS = 64
 SKETCH, BAND_ROWS, BANDS = 256, 4, 20
 #: The sets are compared where the sketches' similarity is at most so far under the threshold: six standard deviations at 0.8.
 MARGIN = 0.15
+#: Times that a bucket is cut.
+CUTS = 8
+#: Band keys whose buckets are compared first; of the others' buckets only those whose texts aren't joined by then are left to compare.
+FIRST_BANDS = 5
 #: Bytes of shingle hashes that a task holds of a bucket, about.
 BUCKET_BYTES = 32_000_000
 _ODD = np.random.default_rng(64).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,15 +236,16 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     keyed = reps.select("fp", "node", F.explode(tables).alias("t")).select("fp", "node", F.col("t.mask").alias("mask"))
     out = []
     parts = radius + 1
-    for level in range(8):
+    for level in range(CUTS):
         keyed = keyed.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
         both = _crowded(keyed, f"buckets{level}")
+        if level == CUTS - 1:  # the free bits left bound a bucket by themselves: 2**11 rows at radius 5
+            out.append(_bucket_forests(both, ["fp"], _within(radius)))
+            break
         out.append(_bucket_forests(both.where(F.col("n") <= bucket_rows), ["fp"], _within(radius)))
         big = both.where(F.col("n") > bucket_rows)
         if not big.limit(1).count():
             break
-        if level == 7:
-            raise ValueError(f"buckets of over {bucket_rows} fingerprints are left after eight cuts: allow more rows a bucket")
         # the free bits, in turn, to radius + 1 parts; a sub-bucket keeps one more part
         free = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.struct(i.alias("i"), (F.getbit(F.col("mask"), i) == 0).alias("free")))
         places = F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["i"])
@@ -258,14 +263,14 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
 
 
 def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) between the nodes of ``drawn`` (sid, node, size, sketch) that share a key of ``keyed`` (key, sid, node, size) and whose shingle sets have the similarity ``jaccard``.
+    """Edges (a, b) between the nodes of ``drawn`` (sid, node, size, sketch) that share a key of ``keyed`` (key, sid, node, size, label) and whose shingle sets have the similarity ``jaccard``.
 
-    Keys that nominate the same sets are one.  A bucket of more than ``bucket_rows`` sets or ``BUCKET_BYTES`` is dealt into
+    A key whose nodes all have one label, being joined already, is left out.  Keys that nominate the same sets are one.  A bucket of more than ``bucket_rows`` sets or ``BUCKET_BYTES`` is dealt into
     blocks, and every block is compared with every other and with itself, each pair of blocks as a bucket of its own: no
     pair is lost.
     """
     keyed = keyed.repartition("key")  # one shuffle for the counts and the rows: both read the same columns
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("sid", "node")).alias("x"), F.bit_xor(F.xxhash64("node", "sid")).alias("y")).where("n > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("sid", "node")).alias("x"), F.bit_xor(F.xxhash64("node", "sid")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 1 and lo < hi")
     sizes = sizes.groupBy("n", "hashes", "x", "y").agg(F.min("key").alias("key"))
     crowd = F.greatest(F.col("n") / bucket_rows, 8 * F.col("hashes") / BUCKET_BYTES)
     blocks = F.least(F.when(crowd <= 1, 1).otherwise(F.ceil(2 * crowd)), F.col("n")).cast("long")
@@ -307,9 +312,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingl
         prints = stage(reps.groupBy("fp").agg(F.min("sid").alias("node")), "prints")
         near = links(prints, radius, bucket_rows).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = near.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("sid"))
-        keys = F.concat("keys", F.array(F.xxhash64(F.lit("print"), "fp")))
-        keyed = reps.select(F.explode(keys).alias("key"), "sid", "node", "size").unionByName(pairs.join(reps.select("sid", "node", "size"), "sid"))
-        edges = edges.unionByName(set_links(docs, reps.drop("fp", "keys"), keyed, jaccard, text, shingle, bucket_rows))
+        printed = reps.select(F.xxhash64(F.lit("print"), "fp").alias("key"), "sid", "node", "size")
+        banded = reps.select(F.posexplode("keys").alias("band", "key"), "sid", "node", "size")
+        nominated = printed.unionByName(pairs.join(reps.select("sid", "node", "size"), "sid")).unionByName(banded.where(F.col("band") < FIRST_BANDS).drop("band"))
+        drawn = reps.drop("fp", "keys")
+        edges = edges.unionByName(set_links(docs, drawn, nominated.withColumn("label", F.col("node")), jaccard, text, shingle, bucket_rows))
+        joined = stage(connected_components(edges), "joined", settle=True)
+        rest = banded.where(F.col("band") >= FIRST_BANDS).drop("band").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        edges = set_links(docs, drawn, rest, jaccard, text, shingle, bucket_rows).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
     comp = connected_components(edges)
     labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(one, F.coalesce("component", "node").alias("component_id"))
     return fps.select("doc_id", *{"fp": 0, one: 0}).join(labels, one, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
