@@ -36,6 +36,26 @@ def water_height(pressure: Column, k: Column, depth: Column) -> Column:
     return pressure * F.cosh(k * depth) / (WATER * G_TERM)
 
 
+def water_acceleration(pressure: Column, k: Column, depth: Column) -> Column:
+    """Gravitational acceleration of the water column's waves at the sea floor."""
+    return 2 * math.pi * NEWTON * WATER * F.exp(-k * depth) * water_height(pressure, k, depth)
+
+
+def geometric(i: Column, first: float, last: float, n: int) -> Column:
+    """Value ``i`` of n values in a constant ratio from ``first`` to ``last``."""
+    return first * F.pow(F.lit(last / first), i / (n - 1))
+
+
+def default_sigma(values: Column) -> Column:
+    """The uncertainty of data that come without one (an aggregate)."""
+    return F.stddev_pop(values) / 20
+
+
+def log_likelihood(misfit: Column, *terms: tuple[float, Column]) -> Column:
+    """Half the misfit and the weighted terms, negative."""
+    return -0.5 * sum((weight * term for weight, term in terms), misfit)
+
+
 def gravity_ratio(k: Column, depth: Column) -> Column:
     """2 pi G / g exp(-kH) cosh(kH), in the form that can't overflow."""
     return math.pi * NEWTON / G_TERM * (1 + F.exp(-2 * k * depth))

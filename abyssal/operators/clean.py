@@ -12,13 +12,31 @@ def spans_from_events(catalogue: DataFrame, least: float, seconds_per_unit: floa
     return merge_spans(catalogue.where(F.col("magnitude") >= least).select(F.col("ts").alias("t_start"), end.alias("t_end")))
 
 
-def merge_spans(spans: DataFrame, *keys: str) -> DataFrame:
-    """Unions of overlapping or touching spans, per ``keys``."""
+def merge_spans(spans: DataFrame, *keys: str, hours: int = 24) -> DataFrame:
+    """Unions of overlapping or touching spans, per ``keys``.
+
+    Spans are merged within the slots of ``hours`` in which they start, so that no task orders all of them; a slot's reach
+    is then compared with that of the slots before it, one row each, and only what still overlaps is joined.
+    """
+    at = spans.select(*keys, "t_start", "t_end", F.floor(F.unix_seconds("t_start") / (hours * 3600)).alias("slot"))
+    once = _islands(at, *keys, "slot")
+    # furthest end of all earlier slots: a running maximum over one row a slot
+    ends = once.groupBy(*keys, "slot").agg(F.max("t_end").alias("reach"))
+    before = ends.select(*keys, "slot", F.max("reach").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    rows = once.join(before, [*keys, "slot"])
+    # an island that no earlier slot reaches starts a new union; numbering them needs only how many a slot starts
+    fresh = rows.withColumn("new", F.when(F.col("before").isNull() | (F.col("t_start") > F.col("before")), 1).otherwise(0))
+    counts = fresh.groupBy(*keys, "slot").agg(F.sum("new").alias("n"))
+    first = counts.select(*keys, "slot", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    number = F.col("first") + F.sum("new").over(Window.partitionBy(*keys, "slot").orderBy("t_start"))
+    return fresh.join(first, [*keys, "slot"]).withColumn("island", number).groupBy(*keys, "island").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end")).drop("island")
+
+
+def _islands(spans: DataFrame, *keys: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t_start", "t_end")
     reach = F.max("t_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col("t_start") > reach), 1).otherwise(0)
-    island = F.sum("new").over(w)
-    return spans.withColumn("new", new).withColumn("island", island).groupBy(*keys, "island").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end")).drop("island")
+    return spans.withColumn("new", new).withColumn("island", F.sum("new").over(w)).groupBy(*keys, "island").agg(F.min("t_start").alias("t_start"), F.max("t_end").alias("t_end")).drop("island")
 
 
 def exclude(samples: DataFrame, spans: DataFrame, zero: bool = False, hours: int = 24) -> DataFrame:
@@ -33,8 +51,9 @@ def exclude(samples: DataFrame, spans: DataFrame, zero: bool = False, hours: int
     inside = [at["slot"] == cut["slot"], at["ts"] >= cut["t_start"], at["ts"] <= cut["t_end"]]
     if not zero:
         return at.join(cut, inside, "left_anti").drop("slot")
-    hit = at.join(cut, inside, "left_semi").select("sample_id").withColumn("hit", F.lit(True))
-    return samples.join(hit, "sample_id", "left").withColumn("v", F.when(F.col("hit"), 0.0).otherwise(F.col("v"))).drop("hit")
+    # spans are merged, so a sample meets one at most
+    hit = at.join(cut.withColumnRenamed("slot", "_slot"), [F.col("slot") == F.col("_slot"), *inside[1:]], "left")
+    return hit.withColumn("v", F.when(F.col("_slot").isNotNull(), 0.0).otherwise(F.col("v"))).select(*samples.columns)
 
 
 def remove_periodic(trace: DataFrame, period: int, reference: int = 0) -> DataFrame:
@@ -45,6 +64,16 @@ def remove_periodic(trace: DataFrame, period: int, reference: int = 0) -> DataFr
     return folded.join(shape, ["component", "phase"]).select("component", "seq", "v", (F.col("v") - F.col("shape")).alias("clean"))
 
 
+def remove_transients(trace: DataFrame, spec: DataFrame, clear) -> DataFrame:
+    """A trace less each channel's mean shape over its own period: ``spec`` (component, period, reference) is a row a channel.
+
+    The shape is the mean of the places where ``clear`` holds; it is taken off everywhere.
+    """
+    folded = trace.join(F.broadcast(spec), "component").withColumn("phase", F.pmod(F.col("seq") - F.col("reference"), F.col("period")))
+    shape = folded.where(clear).groupBy("component", "phase").agg(F.avg("v").alias("shape"))
+    return folded.join(shape, ["component", "phase"]).select("component", "seq", "v", (F.col("v") - F.col("shape")).alias("clean"))
+
+
 def tilt(wide: DataFrame, z: str, h1: str, h2: str, *keys: str) -> DataFrame:
     """Least squares of the vertical on two horizontals from covariances: coefficients, azimuth, angle and the variance ratio before / after."""
     c = lambda a, b: F.covar_pop(a, b)

@@ -96,25 +96,28 @@ def _wave_matrices(k, w, rho, vp, vs):
     mu = rho * vs**2
     a, b = np.sqrt(k**2 - (w / vp) ** 2 + 0j), np.sqrt(k**2 - (w / vs) ** 2 + 0j)
     pp, ss, m = 2 * mu * k**2 - rho * w**2, mu * (b**2 + k**2), lambda x: np.moveaxis(np.array(x), (0, 1), (-2, -1))
-    kk = k + 0j
+    kk = k + np.zeros_like(a)
     down, up = m([[kk, b], [-a, -kk]]), m([[kk, -b], [a, -kk]])
     t_down, t_up = m([[-2 * mu * a * k, -ss], [pp, 2 * mu * b * k]]), m([[2 * mu * a * k, -ss], [pp, -2 * mu * b * k]])
     return a, b, down, up, t_down, t_up
 
 
 def compliance(omega: np.ndarray, k: np.ndarray, thick, rho, vp, vs) -> np.ndarray:
-    """Normalised compliance k * uplift / pressure of a layered half-space at each (omega, k).
+    """Normalised compliance k * uplift / pressure at each (omega, k) of a layered half-space, or of many with as many layers each: a row of every table a model.
 
     The impedance of the half-space is carried upward through the layers; only decaying exponentials occur, so thick
     layers and high wavenumbers don't overflow.
     """
-    n = len(thick)
-    *_, down, _, t_down, _ = _wave_matrices(k, omega, rho[n - 1], vp[n - 1], vs[n - 1])
+    thick, rho, vp, vs = (np.asarray(x, float) for x in (thick, rho, vp, vs))
+    if thick.ndim == 1:
+        return compliance(omega, k, *(x[None] for x in (thick, rho, vp, vs)))[0]
+    n, of = thick.shape[1], lambda x, i: x[:, i, None]
+    *_, down, _, t_down, _ = _wave_matrices(k, omega, *(of(x, n - 1) for x in (rho, vp, vs)))
     z = t_down @ np.linalg.inv(down)
     for i in range(n - 2, -1, -1):
-        a, b, d1, d2, s1, s2 = _wave_matrices(k, omega, rho[i], vp[i], vs[i])
+        a, b, d1, d2, s1, s2 = _wave_matrices(k, omega, *(of(x, i) for x in (rho, vp, vs)))
         e = np.zeros_like(d1)
-        e[..., 0, 0], e[..., 1, 1] = np.exp(-a * thick[i]), np.exp(-b * thick[i])
+        e[..., 0, 0], e[..., 1, 1] = np.exp(-a * of(thick, i)), np.exp(-b * of(thick, i))
         r = np.linalg.solve(s2 - z @ d2, (z @ d1 - s1) @ e)
         z = (s1 + s2 @ e @ r) @ np.linalg.inv(d1 + d2 @ e @ r)
     return (-k * np.linalg.inv(z)[..., 1, 1]).real
@@ -138,8 +141,12 @@ def forward_compliance(models: DataFrame, freqs: list[float], water_depth: float
     def each(batches):
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1).to_pylist()
-            out = [compliance(omega, k, *(np.array([x[c] for x in r], float) for c in ("thick", "rho", "vp", "vs"))) if r else np.full(len(freqs), np.nan) for r in rows]
+            out, sizes = np.full((len(rows), len(freqs)), np.nan), np.array([len(r or ()) for r in rows])
+            for n in set(sizes.tolist()) - {0}:  # models of as many layers at once, in pieces
+                same = np.flatnonzero(sizes == n)
+                for at in np.array_split(same, -(-len(same) // 2000)):
+                    out[at] = compliance(omega, k, *(np.array([[x[c] for x in rows[i]] for i in at.tolist()], float) for c in ("thick", "rho", "vp", "vs")))
             at = pa.array(np.repeat(np.arange(len(rows)), len(freqs)))
-            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.tile(freqs, len(rows))), pa.array(np.concatenate(out) if out else np.zeros(0))], names=[key, "f", "compliance"])
+            yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(np.tile(freqs, len(rows))), pa.array(out.ravel())], names=[key, "f", "compliance"])
 
     return models.select(key, "layers").mapInArrow(each, f"`{key}` {kind}, f double, compliance double")

@@ -11,6 +11,10 @@ from .earth import compliance, gravity_wavenumber
 CHAIN_SCHEMA = "chain_id long, iter int, misfit double, likelihood double, accepted boolean, thick array<double>, vs array<double>"
 
 
+#: Tasks that run chains, at most.
+MAX_TASKS = 10_000
+
+
 def run_chain(seed, data, freqs, sigma, thick, vs, water_depth, iterations, sigma_v=5.0, sigma_h=5.0, alpha=0.25, low=-0.5, high=0.1, policy="reflect", poisson=0.25):
     """Yields (iter, misfit, likelihood, accepted, thick, vs), the state kept after each iteration; deterministic for a seed.
 
@@ -77,4 +81,6 @@ def invert(chains: DataFrame, iterations: int, **options) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["chain_id", "iter", "misfit", "likelihood", "accepted", "thick", "vs"])
 
     cols = ["chain_id", "seed", "data", "freqs", "sigma", "thick", "vs", "water_depth", "alpha"]
-    return chains.select(*cols).repartition("chain_id").mapInArrow(each, CHAIN_SCHEMA)
+    # a stated number of partitions: adaptive execution would join the few rows, and so the chains, into one task
+    tasks = max(1, min(chains.count(), MAX_TASKS))
+    return chains.select(*cols).repartition(tasks, "chain_id").mapInArrow(each, CHAIN_SCHEMA)

@@ -22,18 +22,35 @@ def bucket(v: Column, lo: float, hi: float, n: int) -> Column:
     return F.when((v >= lo) & (v <= hi), F.least(b, F.lit(n - 1).cast("long")))
 
 
-def density(profile: DataFrame, depth: str, lo: float = 0, hi: float = 5000, n: int = 100) -> DataFrame:
-    """Share of each value bin per depth, scaled to the fullest bin of that depth."""
-    counts = profile.withColumn("bin", bucket(F.col("vs"), lo, hi, n)).where("bin is not null").groupBy(depth, "bin").agg(F.count("*").alias("n"))
-    return counts.withColumn("p", F.col("n") / F.max("n").over(Window.partitionBy(depth)))
+def density(profile: DataFrame, *keys: str, lo: float = 0, hi: float = 5000, n: int = 100) -> DataFrame:
+    """Share of each value bin per depth (``keys``: the depth, and the station if there are several), scaled to the fullest bin there."""
+    counts = profile.withColumn("bin", bucket(F.col("vs"), lo, hi, n)).where("bin is not null").groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    return counts.withColumn("p", F.col("n") / F.max("n").over(Window.partitionBy(*keys)))
 
 
-def ranged_histogram(rows: DataFrame, key: str, value: str, n: int = 20) -> DataFrame:
-    """Histogram of n bins over each key's own range."""
-    ends = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+def ranged_histogram(rows: DataFrame, key: str, value: str, n: int = 20, density: bool = False) -> DataFrame:
+    """Histogram of n bins over each key's own range; with ``density`` the bins of a key have the area one."""
+    ends = rows.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
     width = F.nullif((F.col("hi") - F.col("lo")) / n, F.lit(0.0))
     b = F.coalesce(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(n - 1).cast("long")), F.lit(0).cast("long"))
-    return rows.join(ends, key).groupBy(key, b.alias("bin")).agg(F.count("*").alias("n"))
+    out = rows.join(ends, key).groupBy(key, b.alias("bin")).agg(F.count("*").alias("n"), F.max(F.col("total") * width).alias("area"))
+    return out.select(key, "bin", "n", *([(F.col("n") / F.col("area")).alias("density")] if density else []))
+
+
+def acf_full(trace: DataFrame) -> DataFrame:
+    """(component, lag, acf) at every lag: pairs of places of a channel, summed by lag before the shuffle.  The work is the square of a trace's length."""
+    means = trace.groupBy("component").agg(F.avg("v").alias("m"))
+    d = trace.join(means, "component").select("component", "seq", (F.col("v") - F.col("m")).alias("d"))
+    c0 = d.groupBy("component").agg(F.sum(F.col("d") * F.col("d")).alias("c0"))
+    other = d.select("component", F.col("seq").alias("to"), F.col("d").alias("e"))
+    sums = d.join(other, "component").where("to >= seq").groupBy("component", (F.col("to") - F.col("seq")).alias("lag")).agg(F.sum(F.col("d") * F.col("e")).alias("s"))
+    return sums.join(c0, "component").select("component", "lag", (F.col("s") / F.nullif("c0", F.lit(0.0))).alias("acf"))
+
+
+def lcurve(chains: DataFrame, burnin: float = 0.8) -> DataFrame:
+    """(chain_id, alpha, misfit): the median misfit of each chain after that share of the iterations."""
+    last = chains.agg((burnin * F.max("iter")).alias("b"))
+    return chains.crossJoin(F.broadcast(last)).where("iter >= b").groupBy("chain_id", "alpha").agg(F.median("misfit").alias("misfit"))  # one row is broadcast
 
 
 def acf(trace: DataFrame, lags: int) -> DataFrame:

@@ -91,16 +91,17 @@ def welch(powers: DataFrame, *keys: str, average: str = "mean") -> DataFrame:
     return powers.groupBy(*keys, "k", "f").agg(F.median("p").alias("m"), F.count("*").alias("n")).withColumn("p", F.col("m") / bias).drop("m", "n")
 
 
-def cross(spectra: DataFrame, pairs: list[tuple[str, str]], size: int, fs: float = 1.0, kind: str = "hann", alpha: float = 0.25, by: str | None = None) -> DataFrame:
+def cross(spectra: DataFrame, pairs: list[tuple[str, str]], size: int, fs: float = 1.0, kind: str = "hann", alpha: float = 0.25, by: str | None = None, unit: tuple[str, ...] = ("window_id",)) -> DataFrame:
     """(x, y, k, f, pxx, pyy, re, im, coh2) of component pairs, averaged over windows (or per ``by``).
 
-    One shuffle by (window, k): the components of a cell meet in one row, and all pairs are read off it.
+    One shuffle by (``unit``, k): the components of a cell meet in one row, and all pairs are read off it.  Spectra of
+    segments inside windows have the unit (window_id, seg) and are averaged by window.
     """
     names = sorted({c for p in pairs for c in p})
-    cell = spectra.groupBy("window_id", "k").pivot("component", names).agg(F.first("re").alias("re"), F.first("im").alias("im"))
+    cell = spectra.groupBy(*unit, "k").pivot("component", names).agg(F.first("re").alias("re"), F.first("im").alias("im"))
     of = lambda c, part: F.col(f"`{c}_{part}`")
     both = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), of(x, "re").alias("a"), of(x, "im").alias("b"), of(y, "re").alias("c"), of(y, "im").alias("d")) for x, y in pairs])
-    rows = cell.select("window_id", "k", F.explode(both).alias("s")).select("window_id", "k", "s.*").where("a is not null and c is not null")
+    rows = cell.select(*unit, "k", F.explode(both).alias("s")).select(*unit, "k", "s.*").where("a is not null and c is not null")
     keys = ["x", "y", *([by] if by else []), "k"]
     scale = density_scale(F.col("k"), size, fs, kind, alpha)
     mean = rows.groupBy(*keys).agg(F.avg(F.expr("a*a+b*b")).alias("pxx"), F.avg(F.expr("c*c+d*d")).alias("pyy"), F.avg(F.expr("a*c+b*d")).alias("re"), F.avg(F.expr("a*d-b*c")).alias("im"))

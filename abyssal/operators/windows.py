@@ -117,6 +117,12 @@ def normalise_azimuth(angle: Column, azimuth: Column) -> tuple[Column, Column]:
     return F.abs(angle), F.pmod(F.when(angle < 0, azimuth + 180).otherwise(azimuth), F.lit(360.0))
 
 
+def azimuth_outlier(azimuth: Column, mean: Column, intended: bool = False) -> Column:
+    """The rule mean / 1.5 > azimuth > mean * 1.5, which nothing meets; ``intended``: below the one or above the other."""
+    low, high = azimuth < mean / 1.5, azimuth > mean * 1.5
+    return low | high if intended else low & high
+
+
 def smooth(trace: DataFrame, size: int = 10) -> DataFrame:
     """Order-1 Savitzky-Golay: in the interior a moving mean of ``size``; null where the frame isn't full."""
     w = Window.partitionBy("component").orderBy("seq").rowsBetween(-(size // 2 - 1), size // 2)

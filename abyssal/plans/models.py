@@ -150,8 +150,7 @@ def _(spark, sf):
 
 @query("total_depth", f"WITH {L} SELECT model_id, sum(thick) AS depth, count(*) AS n FROM l GROUP BY 1")
 def _(spark, sf):
-    nested = read_layers(spark, sf).groupBy("model_id").agg(F.collect_list("thick").alias("t"))
-    return nested.select("model_id", F.aggregate("t", F.lit(0.0), lambda a, x: a + x).alias("depth"), F.size("t").cast("long").alias("n"))
+    return read_layers(spark, sf).groupBy("model_id").agg(F.sum("thick").alias("depth"), F.count("*").alias("n"))
 
 
 @query("rasterise", f"WITH {RS} SELECT cell, count(*) AS n, avg(vs) AS vs FROM rs GROUP BY cell", "vs")

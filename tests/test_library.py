@@ -159,3 +159,44 @@ def test_streaming_gaps_and_windows_as_batch(spark):
     s = spark.createDataFrame([("Z", t0 + dt.timedelta(minutes=m), 1.0) for m in (0, 5, 9, 40, 45)], "component string, ts timestamp, v double")
     assert sorted(r.n for r in stream.gaps(s).collect()) == [2, 3]
     assert stream.windowed_stats(s, "1 hour", "30 minutes").count() == 3
+
+
+def test_models_of_a_batch_are_those_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    models = [(i, [(float(t), 2500.0 + 10 * i, float(v) * 1.7, float(v)) for t, v in zip(rng.uniform(100, 3000, 2 + i % 4), rng.uniform(500, 4000, 2 + i % 4))]) for i in range(40)] + [(40, [])]
+    freqs = [0.006, 0.01, 0.02]
+    d = spark.createDataFrame(models, "model_id long, layers array<struct<thick:double,rho:double,vp:double,vs:double>>")
+    got = {(r.model_id, r.f): r.compliance for r in earth.forward_compliance(d, freqs, 3000.0).collect()}
+    omega = 2 * np.pi * np.array(freqs)
+    k = earth.gravity_wavenumber(omega, 3000.0)
+    for i, layers in models[:-1]:
+        one = earth.compliance(omega, k, *np.array(layers).T)
+        assert np.allclose([got[i, f] for f in freqs], one, rtol=1e-9)
+    assert all(np.isnan(got[40, f]) for f in freqs)
+
+
+def test_spans_that_reach_over_many_slots_are_one(spark):
+    rng = np.random.default_rng(10)
+    spans = [(int(a), int(a + b)) for a, b in zip(rng.integers(0, 3_000_000, 300), rng.choice([50, 4000, 400_000], 300, p=[0.6, 0.35, 0.05]))]
+    want = []
+    for a, b in sorted(spans):
+        if want and a <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], b)
+        else:
+            want.append([a, b])
+    d = spark.createDataFrame(spans, "a long, b long").select(F.timestamp_seconds("a").alias("t_start"), F.timestamp_seconds("b").alias("t_end"))
+    for hours in (1, 24, 24 * 30):
+        got = clean.merge_spans(d, hours=hours).select(F.unix_seconds("t_start"), F.unix_seconds("t_end")).collect()
+        assert sorted(map(list, got)) == want
+
+
+def test_selection_of_windows_at_the_edges(spark):
+    from abyssal.operators import compliance
+
+    bins = spark.createDataFrame([(k, k / 10) for k in range(6)], "k long, f double")
+    assert tuple(compliance.nearest_slice(bins, 0.15, 0.41).first()) == (1, 4)  # the lower of two
+    rows = [(w, k, k / 10, c, 1.0, 1.0, 0.0) for w, c in ((1, 0.95), (2, 0.9), (3, 0.8), (4, None)) for k in range(6)]
+    cells = spark.createDataFrame(rows, "window_id long, k long, f double, coh double, dz double, dp double, csd double")
+    assert {r.window_id: r["class"] for r in compliance.split_by_coherence(cells, bins, (0.1, 0.4), 0.9).collect()} == {1: "high", 2: None, 3: "low", 4: None}
+    assert [r.window_id for r in compliance.select_v2_coherence(cells, bins, (0.1, 0.4)).collect()] == [1]
+    assert {r.window_id: r["class"] for r in compliance.label_windows(cells, bins, (0.1, 0.4), -100, -1, 0.8).collect()} == {1: "good", 2: "good", 3: "bad", 4: "bad"}
