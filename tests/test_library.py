@@ -200,3 +200,16 @@ def test_selection_of_windows_at_the_edges(spark):
     assert {r.window_id: r["class"] for r in compliance.split_by_coherence(cells, bins, (0.1, 0.4), 0.9).collect()} == {1: "high", 2: None, 3: "low", 4: None}
     assert [r.window_id for r in compliance.select_v2_coherence(cells, bins, (0.1, 0.4)).collect()] == [1]
     assert {r.window_id: r["class"] for r in compliance.label_windows(cells, bins, (0.1, 0.4), -100, -1, 0.8).collect()} == {1: "good", 2: "good", 3: "bad", 4: "bad"}
+
+
+def test_empty_streams_and_files_by_station(spark, tmp_path):
+    none = traces.empty_samples(spark)
+    assert none.count() == 0 and windows.hourly(none).count() == 0
+    assert windows.tumbling(none, 3600).count() == 0 and clean.exclude(none, clean.merge_spans(none.select(F.col("ts").alias("t_start"), F.col("ts").alias("t_end"))), zero=True).count() == 0
+    rows = spark.createDataFrame([("A", "Z", 1.0), ("A", "H", 2.0), ("B", "Z", 3.0)], "station string, component string, v double")
+    traces.save_by_station(rows, f"{tmp_path}/out", "station", "component")
+    back = spark.read.parquet(f"{tmp_path}/out").where("station = 'A'")
+    assert sorted((r.component, r.v) for r in back.collect()) == [("H", 2.0), ("Z", 1.0)]
+    bands = quality.band_measures("p", "f", 0.1, 0.2)
+    got = spark.createDataFrame([(0.1, 1.0), (0.2, 4.0), (0.3, 9.0)], "f double, p double").agg(*[v.alias(k) for k, v in bands.items()]).first()
+    assert (got["median"], got["mean"], got["least"]) == (2.5, 2.5, 1.0)
