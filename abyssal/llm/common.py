@@ -26,12 +26,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return new_folder(spark, name)
 
 
-def stage(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, settle: bool = False, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation of it.
 
     With ``settle`` the driver collects its garbage, upon which Spark removes the files of shuffles that no plan holds any more.
     """
-    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     del df
     if settle:
@@ -70,6 +70,12 @@ def map_file(path: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(f.size()), np.uint8)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that no later job reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove_file(path: str) -> None:
     fs, at = file_system(path)
     try:

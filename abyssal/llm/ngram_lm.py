@@ -5,7 +5,8 @@ level, a segment's distinct n-grams are combined before they are shuffled and de
 context's successors stand side by side in one trie; a context of very many tokens is dealt by ranges of its successors'
 hashes as well.  The task of one bucket adds up the training counts, turns them into smoothed probabilities, writes them
 as one quantised trie level to the shared folder, maps that file and answers from it the n-grams that segments asked for.
-A model that is already there is mapped and searched in the same way, for any documents.
+A level ends when each segment's answers lie in a side file: the next one starts from the list of segments, and the shuffles
+of a level are gone before those of the next are written.  A model that is already there is mapped and searched in the same way, for any documents.
 
     p1(w)     = (c(w) + a) / (N + a (V + 1))          unknown words share the one extra place
     pn(w | h) = alpha(h w) + gamma(h) p(n-1)(w | h')  h' drops the first word; a text starts with a begin mark
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENT_BYTES, bucket_bounds, gaps, map_file, new_path, pack_all, release, remove_file, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
+from .common import SEGMENT_BYTES, bucket_bounds, gaps, map_file, new_path, pack_all, release, remove_file, remove_folder, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
 from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 
 ADD = 0.1
@@ -36,6 +37,8 @@ BACKOFF = (20.0, 5.0)
 BUCKET_BYTES = 6_000_000
 #: Tokens of a context from which its successors are dealt to several buckets.
 SPLIT = 1 << 17
+#: Tasks that share the segments; each takes one segment at a time.
+MAX_TASKS = 20_000
 END = b" end"  # no word has a space
 #: Ids in n-grams: words from 2 on.
 UNKNOWN, BEGIN = 0, 1
@@ -95,21 +98,11 @@ def _bucket(context: list[np.ndarray], word: np.ndarray, tokens: np.ndarray, n_b
 class _Segment:
     """A segment with what the levels have answered so far."""
 
-    def __init__(self, side: str, replies: pa.Table, folds: int, n_buckets: int, backoff: tuple[float, ...], split: int):
-        """``replies``: those of the last level asked; those of earlier levels are in side files, where these go, too."""
-        self.id, self.side = replies.column("segment_id")[0].as_py(), side
+    def __init__(self, side: str, segment_id: int, folds: int, n_buckets: int, backoff: tuple[float, ...], split: int, known: dict | None = None):
+        """``known``: the answers of the last level; those of earlier levels are in side files."""
+        self.id, self.side, self.known = segment_id, side, known or {}
         self.t, self.n_buckets, self.backoff, self.split = _Tokens.load(f"{side}/{self.id}", folds), n_buckets, backoff, split
-        tokens, self.known = self.t, {}
-        got: dict[int, list] = {}
-        for level, bucket, body in sorted(zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True)):
-            if level:
-                got.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
-        for level, rows in got.items():
-            first, second = (np.concatenate([r[j] for r in rows]) for j in (1, 2))
-            if level == 1:  # a rank in a bucket to an id of its own
-                bucket = np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[1]) for r in rows])
-                first = np.where(first > 0, (first - np.minimum(first, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(2), np.uint64(UNKNOWN))
-            self.known[level] = first, second
+        tokens = self.t
         ids, count = self._known(1)
         count = count.astype(np.float64)
         self.count = count[tokens.at]
@@ -130,11 +123,6 @@ class _Segment:
             self.known[level] = tuple(unpack_all(raw.tobytes(), 2)) if len(raw) else (np.zeros(0, np.uint64),) * 2
         return self.known[level]
 
-    def keep(self, level: int) -> None:
-        """Later levels find this one's replies in a side file."""
-        if level in self.known:
-            write_file(f"{self.side}/{self.id}.{level}", pack_all(*self.known[level]))
-
     def _bigrams(self) -> None:
         size = len(self.ids)
         ok = (self.word > UNKNOWN) & (self.before > UNKNOWN)
@@ -232,8 +220,37 @@ def _level_file(model: str, level: int, bucket: int) -> str:
     return f"{model}/level{level}/{bucket}.trie"
 
 
-def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int) -> DataFrame:
-    """Level 1, staged: each segment's words with their ranks and counts; tokens go to the side files."""
+def _joined(replies: pa.Table, n_buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A segment's replies, level by level, in the order of their buckets."""
+    got: dict[int, list] = {}
+    for level, bucket, body in sorted(zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True)):
+        if level:
+            got.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
+    known = {}
+    for level, rows in got.items():
+        first, second = (np.concatenate([r[j] for r in rows]) for j in (1, 2))
+        if level == 1:  # a rank in a bucket to an id of its own
+            bucket = np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[1]) for r in rows])
+            first = np.where(first > 0, (first - np.minimum(first, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(2), np.uint64(UNKNOWN))
+        known[level] = first, second
+    return known
+
+
+def _gather(replies: DataFrame, side: str, n_buckets: int) -> DataFrame:
+    """The list of segments, staged, once the replies of each lie in its side file: a row of level 0 for each."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        release()
+        segment_id = table.column("segment_id")[0].as_py()
+        for level, codes in _joined(table, n_buckets).items():
+            write_file(f"{side}/{segment_id}.{level}", pack_all(*codes))
+        return _table([(segment_id, 0, 0, b"")], _REPLY_FIELDS)
+
+    return stage(replies.groupBy("segment_id").applyInArrow(keep, _REPLY), "lm-segments", settle=True)
+
+
+def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, path: str) -> DataFrame:
+    """Level 1, staged in ``path``: each segment's words with their ranks and counts; tokens go to the side files."""
 
     def entries(batches):
         from pyspark import TaskContext
@@ -269,17 +286,17 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
         return _table(rows, _REPLY_FIELDS.append(pa.field("bucket_n", pa.float64())).append(pa.field("bucket_v", pa.int64())))
 
     sent = docs.mapInArrow(tidy(entries), _ASK)
-    return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words", settle=True)
+    return stage(sent.groupBy("bucket").applyInArrow(serve, _REPLY + ", bucket_n double, bucket_v long"), "words", settle=True, path=path)
 
 
-def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
+def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, backoff: tuple[float, ...], split: int) -> DataFrame:
     """The answers of level 2 or 3 to the segments' n-grams."""
 
-    def entries(table: pa.Table) -> pa.Table:
-        release()
-        s = _Segment(side, table, folds, n_buckets, backoff, split)
-        s.keep(level - 1)
-        return _table(s.asked(level), _ASK_FIELDS)
+    def entries(batches):
+        for batch in batches:
+            for segment_id in batch.column("segment_id").to_pylist():
+                release()
+                yield from _table(_Segment(side, segment_id, folds, n_buckets, backoff, split).asked(level), _ASK_FIELDS).to_batches()
 
     def serve(table: pa.Table) -> pa.Table:
         release()
@@ -321,7 +338,7 @@ def _level(replies: DataFrame, level: int, last: bool, model: str, side: str, le
         rows = [(seg, bucket, level, pack_all(codes[0][at[s:e]], codes[1][at[s:e]])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
         return _table(rows, _REPLY_FIELDS)
 
-    return replies.groupBy("segment_id").applyInArrow(entries, _ASK).groupBy("bucket").applyInArrow(serve, _REPLY)
+    return segments.mapInArrow(tidy(entries), _ASK).groupBy("bucket").applyInArrow(serve, _REPLY)
 
 
 def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, backoff: tuple[float, ...] = BACKOFF, bucket_bytes: int = BUCKET_BYTES, split: int = SPLIT, model: str | None = None, learn: bool = True) -> DataFrame:
@@ -348,24 +365,31 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, ba
     else:
         known = json.loads(map_file(f"{model}/model.json").tobytes())
         order, add, backoff, split, n_buckets = known["order"], known["add"], tuple(known["backoff"]), known["split"], known["n_buckets"]
-    words = _words(picked, model, side, learn, keep, n_buckets, folds)
+    table = new_path(spark, "lm-words")
+    words = _words(picked, model, side, learn, keep, n_buckets, folds, table)
     if learn:
         n_all, v_all = words.select("bucket", "bucket_n", "bucket_v").distinct().agg(F.sum("bucket_n"), F.sum("bucket_v")).first()
         n_all, v_all = float(n_all or 0), int(v_all or 0)
         known = {"order": order, "add": add, "backoff": backoff, "split": split, "n_buckets": n_buckets, "n": n_all, "v": v_all}
         write_file(f"{model}/model.json", json.dumps(known).encode())
     n_all, v_all = known["n"], known["v"]
-    replies = words.drop("bucket_n", "bucket_v")
-    # every segment goes through every level, even one that has nothing to ask
-    marks = words.select("segment_id").distinct().select("segment_id", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("level"), F.lit(b"").alias("body"))
+    found = _gather(words.drop("bucket_n", "bucket_v"), side, n_buckets)
+    remove_folder(spark, table)
+    # the list is small: without a number its partitions would be merged into one task
+    n_tasks = min(max(1, found.count()), MAX_TASKS)
+    replies = segments = found.repartition(n_tasks, "segment_id")
     for level in range(2, order + 1):
-        replies = _level(replies, level, level == order, model, side, learn, keep, n_buckets, folds, backoff, split).unionByName(marks)
+        # every segment goes through every level, even one that has nothing to ask
+        replies = _level(segments, level, level == order, model, side, learn, keep, n_buckets, folds, backoff, split).unionByName(found)
+        if level < order:
+            found = _gather(replies, side, n_buckets)
+            segments = found.repartition(n_tasks, "segment_id")
 
     fields = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def combine(table: pa.Table) -> pa.Table:
         release()
-        s = _Segment(side, table, folds, n_buckets, backoff, split)
+        s = _Segment(side, table.column("segment_id")[0].as_py(), folds, n_buckets, backoff, split, _joined(table, n_buckets))
         t, (p1, p) = s.t, s.scores(order, n_all, v_all, add)
         logs = lambda x: np.add.reduceat(np.log10(x), t.first)
         values = (t.ids, ~t.train_row, t.n, np.add.reduceat((s.count > 0).astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
