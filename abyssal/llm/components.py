@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     minimum of a neighbourhood is aggregated before the shuffle, so a node of very many edges is no hot task.  Each
     round is written to the shared folder.  Self-loops, nulls and repeated edges are ignored.
     """
-    e = stage(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = stage(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", settle=True)
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, tidy
+from .common import new_path, remove_folder, small_batches, stage, tidy
 from .components import connected_components
 
 BITS = 64
@@ -223,14 +223,18 @@ def _similar(jaccard: float, chunk: int = 1_000_000):
     return compare
 
 
-def _crowded(keyed: DataFrame, name: str) -> DataFrame:
-    """``keyed`` with the rows ``n`` of each key, staged; keys of one row go."""
+def _crowded(keyed: DataFrame, path: str) -> DataFrame:
+    """``keyed`` with the rows ``n`` of each key, staged in ``path``; keys of one row go."""
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return stage(keyed.join(sizes, "key"), name)
+    return stage(keyed.join(sizes, "key"), "buckets", settle=True, path=path)
 
 
-def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """``reps`` (fp, node): distinct fingerprints -> edges (a, b) that join exactly the rows linked within ``radius``."""
+def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096, folder: str | None = None) -> DataFrame:
+    """``reps`` (fp, node): distinct fingerprints -> edges (a, b) that join exactly the rows linked within ``radius``.
+
+    The edges are computed from tables in ``folder``, which may go once the edges have been written.
+    """
+    folder = folder or new_path(reps.sparkSession, "buckets")
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(_signed(m)).alias("mask")) for m in masks])
     keyed = reps.select("fp", "node", F.explode(tables).alias("t")).select("fp", "node", F.col("t.mask").alias("mask"))
@@ -238,7 +242,7 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     parts = radius + 1
     for level in range(CUTS):
         keyed = keyed.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
-        both = _crowded(keyed, f"buckets{level}")
+        both = _crowded(keyed, f"{folder}/{level}")
         if level == CUTS - 1:  # the free bits left bound a bucket by themselves: 2**11 rows at radius 5
             out.append(_bucket_forests(both, ["fp"], _within(radius)))
             break
@@ -262,20 +266,21 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFram
     return edges
 
 
-def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096) -> DataFrame:
+def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096, folder: str | None = None) -> DataFrame:
     """Edges (a, b) between the nodes of ``drawn`` (sid, node, size, sketch) that share a key of ``keyed`` (key, sid, node, size, label) and whose shingle sets have the similarity ``jaccard``.
 
     A key whose nodes all have one label, being joined already, is left out.  Keys that nominate the same sets are one.  A bucket of more than ``bucket_rows`` sets or ``BUCKET_BYTES`` is dealt into
     blocks, and every block is compared with every other and with itself, each pair of blocks as a bucket of its own: no
-    pair is lost.
+    pair is lost.  The edges are computed from tables in ``folder``, which may go once the edges have been written.
     """
+    folder = folder or new_path(docs.sparkSession, "bands")
     keyed = keyed.repartition("key")  # one shuffle for the counts and the rows: both read the same columns
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("sid", "node")).alias("x"), F.bit_xor(F.xxhash64("node", "sid")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 1 and lo < hi")
     sizes = sizes.groupBy("n", "hashes", "x", "y").agg(F.min("key").alias("key"))
     crowd = F.greatest(F.col("n") / bucket_rows, 8 * F.col("hashes") / BUCKET_BYTES)
     blocks = F.least(F.when(crowd <= 1, 1).otherwise(F.ceil(2 * crowd)), F.col("n")).cast("long")
-    buckets = stage(keyed.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "sid", "node", "blocks"), "bands")
-    wanted = stage(buckets.select("node", "sid").distinct(), "wanted")  # of known size: where it is small, no text is shuffled
+    buckets = stage(keyed.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "sid", "node", "blocks"), "bands", settle=True, path=f"{folder}/bands")
+    wanted = stage(buckets.select("node", "sid").distinct(), "wanted", path=f"{folder}/wanted")  # of known size: where it is small, no text is shuffled
     sets = shingle_sets(docs, wanted, text, shingle).join(drawn.select("sid", "sketch"), "sid")
     return _bucket_forests(_blocks(buckets, "sid").join(sets, ["node", "sid"]), ["sketch", "hashes"], _similar(jaccard))
 
@@ -297,11 +302,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingl
     other).  Rows with equal doc_id are separate rows of one node.  A null doc_id gets a null component.  An empty table
     gives no rows.
     """
+    spark = docs.sparkSession
     fps = stage(fingerprints(docs, text, shingle) if jaccard is None else sketches(docs, text, shingle), "fingerprints")
     known = fps.where("doc_id is not null")
     one = "fp" if jaccard is None else "sid"
     firsts = known.groupBy(one).agg(F.min("doc_id").alias("node"), *([] if jaccard is None else [F.min_by(F.struct("fp", "size", "sketch", "keys"), "doc_id").alias("s")]))
-    reps = stage(firsts if jaccard is None else firsts.select("sid", "node", "s.*"), "reps")
+    reps = stage(firsts if jaccard is None else firsts.select("sid", "node", "s.*"), "reps", settle=True)
     same_id = known.join(reps.select(one, "node"), one).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     repeated = fps.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
     edges = same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi")
@@ -310,17 +316,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingl
     else:
         # one node of each fingerprint stands for it in the radius; sets of the same fingerprint nominate each other
         prints = stage(reps.groupBy("fp").agg(F.min("sid").alias("node")), "prints")
-        near = links(prints, radius, bucket_rows).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        tables = [new_path(spark, name) for name in ("buckets", "bands", "bands")]
+        near = links(prints, radius, bucket_rows, tables[0]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = stage(near, "near", settle=True)
+        remove_folder(spark, tables[0])
         pairs = near.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("sid"))
         printed = reps.select(F.xxhash64(F.lit("print"), "fp").alias("key"), "sid", "node", "size")
         banded = reps.select(F.posexplode("keys").alias("band", "key"), "sid", "node", "size")
         nominated = printed.unionByName(pairs.join(reps.select("sid", "node", "size"), "sid")).unionByName(banded.where(F.col("band") < FIRST_BANDS).drop("band"))
         drawn = reps.drop("fp", "keys")
-        edges = edges.unionByName(set_links(docs, drawn, nominated.withColumn("label", F.col("node")), jaccard, text, shingle, bucket_rows))
+        edges = edges.unionByName(set_links(docs, drawn, nominated.withColumn("label", F.col("node")), jaccard, text, shingle, bucket_rows, tables[1]))
         joined = stage(connected_components(edges), "joined", settle=True)
+        remove_folder(spark, tables[1])
         rest = banded.where(F.col("band") >= FIRST_BANDS).drop("band").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        edges = set_links(docs, drawn, rest, jaccard, text, shingle, bucket_rows).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    comp = connected_components(edges)
+        edges = set_links(docs, drawn, rest, jaccard, text, shingle, bucket_rows, tables[2]).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    comp = connected_components(edges)  # written: nothing reads the tables of the edges any more
+    if jaccard is not None:
+        remove_folder(spark, tables[2])
     labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(one, F.coalesce("component", "node").alias("component_id"))
     return fps.select("doc_id", *{"fp": 0, one: 0}).join(labels, one, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -333,12 +345,14 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """
     node = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
     marked = docs.withColumn("_node", node)
-    kept = near_duplicates(docs.select(node.alias("doc_id"), "text"), **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = stage(kept.withColumnRenamed("doc_id", "_kept"), "kept")
-    rows = marked.join(kept, marked["_node"] == kept["_kept"])
-    single = rows.where("_rows = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if not kept.where("_rows > 1").limit(1).count():
+    near = near_duplicates(docs.select(node.alias("doc_id"), "text"), **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
+    # most rows are alone: the others' ids are the shorter list, and small enough at times to spare the texts a shuffle
+    others = stage(near.select("_id", (F.col("_id") != F.col("_first")).alias("_gone"), "_rows").where("_gone or _rows > 1"), "others", settle=True)
+    single = marked.join(others, marked["_node"] == others["_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = others.where("not _gone")
+    if not repeated.limit(1).count():
         return single
+    rows = marked.join(repeated, marked["_node"] == repeated["_id"])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = rows.where("_rows > 1").groupBy("_kept").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.xxhash64(row))).alias("_row"))
+    first = rows.groupBy("_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.xxhash64(row))).alias("_row"))
     return single.unionByName(first.select("_row.*"))
