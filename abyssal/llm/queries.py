@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, decontaminate, filter_audit, html_extract, langid, license_scan, ngram_lm, packing, simhash, substring, token_files
+from . import chroma, collocations, decontaminate, disclosure, filter_audit, html_extract, langid, license_scan, ngram_lm, packing, simhash, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digest(disclosure.protected_spans(_table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_license_scan, op2_simhash_dedup, op3_substring_dedup, op4_decontaminate, op5_lm_score, op6_language_id, op7_packing, op8_html_extract, op9_chroma, op10_token_files, op11_filter_audit,
+    op12_pii, op13_collocations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -127,5 +136,19 @@ r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (before + bit)
   sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost, sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost FROM c, s GROUP BY ALL)
 SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+""",
+    "op13_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, phrase, k, string_split(phrase, ' ') AS words, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k))
+  GROUP BY lang, phrase, k HAVING count(*) >= {collocations.LEAST}),
+h AS (SELECT lang, phrase, f, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM g)),
+c AS (SELECT h.lang, h.phrase, h.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * h.f) // (x.f::HUGEINT + y.f))::BIGINT AS score FROM h JOIN g x ON x.lang = h.lang AND x.phrase = head JOIN g y ON y.lang = h.lang AND y.phrase = tail),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, sub, max(f) AS longer FROM (SELECT lang, f, array_to_string(words[q:q + m - 1], ' ') AS sub FROM (SELECT *, unnest(range(1, k - m + 2)) AS q FROM g, (VALUES (2), (3)) s(m) WHERE k > m)) GROUP BY lang, sub),
+o AS (SELECT b.lang, phrase, a, l, r, score FROM b LEFT JOIN i ON i.lang = b.lang AND i.sub = phrase WHERE longer IS NULL OR 100::HUGEINT * longer < {collocations.COVERED}::HUGEINT * a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN t USING (lang) WHERE rank <= {collocations.TOP}
 """,
 }

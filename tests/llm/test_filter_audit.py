@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, lang string, part string, mask string, n lon
 
 def brute(rows, labels):
     space = re.compile(r"[^\x20\x09-\x0D]+")
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1 and d is not None}, {d for d, _, t in labels if t == 1 and d is not None}
     first = {}
     for d, t, *_ in rows:
         if d is not None:
