@@ -4,10 +4,11 @@ A host's pages are dealt to parts of about ``group_pages``, alike in size whatev
 their number and the cluster's settings.  A part induces a wrapper: the DOM trees are aligned, one after another, to a
 growing template by simple tree matching (ordered, same-label nodes, largest number of matched nodes; Yang 1991), with a
 run of like siblings taken as one repeated node.  A template node remembers in how many different pages a text stood at
-it: text that stays is template and goes, wherever it stands; text that varies fills a slot and is content.  The slots
-read are those of the articles and of ``main``, or else of the element with nearly all varying text.  What alignment
-can't tell, varying furniture such as adverts and comments, is told by the element and by the words of its class, id and
-role.  A host of fewer than four different pages has no template and is read by the second rule alone.
+it: text that stays is template, text that varies fills a slot and is content.  The slots tell the articles that vary
+from teasers that stand on every page, and what belongs to the text beside them in ``main``; an article that varies is
+kept whole, with the headings that repeat in it.  Without such elements, the element with nearly all varying text is
+read, and what stays in it goes.  What alignment can't tell, varying furniture such as adverts and comments, is told by
+the element and by the words of its class, id and role.  A host of fewer than four different pages has no template.
 
 A large host is many parts, and no task holds more than one.
 """
@@ -39,8 +40,6 @@ CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr opti
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody", "tfoot"), "thead": ("tr", "td", "th", "tbody"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 STOPS = frozenset("ul ol dl menu table select article section div body nav aside main header footer form blockquote td th".split())
 
-#: Elements that belong to the text beside the articles of a ``main``.
-LEAD = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe object embed button select textarea input svg canvas audio video map dialog menu title noembed noframes xmp".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|topbar|toolbar|header|comments?|commentlist|disqus\w*|replies|respond"
@@ -268,20 +267,34 @@ def outermost(root: Node, wanted) -> list[Node]:
     return out
 
 
-def article_blocks(root: Node) -> list[tuple[str, Node]]:
-    """The blocks of every ``article``, and the plain text that stands beside them in a ``main``; without articles, of the ``main``; none without both."""
-    articles = outermost(root, lambda n: n.tag == "article")
-    mains = outermost(root, lambda n: n.tag == "main" or n.hint == "main")
-    found = [x for n in mains or articles for x in blocks(n, True)]
-    if not mains or not articles:
-        return found
-    inside, stack = set(), list(articles)
+def below(nodes: list[Node]) -> set[int]:
+    """The nodes and all elements inside them."""
+    inside, stack = set(), list(nodes)
     while stack:
         n = stack.pop()
         inside.add(id(n))
         stack += [k for k in n.kids if isinstance(k, Node)]
-    own = [x for x in found if id(x[1]) in inside or x[1].tag in LEAD]
-    return own if any(id(n) in inside for _, n in found) else [x for n in articles for x in blocks(n, True)]
+    return inside
+
+
+def article_blocks(root: Node, constant) -> list[tuple[str, Node]]:
+    """The blocks of the page's articles, whole, and what varies beside them in a ``main``; without articles, the ``main``, whole; none without both.
+
+    Slots decide between articles: one in which nothing varies from page to page is a teaser of the template, unless all are
+    so.  Inside an article nothing is taken for template, however often a heading or a closing line repeats.
+    """
+    articles = outermost(root, lambda n: n.tag == "article")
+    mains = outermost(root, lambda n: n.tag == "main" or n.hint == "main")
+    varying = [n for n in articles if any(not constant(t, e) for t, e in blocks(n, True))]
+    gone = below([n for n in articles if n not in varying]) if varying else set()
+    own = varying or articles
+    if not mains or not own:
+        return [x for n in mains or own for x in blocks(n, True)]
+    inside = below(own)
+    found = [x for n in mains for x in blocks(n, True)]
+    if not any(id(n) in inside for _, n in found):
+        return [x for n in own for x in blocks(n, True)]
+    return [(t, n) for t, n in found if id(n) in inside or id(n) not in gone and not constant(t, n)]
 
 
 def dense(root: Node, constant) -> Node:
@@ -322,7 +335,10 @@ def extract_group(htmls: list[str | None], least: int = 4, share: float = 0.5) -
 
     out = []
     for root in pages:
-        found = article_blocks(root) or blocks(dense(root, constant))
+        if found := article_blocks(root, constant):
+            out.append("\n\n".join(t for t, _ in found))
+            continue
+        found = blocks(dense(root, constant))
         varying = [t for t, n in found if not constant(t, n)]
         # a page whose text mostly stands on the others too is a copy of them, not template
         kept = varying if 2 * sum(map(len, varying)) > sum(len(t) for t, _ in found) else [t for t, _ in found]

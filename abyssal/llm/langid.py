@@ -20,6 +20,8 @@ from .common import small_batches, tidy
 
 DIM = 4096
 ORDERS = (1, 2, 3, 4)
+#: Bytes of a text counted at a time; counts don't depend on it.
+PIECE = 1 << 20
 #: Rows used to fit, all labels together.
 MAX_ROWS = 3000
 UNDETERMINED = "und"
@@ -46,19 +48,24 @@ def features(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     out = np.zeros((len(texts), dim), np.float32)
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace").translate(_TABLE)
-        for at in range(0, len(raw), 1 << 20):
-            b = np.frombuffer(b" " + raw[at : at + (1 << 20) + 3] + b" ", np.uint8)
-            b = b[np.concatenate([[True], (b[1:] != 32) | (b[:-1] != 32)])].astype(np.uint32)
-            for n in ORDERS:
-                if len(b) < n:
-                    break
-                h = np.full(len(b) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+        tail, space = np.zeros(0, np.uint32), False  # the last bytes counted, and whether the last one read was a space
+        for at in range(0, len(raw) + 1, PIECE):
+            new = np.frombuffer(b" " * (at == 0) + raw[at : at + PIECE] + b" " * (at + PIECE > len(raw)), np.uint8)
+            kept = new[(new != 32) | (np.concatenate([[32 if space else 0], new[:-1]]) != 32)]
+            space = bool(new[-1] == 32)
+            b = np.concatenate([tail, kept.astype(np.uint32)])
+            for n in ORDERS:  # n-grams that end in the new piece
+                run = b[max(0, len(tail) - n + 1) :]
+                if len(run) < n:
+                    continue
+                h = np.full(len(run) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
                 for k in range(n):
                     h *= np.uint32(0x01000193)
-                    h ^= b[k : k + len(h)]
+                    h ^= run[k : k + len(h)]
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x85EBCA6B)
                 out[i] += np.bincount(h >> np.uint32(32 - dim.bit_length() + 1), minlength=dim)
+            tail = b[-(max(ORDERS) - 1) :]
     np.sqrt(out, out=out)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)

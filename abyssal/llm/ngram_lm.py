@@ -21,6 +21,7 @@ driver but N and V.
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 
 import numpy as np
@@ -249,6 +250,19 @@ def _gather(replies: DataFrame, side: str, n_buckets: int) -> DataFrame:
     return stage(replies.groupBy("segment_id").applyInArrow(keep, _REPLY), "lm-segments", settle=True)
 
 
+def _own_file(model: str, level: int, bucket: int, keep: bool) -> str:
+    """A level's file; one that goes after its answers belongs to one attempt of the task, so that no other attempt takes it away."""
+    return _level_file(model, level, bucket) + ("" if keep else f".{uuid.uuid4().hex}")
+
+
+def _mapped(path: str, written: bool) -> np.ndarray:
+    """The words of a level's file.  One that has been written must be there; a kept model has no file for a bucket of which it learnt nothing."""
+    known = map_file(path)
+    if written and not len(known):
+        raise FileNotFoundError(f"a level of the model is missing: {path}")
+    return known
+
+
 def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_buckets: int, folds: int, path: str) -> DataFrame:
     """Level 1, staged in ``path``: each segment's words with their ranks and counts; tokens go to the side files."""
 
@@ -268,6 +282,7 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
     def serve(table: pa.Table) -> pa.Table:
         release()
         bucket = table.column("bucket")[0].as_py()
+        path = _own_file(model, 1, bucket, keep)
         parts = [unpack_all(b, 2) for b in table.column("body").to_pylist()]
         keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
         asked, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -276,10 +291,10 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
             held = np.flatnonzero(total > 0)
             rank = np.empty(len(held), np.int64)
             rank[np.argsort(-total[held], kind="stable")] = np.arange(len(held))
-            write_file(_level_file(model, 1, bucket), WordLevel.encode(asked[held], rank, total[held]).tobytes())
-        known = map_file(_level_file(model, 1, bucket))
+            write_file(path, WordLevel.encode(asked[held], rank, total[held]).tobytes())
+        known = _mapped(path, learn)
         if not keep:
-            remove_file(_level_file(model, 1, bucket))
+            remove_file(path)
         rank, count = WordLevel(known.view(np.uint64)).find(asked) if len(known) else (np.zeros(len(asked), np.uint64),) * 2
         cut = np.cumsum([0, *map(len, keys)])
         rows = [(seg, bucket, 1, pack_all(rank[at[s:e]], count[at[s:e]]), float(count.sum()), int((count > 0).sum())) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
@@ -301,6 +316,7 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
     def serve(table: pa.Table) -> pa.Table:
         release()
         bucket, size = table.column("bucket")[0].as_py(), level - 1
+        path = _own_file(model, level, bucket, keep)
         parts = [unpack_all(b, size + 5) for b in table.column("body").to_pylist()]
         ids = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
         words = np.unique(np.concatenate(ids))
@@ -329,11 +345,11 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
             held = np.flatnonzero(total > 0)
             alpha = quantise(total[held] * weight[held] / backoff[level - 2])
             gamma = np.zeros(len(held), np.uint16) if last else quantise(backoff[level - 1] / (total[held] + backoff[level - 1]))
-            write_file(_level_file(model, level, bucket), TrieLevel.encode([c[held] for c in context], word[held], alpha, gamma).tobytes())
+            write_file(path, TrieLevel.encode([c[held] for c in context], word[held], alpha, gamma).tobytes())
             del total, weight, whole, here, held, alpha, gamma
-        known = map_file(_level_file(model, level, bucket))
+        known = _mapped(path, learn)
         if not keep:
-            remove_file(_level_file(model, level, bucket))
+            remove_file(path)
         codes = TrieLevel(known.view(np.uint64)).find(context, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
         rows = [(seg, bucket, level, pack_all(codes[0][at[s:e]], codes[1][at[s:e]])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
         return _table(rows, _REPLY_FIELDS)

@@ -11,9 +11,9 @@ in a sub-bucket with fewer free bits.  After a few cuts the free bits alone boun
 forest of its links, never its pairs.
 
 A similarity threshold asks for more than a radius: texts that share four shingles in five lie about ten bits apart, where
-no fingerprint of 64 bits tells them from strangers.  With ``jaccard``, the links within the radius and the band keys of
-a min-wise sketch only nominate: the sets of shingle hashes of the texts in a bucket decide, and texts are joined exactly
-where the sets' similarity reaches the threshold.
+no fingerprint of 64 bits tells them from strangers.  ``similar_rows`` therefore lets the buckets of the covering masks, and
+after them the band keys of a min-wise sketch, only nominate: every pair of a bucket is a candidate, the sets of shingle hashes
+decide, and texts are joined exactly where the sets' similarity reaches the threshold.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SKETCH, BAND_ROWS, BANDS = 256, 4, 20
 MARGIN = 0.15
 #: Times that a bucket is cut.
 CUTS = 8
-#: Band keys whose buckets are compared first; of the others' buckets only those whose texts aren't joined by then are left to compare.
+#: Band keys whose buckets are compared before the others; of each turn's buckets only those whose texts aren't joined by then are left to compare.
 FIRST_BANDS = 5
 #: Bytes of shingle hashes that a task holds of a bucket, about.
 BUCKET_BYTES = 32_000_000
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
 
 
 def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, sid, size, sketch, keys): the fingerprint; a hash of the shingle set, its size, its sketch and band keys (no keys without words)."""
+    """(doc_id, text_hash, fp, sid, size, sketch, keys): the fingerprint; a hash of the shingle set, its size, its sketch and band keys (no keys without words)."""
     from xxhash import xxh64_intdigest
 
     small_batches(docs.sparkSession)
@@ -109,27 +109,28 @@ def sketches(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame
                 sizes.append(len(held))
                 bodies.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
                 keys.append([_signed(xxh64_intdigest(r.tobytes(), j)) for j, r in enumerate(raw)] if len(held) else [])
-            cols = [b.column(0), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "size", "sketch", "keys"])
+            cols = [b.column(0), b.column(2), pa.array(np.array(fps, "<u8").view("<i8")), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "fp", "sid", "size", "sketch", "keys"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(tidy(each), "doc_id long, fp long, sid long, size long, sketch binary, keys array<long>")
+    return _identified(docs, text).mapInArrow(tidy(each), "doc_id long, text_hash long, fp long, sid long, size long, sketch binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """(node, sid, hashes) of ``wanted`` (node, sid): the shingle set, as bytes, of the text of doc_id ``node`` whose set hashes to ``sid``."""
-    from xxhash import xxh64_intdigest
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, text, text_hash): a row is told by its id and its text; a null text hashes like no other."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string"), F.col(text).isNull()).alias("text_hash"))
+
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(node, hashes) of ``wanted`` (node, doc_id, text_hash): the shingle set, as bytes, of the text of the row that stands for the node."""
     small_batches(docs.sparkSession)
 
     def each(batches):
         for b in batches:
-            held = [shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_signed(xxh64_intdigest(x)) for x in held], pa.int64()), pa.array(held, pa.binary())], names=["node", "sid", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("text")).join(wanted.select("node").distinct(), "node", "left_semi")
-    made = picked.mapInArrow(tidy(each), "node long, sid long, hashes binary")
-    return made.join(wanted, ["node", "sid"], "left_semi").groupBy("node", "sid").agg(F.first("hashes").alias("hashes"))
+    rows, one = _identified(docs, text), wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    picked = rows.join(one, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    return picked.select("node", "text").mapInArrow(tidy(each), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def _signed(x: int) -> int:
@@ -266,8 +267,8 @@ def links(reps: DataFrame, radius: int = 3, bucket_rows: int = 4096, folder: str
     return edges
 
 
-def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096, folder: str | None = None) -> DataFrame:
-    """Edges (a, b) between the nodes of ``drawn`` (sid, node, size, sketch) that share a key of ``keyed`` (key, sid, node, size, label) and whose shingle sets have the similarity ``jaccard``.
+def set_links(docs: DataFrame, reps: DataFrame, keyed: DataFrame, jaccard: float, text: str = "text", shingle: int = 5, bucket_rows: int = 4096, folder: str | None = None) -> DataFrame:
+    """Edges (a, b) between the nodes of ``reps`` (node, doc_id, text_hash, sketch) that share a key of ``keyed`` (key, node, size, label) and whose shingle sets have the similarity ``jaccard``.
 
     A key whose nodes all have one label, being joined already, is left out.  Keys that nominate the same sets are one.  A bucket of more than ``bucket_rows`` sets or ``BUCKET_BYTES`` is dealt into
     blocks, and every block is compared with every other and with itself, each pair of blocks as a bucket of its own: no
@@ -275,14 +276,15 @@ def set_links(docs: DataFrame, drawn: DataFrame, keyed: DataFrame, jaccard: floa
     """
     folder = folder or new_path(docs.sparkSession, "bands")
     keyed = keyed.repartition("key")  # one shuffle for the counts and the rows: both read the same columns
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("sid", "node")).alias("x"), F.bit_xor(F.xxhash64("node", "sid")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 1 and lo < hi")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "node")).alias("y"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 1 and lo < hi")
     sizes = sizes.groupBy("n", "hashes", "x", "y").agg(F.min("key").alias("key"))
     crowd = F.greatest(F.col("n") / bucket_rows, 8 * F.col("hashes") / BUCKET_BYTES)
     blocks = F.least(F.when(crowd <= 1, 1).otherwise(F.ceil(2 * crowd)), F.col("n")).cast("long")
-    buckets = stage(keyed.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "sid", "node", "blocks"), "bands", settle=True, path=f"{folder}/bands")
-    wanted = stage(buckets.select("node", "sid").distinct(), "wanted", path=f"{folder}/wanted")  # of known size: where it is small, no text is shuffled
-    sets = shingle_sets(docs, wanted, text, shingle).join(drawn.select("sid", "sketch"), "sid")
-    return _bucket_forests(_blocks(buckets, "sid").join(sets, ["node", "sid"]), ["sketch", "hashes"], _similar(jaccard))
+    buckets = stage(keyed.join(sizes.select("key", blocks.alias("blocks")), "key").select("key", "node", "blocks"), "bands", settle=True, path=f"{folder}/bands")
+    met = reps.select("node", "doc_id", "text_hash").join(buckets.select("node").distinct(), "node", "left_semi")
+    wanted = stage(met, "wanted", path=f"{folder}/wanted")  # of known size: where it is small, no text is shuffled
+    sets = shingle_sets(docs, wanted, text, shingle).join(reps.select("node", "sketch"), "node")
+    return _bucket_forests(_blocks(buckets, "node").join(sets, "node"), ["sketch", "hashes"], _similar(jaccard))
 
 
 def _blocks(rows: DataFrame, by: str) -> DataFrame:
@@ -294,65 +296,76 @@ def _blocks(rows: DataFrame, by: str) -> DataFrame:
     return met.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_mine", other), F.greatest("_mine", other)))).drop("_mine", "_other", "blocks")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096, jaccard: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 3, bucket_rows: int = 4096) -> DataFrame:
     """Per row of ``docs``: (doc_id, fp, component_id), the smallest doc_id reachable over links of at most ``radius`` differing bits.
 
-    With ``jaccard``, the links are those of texts whose shingle sets have at least that similarity; the radius then only
-    nominates.  Null, empty and wordless texts have fingerprint 0 and link like any other (with ``jaccard``: to each
-    other).  Rows with equal doc_id are separate rows of one node.  A null doc_id gets a null component.  An empty table
-    gives no rows.
+    Null, empty and wordless texts have fingerprint 0 and link like any other.  Rows with equal doc_id are separate rows of
+    one node.  A null doc_id gets a null component.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    fps = stage(fingerprints(docs, text, shingle) if jaccard is None else sketches(docs, text, shingle), "fingerprints")
+    fps = stage(fingerprints(docs, text, shingle), "fingerprints")
     known = fps.where("doc_id is not null")
-    one = "fp" if jaccard is None else "sid"
-    firsts = known.groupBy(one).agg(F.min("doc_id").alias("node"), *([] if jaccard is None else [F.min_by(F.struct("fp", "size", "sketch", "keys"), "doc_id").alias("s")]))
-    reps = stage(firsts if jaccard is None else firsts.select("sid", "node", "s.*"), "reps", settle=True)
-    same_id = known.join(reps.select(one, "node"), one).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    repeated = fps.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
-    edges = same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi")
-    if jaccard is None:
-        edges = links(reps, radius, bucket_rows).unionByName(edges)
-    else:
-        # one node of each fingerprint stands for it in the radius; sets of the same fingerprint nominate each other
-        prints = stage(reps.groupBy("fp").agg(F.min("sid").alias("node")), "prints")
-        tables = [new_path(spark, name) for name in ("buckets", "bands", "bands")]
-        near = links(prints, radius, bucket_rows, tables[0]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = stage(near, "near", settle=True)
-        remove_folder(spark, tables[0])
-        pairs = near.select(F.xxhash64(F.lit("pair"), "a", "b").alias("key"), F.explode(F.array("a", "b")).alias("sid"))
-        printed = reps.select(F.xxhash64(F.lit("print"), "fp").alias("key"), "sid", "node", "size")
-        banded = reps.select(F.posexplode("keys").alias("band", "key"), "sid", "node", "size")
-        nominated = printed.unionByName(pairs.join(reps.select("sid", "node", "size"), "sid")).unionByName(banded.where(F.col("band") < FIRST_BANDS).drop("band"))
-        drawn = reps.drop("fp", "keys")
-        edges = edges.unionByName(set_links(docs, drawn, nominated.withColumn("label", F.col("node")), jaccard, text, shingle, bucket_rows, tables[1]))
+    reps = stage(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "reps", settle=True)
+    same_id = known.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
+    repeated = fps.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")  # one id, several texts
+    comp = connected_components(links(reps, radius, bucket_rows).unionByName(same_id.join(repeated, F.col("a") == F.col("doc_id"), "left_semi")))
+    labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def similar_rows(docs: DataFrame, text: str = "text", radius: int = 3, shingle: int = 5, jaccard: float = 0.8, bucket_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash) of ``docs``, and per shingle set one row that stands for it: (node, doc_id, text_hash, group).
+
+    Sets are in one group where a chain of sets of at least ``jaccard`` similarity joins them; sets without words are equal.
+    What stands for a set is its row of the smallest doc_id, nulls last.  Ids don't join texts.  A pair at ``jaccard`` shares
+    none of the sketch's keys with probability 0.00003, and one within the radius always shares a mask's.
+    """
+    spark = docs.sparkSession
+    drawn = stage(sketches(docs, text, shingle), "sketches")
+    whole = F.struct("doc_id", "text_hash", "fp", "size", "sketch", "keys")
+    firsts = drawn.groupBy("sid").agg(F.min_by(whole, F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("s"))
+    reps = stage(firsts.select("s.*").withColumn("node", F.monotonically_increasing_id()), "reps", settle=True)  # written, so the numbers stay
+    masked = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(radius))]))
+    banded = reps.select(F.posexplode("keys").alias("band", "key"), "node", "size")
+    # the masks' buckets first; then of the bands' those that are not joined by then, in two turns
+    turns = [reps.select(masked.alias("key"), "node", "size"), banded.where(F.col("band") < FIRST_BANDS).drop("band"), banded.where(F.col("band") >= FIRST_BANDS).drop("band")]
+    joined = None
+    for keyed in turns:
+        folder = new_path(spark, "bands")
+        if joined is None:
+            keyed = keyed.withColumn("label", F.col("node"))
+        else:
+            keyed = keyed.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        edges = set_links(docs, reps, keyed, jaccard, text, shingle, bucket_rows, folder)
+        if joined is not None:
+            edges = edges.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
         joined = stage(connected_components(edges), "joined", settle=True)
-        remove_folder(spark, tables[1])
-        rest = banded.where(F.col("band") >= FIRST_BANDS).drop("band").join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        edges = set_links(docs, drawn, rest, jaccard, text, shingle, bucket_rows, tables[2]).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    comp = connected_components(edges)  # written: nothing reads the tables of the edges any more
-    if jaccard is not None:
-        remove_folder(spark, tables[2])
-    labels = reps.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(one, F.coalesce("component", "node").alias("component_id"))
-    return fps.select("doc_id", *{"fp": 0, one: 0}).join(labels, one, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        remove_folder(spark, folder)
+    groups = reps.select("node", "doc_id", "text_hash").join(joined, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    return drawn.select("doc_id", "text_hash"), groups
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of the smallest doc_id.
+    """``docs`` with one row of each group of ``similar_rows``: the one of the smallest doc_id, nulls last.
 
-    Rows of a null doc_id take part under an id of their text, which is larger than any below 2**62.  Of rows that repeat
-    an id, the one of the smallest text is left (nulls last, then by the other columns' hash).
+    Decisions fall on rows: unlike texts under one id, or under none, each stay.  Of rows alike in id and text the one with the
+    smallest hash of all columns stays.
     """
-    node = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    marked = docs.withColumn("_node", node)
-    near = near_duplicates(docs.select(node.alias("doc_id"), "text"), **options).groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
-    # most rows are alone: the others' ids are the shorter list, and small enough at times to spare the texts a shuffle
-    others = stage(near.select("_id", (F.col("_id") != F.col("_first")).alias("_gone"), "_rows").where("_gone or _rows > 1"), "others", settle=True)
-    single = marked.join(others, marked["_node"] == others["_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, groups = similar_rows(docs.select("doc_id", "text"), **options)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = groups.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k")).select("k.*")
+    alike = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    same = (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+    told = alike.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), same, "left")
+    # most rows are alone and stay: the others' list is the shorter one, and small enough at times to spare the texts a shuffle
+    others = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("_hash").isNull().alias("_gone"), "n").where("_gone or n > 1")
+    others = stage(others, "others", settle=True)
+    own = F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
+    on = (own == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    single = docs.join(others, on, "left_anti")
     repeated = others.where("not _gone")
     if not repeated.limit(1).count():
         return single
-    rows = marked.join(repeated, marked["_node"] == repeated["_id"])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = rows.groupBy("_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text", F.xxhash64(row))).alias("_row"))
+    again = docs.join(repeated, on).select("_id", "_hash", row.alias("_row"))
+    first = again.groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return single.unionByName(first.select("_row.*"))
