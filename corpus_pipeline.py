@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from abyssal.llm import decontaminate, langid, packing, simhash, substring
 from abyssal.llm.common import stage
 
-#: Near-duplicates: five-word shingles.  63 masks cover all pairs up to five bits; sketches find the copies at 0.8 and more that lie further apart.
-SHINGLE, RADIUS, JACCARD = 5, 5, 0.8
+#: Near-duplicates: five-word shingles at a similarity of 0.8.  15 masks nominate all pairs up to three bits; sketches nominate the copies that lie further apart.
+SHINGLE, RADIUS, JACCARD = 5, 3, 0.8
 #: The workers of earlier stages are still there: a smaller word cache than the operator's own.
 CACHE_WORDS = 250_000
 
@@ -20,7 +20,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, whatever ids repeat or are null."""
+    """One row of each near-duplicate group; unlike texts stay, whatever ids repeat or are null."""
     return simhash.keep_first(docs, shingle=SHINGLE, radius=RADIUS, jaccard=JACCARD)
 
 
