@@ -14,16 +14,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import from_ipc, pack, segments, small_batches, stage, tidy, unpack
+from .common import from_ipc, pack, segments, stage, tidy, unpack
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: 100 * f(longer) >= COVERED * f(phrase) drops the phrase.
 COVERED = 80
 #: Places of a pivot that one task counts, about; n-grams held by a task at a time.
-PIVOT_PLACES, HELD = 1 << 21, 1 << 21
+PIVOT_PLACES, HELD = 1 << 20, 1 << 19
 _SPLIT = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
 
@@ -40,12 +41,11 @@ def encoded(docs: DataFrame) -> DataFrame:
     """(segment_id, lang, words, counts, body): the texts of a language in a segment as places in its own list of words, 0 between pieces and texts."""
     picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     segs = segments(picked, ["lang", "text"])
-    small_batches(docs.sparkSession, 8)
 
     def each(batches):
         for b in batches:
-            for seg, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = from_ipc(body)
+            for i in range(b.num_rows):
+                seg, t = b.column(0)[i].as_py(), from_ipc(b.column(1)[i].as_py())
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(t.column("lang").to_pylist(), t.column("text"), strict=True):
                     held = by_lang.setdefault(lang, [])
@@ -111,43 +111,53 @@ def weighted(pivot: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[first], np.diff(np.append(first, len(s)))
 
 
+def _same(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings like rows of numbers together, and where each run of them starts."""
+    small = not x.size or int(x.max()) < 1 << 32
+    keys = [x[:, c].astype(np.uint64) << np.uint64(32) | x[:, c + 1].astype(np.uint64) for c in range(0, x.shape[1] - 1, 2)] + ([x[:, -1]] if x.shape[1] % 2 else []) if small else list(x.T)
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    s = [k[order] for k in keys]
+    new = np.ones(len(x), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in s])
+    return order, np.flatnonzero(new)
+
+
 def ngram_counts(rows: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, reach: int, lengths) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of ``lengths`` words with the pivot (the middle column) inside, zeros behind, and their weights."""
-    out, w = [np.zeros((0, reach + 1), np.int64)], [np.zeros(0, np.int64)]
+    wide = max(lengths)
+    out, w = [np.zeros((0, wide), np.int64)], [np.zeros(0, np.int64)]
     for n in lengths:
         for before in range(n):
             at = np.flatnonzero((left >= before) & (right >= n - 1 - before))
-            x = np.zeros((len(at), reach + 1), np.int64)
+            x = np.zeros((len(at), wide), np.int64)
             x[:, :n] = rows[at, reach - before : reach - before + n]
             out.append(x)
             w.append(weight[at])
     x, w = np.concatenate(out), np.concatenate(w)
     if not len(x):
         return x, w
-    order = np.lexsort(x.T[::-1])
-    x, w = x[order], w[order]
-    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
-    return x[first], np.add.reduceat(w, first)
+    order, first = _same(x)
+    return x[order[first]], np.add.reduceat(w[order], first)
 
 
 def owned(rows: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, reach: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that the pivots of the fragments own, of a weight of ``least`` or more.  Pairs first: they tell where a fragment may end."""
     if least > 1:
         pairs, n = ngram_counts(rows, np.minimum(left, 1), np.minimum(right, 1), weight, reach, (2,))
-        pairs = pairs[n >= least, :2]
-        known = set(map(tuple, pairs.tolist())) if len(pairs) else set()
-        if not known:
-            return np.zeros((0, reach + 1), np.int64), np.zeros(0, np.int64)
+        pairs = pairs[n >= least]
         ends = np.unique(pairs)
+        key = np.sort(np.searchsorted(ends, pairs[:, 0]) * len(ends) + np.searchsorted(ends, pairs[:, 1]))
 
         def frequent(a, b, able):
-            some = np.flatnonzero(able)
-            some = some[np.isin(a[some], ends) & np.isin(b[some], ends)]
-            return some[[x in known for x in zip(a[some].tolist(), b[some].tolist(), strict=True)]] if len(some) else some
-
-        keep_left, keep_right = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-        keep_left[frequent(rows[:, reach - 1], rows[:, reach], left > 0)] = True
-        keep_right[frequent(rows[:, reach], rows[:, reach + 1], right > 0)] = True
+            if not len(key):
+                return np.zeros(len(a), bool)
+            i, j = (np.minimum(np.searchsorted(ends, x), len(ends) - 1) for x in (a, b))
+            k = i * len(ends) + j
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            return able & (ends[i] == a) & (ends[j] == b) & (key[at] == k)
+
+        keep_left = frequent(rows[:, reach - 1], rows[:, reach], left > 0)
+        keep_right = frequent(rows[:, reach], rows[:, reach + 1], right > 0)
         left, right = np.where(keep_left, left, 0), np.where(keep_right, right, 0)
         able = keep_left | keep_right
         rows, left, right, weight = rows[able], left[able], right[able], weight[able]
@@ -155,75 +165,106 @@ def owned(rows: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndar
     return x[n >= least], n[n >= least]
 
 
-def _dealt(texts: DataFrame, longest: int, pivot_places: int) -> DataFrame:
-    """``texts`` (segment_id, body, ids, parts) -> (pivot, salt, split, left, right, weight, words): the fragments of a pivot in a segment."""
+#: Weights above this are cut in several.
+_WEIGHT = (1 << 24) - 1
+
+
+def _dealt(texts: DataFrame, longest: int, wide: str) -> DataFrame:
+    """``texts`` (segment_id, body, n_words, known) -> (pivot, salt, heads, words): the fragments of a pivot in a segment.
+
+    A head is weight, words to the left and words to the right; the words are numbers of the type ``wide``, without the
+    pivot.  ``salt`` is -1, or for a pivot of several parts the part.
+    """
     reach = longest - 1
+    inside = np.arange(-reach, reach + 1)
+
+    def binary(offsets: np.ndarray, body: np.ndarray) -> pa.Array:
+        size = body.dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * size).astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
 
     def each(batches):
         for b in batches:
-            for seg, body, ids, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                number, split = np.array([0, *ids], np.int64), np.array([1, *parts], np.int64)
-                local = unpack(body).astype(np.int64)
-                pivot, left, right, rows = fragments(number[local], reach)
+            for i in range(b.num_rows):
+                seg, n_words, known = b.column(0)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].values
+                at, ids, parts = (known.field(c).to_numpy() for c in range(3))
+                number = np.zeros(n_words + 1, np.int64)
+                number[at + 1] = ids
+                pivot, left, right, rows = fragments(number[unpack(b.column(1)[i].as_py()).astype(np.int64)], reach)
                 if not len(pivot):
                     continue
-                at, weight = weighted(pivot, rows)
-                pivot, left, right, rows = pivot[at], left[at], right[at], rows[at]
+                held, weight = weighted(pivot, rows)
+                again = -(-weight // _WEIGHT)
+                if (again > 1).any():
+                    held, rest = np.repeat(held, again), np.repeat(weight - (again - 1) * _WEIGHT, again)
+                    last = np.cumsum(again) - 1
+                    weight = np.full(len(held), _WEIGHT)
+                    weight[last] = rest[last]
+                pivot, left, right, rows = pivot[held], left[held], right[held], rows[held]
                 starts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1]]))
-                cut = pa.array(np.append(starts, len(pivot)), pa.int32())
-                inside = np.arange(-reach, reach + 1)
-                words = rows[(inside >= -left[:, None]) & (inside <= right[:, None]) & (inside != 0)]
-                ends = np.append(0, np.cumsum(left + right))[np.append(starts, len(pivot))]
-                of = dict(zip(number.tolist(), split.tolist(), strict=True))
-                n = np.array([of[p] for p in pivot[starts].tolist()], np.int64)
-                lists = [pa.ListArray.from_arrays(cut, pa.array((left << 4 | right).astype(np.int8))), pa.ListArray.from_arrays(cut, pa.array(weight.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array(pivot[starts]), pa.array(seg % n), pa.array(n > 1), *lists], names=["pivot", "salt", "split", "shape", "weight", "words"])
+                words = rows[(inside >= -left[:, None]) & (inside <= right[:, None]) & (inside != 0)].astype(wide)
+                ends = np.append(starts, len(pivot))
+                heads = (weight << 8 | left << 4 | right).astype("<u4")
+                order = np.argsort(ids)
+                n = parts[order[np.searchsorted(ids, pivot[starts], sorter=order)]]
+                cols = [pa.array(pivot[starts]), pa.array(np.where(n > 1, seg % n, -1)), binary(ends, heads), binary(np.append(0, np.cumsum(left + right))[ends], words)]
+                yield pa.RecordBatch.from_arrays(cols, names=["pivot", "salt", "heads", "words"])
 
-    return texts.mapInArrow(tidy(each), "pivot long, salt long, split boolean, shape array<tinyint>, weight array<int>, words array<long>")
+    return texts.mapInArrow(tidy(each), "pivot long, salt long, heads binary, words binary")
 
 
-def _mined(dealt: DataFrame, longest: int, least: int, held: int) -> DataFrame:
+def _mined(dealt: DataFrame, longest: int, least: int, held: int, wide: str) -> DataFrame:
     """Fragments, all of a pivot's part together -> (gram array<long>, f): counts of the n-grams that pivots own; of split pivots, parts of counts."""
     reach = longest - 1
+    inside = np.arange(-reach, reach + 1)
+
+    def counted(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+        heads = np.frombuffer(b"".join(rows.column(2).to_pylist()), "<u4").astype(np.int64)
+        words = np.frombuffer(b"".join(rows.column(3).to_pylist()), wide).astype(np.int64)
+        n = np.asarray(pa.compute.binary_length(rows.column(2))) // 4
+        left, right = heads >> 4 & 15, heads & 15
+        table = np.zeros((len(heads), 2 * reach + 1), np.int64)
+        table[:, reach] = np.repeat(rows.column(0).to_numpy(), n)
+        table[(inside >= -left[:, None]) & (inside <= right[:, None]) & (inside != 0)] = words
+        x, f = owned(table, left, right, heads >> 8, reach, least if whole else 1)
+        size = (x > 0).sum(axis=1)
+        grams = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(x[x > 0], pa.int64()))
+        return pa.RecordBatch.from_arrays([grams, pa.array(f, pa.int64())], names=["gram", "f"])
 
     def each(batches):
-        def done(whole: bool):
-            pivot, shape, weight, words = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            left, right = shape.astype(np.int64) >> 4, shape.astype(np.int64) & 15
-            rows = np.zeros((len(pivot), 2 * reach + 1), np.int64)
-            rows[:, reach] = pivot
-            inside = np.arange(-reach, reach + 1)
-            rows[(inside >= -left[:, None]) & (inside <= right[:, None]) & (inside != 0)] = words
-            x, n = owned(rows, left, right, weight.astype(np.int64), reach, least if whole else 1)
-            size = (x > 0).sum(axis=1)
-            grams = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(x[x > 0], pa.int64()))
-            return pa.RecordBatch.from_arrays([grams, pa.array(n, pa.int64())], names=["gram", "f"])
-
-        waiting, size, last = [], 0, None
+        """Unsplit pivots come first, each whole; of split ones any rows may be counted together."""
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def told(whole: bool, rest: bool):
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting.clear()
+            pivots = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(pivots, pivots[-1])) if whole and not rest else rows.num_rows  # the last pivot may go on
+            if cut < rows.num_rows:
+                waiting.append(rows.slice(cut))
+            return counted(rows.slice(0, cut), whole) if cut else None
+
+        kind = True
         for b in batches:
-            if not b.num_rows:
-                continue
-            pivots, salts, split = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lists = [b.column(i) for i in (3, 4, 5)]
-            changes = np.flatnonzero(np.concatenate([[True], (pivots[1:] != pivots[:-1]) | (salts[1:] != salts[:-1])]))
-            for s, e in zip(changes, np.append(changes[1:], len(pivots)), strict=True):
-                key = (int(pivots[s]), int(salts[s]), bool(split[s]))
-                # a pivot's part ends here unless it goes on from the last batch; parts of split pivots are counted on their own
-                if waiting and key != last and (size >= held or key[2] != last[2]):
-                    yield done(not last[2])
-                    waiting, size = [], 0
-                elif waiting and last[2] and size >= held:
-                    yield done(False)
-                    waiting, size = [], 0
-                parts = [c.slice(s, e - s) for c in lists]
-                n = np.diff(parts[0].offsets.to_numpy())
-                waiting.append((np.repeat(pivots[s:e], n), *(c.flatten().to_numpy() for c in parts)))
-                size += int(n.sum())
-                last = key
+            n = int(np.searchsorted(b.column(1).to_numpy(), 0))  # rows of unsplit pivots
+            for part, whole in ((b.slice(0, n), True), (b.slice(n), False)):
+                if not part.num_rows:
+                    continue
+                if waiting and whole != kind:
+                    yield told(kind, True)
+                    size = 0
+                kind = whole
+                for s in range(0, part.num_rows, 256):
+                    waiting.append(part.slice(s, 256))
+                    size += pa.compute.sum(pa.compute.binary_length(waiting[-1].column(2))).as_py() // 4
+                    if size >= held:
+                        out, size = told(whole, False), 0  # what waits of the last pivot isn't counted again: no more than a part of a pivot
+                        if out is not None:
+                            yield out
         if waiting:
-            yield done(not last[2])
+            yield told(kind, True)
 
-    ready = dealt.repartition("pivot", "salt").sortWithinPartitions("split", "pivot", "salt")
+    ready = dealt.repartition("pivot", "salt").sortWithinPartitions("salt", "pivot")
     return ready.mapInArrow(tidy(each), "gram array<long>, f long")
 
 
@@ -241,23 +282,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     # rarer words have no number; the list of a segment is no longer than its text
     parts = F.ceil(F.col("f") / pivot_places)
     known = listed.join(number.select("lang", "word", "id", parts.alias("parts")), ["lang", "word"]).groupBy("segment_id", "lang").agg(F.sort_array(F.collect_list(F.struct("at", "id", "parts"))).alias("known"))
-    filled = texts.select("segment_id", "lang", "body", F.size("words").alias("n_words")).join(known, ["segment_id", "lang"])
-    small_batches(docs.sparkSession, 8)
-
-    def each(batches):
-        for b in batches:
-            ids, parts = [], []
-            for n, k in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-                at, i, p = (k.values.field(c).to_numpy() for c in ("at", "id", "parts"))
-                for out, x, none in ((ids, i, 0), (parts, p, 1)):
-                    full = np.full(n, none, np.int64)
-                    full[at] = x
-                    out.append(full)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], names=["segment_id", "body", "ids", "parts"])
-
-    listed_ids = filled.select("segment_id", "body", "n_words", "known").mapInArrow(tidy(each), "segment_id long, body binary, ids array<long>, parts array<long>")
-    dealt = _dealt(listed_ids, longest, pivot_places)
-    grams = stage(_mined(dealt, longest, least, held).groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grams", settle=True)
+    ready = texts.select("segment_id", "body", F.size("words").alias("n_words"), "lang").join(known, ["segment_id", "lang"]).select("segment_id", "body", "n_words", "known")
+    wide = "<u4" if (number.agg(F.max("id")).first()[0] or 0) < 1 << 32 else "<u8"
+    dealt = _dealt(ready, longest, wide)
+    grams = stage(_mined(dealt, longest, least, held, wide).groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "grams", settle=True)
     placed = grams.select("gram", "f", F.posexplode("gram").alias("i", "id")).join(number.select("id", "lang", "word"), "id")
     named = placed.groupBy("gram").agg(F.first("f").alias("f"), F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("i", "word"))).alias("x"))
     phrases = named.select("lang", F.transform("x", lambda x: x["word"]).alias("words"), "f").unionByName(number.select("lang", F.array("word").alias("words"), "f"))
