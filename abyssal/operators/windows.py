@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places of a block: what is carried along a trace goes from block to block, one row each, so no task orders a whole trace.
+BLOCK = 86_400
+
+
 def _seconds(ts: str = "ts") -> Column:
     return F.unix_micros(ts) / 1e6
 
@@ -64,15 +71,43 @@ def newest(samples: DataFrame, *keys: str, by: str) -> DataFrame:
     return samples.groupBy(*keys).agg(F.max_by("v", by).alias("v"))
 
 
-def fill_gaps(trace: DataFrame) -> DataFrame:
+def carried(trace: DataFrame, block: int = BLOCK, **values: Column) -> DataFrame:
+    """``trace`` (component, seq, ...) with, for each ``name`` of ``values``, ``name_before``: the last non-null value at or before a place, and ``name_after``: the first at or after.
+
+    A scan of two levels: inside each block of places, and over one row a block with its first and last value, which is
+    joined back by the block.
+    """
+    rows = trace.withColumns({"_block": F.floor(F.col("seq") / block), **{f"_{n}": v for n, v in values.items()}})
+    w = Window.partitionBy("component", "_block").orderBy("seq")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    inside = rows.select("*", *[F.last(f"_{n}", True).over(back).alias(f"_{n}0") for n in values], *[F.first(f"_{n}", True).over(ahead).alias(f"_{n}1") for n in values])
+    known = lambda n: F.col(f"_{n}").isNotNull()
+    state = rows.groupBy("component", "_block").agg(*[F.max_by(f"_{n}", F.when(known(n), F.col("seq"))).alias(f"_{n}l") for n in values], *[F.min_by(f"_{n}", F.when(known(n), F.col("seq"))).alias(f"_{n}f") for n in values])
+    over = Window.partitionBy("component").orderBy("_block")
+    earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    carry = state.select("component", "_block", *[F.last(f"_{n}l", True).over(earlier).alias(f"_{n}e") for n in values], *[F.first(f"_{n}f", True).over(later).alias(f"_{n}n") for n in values])
+    out = inside.join(carry, ["component", "_block"])
+    told = {f"{n}_before": F.coalesce(f"_{n}0", f"_{n}e") for n in values} | {f"{n}_after": F.coalesce(f"_{n}1", f"_{n}n") for n in values}
+    return out.select(*trace.columns, *[v.alias(k) for k, v in told.items()])
+
+
+def haloed(trace: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
+    """``trace`` in blocks that also hold the ``before`` places ahead of them and the ``after`` behind: columns ``_block``, and ``_own`` for the block's own places."""
+    if max(before, after) > block:
+        raise ValueError("a block must be as long as what reaches into it")
+    own, at = F.floor(F.col("seq") / block), F.pmod(F.col("seq"), F.lit(block))
+    to = F.array_compact(F.array(own, F.when(at < after, own - 1), F.when(at >= block - before, own + 1)))
+    return trace.select("*", own.alias("_home"), F.explode(to).alias("_block")).withColumn("_own", F.col("_home") == F.col("_block")).drop("_home")
+
+
+def fill_gaps(trace: DataFrame, block: int = BLOCK) -> DataFrame:
     """Dense trace: missing places between the first and last are interpolated linearly."""
     ends = trace.groupBy("component").agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
-    grid = ends.select("component", F.explode(F.sequence("a", "b")).alias("seq"))
-    w = Window.partitionBy("component").orderBy("seq")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("v").isNotNull(), F.col("seq"))
-    out = grid.join(trace, ["component", "seq"], "left").select("component", "seq", "v", F.last("v", True).over(before).alias("v0"), F.first("v", True).over(after).alias("v1"), F.last(at, True).over(before).alias("s0"), F.first(at, True).over(after).alias("s1"))
-    line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("seq") - F.col("s0")) / F.nullif(F.col("s1") - F.col("s0"), F.lit(0))
+    blocks = ends.select("component", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))).alias("_block"))
+    grid = blocks.select("component", F.explode(F.sequence(F.greatest("a", F.col("_block") * block), F.least("b", (F.col("_block") + 1) * block - 1))).alias("seq"))
+    known = F.when(F.col("v").isNotNull(), F.struct("seq", "v"))
+    out = carried(grid.join(trace, ["component", "seq"], "left").select("component", "seq", "v"), block, at=known)
+    line = F.col("at_before.v") + (F.col("at_after.v") - F.col("at_before.v")) * (F.col("seq") - F.col("at_before.seq")) / F.nullif(F.col("at_after.seq") - F.col("at_before.seq"), F.lit(0))
     return out.select("component", "seq", F.coalesce("v", line).alias("v"))
 
 
@@ -97,20 +132,43 @@ def detrend_line(data: Column) -> Column:
     return F.transform(data, lambda x, i: x - a - slope * i)
 
 
-def decimate(trace: DataFrame, taps: list[float], every: int) -> DataFrame:
-    """FIR low-pass over the rows around each place, then every ``every``-th; places without all taps are dropped."""
-    w = Window.partitionBy("component").orderBy("seq")
+def lowpass(every: int, attenuation: float = 70.0, width: float = 0.4) -> list[float]:
+    """Taps of a windowed sinc that leaves what ``every``-th places can hold: a Kaiser window for the attenuation in dB, the stop band from the new Nyquist frequency on.
+
+    ``width`` is the transition's share of the pass band below that; the taps add up to one.
+    """
+    edge = math.pi / every
+    half = math.ceil((attenuation - 8) / (2.285 * width * edge) / 2)
+    beta = 0.1102 * (attenuation - 8.7) if attenuation > 50 else 0.5842 * max(attenuation - 21, 0) ** 0.4 + 0.07886 * max(attenuation - 21, 0)
+    n, cutoff = np.arange(-half, half + 1), edge * (1 - width / 2)
+    taps = np.sinc(n * cutoff / math.pi) * np.kaiser(2 * half + 1, beta)
+    return (taps / taps.sum()).tolist()
+
+
+def decimate(trace: DataFrame, taps: list[float], every: int, block: int = BLOCK) -> DataFrame:
+    """FIR low-pass over the rows around each place, then every ``every``-th; places without all taps are dropped.  Blocks carry the rows that reach into them."""
     half = len(taps) // 2
-    total = sum(((F.lag("v", half - i) if i <= half else F.lead("v", i - half)).over(w) * t for i, t in enumerate(taps)), F.lit(0.0))
-    return trace.withColumn("y", total).where((F.pmod("seq", F.lit(every)) == 0) & F.col("y").isNotNull()).select("component", "seq", F.col("y").alias("v"))
+    w = Window.partitionBy("component", "_block").orderBy("seq").rowsBetween(-half, half)
+    near = haloed(trace, half, half, max(block, half)).withColumn("_x", F.collect_list("v").over(w))
+    whole = near.where("_own").where((F.pmod("seq", F.lit(every)) == 0) & (F.size("_x") == len(taps)))
+    total = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, taps)), lambda x, t: x * t), F.lit(0.0), lambda acc, x: acc + x)
+    return whole.select("component", "seq", total.alias("v"))
+
+
+def decimate_chain(trace: DataFrame, stages: tuple[int, ...] = (5, 5, 2), attenuation: float = 70.0, block: int = BLOCK) -> DataFrame:
+    """(component, seq, v): stages of low-pass and decimation, one after another; ``seq`` stays that of the first trace, so kept places are their product apart."""
+    so_far = 1
+    for every in stages:
+        trace = decimate(trace, lowpass(every, attenuation), every, block).withColumn("seq", F.expr(f"seq div {every}"))
+        so_far *= every
+    return trace.withColumn("seq", F.col("seq") * so_far)
 
 
-def fill_outliers(trace: DataFrame, limit: float) -> DataFrame:
+def fill_outliers(trace: DataFrame, limit: float, block: int = BLOCK) -> DataFrame:
     """Values over ``limit`` take the last good one before them; a leading run takes the trace's last value."""
-    w = Window.partitionBy("component").orderBy("seq")
-    good = F.last(F.when(F.col("v") <= limit, F.col("v")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    tail = F.last("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return trace.withColumn("v", F.coalesce(good, tail))
+    out = carried(trace, block, good=F.when(F.col("v") <= limit, F.col("v")))
+    tail = trace.groupBy("component").agg(F.max_by("v", "seq").alias("_tail"))
+    return out.join(tail, "component").withColumn("v", F.coalesce("good_before", "_tail")).select(*trace.columns)
 
 
 def normalise_azimuth(angle: Column, azimuth: Column) -> tuple[Column, Column]:
@@ -123,7 +181,9 @@ def azimuth_outlier(azimuth: Column, mean: Column, intended: bool = False) -> Co
     return low | high if intended else low & high
 
 
-def smooth(trace: DataFrame, size: int = 10) -> DataFrame:
-    """Order-1 Savitzky-Golay: in the interior a moving mean of ``size``; null where the frame isn't full."""
-    w = Window.partitionBy("component").orderBy("seq").rowsBetween(-(size // 2 - 1), size // 2)
-    return trace.withColumn("smooth", F.when(F.count("v").over(w) == size, F.avg("v").over(w)))
+def smooth(trace: DataFrame, size: int = 10, block: int = BLOCK) -> DataFrame:
+    """Order-1 Savitzky-Golay: in the interior a moving mean of ``size``; null where the frame isn't full.  Blocks carry the rows that reach into them."""
+    before, after = size // 2 - 1, size // 2
+    w = Window.partitionBy("component", "_block").orderBy("seq").rowsBetween(-before, after)
+    near = haloed(trace, before, after, max(block, size)).withColumn("smooth", F.when(F.count("v").over(w) == size, F.avg("v").over(w)))
+    return near.where("_own").drop("_own", "_block")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
-from ..operators import clean, posterior, quality, spectral, windows
+from ..operators import clean, posterior, quality, rotation, spectral, windows
 from ..sources.traces import read_samples, read_segments
 from .registry import query
 
@@ -37,11 +37,13 @@ cr AS (SELECT x, y, a.k, avg(a.re * a.re + a.im * a.im) AS pxx, avg(b.re * b.re
   FROM pr JOIN ft a ON a.component = x JOIN ft b ON b.component = y AND a.window_id = b.window_id AND a.k = b.k GROUP BY ALL),
 cs AS (SELECT x, y, k, k / 64 AS f, pxx * z AS pxx, pyy * z AS pyy, re * z AS re, im * z AS im, coh2 FROM (SELECT *, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 24 AS z, (re * re + im * im) / nullif(pxx * pyy, 0) AS coh2 FROM cr))"""
 )
+#: Places of a block: the hours of a day.
+DAY = 24
 PAIRS = [("H", "Z"), ("1", "Z"), ("2", "Z"), ("1", "2")]
 
 
 def trace(spark, sf):
-    return windows.fill_gaps(windows.hourly(read_samples(spark, sf)))
+    return windows.fill_gaps(windows.hourly(read_samples(spark, sf)), DAY)
 
 
 def segments(spark, sf):
@@ -120,7 +122,27 @@ def _(spark, sf):
 
 @query("fir_decimate", f"WITH {T} SELECT component, seq, y AS v FROM (SELECT component, seq, 0.1 * lag(v, 2) OVER w + 0.2 * lag(v, 1) OVER w + 0.4 * v + 0.2 * lead(v, 1) OVER w + 0.1 * lead(v, 2) OVER w AS y FROM t WINDOW w AS (PARTITION BY component ORDER BY seq)) WHERE seq % 5 = 0 AND y IS NOT NULL", "v", 8)
 def _(spark, sf):
-    return windows.decimate(trace(spark, sf), [0.1, 0.2, 0.4, 0.2, 0.1], 5)
+    return windows.decimate(trace(spark, sf), [0.1, 0.2, 0.4, 0.2, 0.1], 5, DAY)
+
+
+#: Ten minutes between places, in seconds, and the blocks of a day.
+_TEN, _TEN_DAY = 600, 144
+_TT = T.replace("/ 3600) AS BIGINT) AS seq", f"/ {_TEN}) AS BIGINT) AS seq")
+
+
+def _fir(stage: int, every: int, of: str) -> str:
+    """SQL of one stage: every place's sum over taps, where all of them are there."""
+    taps = windows.lowpass(every)
+    rows = ", ".join(f"({i - len(taps) // 2}, {t!r}::DOUBLE)" for i, t in enumerate(taps))
+    return f"p{stage}(j, c) AS (VALUES {rows}), f{stage} AS (SELECT a.component, a.seq // {every} AS seq, sum(b.v * c) AS v FROM {of} a JOIN p{stage} ON true JOIN {of} b ON b.component = a.component AND b.seq = a.seq + j WHERE a.seq % {every} = 0 GROUP BY ALL HAVING count(*) = {len(taps)})"
+
+
+@query("decimate_by_fifty", f"WITH {_TT}, {_fir(1, 5, 't')}, {_fir(2, 5, 'f1')}, {_fir(3, 2, 'f2')} SELECT component, seq * 50 AS seq, v FROM f3", "v", 6)
+def _(spark, sf):
+    """Three stages of low-pass and decimation, 5, 5 and 2, on means of ten minutes."""
+    s = read_samples(spark, sf)
+    ten = s.groupBy("component", F.floor((F.unix_seconds("ts") - 1_704_067_200) / _TEN).alias("seq")).agg(F.avg("v").alias("v"))
+    return windows.decimate_chain(windows.fill_gaps(ten, _TEN_DAY), block=_TEN_DAY)
 
 
 @query("tukey_hann_taper", "SELECT n, CASE WHEN least(n, 63 - n) < 7.875 THEN 0.5 * (1 - cos(pi() * least(n, 63 - n) / 7.875)) ELSE 1 END AS tukey, 0.5 - 0.5 * cos(2 * pi() * n / 63) AS hanning, 0.5 - 0.5 * cos(2 * pi() * n / 64) AS hann FROM range(64) r(n)", "tukey hanning hann")
@@ -235,12 +257,12 @@ def _(spark, sf):
 
 @query("savgol_smooth", f"WITH {T} SELECT component, seq, CASE WHEN count(v) OVER w = 10 THEN avg(v) OVER w END AS smooth FROM t WINDOW w AS (PARTITION BY component ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)", "smooth", 8)
 def _(spark, sf):
-    return windows.smooth(trace(spark, sf)).select("component", "seq", "smooth")
+    return windows.smooth(trace(spark, sf), block=DAY).select("component", "seq", "smooth")
 
 
 @query("outlier_ffill", f"WITH {T} SELECT component, seq, coalesce(last_value(CASE WHEN v <= 60 THEN v END IGNORE NULLS) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), last_value(v) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM t", "v", 8)
 def _(spark, sf):
-    return windows.fill_outliers(trace(spark, sf), 60)
+    return windows.fill_outliers(trace(spark, sf), 60, DAY)
 
 
 @query("azimuth_normalise", f"WITH {T} SELECT component, seq, abs(v - 50) AS angle, fmod(fmod(CASE WHEN v - 50 < 0 THEN v * 4 + 180 ELSE v * 4 END, 360) + 360, 360) AS azimuth FROM t", "angle azimuth", 8)
@@ -288,7 +310,11 @@ def _(spark, sf):
 
 def _wide(spark, sf):
     t = trace(spark, sf).withColumn("day", F.floor(F.col("seq") / 24))
-    return t.groupBy("day", "seq").pivot("component", ["Z", "1", "2"]).agg(F.first("v")).where("`Z` is not null and `1` is not null and `2` is not null").select("day", F.col("Z").alias("z"), F.col("1").alias("a"), F.col("2").alias("b"))
+    return t.groupBy("day", "seq").pivot("component", ["Z", "1", "2"]).agg(F.first("v")).where("`Z` is not null and `1` is not null and `2` is not null").select("day", "seq", F.col("Z").alias("z"), F.col("1").alias("a"), F.col("2").alias("b"))
+
+
+def _plain(spark, sf):
+    return _wide(spark, sf).drop("day")
 
 
 @query("tilt_fit", f"WITH {T}, w AS (SELECT seq // 24 AS day, seq, max(v) FILTER (component = 'Z') AS z, max(v) FILTER (component = '1') AS a, max(v) FILTER (component = '2') AS b FROM t GROUP BY 1, 2 HAVING z IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), m AS (SELECT day, var_pop(z) AS zz, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(z, a) AS za, covar_pop(z, b) AS zb FROM w GROUP BY day), c AS (SELECT *, (za * bb - zb * ab) / nullif(aa * bb - ab * ab, 0) AS b1, (zb * aa - za * ab) / nullif(aa * bb - ab * ab, 0) AS b2 FROM m) SELECT day, b1, b2, degrees(atan2(b2, b1)) AS azimuth, degrees(atan(sqrt(b1 * b1 + b2 * b2))) AS angle, zz / nullif(zz - b1 * za - b2 * zb, 0) AS variance_ratio FROM c", "b1 b2 azimuth angle variance_ratio", 5)
@@ -296,6 +322,33 @@ def _(spark, sf):
     return clean.tilt(_wide(spark, sf), "z", "a", "b", "day")
 
 
+_ROTATION = f"""WITH {T}, w AS (SELECT seq, max(v) FILTER (component = 'Z') AS z, max(v) FILTER (component = '1') AS a, max(v) FILTER (component = '2') AS b FROM t GROUP BY 1 HAVING z IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+o AS (SELECT *, unnest([seq // 24, seq // 24 - 1]) AS window_id FROM w),
+m AS (SELECT window_id, count(*) AS n, var_pop(z) AS zz, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(z, a) AS za, covar_pop(z, b) AS zb FROM o GROUP BY 1),
+c AS (SELECT *, (za * bb - zb * ab) / nullif(aa * bb - ab * ab, 0) AS b1, (zb * aa - za * ab) / nullif(aa * bb - ab * ab, 0) AS b2 FROM m),
+r AS (SELECT window_id, n, CASE WHEN n < 24 THEN 'too few values' WHEN b1 IS NULL OR aa * bb - ab * ab < 1e-12 * aa * bb THEN 'singular' END AS error, b1, b2, zz, za, zb FROM c)"""
+
+
+@query("rotation_windows", _ROTATION + " SELECT window_id, n, error, CASE WHEN error IS NULL THEN degrees(atan2(b2, b1)) END AS azimuth, CASE WHEN error IS NULL THEN degrees(atan(sqrt(b1 * b1 + b2 * b2))) END AS angle, CASE WHEN error IS NULL THEN zz * (1 + b1 * b1 + b2 * b2) / nullif(zz - b1 * za - b2 * zb, 0) END AS variance_ratio FROM r", "azimuth angle variance_ratio", 5)
+def _(spark, sf):
+    """The tilt of every window of two days, a day apart, and what its removal does to the vertical's variance."""
+    return rotation.tilt_windows(_plain(spark, sf), "z", ("a", "b"), 2 * DAY).select("window_id", "n", "error", "azimuth", "angle", "variance_ratio")
+
+
+@query("rotate_in_time", _ROTATION + ", x AS (SELECT seq, 0.5 - 0.5 * cos(2 * pi() * (seq - window_id * 24 + 0.5) / 48) AS g, CASE WHEN error IS NULL THEN (z - b1 * a - b2 * b) / sqrt(1 + b1 * b1 + b2 * b2) ELSE z END AS v FROM o JOIN r USING (window_id)) SELECT seq, sum(g * v) / sum(g) AS z FROM x GROUP BY seq", "z", 5)
+def _(spark, sf):
+    """The vertical with each window's tilt turned back, windows faded into each other."""
+    return rotation.rotated(_plain(spark, sf), "z", ("a", "b"), 2 * DAY)
+
+
+@query("clean_in_time")
+def _(spark, sf):
+    """Rotation, then what is coherent with the horizontals taken off in turn, in time."""
+    wide = _plain(spark, sf)
+    turned = rotation.rotated(wide, "z", ("a", "b"), 2 * DAY)
+    return rotation.cleaned(turned.join(wide.drop("z"), "seq"), "z", ("a", "b"), 4 * DAY, DAY)
+
+
 @query("coherent_noise_remove", f"WITH {SG}, q AS (SELECT z.window_id, z.k, z.re AS zr, z.im AS zi, h.re AS hr, h.im AS hi FROM ft z JOIN ft h USING (window_id, k) WHERE z.component = 'Z' AND h.component = '1'), m AS (SELECT k, avg(hr * hr + hi * hi) AS p, avg(hr * zr + hi * zi) AS re, avg(hr * zi - hi * zr) AS im FROM q GROUP BY k) SELECT window_id, k, zr - (re * hr - im * hi) / nullif(p, 0) AS z_re, zi - (re * hi + im * hr) / nullif(p, 0) AS z_im FROM q JOIN m USING (k) WHERE k BETWEEN 1 AND 31", "z_re z_im", 4)
 def _(spark, sf):
     f = spectral.fourier(segments(spark, sf), 64).where("k between 1 and 31 and component in ('Z', '1')")
@@ -308,9 +361,12 @@ def _(spark, sf):
     return posterior.acf(trace(spark, sf), 24)
 
 
-@query("neff", f"WITH {T}, d AS (SELECT component, seq, v - avg(v) OVER (PARTITION BY component) AS d FROM t), z AS (SELECT component, sum(d * d) AS c0 FROM d GROUP BY 1), c AS (SELECT a.component, lag, sum(a.d * b.d) / any_value(c0) AS acf FROM d a, range(25) r(lag) JOIN d b ON b.component = a.component AND b.seq = a.seq + lag JOIN z ON z.component = a.component GROUP BY 1, 2) SELECT component, 720.0 / (1 + 2 * coalesce(sum(CASE WHEN acf + nx > 0 THEN acf END), 0)) AS neff FROM (SELECT *, lead(acf) OVER (PARTITION BY component ORDER BY lag) AS nx FROM c) GROUP BY component", "neff", 4)
+@query("neff", f"WITH {T}, d AS (SELECT component, seq, v - avg(v) OVER (PARTITION BY component) AS d FROM t), z AS (SELECT component, sum(d * d) AS c0, count(*) AS n FROM d GROUP BY 1), c AS (SELECT a.component, lag, any_value(n) AS n, sum(a.d * b.d) / any_value(c0) AS acf FROM d a, range(25) r(lag) JOIN d b ON b.component = a.component AND b.seq = a.seq + lag JOIN z ON z.component = a.component GROUP BY 1, 2) SELECT component, any_value(n) / (1 + 2 * coalesce(sum(CASE WHEN acf + nx > 0 THEN acf END), 0)) AS neff FROM (SELECT *, lead(acf) OVER (PARTITION BY component ORDER BY lag) AS nx FROM c) GROUP BY component", "neff", 4)
 def _(spark, sf):
-    return posterior.effective_size(posterior.acf(trace(spark, sf), 24), F.lit(720.0))
+    """The effective size by the first day's lags and the trace's own length; ``neff_all_lags`` takes every lag."""
+    t = trace(spark, sf)
+    n = t.groupBy("component").agg(F.count("*").alias("n"))
+    return posterior.effective_size(posterior.acf(t, 24).join(n, "component"), F.first("n"))
 
 
 @query("overlap_hist", f"WITH {S}, w AS (SELECT min(epoch(ts)) AS t FROM s GROUP BY component, floor(epoch(ts) / 3600)), e AS (SELECT min(t) AS lo, max(t) AS hi FROM w) SELECT CAST(least(floor((t - lo) / ((hi - lo) / 50)), 49) AS BIGINT) AS bin, count(*) AS n FROM w, e GROUP BY 1")

@@ -189,7 +189,7 @@ def _(spark, sf):
 
 @query("acf_all_lags", f"WITH {T}, d AS (SELECT component, seq, v - avg(v) OVER (PARTITION BY component) AS d FROM t), z AS (SELECT component, sum(d * d) AS c0, count(*) AS n FROM d GROUP BY 1), c AS (SELECT a.component, b.seq - a.seq AS lag, sum(a.d * b.d) AS s FROM d a JOIN d b ON a.component = b.component AND b.seq >= a.seq GROUP BY ALL) SELECT component, lag, s / c0 AS acf FROM c JOIN z USING (component)", "acf", 5)
 def _(spark, sf):
-    return posterior.acf_full(trace(spark, sf))
+    return posterior.acf_fft(trace(spark, sf))
 
 
 @query("neff_all_lags", f"WITH {T}, d AS (SELECT component, seq, v - avg(v) OVER (PARTITION BY component) AS d FROM t), z AS (SELECT component, sum(d * d) AS c0, count(*) AS n FROM d GROUP BY 1), c AS (SELECT a.component, b.seq - a.seq AS lag, sum(a.d * b.d) AS s FROM d a JOIN d b ON a.component = b.component AND b.seq >= a.seq GROUP BY ALL), q AS (SELECT component, lag, n, s / c0 AS acf, lead(s / c0) OVER (PARTITION BY component ORDER BY lag) AS nx FROM c JOIN z USING (component)) SELECT component, any_value(n) / (1 + 2 * coalesce(sum(CASE WHEN acf + nx > 0 THEN acf END), 0)) AS neff FROM q GROUP BY component", "neff", 4)
@@ -197,7 +197,7 @@ def _(spark, sf):
     """Effective sample size with the trace's own length and all its lags."""
     t = trace(spark, sf)
     n = t.groupBy("component").agg(F.count("*").alias("n"))
-    return posterior.effective_size(posterior.acf_full(t).join(F.broadcast(n), "component"), F.first("n"))  # a row a channel
+    return posterior.effective_size(posterior.acf_fft(t).join(F.broadcast(n), "component"), F.first("n"))  # a row a channel
 
 
 @query("chain_acceptance", "SELECT chain_id, sum(CASE WHEN ok THEN 1 ELSE 0 END) / (max(i) + 1) AS rate FROM (SELECT o_custkey % 10 AS chain_id, o_orderstatus = 'F' AS ok, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS i FROM orders) GROUP BY 1", "rate")
