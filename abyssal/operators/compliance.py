@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
@@ -14,24 +14,39 @@ def window_segments(trace: DataFrame, size: int, step: int, segment: int, hop: i
     return windows.matrix(windows.cut(trace, size, step), segment, hop)
 
 
-def window_psd(segments: DataFrame, size: int, fs: float, average: str = "median", kind: str = "tukey") -> DataFrame:
+def taper_share(minutes: float, fs: float, size: int) -> float:
+    """The share of a segment under a Tukey taper of so many minutes in all, at most all of it."""
+    return min(1.0, minutes * 60 * fs / size)
+
+
+def window_psd(segments: DataFrame, size: int, fs: float, average: str = "median", kind: str = "tukey", alpha: float = 0.25) -> DataFrame:
     """(component, window_id, k, f, p): Welch's density of each window."""
-    spectra = spectral.fourier(segments, size, kind)
-    return spectral.welch(spectral.periodogram(spectra, size, fs, kind), "component", "window_id", average=average)
+    spectra = spectral.fourier(segments, size, kind, alpha)
+    return spectral.welch(spectral.periodogram(spectra, size, fs, kind, alpha), "component", "window_id", average=average)
 
 
-def window_coherence(segments: DataFrame, pairs: list[tuple[str, str]], size: int, fs: float, kind: str = "hann") -> DataFrame:
+def window_coherence(segments: DataFrame, pairs: list[tuple[str, str]], size: int, fs: float, kind: str = "tukey", alpha: float = 0.25) -> DataFrame:
     """(x, y, window_id, k, f, pxx, pyy, re, im, coh2, coh) of each window: averages over its segments; a coherogram."""
-    crossed = spectral.cross(spectral.fourier(segments, size, kind), pairs, size, fs, kind, by="window_id", unit=("window_id", "seg"))
+    crossed = spectral.cross(spectral.fourier(segments, size, kind, alpha), pairs, size, fs, kind, alpha, by="window_id", unit=("window_id", "seg"))
     return crossed.withColumn("coh", F.sqrt("coh2"))
 
 
-def window_cells(segments: DataFrame, z: str, p: str, size: int, fs: float) -> DataFrame:
-    """(window_id, k, f, coh, dz, dp, csd): what selection and response need of a window, in one row per bin."""
-    psd = window_psd(segments.where(F.col("component").isin(z, p)), size, fs)
-    dens = psd.groupBy("window_id", "k", "f").agg(F.max(F.when(F.col("component") == z, F.col("p"))).alias("dz"), F.max(F.when(F.col("component") == p, F.col("p"))).alias("dp"))
-    coh = window_coherence(segments, [(p, z)], size, fs).select("window_id", "k", "coh", F.col("re").alias("csd"))
-    return dens.join(coh, ["window_id", "k"]).where("dz is not null and dp is not null")
+def window_cells(segments: DataFrame, z: str, p: str, size: int, fs: float, alpha: float = 0.25) -> DataFrame:
+    """(window_id, k, f, coh, dz, dp, csd): what selection and response need of a window, in one row per bin.
+
+    One transform under one taper serves all: the components of a segment meet in a row, and a window's rows give the
+    medians of the densities and the means of the cross spectrum and the coherence.  Segments without both are left out.
+    """
+    spectra = spectral.fourier(segments.where(F.col("component").isin(z, p)), size, "tukey", alpha)
+    part = lambda c, x: F.max(F.when(F.col("component") == c, F.col(x)))
+    met = spectra.groupBy("window_id", "seg", "k").agg(part(p, "re").alias("a"), part(p, "im").alias("b"), part(z, "re").alias("c"), part(z, "im").alias("d")).where("a is not null and c is not null")
+    pressure, motion = F.expr("a * a + b * b"), F.expr("c * c + d * d")
+    mean = {"re": F.avg(F.expr("a * c + b * d")), "im": F.avg(F.expr("a * d - b * c")), "pp": F.avg(pressure), "zz": F.avg(motion), "mp": F.median(pressure), "mz": F.median(motion), "n": F.count("*")}
+    rows = met.groupBy("window_id", "k").agg(*[v.alias(c) for c, v in mean.items()])
+    scale = spectral.density_scale(F.col("k"), size, fs, "tukey", alpha)
+    coh = F.sqrt((F.col("re") ** 2 + F.col("im") ** 2) / F.nullif(F.col("pp") * F.col("zz"), F.lit(0.0)))
+    bias = spectral.median_bias_of(F.col("n"))
+    return rows.select("window_id", "k", (F.col("k") * fs / size).alias("f"), coh.alias("coh"), (F.col("mz") * scale / bias).alias("dz"), (F.col("mp") * scale / bias).alias("dp"), (F.col("re") * scale).alias("csd"))
 
 
 def nearest_slice(freqs: DataFrame, lo: float, hi: float) -> DataFrame:
@@ -127,4 +142,5 @@ def number_of_averages(values: int, segment: int, overlap: float = 0.9) -> int:
 
 def first_window(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows of each key's first window."""
-    return rows.withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy("window_id"))).where("_r = 1").drop("_r")
+    first = rows.groupBy(*keys).agg(F.min("window_id").alias("window_id"))
+    return rows.join(F.broadcast(first) if not keys else first, [*keys, "window_id"], "left_semi")  # without keys a single row

@@ -30,8 +30,17 @@ def window_power(kind: str, size: int, alpha: float = 0.25) -> float:
     return float((w * w).sum())
 
 
+#: Sizes up to which a row is transformed by Spark's own expressions, whose work is the square of the size.
+DIRECT = 32
+
+
 def fourier(segments: DataFrame, size: int, kind: str = "hann", alpha: float = 0.25) -> DataFrame:
-    """``segments`` with (k, re, im) in place of ``data``: mean removed, tapered; a direct transform per row, no shuffle.  For sizes of a few hundred."""
+    """``segments`` with (k, re, im) in place of ``data``: mean removed, tapered; no shuffle.  Short segments by expressions, longer ones by numpy's FFT."""
+    return (fourier_short if size <= DIRECT else fourier_long)(segments, size, kind, alpha)
+
+
+def fourier_short(segments: DataFrame, size: int, kind: str = "hann", alpha: float = 0.25) -> DataFrame:
+    """As ``fourier``, by a direct transform per row in expressions."""
     ready = segments.where(F.size("data") == size).withColumn("data", taper(detrend_mean(F.col("data")), kind, size, alpha))
     step = 2 * math.pi / size
 
@@ -82,13 +91,17 @@ def median_bias(n: int) -> float:
     return 1 + sum(1 / (2 * i + 1) - 1 / (2 * i) for i in range(1, (n - 1) // 2 + 1))
 
 
+def median_bias_of(n: Column) -> Column:
+    """``median_bias`` of a column of counts."""
+    i = F.sequence(F.lit(1), F.greatest(F.lit(1), ((n - 1) / 2).cast("long")).cast("int"))
+    return 1 + F.aggregate(i, F.lit(0.0), lambda a, j: a + F.when(j <= F.floor((n - 1) / 2), 1 / (2 * j + 1) - 1 / (2 * j)).otherwise(0.0))
+
+
 def welch(powers: DataFrame, *keys: str, average: str = "mean") -> DataFrame:
     """Average periodograms over ``keys`` and bin; the median is divided by its bias, which depends on the number of segments."""
     if average == "mean":
         return powers.groupBy(*keys, "k", "f").agg(F.avg("p").alias("p"))
-    i = F.sequence(F.lit(1), F.greatest(F.lit(1), ((F.col("n") - 1) / 2).cast("long")).cast("int"))
-    bias = 1 + F.aggregate(i, F.lit(0.0), lambda a, j: a + F.when(j <= F.floor((F.col("n") - 1) / 2), 1 / (2 * j + 1) - 1 / (2 * j)).otherwise(0.0))
-    return powers.groupBy(*keys, "k", "f").agg(F.median("p").alias("m"), F.count("*").alias("n")).withColumn("p", F.col("m") / bias).drop("m", "n")
+    return powers.groupBy(*keys, "k", "f").agg(F.median("p").alias("m"), F.count("*").alias("n")).withColumn("p", F.col("m") / median_bias_of(F.col("n"))).drop("m", "n")
 
 
 def cross(spectra: DataFrame, pairs: list[tuple[str, str]], size: int, fs: float = 1.0, kind: str = "hann", alpha: float = 0.25, by: str | None = None, unit: tuple[str, ...] = ("window_id",)) -> DataFrame:

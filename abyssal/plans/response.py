@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compliance as C
 from ..operators import spectral
+from ..sources.shared import staged
 from .registry import query
 from .series import T, trace
 
@@ -19,7 +20,7 @@ def segments(spark, sf):
 
 
 def cells(spark, sf):
-    return C.window_cells(segments(spark, sf), "Z", "H", SEGMENT, FS)
+    return staged(C.window_cells(segments(spark, sf), "Z", "H", SEGMENT, FS, C.taper_share(2 / 3, FS, SEGMENT)), "cells")
 
 
 def bins(spark):
@@ -36,7 +37,7 @@ s1 AS (SELECT component, window_id, seg, n - seg * 16 AS m, v - avg(v) OVER (PAR
 s2 AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * m / 32)) AS xh, x * CASE WHEN least(m, 31 - m) < 3.875 THEN 0.5 * (1 - cos(pi() * least(m, 31 - m) / 3.875)) ELSE 1 END AS xt FROM s1),
 s3 AS (SELECT component, window_id, seg, k, sum(xh * cos(2 * pi() * ((k * m) % 32) / 32)) AS hr, -sum(xh * sin(2 * pi() * ((k * m) % 32) / 32)) AS hi, sum(xt * cos(2 * pi() * ((k * m) % 32) / 32)) AS tr, -sum(xt * sin(2 * pi() * ((k * m) % 32) / 32)) AS ti FROM s2, range(17) r(k) GROUP BY ALL),
 wp AS (SELECT component, window_id, k, k * 0.2 / 32 AS f, median((tr * tr + ti * ti) * {_SCALE.format(_TUKEY)}) / (1 + 1 / 3 - 1 / 2 + 1 / 5 - 1 / 4 + 1 / 7 - 1 / 6) AS p, avg((hr * hr + hi * hi) * {_SCALE.format(_HANN)}) AS pm FROM s3 GROUP BY ALL),
-wc AS (SELECT window_id, k, avg(a.hr * b.hr + a.hi * b.hi) * {_SCALE.format(_HANN)} AS csd, sqrt((pow(avg(a.hr * b.hr + a.hi * b.hi), 2) + pow(avg(a.hr * b.hi - a.hi * b.hr), 2)) / nullif(avg(a.hr * a.hr + a.hi * a.hi) * avg(b.hr * b.hr + b.hi * b.hi), 0)) AS coh
+wc AS (SELECT window_id, k, avg(a.tr * b.tr + a.ti * b.ti) * {_SCALE.format(_TUKEY)} AS csd, sqrt((pow(avg(a.tr * b.tr + a.ti * b.ti), 2) + pow(avg(a.tr * b.ti - a.ti * b.tr), 2)) / nullif(avg(a.tr * a.tr + a.ti * a.ti) * avg(b.tr * b.tr + b.ti * b.ti), 0)) AS coh
   FROM (SELECT * FROM s3 WHERE component = 'H') a JOIN (SELECT * FROM s3 WHERE component = 'Z') b USING (window_id, seg, k) GROUP BY window_id, k),
 cl AS (SELECT z.window_id, z.k, z.f, coh, z.p AS dz, h.p AS dp, csd FROM (SELECT * FROM wp WHERE component = 'Z') z JOIN (SELECT * FROM wp WHERE component = 'H') h USING (window_id, k) JOIN wc USING (window_id, k)),
 bn AS (SELECT k, k * 0.2 / 32 AS f FROM range(17) r(k)),
@@ -79,8 +80,8 @@ def _(spark, sf):
 
 
 @query("coherogram_stages", f"""WITH {W}, st(stage, m) AS (VALUES (0, 1.0), (1, 0.5), (2, 0.0)),
-sz AS (SELECT stage, z.window_id, z.seg, z.k, z.hr - m * o.hr AS hr, z.hi - m * o.hi AS hi FROM (SELECT * FROM s3 WHERE component = 'Z') z JOIN (SELECT * FROM s3 WHERE component = '1') o USING (window_id, seg, k), st)
-SELECT stage, window_id, k, sqrt((pow(avg(a.hr * b.hr + a.hi * b.hi), 2) + pow(avg(a.hr * b.hi - a.hi * b.hr), 2)) / nullif(avg(a.hr * a.hr + a.hi * a.hi) * avg(b.hr * b.hr + b.hi * b.hi), 0)) AS coh FROM (SELECT * FROM s3 WHERE component = 'H') a JOIN sz b USING (window_id, seg, k) WHERE k BETWEEN 1 AND 15 GROUP BY stage, window_id, k""", "coh", 5)
+sz AS (SELECT stage, z.window_id, z.seg, z.k, z.tr - m * o.tr AS tr, z.ti - m * o.ti AS ti FROM (SELECT * FROM s3 WHERE component = 'Z') z JOIN (SELECT * FROM s3 WHERE component = '1') o USING (window_id, seg, k), st)
+SELECT stage, window_id, k, sqrt((pow(avg(a.tr * b.tr + a.ti * b.ti), 2) + pow(avg(a.tr * b.ti - a.ti * b.tr), 2)) / nullif(avg(a.tr * a.tr + a.ti * a.ti) * avg(b.tr * b.tr + b.ti * b.ti), 0)) AS coh FROM (SELECT * FROM s3 WHERE component = 'H') a JOIN sz b USING (window_id, seg, k) WHERE k BETWEEN 1 AND 15 GROUP BY stage, window_id, k""", "coh", 5)
 def _(spark, sf):
     """Stages of cleaning of the vertical (less all, half and none of a horizontal) against the one pressure trace."""
     t = trace(spark, sf).where(F.col("component").isin("Z", "1", "H"))
