@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
@@ -123,6 +123,79 @@ def compliance(omega: np.ndarray, k: np.ndarray, thick, rho, vp, vs) -> np.ndarr
     return (-k * np.linalg.inv(z)[..., 1, 1]).real
 
 
+# --- the same as a fold of expressions over the layers, for layers in which all waves decay -------------------
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _struct(**fields: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _waves(layer: Column, k: Column, w: Column) -> Column:
+    """What a layer's waves need: decay of P and SV with depth, and the coefficients of their stresses."""
+    mu = layer["rho"] * layer["vs"] * layer["vs"]
+    a, b2 = F.sqrt(k * k - F.pow(w / layer["vp"], F.lit(2))), k * k - F.pow(w / layer["vs"], F.lit(2))
+    return _struct(a=a, b=F.sqrt(b2), m=2 * mu * k, p=2 * mu * k * k - layer["rho"] * w * w, s=mu * (b2 + k * k), h=layer["thick"])
+
+
+def _half_space(wave: Column, k: Column) -> Column:
+    a, b, m, p, s = (wave[c] for c in "abmps")
+    d = a * b - k * k
+    return _struct(z11=(m * a * k - s * a) / d, z12=(m * a * b - s * k) / d, z21=(m * b * a - p * k) / d, z22=(m * b * k - p * b) / d)
+
+
+def _through(z: Column, wave: Column, k: Column) -> Column:
+    """The impedance on top of a layer from the one under it."""
+    a, b, m, p, s = (wave[c] for c in "abmps")
+    z11, z12, z21, z22 = (z[c] for c in ("z11", "z12", "z21", "z22"))
+    up = _struct(a11=m * a - z11 * k - z12 * a, a12=z11 * b + z12 * k - s, a21=p - z21 * k - z22 * a, a22=z21 * b + z22 * k - m * b, b11=z11 * k - z12 * a + m * a, b12=z11 * b - z12 * k + s, b21=z21 * k - z22 * a - p, b22=z21 * b - z22 * k - m * b, ea=F.exp(-a * wave["h"]), eb=F.exp(-b * wave["h"]))
+
+    def reflected(x: Column) -> Column:
+        d = x["a11"] * x["a22"] - x["a12"] * x["a21"]
+        return _struct(
+            t11=x["ea"] * x["ea"] * (x["a22"] * x["b11"] - x["a12"] * x["b21"]) / d, t12=x["ea"] * x["eb"] * (x["a22"] * x["b12"] - x["a12"] * x["b22"]) / d,
+            t21=x["ea"] * x["eb"] * (x["a11"] * x["b21"] - x["a21"] * x["b11"]) / d, t22=x["eb"] * x["eb"] * (x["a11"] * x["b22"] - x["a21"] * x["b12"]) / d,
+        )
+
+    def both(t: Column) -> Column:
+        t11, t12, t21, t22 = (t[c] for c in ("t11", "t12", "t21", "t22"))
+        return _struct(
+            u11=k + k * t11 - b * t21, u12=b + k * t12 - b * t22, u21=a * t11 - k * t21 - a, u22=a * t12 - k * t22 - k,
+            v11=m * a * t11 - s * t21 - m * a, v12=m * a * t12 - s * t22 - s, v21=p + p * t11 - m * b * t21, v22=m * b + p * t12 - m * b * t22,
+        )
+
+    def ratio(x: Column) -> Column:
+        d = x["u11"] * x["u22"] - x["u12"] * x["u21"]
+        of = lambda i: {f"z{i}1": (x[f"v{i}1"] * x["u22"] - x[f"v{i}2"] * x["u21"]) / d, f"z{i}2": (x[f"v{i}2"] * x["u11"] - x[f"v{i}1"] * x["u12"]) / d}
+        return _struct(**of(1), **of(2))
+
+    return _let(_let(_let(up, reflected), both), ratio)
+
+
+def stack_compliance(layers: Column, k: Column, w: Column) -> Column:
+    """Normalised compliance of an array of layers (thick, rho, vp, vs; the last one a half-space) as an expression: no Python, no shuffle.
+
+    Null without layers, and where a wave of some layer doesn't decay with depth, as never under gravity waves over solid rock.
+    """
+    decays = F.forall(layers, lambda x: (k * x["vs"] > w) & (k * x["vp"] > w))
+    start = _let(_waves(F.element_at(layers, -1), k, w), lambda wave: _half_space(wave, k))
+    above = F.reverse(F.slice(layers, 1, F.size(layers) - 1))
+    z = F.aggregate(above, start, lambda z, layer: _let(_waves(layer, k, w), lambda wave: _through(z, wave, k)))
+    return F.when((F.size(layers) > 0) & decays, _let(z, lambda x: -k * x["z11"] / (x["z11"] * x["z22"] - x["z12"] * x["z21"])))
+
+
+def folded_compliance(models: DataFrame, freqs: list[float], water_depth: float, key: str = "model_id") -> DataFrame:
+    """As ``forward_compliance``, by ``stack_compliance``."""
+    omega = 2 * np.pi * np.array(freqs)
+    at = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(float(w)).alias("w"), F.lit(float(k)).alias("k")) for f, w, k in zip(freqs, omega, gravity_wavenumber(omega, water_depth), strict=True)])
+    rows = models.select(key, "layers", F.explode(at).alias("x"))
+    return rows.select(key, F.col("x.f").alias("f"), stack_compliance(F.col("layers"), F.col("x.k"), F.col("x.w")).alias("compliance"))
+
+
 def gravity_wavenumber(omega: np.ndarray, depth: float) -> np.ndarray:
     x = omega**2 / P.G_DISPERSION * depth
     y = np.where(x > 1, x, np.sqrt(x))

@@ -249,12 +249,35 @@ def _(spark, sf):
     return earth.geometric_prior(spark)
 
 
-@query("forward_compliance")
-def _(spark, sf):
-    """Compliance of every order's stack of layers at eight frequencies: impedances carried upward, in Arrow batches."""
+_FREQS = [0.005 + 0.002 * i for i in range(8)]
+
+
+def _fold_sql() -> str:
+    """The impedance of each stack carried upward, a layer a step."""
+    omega = 2 * np.pi * np.array(_FREQS)
+    at = ", ".join(f"({f!r}::DOUBLE, {float(w)!r}::DOUBLE, {float(k)!r}::DOUBLE)" for f, w, k in zip(_FREQS, omega, earth.gravity_wavenumber(omega, 3000.0), strict=True))
+    wave = "sqrt(k * k - pow(w / vp, 2)) AS a, sqrt(k * k - pow(w / vs, 2)) AS b, 2 * rho * vs * vs * k AS m, 2 * rho * vs * vs * k * k - rho * w * w AS p, rho * vs * vs * (2 * k * k - pow(w / vs, 2)) AS s"
+    return f"""WITH RECURSIVE l0 AS (SELECT l_orderkey AS model_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS layer_idx, l_quantity * 100 AS thick, 1000 + (l_partkey % 40) * 100.0::DOUBLE AS vs FROM lineitem),
+ly AS (SELECT *, vs * sqrt(3) AS vp, 310 * pow(vs * sqrt(3), 0.25) AS rho FROM l0), fq(f, w, k) AS (VALUES {at}),
+bottom AS (SELECT *, {wave} FROM (SELECT * FROM ly QUALIFY layer_idx = max(layer_idx) OVER (PARTITION BY model_id)), fq),
+fold(model_id, f, w, k, layer, z11, z12, z21, z22) AS (
+SELECT model_id, f, w, k, layer_idx, (m * a * k - s * a) / (a * b - k * k), (m * a * b - s * k) / (a * b - k * k), (m * b * a - p * k) / (a * b - k * k), (m * b * k - p * b) / (a * b - k * k) FROM bottom
+UNION ALL
+SELECT model_id, f, w, k, layer_idx, (v11 * u22 - v12 * u21) / (u11 * u22 - u12 * u21), (v12 * u11 - v11 * u12) / (u11 * u22 - u12 * u21), (v21 * u22 - v22 * u21) / (u11 * u22 - u12 * u21), (v22 * u11 - v21 * u12) / (u11 * u22 - u12 * u21) FROM
+ (SELECT *, k + k * t11 - b * t21 AS u11, b + k * t12 - b * t22 AS u12, a * t11 - k * t21 - a AS u21, a * t12 - k * t22 - k AS u22, m * a * t11 - s * t21 - m * a AS v11, m * a * t12 - s * t22 - s AS v12, p + p * t11 - m * b * t21 AS v21, m * b + p * t12 - m * b * t22 AS v22 FROM
+  (SELECT *, ea * ea * (a22 * b11 - a12 * b21) / d AS t11, ea * eb * (a22 * b12 - a12 * b22) / d AS t12, ea * eb * (a11 * b21 - a21 * b11) / d AS t21, eb * eb * (a11 * b22 - a21 * b12) / d AS t22 FROM
+   (SELECT *, a11 * a22 - a12 * a21 AS d FROM
+    (SELECT *, m * a - z11 * k - z12 * a AS a11, z11 * b + z12 * k - s AS a12, p - z21 * k - z22 * a AS a21, z21 * b + z22 * k - m * b AS a22, z11 * k - z12 * a + m * a AS b11, z11 * b - z12 * k + s AS b12, z21 * k - z22 * a - p AS b21, z21 * b - z22 * k - m * b AS b22, exp(-a * thick) AS ea, exp(-b * thick) AS eb FROM
+     (SELECT fold.*, ly.layer_idx, ly.thick, {wave} FROM fold JOIN ly ON ly.model_id = fold.model_id AND ly.layer_idx = fold.layer - 1))))))
+SELECT model_id, f, -k * z11 / (z11 * z22 - z12 * z21) * 1e12 AS compliance FROM fold WHERE layer = 1"""
+
+
+@query("forward_compliance", _fold_sql(), "compliance", 1)
+def _(spark, sf):
+    """Compliance (times 1e12) of every order's stack of layers at eight frequencies: impedances carried upward by a fold over the layers."""
     rows = read_layers(spark, sf).withColumn("vp", P.vp_from_vs(F.col("vs"))).withColumn("rho", P.gardner_density(F.col("vs")))
     models = rows.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("layer_idx", "thick", "rho", "vp", "vs"))).alias("layers"))
-    return earth.forward_compliance(models, [0.005 + 0.002 * i for i in range(8)], 3000.0)
+    return earth.folded_compliance(models, _FREQS, 3000.0).withColumn("compliance", F.col("compliance") * 1e12)
 
 
 @query("mcmc_chain")
