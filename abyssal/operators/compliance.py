@@ -106,6 +106,15 @@ def split_by_coherence(cells: DataFrame, freqs: DataFrame, band: tuple[float, fl
     return m.select("window_id", F.when(F.col("m") > limit, "high").when(F.col("m") < limit, "low").alias("class"))
 
 
+def band_series(cells: DataFrame, size: int = 10) -> DataFrame:
+    """(window_id, acceleration, pressure, coherence): medians over the bins of ``cells``, smoothed over the windows with lines at the ends; densities then in dB."""
+    medians = {"acceleration": F.median(P.acceleration(F.col("dz"), F.col("f"))), "pressure": F.median("dp"), "coherence": F.median("coh")}
+    rows = cells.groupBy(F.col("window_id").alias("seq")).agg(*[v.alias(k) for k, v in medians.items()])
+    long = rows.select("seq", F.explode(F.array(*[F.struct(F.lit(k).alias("component"), F.col(k).alias("v")) for k in medians])).alias("x")).select("x.component", "seq", "x.v")
+    wide = windows.smooth(long, size, edges=True).groupBy("seq").pivot("component", list(medians)).agg(F.first("smooth"))
+    return wide.select(F.col("seq").alias("window_id"), P.decibel(F.col("acceleration")).alias("acceleration"), P.decibel(F.col("pressure")).alias("pressure"), "coherence")
+
+
 def optimise_rms(curves: DataFrame, freqs: DataFrame, band: tuple[float, float], percent: float = 10, alpha: float = 0.9, beta: float = 0.5) -> DataFrame:
     """Windows of ``curves`` (window_id, k, f, c, coh) whose RMS is near that of the median curve and whose coherence has a median over alpha and a mean over beta, both under one."""
     inside = in_slice(curves, freqs, *band)

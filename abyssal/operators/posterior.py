@@ -13,6 +13,22 @@ def accepted(chain: DataFrame, thresholds: DataFrame, burnin: int, on: str = "ch
     return chain.join(thresholds, on).where((F.col("iter") >= burnin) & (F.col("misfit") < F.col("threshold")))
 
 
+def accepted_profiles(profiles: DataFrame, chain: DataFrame, thresholds: DataFrame, burnin: int = 0) -> DataFrame:
+    """``profiles`` (station, model_id, cell, vs) of the models of ``chain`` (station, iter, misfit) that lie under their station's own threshold after burn-in; ``iter`` is the model's id."""
+    good = accepted(chain, thresholds, burnin, "station").select("station", F.col("iter").alias("model_id"))
+    return profiles.join(good, ["station", "model_id"], "left_semi")
+
+
+def station_products(good: DataFrame) -> DataFrame:
+    """(station, cell, n, median, mean, std) of accepted profiles."""
+    return good.groupBy("station", "cell").agg(F.count("*").alias("n"), F.median("vs").alias("median"), F.avg("vs").alias("mean"), F.stddev_pop("vs").alias("std"))
+
+
+def with_curves(products: DataFrame, curves: DataFrame, starts: DataFrame) -> DataFrame:
+    """``products`` with the start profile of the station (``starts``: station, cell, start) and a row for each reference curve (``curves``: curve, cell, v)."""
+    return products.join(starts, ["station", "cell"], "left").join(curves, "cell", "left")
+
+
 def thin(chain: DataFrame, burnin: int, total: int, wanted: int = 1000) -> DataFrame:
     step = max(1, (total - burnin) // wanted)
     return chain.where((F.col("iter") >= burnin) & (F.pmod(F.col("iter") - burnin, F.lit(step)) == 0))

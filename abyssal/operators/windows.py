@@ -181,9 +181,24 @@ def azimuth_outlier(azimuth: Column, mean: Column, intended: bool = False) -> Co
     return low | high if intended else low & high
 
 
-def smooth(trace: DataFrame, size: int = 10, block: int = BLOCK) -> DataFrame:
-    """Order-1 Savitzky-Golay: in the interior a moving mean of ``size``; null where the frame isn't full.  Blocks carry the rows that reach into them."""
+def smooth(trace: DataFrame, size: int = 10, block: int = BLOCK, edges: bool = False) -> DataFrame:
+    """Order-1 Savitzky-Golay: in the interior a moving mean of ``size``, null where the frame isn't full.  Blocks carry the rows that reach into them.
+
+    With ``edges`` the first and last ``size // 2`` places of a dense trace take the line through its first and last ``size``
+    places; a shorter trace has none.
+    """
     before, after = size // 2 - 1, size // 2
     w = Window.partitionBy("component", "_block").orderBy("seq").rowsBetween(-before, after)
     near = haloed(trace, before, after, max(block, size)).withColumn("smooth", F.when(F.count("v").over(w) == size, F.avg("v").over(w)))
-    return near.where("_own").drop("_own", "_block")
+    out = near.where("_own").drop("_own", "_block")
+    if not edges:
+        return out
+    ends = trace.groupBy("component").agg(F.min("seq").alias("_a"), F.max("seq").alias("_b"))  # a row a channel
+    at = trace.join(ends, "component").select("component", "seq", "v", F.when(F.col("seq") < F.col("_a") + size, "a").alias("_first"), F.when(F.col("seq") > F.col("_b") - size, "b").alias("_last"))
+    parts = at.select("component", "seq", "v", F.explode(F.array_compact(F.array("_first", "_last"))).alias("_end"))
+    line = parts.groupBy("component").pivot("_end", ["a", "b"]).agg(F.count("v").alias("n"), F.regr_slope("v", "seq").alias("m"), F.regr_intercept("v", "seq").alias("c"))
+    rows = out.join(ends, "component").join(line, "component", "left")
+    on = lambda e: F.when(F.col(f"{e}_n") == size, F.col(f"{e}_c") + F.col(f"{e}_m") * F.col("seq"))
+    half = size // 2
+    value = F.when(F.col("seq") < F.col("_a") + half, on("a")).when(F.col("seq") > F.col("_b") - half, on("b")).otherwise(F.col("smooth"))
+    return rows.withColumn("smooth", value).select(*out.columns)

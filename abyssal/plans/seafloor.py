@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, earth, profiles
+from ..functions import physics as P
+from ..operators import calibration, compliance, earth, posterior, profiles
 from ..sources.traces import read_layers
 from .registry import query
-from .response import FS, SEGMENT, W, segments
+from .response import BAND, FS, SEGMENT, W, bins, cells, segments
+from .series import _edged
+from .station import ST
+from .station import stations as station_rows
 
 _NAMES = ("RR28", "RR29", "RR34", "RR36", "RR38", "RR40", "RR50", "RR52", "A422A")
 
@@ -77,3 +81,65 @@ SELECT (SELECT median(g) FROM gr, gs WHERE abs(g - m) <= 3 * s) AS gain, s AS de
 def _(spark, sf):
     """The gauge's gain against the vertical in the windows of the hourly trace."""
     return calibration.gauge_ratio(segments(spark, sf), "Z", "H", SEGMENT, FS, (0.02, 0.07), 0.4)
+
+
+# --- posterior products of the models under each station's own threshold -------------------------------------------
+#: Thresholds of misfit, a row a station, and iterations of burn-in.
+_BURNIN = 500
+_GOOD = ST + f", good AS (SELECT sr.* FROM sr JOIN orders ON o_orderkey = model_id WHERE o_orderkey >= {_BURNIN} AND o_totalprice < 100000 + 30000 * station)"
+_PRODUCTS = _GOOD + ", pd AS (SELECT station, cell, count(*) AS n, median(vs) AS median, avg(vs) AS mean, stddev_pop(vs) AS std FROM good GROUP BY ALL)"
+
+
+def accepted(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    chain = orders.select(F.pmod("o_custkey", F.lit(8)).alias("station"), F.col("o_orderkey").alias("iter"), F.col("o_totalprice").alias("misfit"))
+    limits = spark.createDataFrame([(i, 100_000.0 + 30_000 * i) for i in range(8)], "station long, threshold double")
+    return posterior.accepted_profiles(station_rows(spark, sf), chain, limits, _BURNIN)
+
+
+@query("accepted_products", f"WITH {_PRODUCTS} SELECT * FROM pd", "median mean std", 4)
+def _(spark, sf):
+    """Median, mean and deviation of each station's accepted profiles."""
+    return posterior.station_products(accepted(spark, sf))
+
+
+@query("accepted_density", f"WITH {_GOOD}, b AS (SELECT station, cell, CAST(least(floor(vs / 50), 99) AS BIGINT) AS bin, count(*) AS n FROM good WHERE vs BETWEEN 0 AND 5000 GROUP BY ALL) SELECT station, cell, bin, n, n / max(n) OVER (PARTITION BY station, cell) AS p FROM b", "p")
+def _(spark, sf):
+    """The density of each station's accepted profiles."""
+    return posterior.density(accepted(spark, sf), "station", "cell")
+
+
+@query("accepted_serpentinisation", f"WITH {_PRODUCTS} SELECT station, cell, median, least((9000 - 2 * median) / 30, 100) AS percent, least((9000 - 2 * median) / 30, 100) - std / 50 AS lo, least((9000 - 2 * median) / 30, 100) + std / 50 AS hi FROM pd", "median percent lo hi", 4)
+def _(spark, sf):
+    m = posterior.station_products(accepted(spark, sf))
+    percent, band = P.serpentinised(F.col("median")), F.col("std") / 50
+    return m.select("station", "cell", "median", percent.alias("percent"), (percent - band).alias("lo"), (percent + band).alias("hi"))
+
+
+@query("accepted_with_curves", f"WITH {_PRODUCTS}, sl(model_id, bin_lo, bin_hi, v, priority) AS (VALUES {_values(profiles.REFERENCE)}), ref AS ({_LAID}), sa(model_id, bin_lo, bin_hi, v, priority) AS (VALUES {_values(profiles.START)}), sb AS ({_LAID.replace('FROM sl', 'FROM sa')}) SELECT station, cell, n, median, mean, sb.v AS start, ref.model_id AS curve, ref.v / sqrt(3) AS v FROM pd LEFT JOIN sb ON sb.bin = cell AND sb.model_id = [{', '.join(repr(x) for x in _NAMES[:8])}][station + 1] LEFT JOIN ref ON ref.bin = cell", "median mean start v", 4)
+def _(spark, sf):
+    """Each station's accepted median and mean over its start and the five reference curves."""
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(_NAMES[:8])], "nation long, station string")
+    starts = profiles.start_profiles(names).select(F.col("nation").alias("station"), F.col("bin").alias("cell"), F.col("v").alias("start"))
+    curves = profiles.reference_profiles(spark).select(F.col("model_id").alias("curve"), F.col("bin").alias("cell"), "v")
+    rows = posterior.station_products(accepted(spark, sf))
+    return posterior.with_curves(rows, curves, starts).select("station", "cell", "n", "median", "mean", "start", "curve", "v")
+
+
+@query("accepted_against_prior", f"WITH {_GOOD}, sa(model_id, bin_lo, bin_hi, v, priority) AS (VALUES {_values(profiles.START)}), sb AS ({_LAID.replace('FROM sl', 'FROM sa')}), st2 AS (SELECT model_id, avg(v) AS v0 FROM sb WHERE bin < 60 GROUP BY 1), m AS (SELECT station, model_id, avg(vs) AS vs FROM good GROUP BY ALL) SELECT m.station, m.model_id, CASE WHEN vs < v0 THEN 'red' ELSE 'green' END AS class FROM m JOIN st2 ON st2.model_id = [{', '.join(repr(x) for x in _NAMES[:8])}][station + 1]")
+def _(spark, sf):
+    """Accepted models slower or faster than the mean of their station's start."""
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(_NAMES[:8])], "nation long, station string")
+    start = profiles.start_profiles(names).where("bin < 60").groupBy(F.col("nation").alias("station")).agg(F.avg("v").alias("v0"))
+    m = accepted(spark, sf).groupBy("station", "model_id").agg(F.avg("vs").alias("vs"))
+    return m.join(start, "station").select("station", "model_id", F.when(F.col("vs") < F.col("v0"), "red").otherwise("green").alias("class"))
+
+
+@query("band_series", f"""WITH {W}, bs AS (SELECT window_id AS seq, {{'acceleration': median(dz * pow(2 * pi() * f, 4)), 'pressure': median(dp), 'coherence': median(coh)}} AS x FROM ci GROUP BY 1),
+bt AS (SELECT 'acceleration' AS component, seq, x.acceleration AS v FROM bs UNION ALL SELECT 'pressure', seq, x.pressure FROM bs UNION ALL SELECT 'coherence', seq, x.coherence FROM bs), {_edged('bt')},
+w3 AS (SELECT seq, 10 * log10(max(smooth) FILTER (component = 'acceleration')) AS acceleration, 10 * log10(max(smooth) FILTER (component = 'pressure')) AS pressure, max(smooth) FILTER (component = 'coherence') AS coherence FROM sm GROUP BY 1)
+SELECT seq AS window_id, acceleration, pressure, coherence, CASE WHEN coherence > 0.35 THEN 'good' ELSE 'bad' END AS class FROM w3""", "acceleration pressure coherence", 5)
+def _(spark, sf):
+    """Per window the smoothed band medians of acceleration, pressure and coherence, side by side, with their class."""
+    inside = compliance.in_slice(cells(spark, sf), bins(spark), *BAND)
+    return compliance.band_series(inside).withColumn("class", F.when(F.col("coherence") > 0.35, "good").otherwise("bad"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import physics as P
-from ..operators import clean, posterior, quality, rotation, spectral, windows
+from ..operators import clean, posterior, quality, rotation, spectral, transients, windows
 from ..sources.traces import read_samples, read_segments
 from .registry import query
 
@@ -260,6 +260,28 @@ def _(spark, sf):
     return windows.smooth(trace(spark, sf), block=DAY).select("component", "seq", "smooth")
 
 
+#: SQL of a smoothed column of ``of`` (component, seq, v): moving mean, and lines at the ends.
+def _edged(of: str) -> str:
+    return f"""e0 AS (SELECT component, min(seq) AS a, max(seq) AS b FROM {of} GROUP BY 1),
+e1 AS (SELECT component, regr_slope(v, seq) FILTER (seq < a + 10) AS ma, regr_intercept(v, seq) FILTER (seq < a + 10) AS ca, count(*) FILTER (seq < a + 10) AS na, regr_slope(v, seq) FILTER (seq > b - 10) AS mb, regr_intercept(v, seq) FILTER (seq > b - 10) AS cb, count(*) FILTER (seq > b - 10) AS nb FROM {of} JOIN e0 USING (component) GROUP BY 1),
+e2 AS (SELECT component, seq, CASE WHEN count(v) OVER w = 10 THEN avg(v) OVER w END AS s FROM {of} WINDOW w AS (PARTITION BY component ORDER BY seq ROWS BETWEEN 4 PRECEDING AND 5 FOLLOWING)),
+sm AS (SELECT component, seq, CASE WHEN seq < a + 5 THEN CASE WHEN na = 10 THEN ca + ma * seq END WHEN seq > b - 5 THEN CASE WHEN nb = 10 THEN cb + mb * seq END ELSE s END AS smooth FROM e2 JOIN e0 USING (component) JOIN e1 USING (component))"""
+
+
+@query("savgol_edges", f"WITH {T}, {_edged('t')} SELECT component, seq, smooth FROM sm", "smooth", 6)
+def _(spark, sf):
+    """The moving mean with a line at either end of the trace."""
+    return windows.smooth(trace(spark, sf), block=DAY, edges=True).select("component", "seq", "smooth")
+
+
+@query("transients_removed")
+def _(spark, sf):
+    """A daily shape of a period near 24 hours, timed on every channel's trace and taken off."""
+    t = trace(spark, sf)
+    spec = t.groupBy("component").agg(F.lit(24.1).alias("period"), F.lit(12.0).alias("reference"))
+    return transients.remove(t, transients.timing(t, spec, 1.0, reach=2, rounds=2), 1.0)
+
+
 @query("outlier_ffill", f"WITH {T} SELECT component, seq, coalesce(last_value(CASE WHEN v <= 60 THEN v END IGNORE NULLS) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), last_value(v) OVER (PARTITION BY component ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM t", "v", 8)
 def _(spark, sf):
     return windows.fill_outliers(trace(spark, sf), 60, DAY)
