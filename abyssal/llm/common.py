@@ -114,6 +114,29 @@ def tidy(each):
     return run
 
 
+#: Bits of a sieve at most: a million words of 64.
+SIEVE_BITS = 26
+
+
+def sieve(wanted: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A filter of one hash function for the long column ``key`` of ``wanted``, as a table (word, bits) of bounded size, and its number of bits.
+
+    16 bits a row, up to ``SIEVE_BITS``: beyond, more rows pass that aren't wanted, and the exact join that follows turns them away.
+    """
+    n = max(1 << 12, min(1 << SIEVE_BITS, 1 << (16 * wanted.count()).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit(n - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = wanted.select(F.shiftright(at, 6).alias("word"), one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return stage(words, "sieve"), n
+
+
+def sifted(rows: DataFrame, key: str, words: DataFrame, n: int) -> DataFrame:
+    """``rows`` with ``_maybe``: whether the long column ``key`` may be among the wanted ones.  What is broadcast is a sieve of bounded size; rows stay where they are."""
+    at = F.col(key).bitwiseAND(F.lit(n - 1))
+    told = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("word"), "left")
+    return told.withColumn("_maybe", F.getbit(F.coalesce("bits", F.lit(0).cast("long")), at.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("word", "bits")
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, for sizing buckets; one column is scanned and one number returned."""
     return docs.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0

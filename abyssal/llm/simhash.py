@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remove_folder, small_batches, stage, tidy
+from .common import new_path, remove_folder, sieve, sifted, small_batches, stage, tidy
 from .components import connected_components
 
 BITS = 64
@@ -128,7 +128,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", shingle
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(x, shingle).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "hashes"])
 
-    rows, one = _identified(docs, text), wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    # only texts that may be wanted move; always by a shuffle, so that its size follows the number of wanted rows
+    rows = sifted(_identified(docs, text), "text_hash", *sieve(wanted, "text_hash")).where("_maybe").drop("_maybe")
+    one = wanted.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).hint("merge")
     picked = rows.join(one, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return picked.select("node", "text").mapInArrow(tidy(each), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
@@ -356,16 +358,19 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     alike = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     same = (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))
     told = alike.join(kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), same, "left")
-    # most rows are alone and stay: the others' list is the shorter one, and small enough at times to spare the texts a shuffle
+    # most rows are alone and stay where they are: the others' list is the shorter one, and only what it may hold is joined with it
     others = told.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("_hash").isNull().alias("_gone"), "n").where("_gone or n > 1")
     others = stage(others, "others", settle=True)
     own = F.xxhash64(F.col("text").cast("string"), F.col("text").isNull())
-    on = (own == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    single = docs.join(others, on, "left_anti")
+    on = (F.col("_own") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    words, bits = sieve(others, "_hash")
+    marked = sifted(docs.withColumn("_own", own), "_own", words, bits)
+    asked = marked.where("_maybe")
+    single = marked.where("not _maybe").unionByName(asked.join(others.hint("merge"), on, "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = others.where("not _gone")
     if not repeated.limit(1).count():
         return single
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = docs.join(repeated, on).select("_id", "_hash", row.alias("_row"))
+    again = asked.join(repeated.hint("merge"), on).select("_id", "_hash", row.alias("_row"))
     first = again.groupBy("_id", "_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return single.unionByName(first.select("_row.*"))

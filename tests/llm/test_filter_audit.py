@@ -67,3 +67,15 @@ def test_copies_by_the_thousand_have_one_survivor(spark):
     flags = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     counts = {r.mask: r.n for r in filter_audit.mask_counts(d, flags).collect()}
     assert counts == {1: 2001, 17: 999}
+
+
+def test_sieve_lets_every_wanted_row_through(spark):
+    from abyssal.llm import common
+
+    wanted = spark.range(0, 100_000, 7).selectExpr("xxhash64(id) AS h")
+    words, n = common.sieve(wanted, "h")
+    got = common.sifted(spark.range(100_000).selectExpr("id", "xxhash64(id) AS h"), "h", words, n).where("_maybe")
+    ids = {r.id for r in got.select("id").collect()}
+    assert set(range(0, 100_000, 7)) <= ids and len(ids) < 30_000
+    none, n = common.sieve(wanted.limit(0), "h")
+    assert common.sifted(wanted, "h", none, n).where("_maybe").count() == 0
