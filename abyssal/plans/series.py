@@ -268,7 +268,7 @@ e2 AS (SELECT component, seq, CASE WHEN count(v) OVER w = 10 THEN avg(v) OVER w
 sm AS (SELECT component, seq, CASE WHEN seq < a + 5 THEN CASE WHEN na = 10 THEN ca + ma * seq END WHEN seq > b - 5 THEN CASE WHEN nb = 10 THEN cb + mb * seq END ELSE s END AS smooth FROM e2 JOIN e0 USING (component) JOIN e1 USING (component))"""
 
 
-@query("savgol_edges", f"WITH {T}, {_edged('t')} SELECT component, seq, smooth FROM sm", "smooth", 6)
+@query("savgol_edges", f"WITH {T}, {_edged('t')} SELECT component, seq, smooth FROM sm", "smooth", 8)
 def _(spark, sf):
     """The moving mean with a line at either end of the trace."""
     return windows.smooth(trace(spark, sf), block=DAY, edges=True).select("component", "seq", "smooth")
