@@ -149,6 +149,12 @@ def number_of_averages(values: int, segment: int, overlap: float = 0.9) -> int:
     return int((values - shared) / (segment - shared))
 
 
+def averages(values: Column, segment: Column, overlap: float = 0.9) -> Column:
+    """``number_of_averages`` of columns."""
+    shared = F.floor(overlap * segment)
+    return F.floor((values - shared) / (segment - shared))
+
+
 def first_window(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows of each key's first window."""
     first = rows.groupBy(*keys).agg(F.min("window_id").alias("window_id"))

@@ -22,13 +22,18 @@ STATIONS = {
 GENERIC = {3: ((2000, 2400, 4700, 2000), (2000, 2760, 6300, 2500), (3000, 2760, 6300, 3200), (3000, 2960, 6900, 3800)), 6: ((1000, 2400, 4700, 2000),) * 2 + ((1000, 2760, 6300, 2500),) * 2 + ((1500, 2960, 6900, 3200),) * 2 + ((1500, 2960, 6900, 3800),) * 2}
 
 
-def station_layers(spark: SparkSession) -> DataFrame:
-    """(station, layer_no, part: sediment | crust | mantle, thick, rho, vp, vs): a dimension of a few rows per station."""
+def station_rows() -> list[tuple]:
+    """The rows of ``station_layers``."""
     rows = []
     for station, (sediment, crust, mantle) in STATIONS.items():
         parts = [("sediment", (sediment, *SEDIMENT))] * bool(sediment) + [("crust", r) for r in crust] + [("mantle", r) for r in mantle]
         rows += [(station, i, kind, *map(float, r)) for i, (kind, r) in enumerate(parts)]
-    return spark.createDataFrame(rows, "station string, layer_no int, part string, thick double, rho double, vp double, vs double")
+    return rows
+
+
+def station_layers(spark: SparkSession) -> DataFrame:
+    """(station, layer_no, part: sediment | crust | mantle, thick, rho, vp, vs): a dimension of a few rows per station."""
+    return spark.createDataFrame(station_rows(), "station string, layer_no int, part string, thick double, rho double, vp double, vs double")
 
 
 def prior(spark: SparkSession, wanted: DataFrame) -> DataFrame:

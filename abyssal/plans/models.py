@@ -32,6 +32,10 @@ def cells(spark, sf):
     return grid(spark, sf).where("k > 0").withColumn("coh", 0.9 + F.col("f")).withColumn("psd_p", 2.0 + F.col("k")).withColumn("psd_z", 3.0 + 2 * F.col("k"))
 
 
+#: Stations of priors; the last one is unknown.
+PRIOR_STATIONS = (*earth.STATIONS, "XX01")
+
+
 @query("wavenumber", f"WITH {GRID} SELECT station, k, wn * 1000 AS wn FROM kk", "wn")
 def _(spark, sf):
     return grid(spark, sf).select("station", "k", (F.col("wn") * 1000).alias("wn"))
@@ -129,9 +133,10 @@ def _(spark, sf):
     return b.where("m >= 0.02").groupBy("station").agg(F.count("*").alias("n"), F.avg("r").alias("gain"))
 
 
-@query("logspace_grid", "SELECT i, 0.01 * pow(1000, i / 9) AS alpha FROM range(10) r(i)", "alpha")
+@query("logspace_grid", "SELECT o_custkey % 10 AS i, count(*) AS n, 0.01 * pow(1000, (o_custkey % 10) / 9) AS alpha FROM orders GROUP BY 1", "alpha")
 def _(spark, sf):
-    return spark.range(10).select(F.col("id").alias("i"), (0.01 * F.pow(F.lit(1000.0), F.col("id") / 9)).alias("alpha"))
+    """The weight of each chain, a power of ten apart by ninths, and the chain's iterations."""
+    return read_chain(spark, sf).groupBy(F.col("chain_id").alias("i")).agg(F.count("*").alias("n")).withColumn("alpha", 0.01 * F.pow(F.lit(1000.0), F.col("i") / 9))
 
 
 # --- layer models ---------------------------------------------------------------------------------------
@@ -239,15 +244,35 @@ def _(spark, sf):
 
 
 # --- priors, forward model, chains ----------------------------------------------------------------------
-@query("prior_lookup", "SELECT * FROM (VALUES ('RR38', 3, 6, 37010.0 - 20.0), ('RR29', 3, 6, 27000.0), ('RR52', 6, 9, 36900.0), ('XX01', 3, 7, 40000.0)) t(station, n_layer, layers, depth)")
-def _(spark, sf):
-    want = spark.createDataFrame([("RR38", 3), ("RR29", 3), ("RR52", 6), ("XX01", 3)], "station string, n_layer int")
-    return earth.prior(spark, want).groupBy("station", "n_layer").agg(F.count("*").alias("layers"), F.sum("thick").alias("depth"))
-
-
-@query("prior_geometric", "SELECT i AS layer_idx, CASE WHEN i = 15 THEN 100000 ELSE 200 * pow(1.15, i) END AS thick, 3000 + i / 16 * 3000 AS vs, (3000 + i / 16 * 3000) * sqrt(3) AS vp, 310 * pow((3000 + i / 16 * 3000) * sqrt(3), 0.25) AS rho FROM range(16) r(i)", "thick vs vp rho", 4)
-def _(spark, sf):
-    return earth.geometric_prior(spark)
+def _prior_sql() -> str:
+    known = ", ".join(f"('{r[0]}', {r[1]}, '{r[2]}', {r[3]}, {r[4]}, {r[5]}, {r[6]})" for r in earth.station_rows())
+    other = ", ".join(f"({n}, {i}, {', '.join(map(str, map(float, r)))})" for n, rows in earth.GENERIC.items() for i, r in enumerate((*rows, earth.M4, earth.M4, earth.M2)))
+    names = ", ".join(f"'{n}'" for n in PRIOR_STATIONS)
+    m3 = "station = 'RR34' AND part = 'mantle' AND m > 2"
+    return f"""WITH w AS (SELECT n_nationkey AS nation, [{names}][n_nationkey % {len(PRIOR_STATIONS)} + 1] AS station, CAST(3 + 3 * (n_nationkey % 5) AS INT) AS n_layer FROM nation),
+k(station, layer_no, part, thick, rho, vp, vs) AS (VALUES {known}), g(n_layer, layer_no, thick, rho, vp, vs) AS (VALUES {other}),
+u AS (SELECT DISTINCT station, n_layer, CASE WHEN n_layer IN (3, 6, 9, 12) THEN n_layer // 3 ELSE 4 END AS m FROM w),
+e AS (SELECT station, n_layer, floor(thick / sub) AS thick, CASE WHEN {m3} THEN {earth.M3[1]} ELSE rho END AS rho, CASE WHEN {m3} THEN {earth.M3[2]} ELSE vp END AS vp, CASE WHEN {m3} THEN {earth.M3[3]} ELSE vs END AS vs, unnest(range(sub)) AS r FROM (SELECT *, CASE WHEN part = 'crust' THEN m ELSE 1 END AS sub FROM u JOIN k USING (station))
+UNION ALL SELECT station, u.n_layer, thick, rho, vp, vs, 0 FROM u JOIN g USING (n_layer) WHERE station NOT IN (SELECT station FROM k))
+SELECT nation, station, n_layer, count(*) AS layers, sum(thick) AS depth, sum(thick * rho) AS mass, sum(thick / vp) AS p_time, sum(thick / vs) AS s_time FROM w JOIN e USING (station, n_layer) GROUP BY ALL"""
+
+
+@query("prior_lookup", _prior_sql(), "depth mass p_time s_time", 4)
+def _(spark, sf):
+    """The prior of every nation's stand-in station: layers, depth, mass and travel times."""
+    k = F.col("n_nationkey")
+    rows = spark.read.parquet(f"{sf}/nation.parquet")
+    want = rows.select(k.alias("nation"), F.element_at(F.array(*map(F.lit, PRIOR_STATIONS)), (F.pmod(k, F.lit(len(PRIOR_STATIONS))) + 1).cast("int")).alias("station"), (3 + 3 * F.pmod(k, F.lit(5))).cast("int").alias("n_layer"))
+    layers = want.join(earth.prior(spark, want.select("station", "n_layer").distinct()), ["station", "n_layer"])
+    c = F.col
+    return layers.groupBy("nation", "station", "n_layer").agg(F.count("*").alias("layers"), F.sum("thick").alias("depth"), F.sum(c("thick") * c("rho")).alias("mass"), F.sum(c("thick") / c("vp")).alias("p_time"), F.sum(c("thick") / c("vs")).alias("s_time"))
+
+
+@query("prior_geometric", f"WITH {L}, p AS (SELECT i AS layer_idx, CASE WHEN i = 15 THEN 100000 ELSE 200 * pow(1.15, i) END AS thick, 3000 + i / 16 * 3000 AS vs, (3000 + i / 16 * 3000) * sqrt(3) AS vp, 310 * pow((3000 + i / 16 * 3000) * sqrt(3), 0.25) AS rho FROM range(16) r(i)) SELECT p.layer_idx, p.thick, p.vs, p.vp, p.rho, m.vs - p.vs AS away, m.n FROM p JOIN (SELECT layer_idx, avg(vs) AS vs, count(*) AS n FROM l GROUP BY 1) m ON m.layer_idx = p.layer_idx", "thick vs vp rho away", 4)
+def _(spark, sf):
+    """The geometric prior, and how far the models' mean lies from it, layer by layer."""
+    mean = read_layers(spark, sf).groupBy("layer_idx").agg(F.avg("vs").alias("mean"), F.count("*").alias("n"))
+    return earth.geometric_prior(spark).join(mean, "layer_idx").withColumn("away", F.col("mean") - F.col("vs")).drop("mean")
 
 
 _FREQS = [0.005 + 0.002 * i for i in range(8)]

@@ -93,9 +93,11 @@ def _(spark, sf):
     return coh.select(F.col("y").cast("int").alias("stage"), "window_id", "k", "coh")
 
 
-@query("band_slice", f"WITH {W} SELECT k, f FROM bn, b1 WHERE k >= k1 AND k < k2", "f")
+@query("band_slice", f"WITH {W} SELECT DISTINCT k, f FROM ci", "f")
 def _(spark, sf):
-    return C.in_slice(bins(spark), bins(spark), *BAND)
+    """The bins of the windows' cells that the band takes."""
+    own = cells(spark, sf).select("k", "f").distinct()
+    return C.in_slice(own, own, *BAND)
 
 
 @query("coherence_classes", f"WITH {W} SELECT window_id, CASE WHEN avg(coh) > 0.39 THEN 'high' WHEN avg(coh) < 0.39 THEN 'low' END AS class FROM ci GROUP BY 1")
@@ -172,6 +174,9 @@ def _(spark, sf):
     return p.where("component = 'Z' and k = 10 or component = 'H' and k = 5").select("component", "window_id", F.col("k").cast("int").alias("k"), "p")
 
 
-@query("window_averages", "SELECT size, segment, CAST(trunc((size - trunc(0.9 * segment)) / (segment - trunc(0.9 * segment))) AS INT) AS n FROM (VALUES (3600, 512), (7200, 1024), (128, 32)) t(size, segment)")
+@query("window_averages", f"WITH {T} SELECT component, size, segment, CAST(trunc((size - trunc(0.9 * segment)) / (segment - trunc(0.9 * segment))) AS BIGINT) AS n FROM (SELECT component, count(*) AS size FROM t GROUP BY 1), (VALUES (512), (128), (32)) g(segment)")
 def _(spark, sf):
-    return spark.createDataFrame([(s, g, C.number_of_averages(s, g)) for s, g in ((3600, 512), (7200, 1024), (128, 32))], "size int, segment int, n int")
+    """Segments of a channel's whole trace at an overlap of nine tenths."""
+    sizes = trace(spark, sf).groupBy("component").agg(F.count("*").alias("size"))
+    rows = sizes.select("component", "size", F.explode(F.array(*map(F.lit, (512, 128, 32)))).alias("segment"))
+    return rows.withColumn("n", C.averages(F.col("size"), F.col("segment")))

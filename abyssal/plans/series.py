@@ -145,10 +145,12 @@ def _(spark, sf):
     return windows.decimate_chain(windows.fill_gaps(ten, _TEN_DAY), block=_TEN_DAY)
 
 
-@query("tukey_hann_taper", "SELECT n, CASE WHEN least(n, 63 - n) < 7.875 THEN 0.5 * (1 - cos(pi() * least(n, 63 - n) / 7.875)) ELSE 1 END AS tukey, 0.5 - 0.5 * cos(2 * pi() * n / 63) AS hanning, 0.5 - 0.5 * cos(2 * pi() * n / 64) AS hann FROM range(64) r(n)", "tukey hanning hann")
+@query("tukey_hann_taper", "SELECT vec_id AS window_id, n, v * CASE WHEN least(n, 63 - n) < 7.875 THEN 0.5 * (1 - cos(pi() * least(n, 63 - n) / 7.875)) ELSE 1 END AS tukey, v * (0.5 - 0.5 * cos(2 * pi() * n / 63)) AS hanning, v * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS hann FROM (SELECT vec_id, n, CAST(embedding[n + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(n))", "tukey hanning hann")
 def _(spark, sf):
-    n = F.col("n")
-    return spark.range(64).withColumnRenamed("id", "n").select("n", P.tukey(n, 64, 0.25).alias("tukey"), P.hann(n, 64).alias("hanning"), P.hann(n, 64, True).alias("hann"))
+    """Every segment under each of the three tapers."""
+    n, v = F.col("n"), F.col("v")
+    rows = read_segments(spark, sf).select("window_id", F.posexplode("data").alias("n", "v"))
+    return rows.select("window_id", "n", (v * P.tukey(n, 64, 0.25)).alias("tukey"), (v * P.hann(n, 64)).alias("hanning"), (v * P.hann(n, 64, True)).alias("hann"))
 
 
 @query("spectrogram", f"WITH {SG} SELECT component, window_id, (32 + window_id * 32) AS t_mid, k, k / 64 AS f, (re * re + im * im) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END / 24 AS p FROM ft", "f p")
@@ -194,9 +196,10 @@ def _(spark, sf):
     return spectral.transfer(crossed(spark, sf)).where("k between 1 and 31").select("x", "y", "k", "gain_db", "phase_deg")
 
 
-@query("nearest_bin", "SELECT arg_min(k, {'a': abs(k / 64 - 0.1), 'k': k}) AS k FROM range(33) r(k)")
+@query("nearest_bin", f"WITH {EM} SELECT arg_min(k, {{'a': abs(f - 0.1), 'k': k}}) AS k FROM ep")
 def _(spark, sf):
-    return spectral.nearest_bin(spark.range(33).select(F.col("id").alias("k"), (F.col("id") / 64).alias("f")), 0.1)
+    """The bin of the stations' spectra that lies nearest to a frequency."""
+    return spectral.nearest_bin(power(spark, sf).select("k", "f").distinct(), 0.1)
 
 
 @query("coherence_split", f"WITH {EM} SELECT window_id, CASE WHEN avg(p) > 0.02 THEN 'high' WHEN avg(p) < 0.02 THEN 'low' END AS class FROM ep WHERE f BETWEEN 0.1 AND 0.3 GROUP BY window_id")

@@ -165,9 +165,11 @@ def _(spark, sf):
     return d.select("station", "k", (P.water_acceleration(F.col("psd_p"), F.col("wn"), F.col("depth")) * 1e9).alias("aw"))
 
 
-@query("geometric_grid", "SELECT i, 340 * pow(600.0::DOUBLE / 340, i / 7) AS v FROM range(8) r(i)", "v")
+@query("geometric_grid", "SELECT n_nationkey AS nation, n_nationkey % 8 AS i, 340 * pow(600.0::DOUBLE / 340, (n_nationkey % 8) / 7) AS v FROM nation", "v")
 def _(spark, sf):
-    return spark.range(8).select(F.col("id").alias("i"), P.geometric(F.col("id"), 340.0, 600.0, 8).alias("v"))
+    """Values in a constant ratio, one for each nation in turn."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("nation"), F.pmod("n_nationkey", F.lit(8)).alias("i"))
+    return rows.withColumn("v", P.geometric(F.col("i"), 340.0, 600.0, 8))
 
 
 _FIT = "x AS (SELECT label, vec_id, n, CAST(embedding[n + 1] AS DOUBLE) AS d FROM embeddings, range(64) r(n)), m AS (SELECT label, n, avg(d) AS m, stddev_pop(d) / 20 AS s FROM x GROUP BY ALL), rg AS (SELECT vec_id, CASE WHEN t >= 0 THEN sqrt(t) END AS rough FROM (SELECT vec_id, (1.5 * CAST(embedding[64] AS DOUBLE) - 0.5 * CAST(embedding[63] AS DOUBLE) + 0.5 * CAST(embedding[2] AS DOUBLE) - 1.5 * CAST(embedding[1] AS DOUBLE)) / 2 AS t FROM embeddings))"
