@@ -282,5 +282,6 @@ def digest(marks: DataFrame) -> DataFrame:
     """Counts by kind, a hash of the entities and all spans, as ``kind:start:end`` by start and kind."""
     written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, (*KINDS, "term"))), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     order = F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return marks.select("doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(order).alias("spans"))
