@@ -13,6 +13,8 @@ one.  Directories are resolved once each, before files are joined to them.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,22 @@ def templates(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
     return t.select("template_id", "license", F.explode(_words(F.col("body"))).alias("term")).groupBy("template_id", "license", "term").agg(F.count("*").alias("tf"))
 
 
+def texts_of(folder: str, most_bytes: int = 4_000_000) -> list[tuple[str, str]]:
+    """Templates from a folder of whole licence texts, a file each, named like the licence: to be added to ``TEMPLATES`` and given to ``scan`` as ``rows``.
+
+    Links are followed; files alike in text are one.  Templates are broadcast, so more than ``most_bytes`` are an error.
+    """
+    seen, rows = set(), []
+    for path in sorted(Path(folder).iterdir()):
+        body = path.read_text("utf-8", "replace") if path.is_file() else ""
+        if body.strip() and body not in seen:
+            seen.add(body)
+            rows.append((path.name, body))
+    if sum(len(b.encode()) for _, b in rows) > most_bytes:
+        raise ValueError("the templates are too large to be sent to every task")
+    return rows
+
+
 def weighted(files: DataFrame, rows=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Staged, a row per template term: (template_id, license, term, idf, idf_max, w, norm2, anchor).  Document frequencies are those of all ``files``."""
     t = templates(files.sparkSession, rows)

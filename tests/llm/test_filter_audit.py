@@ -79,3 +79,24 @@ def test_sieve_lets_every_wanted_row_through(spark):
     assert set(range(0, 100_000, 7)) <= ids and len(ids) < 30_000
     none, n = common.sieve(wanted.limit(0), "h")
     assert common.sifted(wanted, "h", none, n).where("_maybe").count() == 0
+
+
+def test_whole_licence_texts_are_licence_files(spark, tmp_path):
+    """With whole texts as templates a licence file of many pages is told, and its directory inherits."""
+    from pathlib import Path
+
+    from abyssal.llm import license_scan
+
+    words = [f"term{i}" for i in range(400)]
+    for i, name in enumerate(("Long-1.0", "Long-2.0")):
+        (tmp_path / name).write_text("\n\n".join(" ".join(words[(i * 37 + j * 11 + k * (3 + i)) % 400] for k in range(90)) for j in range(30)))
+    rows = license_scan.texts_of(str(tmp_path))
+    common = Path("/usr/share/common-licenses")
+    if common.is_dir():
+        rows += [r for r in license_scan.texts_of(str(common)) if r[0] in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+    files = [(2 * i, f"x{i}/LICENSE", body) for i, (_, body) in enumerate(rows)] + [(2 * i + 1, f"x{i}/src/a.py", "def f(x):\n    return x") for i in range(len(rows))]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), rows=(*license_scan.TEMPLATES, *rows)).collect()}
+    for i, (name, _) in enumerate(rows):
+        assert (got[2 * i].own_license, got[2 * i].is_license_file) == (name, True) and (got[2 * i + 1].license, got[2 * i + 1].inherited_from) == (name, f"x{i}")
+    with pytest.raises(ValueError):
+        license_scan.texts_of(str(tmp_path), 100)
