@@ -193,6 +193,16 @@ def stack_compliance(layers: Column, k: Column, w: Column) -> Column:
     return F.when((F.size(layers) > 0) & decays, _let(z, lambda x: -k * x["z11"] / (x["z11"] * x["z22"] - x["z12"] * x["z21"])))
 
 
+def stacks(layers: DataFrame, key: str = "model_id") -> DataFrame:
+    """Layer rows (key, layer_idx, thick, rho, vp, vs) -> (key, layers), a row a model.
+
+    The number of partitions is stated: the rows are few bytes and much work, and adaptive execution would join them into one task.
+    """
+    spark = layers.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return layers.repartition(n, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer_idx", "thick", "rho", "vp", "vs"))).alias("layers"))
+
+
 def folded_compliance(models: DataFrame, freqs: list[float], water_depth: float, key: str = "model_id") -> DataFrame:
     """As ``forward_compliance``, by ``stack_compliance``."""
     omega = 2 * np.pi * np.array(freqs)

@@ -302,8 +302,7 @@ SELECT model_id, f, -k * z11 / (z11 * z22 - z12 * z21) * 1e12 AS compliance FROM
 def _(spark, sf):
     """Compliance (times 1e12) of every order's stack of layers at eight frequencies: impedances carried upward by a fold over the layers."""
     rows = read_layers(spark, sf).withColumn("vp", P.vp_from_vs(F.col("vs"))).withColumn("rho", P.gardner_density(F.col("vs")))
-    models = rows.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("layer_idx", "thick", "rho", "vp", "vs"))).alias("layers"))
-    return earth.folded_compliance(models, _FREQS, 3000.0).withColumn("compliance", F.col("compliance") * 1e12)
+    return earth.folded_compliance(earth.stacks(rows), _FREQS, 3000.0).withColumn("compliance", F.col("compliance") * 1e12)
 
 
 def _mean_stack(spark, sf):
