@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from ..operators import clean, earth, posterior, windows
-from ..sources.traces import read_chain, read_layers, read_samples
+from ..sources.traces import layer_tasks, read_chain, read_layers, read_samples
 from .models import GRID, L, RS, cells, raster
 from .registry import query
 from .series import EM, S, T, power, trace
@@ -16,10 +16,20 @@ from .series import EM, S, T, power, trace
 ST = RS + ", st AS (SELECT o_orderkey AS model_id, o_custkey % 8 AS station FROM orders), sr AS (SELECT station, model_id, cell, vs FROM rs JOIN st USING (model_id))"
 
 
+def models_of(spark, sf):
+    """(station, model_id) of every order."""
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.pmod("o_custkey", F.lit(8)).alias("station"), F.col("o_orderkey").alias("model_id"))
+
+
+def rasters(spark, sf, models, tasks):
+    """(station, model_id, cell, vs): the rasterised layers of ``models`` (station, model_id), which meet layers, not cells, in ``tasks`` tasks."""
+    deep = earth.depths(read_layers(spark, sf, tasks))
+    return earth.cut(deep.join(models.repartition(tasks, "model_id"), "model_id"), 1000, "station", "model_id")
+
+
 def stations(spark, sf):
-    """(station, model_id, cell, vs): the rasterised models of every station."""
-    of = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("model_id"), F.pmod("o_custkey", F.lit(8)).alias("station"))
-    return raster(spark, sf).join(of, "model_id").select("station", "model_id", "cell", "vs")
+    """The rasterised models of every station."""
+    return rasters(spark, sf, models_of(spark, sf), layer_tasks(spark, sf))
 
 
 @query("station_profiles", f"WITH {ST} SELECT station, cell, median(vs) AS median, stddev_pop(vs) AS std, avg(vs) AS mean, count(*) AS n FROM sr GROUP BY ALL", "median std mean", 4)

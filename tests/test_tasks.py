@@ -13,7 +13,7 @@ def _rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["profile_block_mean", "forward_compliance"])
+@pytest.mark.parametrize("name", ["profile_block_mean", "forward_compliance", "station_top_profile"])
 def test_tasks_follow_the_layers(spark, sf, name, monkeypatch):
     want = _rows(catalog.QUERIES[name](spark, sf))
     monkeypatch.setattr(traces, "TASK_ROWS", 500)
@@ -23,6 +23,14 @@ def test_tasks_follow_the_layers(spark, sf, name, monkeypatch):
     assert traces.layer_tasks(spark, sf) == n == traces.read_layers(spark, sf).rdd.getNumPartitions()
 
 
+@pytest.mark.parametrize("name", ["station_profiles", "station_serpentinisation", "station_reference_overlay", "station_density", "station_density_fine", "station_top_profile"])
+def test_models_are_joined_before_cells_are_made(spark, sf, name):
+    """From the top of the plan: no join on models stands above the generation of a model's cells."""
+    lines = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cut = next(i for i, x in enumerate(lines) if "Generate explode(sequence(a#" in x)
+    assert not any("Join" in x and "model_id" in x for x in lines[:cut]) and any("Join" in x and "model_id" in x for x in lines[cut:])
+
+
 def test_stacks_of_unlike_sizes_in_one_batch(spark):
     """As the expression, for every size beside every other; a null in a layer makes null, not a value, and a batch has no lambda."""
     rng = np.random.default_rng(3)
