@@ -14,7 +14,7 @@ def accepted(chain: DataFrame, thresholds: DataFrame, burnin: int, on: str = "ch
 
 
 def accepted_profiles(profiles: DataFrame, chain: DataFrame, thresholds: DataFrame, burnin: int = 0) -> DataFrame:
-    """``profiles`` (station, model_id, cell, vs) of the models of ``chain`` (station, iter, misfit) that lie under their station's own threshold after burn-in; ``iter`` is the model's id."""
+    """``profiles`` (station, model_id, and what else they have) of the models of ``chain`` (station, iter, misfit) that lie under their station's own threshold after burn-in; ``iter`` is the model's id."""
     good = accepted(chain, thresholds, burnin, "station").select("station", F.col("iter").alias("model_id"))
     return profiles.join(good, ["station", "model_id"], "left_semi")
 

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from ..operators import calibration, compliance, earth, posterior, profiles
-from ..sources.traces import read_layers
+from ..sources.traces import layer_tasks, read_layers
 from .registry import query
 from .response import BAND, FS, SEGMENT, W, bins, cells, segments
 from .series import _edged
-from .station import ST
-from .station import stations as station_rows
+from .station import ST, models_of, rasters
 
 _NAMES = ("RR28", "RR29", "RR34", "RR36", "RR38", "RR40", "RR50", "RR52", "A422A")
 
@@ -91,10 +90,15 @@ _PRODUCTS = _GOOD + ", pd AS (SELECT station, cell, count(*) AS n, median(vs) AS
 
 
 def accepted(spark, sf):
+    """The rasterised layers of the accepted models: models are told before their layers are fetched and cut."""
+    tasks = layer_tasks(spark, sf)
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     chain = orders.select(F.pmod("o_custkey", F.lit(8)).alias("station"), F.col("o_orderkey").alias("iter"), F.col("o_totalprice").alias("misfit"))
     limits = spark.createDataFrame([(i, 100_000.0 + 30_000 * i) for i in range(8)], "station long, threshold double")
-    return posterior.accepted_profiles(station_rows(spark, sf), chain, limits, _BURNIN)
+    models = models_of(spark, sf).repartition(tasks, "station", "model_id")
+    # a row a station is broadcast
+    good = posterior.accepted_profiles(models, chain.repartition(tasks, "station", "iter"), F.broadcast(limits), _BURNIN)
+    return rasters(spark, sf, good, tasks)
 
 
 @query("accepted_products", f"WITH {_PRODUCTS} SELECT * FROM pd", "median mean std", 4)

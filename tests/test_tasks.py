@@ -13,7 +13,7 @@ def _rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["profile_block_mean", "forward_compliance", "station_top_profile"])
+@pytest.mark.parametrize("name", ["profile_block_mean", "forward_compliance", "station_top_profile", "accepted_density"])
 def test_tasks_follow_the_layers(spark, sf, name, monkeypatch):
     want = _rows(catalog.QUERIES[name](spark, sf))
     monkeypatch.setattr(traces, "TASK_ROWS", 500)
@@ -23,7 +23,7 @@ def test_tasks_follow_the_layers(spark, sf, name, monkeypatch):
     assert traces.layer_tasks(spark, sf) == n == traces.read_layers(spark, sf).rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("name", ["station_profiles", "station_serpentinisation", "station_reference_overlay", "station_density", "station_density_fine", "station_top_profile"])
+@pytest.mark.parametrize("name", ["station_profiles", "station_serpentinisation", "station_reference_overlay", "station_density", "station_density_fine", "station_top_profile", "accepted_products", "accepted_serpentinisation", "accepted_with_curves", "accepted_density"])
 def test_models_are_joined_before_cells_are_made(spark, sf, name):
     """From the top of the plan: no join on models stands above the generation of a model's cells."""
     lines = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
