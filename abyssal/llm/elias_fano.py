@@ -160,6 +160,15 @@ def _coded(codes: np.ndarray) -> list[np.ndarray]:
     return [_words(book.astype(np.uint16)), _words(at.astype(np.uint8 if len(book) <= 256 else np.uint16))]
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values ascending, the first place of each, and each item's place among them; not sorted where they ascend already."""
+    if len(key) and (key[1:] < key[:-1]).any():
+        return np.unique(key, return_index=True, return_inverse=True)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new], np.flatnonzero(new), np.cumsum(new) - 1
+
+
 class WordLevel:
     """Level 1: the words' hashes as an Elias-Fano sequence; each word's rank and count."""
 
@@ -198,26 +207,41 @@ class TrieLevel:
     @staticmethod
     def encode(context: list[np.ndarray], word: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
         """``context``: a column of word ids for each of its words; n-grams are distinct and in ascending order."""
-        words = np.unique(np.concatenate([*context, word]))
+        ids, at = np.unique(np.concatenate([*context, word]), return_inverse=True)
+        *context, word = at.reshape(len(context) + 1, len(word))
+        return TrieLevel.encode_placed(ids, context, word, alpha, gamma)
+
+    @staticmethod
+    def encode_placed(ids: np.ndarray, context: list[np.ndarray], word: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """As ``encode``, of n-grams given as places in ``ids``, which ascend; not all of them need be used."""
+        used = np.zeros(len(ids), bool)
+        for x in (*context, word):
+            used[x] = True
+        words, place = ids[used], (np.cumsum(used) - 1).astype(_U)
         n = _U(max(1, len(words)))
-        place = lambda x: np.searchsorted(words, x).astype(_U)
-        key = place(context[0])
+        key = place[context[0]]
         for x in context[1:]:
-            key = key * n + place(x)
-        contexts, first, at = np.unique(key, return_index=True, return_inverse=True)
-        parts = [EliasFano.encode(words), EliasFano.encode(contexts), EliasFano.encode(np.append(first, len(word))), EliasFano.encode(at.astype(_U) * n + place(word))]
+            key = key * n + place[x]
+        contexts, first, at = distinct(key)
+        parts = [EliasFano.encode(words), EliasFano.encode(contexts), EliasFano.encode(np.append(first, len(word))), EliasFano.encode(at.astype(_U) * n + place[word])]
         return np.concatenate([*parts, *_coded(alpha), *_coded(gamma)])
 
     def find(self, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (alpha, gamma) of each n-gram, 0 where the trie has none: the context's place, then the successor relative to it."""
-        alpha, gamma = np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
         ids, back = np.unique(np.concatenate([*context, word]), return_inverse=True)
-        places = self.words.find(ids)[back].reshape(len(context) + 1, len(word))
-        k, n = np.flatnonzero((places >= 0).all(axis=0)), _U(max(1, self.words.n))
+        *context, word = back.reshape(len(context) + 1, len(word))
+        return self.find_placed(ids, context, word)
+
+    def find_placed(self, ids: np.ndarray, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find``, of n-grams given as places in ``ids``, which ascend."""
+        alpha, gamma = np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
+        own = self.words.find(ids)
+        places = [own[x] for x in (*context, word)]
+        k, n = np.flatnonzero(np.all([x >= 0 for x in places], axis=0)), _U(max(1, self.words.n))
         key = np.zeros(len(k), _U)
         for row in places[:-1]:
             key = key * n + row[k].astype(_U)
-        asked, back = np.unique(key, return_inverse=True)
+        asked, _, back = distinct(key)
         at = self.contexts.find(asked)[back]
         k, at = k[at >= 0], at[at >= 0]
         found = self.successors.find(at.astype(_U) * n + places[-1][k].astype(_U))
