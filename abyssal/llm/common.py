@@ -233,7 +233,7 @@ def pack_all(*arrays: np.ndarray) -> bytes:
         v = np.ascontiguousarray(v, dtype="<u8")
         width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
         heads.append(len(v) << 4 | width)
-        planes.append(v.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        planes += [(v >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width)]
     return np.array(heads, "<u8").tobytes() + zstandard.compress(b"".join(planes), 3)
 
 
@@ -243,10 +243,11 @@ def unpack_all(blob, n: int) -> list[np.ndarray]:
     raw, at, out = np.frombuffer(zstandard.decompress(blob[8 * n :]), np.uint8), 0, []
     for head in heads:
         size, width = head >> 4, head & 15
-        v = np.zeros((size, 8), np.uint8)
-        v[:, :width] = raw[at : at + size * width].reshape(width, size).T
+        v = raw[at : at + size].astype("<u8")
+        for k in range(1, width):
+            v |= raw[at + k * size : at + (k + 1) * size].astype("<u8") << np.uint64(8 * k)
         at += size * width
-        out.append(v.view("<u8").ravel())
+        out.append(v)
     return out
 
 

@@ -33,12 +33,15 @@ class EliasFano:
             part = v & _U((1 << bits) - 1)
             at = np.arange(n, dtype=np.int64) * bits
             word, shift = at >> 6, (at & 63).astype(_U)
-            np.bitwise_or.at(low, word, part << shift)
-            over = (at & 63) + bits > 64
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U(64) - shift[over]))
+            # parts of at most 64 bits: one begins in every word up to the last, and at most one reaches into the next
+            first = -(-64 * np.arange(int(word[-1]) + 1) // bits)
+            low[: len(first)] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero(shift > _U(64 - bits))
+            low[word[over] + 1] |= part[over] >> (_U(64) - shift[over])
         top = (v >> _U(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(top[-1]) + 2 if n else 1) // 64 + 1, _U)
-        np.bitwise_or.at(high, top >> 6, _U(1) << (top & 63).astype(_U))
+        set_bits = np.zeros(64 * ((int(top[-1]) + 2 if n else 1) // 64 + 1), bool)
+        set_bits[top] = True
+        high = np.packbits(set_bits, bitorder="little").view(_U)
         return np.concatenate([np.array([n, bits, len(low), len(high)], _U), low, high])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -120,9 +123,15 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return (1 + np.clip(np.round(-np.log10(np.asarray(p, np.float64)) * STEPS), 0, 65534)).astype(np.uint16)
 
 
+#: The value of every code.
+_VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(65535.0) / STEPS)])
+
+
 def dequantise(codes: np.ndarray, absent: float = 0.0) -> np.ndarray:
-    k = np.asarray(codes, np.float64)
-    return np.where(k > 0, 10.0 ** ((1 - k) / STEPS), absent)
+    p = _VALUES[codes]
+    if absent:
+        p[codes == 0] = absent
+    return p
 
 
 def _words(a: np.ndarray) -> np.ndarray:
@@ -156,8 +165,11 @@ class _Cursor:
 
 def _coded(codes: np.ndarray) -> list[np.ndarray]:
     """A code book and each item's place in it: a byte where the book is small."""
-    book, at = np.unique(codes, return_inverse=True)
-    return [_words(book.astype(np.uint16)), _words(at.astype(np.uint8 if len(book) <= 256 else np.uint16))]
+    used = np.zeros(1 << 16, bool)
+    used[codes] = True
+    book = np.flatnonzero(used)
+    at = (np.cumsum(used) - 1).astype(np.uint8 if len(book) <= 256 else np.uint16)[codes]
+    return [_words(book.astype(np.uint16)), _words(at)]
 
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,6 +181,14 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[new], np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _joint(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Columns of places below ``n`` as one number."""
+    key = columns[0].astype(_U)
+    for x in columns[1:]:
+        key = key * _U(max(1, n)) + x.astype(_U)
+    return key
+
+
 class WordLevel:
     """Level 1: the words' hashes as an Elias-Fano sequence; each word's rank and count."""
 
@@ -214,16 +234,21 @@ class TrieLevel:
     @staticmethod
     def encode_placed(ids: np.ndarray, context: list[np.ndarray], word: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
         """As ``encode``, of n-grams given as places in ``ids``, which ascend; not all of them need be used."""
+        _, first, of = distinct(_joint(context, len(ids)))
+        return TrieLevel.encode_runs(ids, [x[first] for x in context], of, word, alpha, gamma)
+
+    @staticmethod
+    def encode_runs(ids: np.ndarray, context: list[np.ndarray], of: np.ndarray, word: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """As ``encode_placed``, with distinct contexts in ascending order, not all of them in use, and the place ``of`` each n-gram's context among them."""
+        new = np.diff(of, prepend=-1) != 0
+        first, context = np.flatnonzero(new), [x[of[new]] for x in context]
         used = np.zeros(len(ids), bool)
         for x in (*context, word):
             used[x] = True
         words, place = ids[used], (np.cumsum(used) - 1).astype(_U)
-        n = _U(max(1, len(words)))
-        key = place[context[0]]
-        for x in context[1:]:
-            key = key * n + place[x]
-        contexts, first, at = distinct(key)
-        parts = [EliasFano.encode(words), EliasFano.encode(contexts), EliasFano.encode(np.append(first, len(word))), EliasFano.encode(at.astype(_U) * n + place[word])]
+        n = max(1, len(words))
+        successors = (np.cumsum(new) - 1).astype(_U) * _U(n) + place[word]
+        parts = [EliasFano.encode(words), EliasFano.encode(_joint([place[x] for x in context], n)), EliasFano.encode(np.append(first, len(word))), EliasFano.encode(successors)]
         return np.concatenate([*parts, *_coded(alpha), *_coded(gamma)])
 
     def find(self, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,18 +259,23 @@ class TrieLevel:
 
     def find_placed(self, ids: np.ndarray, context: list[np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``find``, of n-grams given as places in ``ids``, which ascend."""
+        _, first, of = distinct(_joint(context, len(ids)))
+        return self.find_runs(ids, [x[first] for x in context], of, word)
+
+    def find_runs(self, ids: np.ndarray, context: list[np.ndarray], of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``find_placed``, with distinct contexts in ascending order and the place ``of`` each n-gram's context among them."""
         alpha, gamma = np.zeros(len(word), np.uint16), np.zeros(len(word), np.uint16)
-        own = self.words.find(ids)
-        places = [own[x] for x in (*context, word)]
-        k, n = np.flatnonzero(np.all([x >= 0 for x in places], axis=0)), _U(max(1, self.words.n))
-        key = np.zeros(len(k), _U)
-        for row in places[:-1]:
-            key = key * n + row[k].astype(_U)
-        asked, _, back = distinct(key)
-        at = self.contexts.find(asked)[back]
-        k, at = k[at >= 0], at[at >= 0]
-        found = self.successors.find(at.astype(_U) * n + places[-1][k].astype(_U))
-        k, at, found = k[found >= 0], at[found >= 0], found[found >= 0]
+        own, n = self.words.find(ids), max(1, self.words.n)
+        places = [own[x] for x in context]
+        known = np.flatnonzero(np.all([x >= 0 for x in places], axis=0))
+        parent = np.full(len(places[0]), -1, np.int64)
+        parent[known] = self.contexts.find(_joint([x[known] for x in places], n))
+        at, last = parent[of], own[word]
+        k = np.flatnonzero((at >= 0) & (last >= 0))
+        at = at[k]
+        found = self.successors.find((at * n + last[k]).astype(_U))
+        hit = found >= 0
+        k, at, found = k[hit], at[hit], found[hit]
         if len(k):
             begin = self.pointers.values().astype(np.int64)
             if not ((begin[at] <= found) & (found < begin[at + 1])).all():

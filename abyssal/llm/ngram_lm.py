@@ -26,16 +26,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SEGMENT_BYTES, bucket_bounds, gaps, map_file, new_path, pack_all, release, remove_file, remove_folder, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
-from .elias_fano import TrieLevel, WordLevel, dequantise, distinct, quantise
+from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 
 ADD = 0.1
 #: Pseudo-count K of the lower order, for levels 2 and 3.
 BACKOFF = (20.0, 5.0)
 BUCKET_BYTES = 6_000_000
+#: N-grams that a segment numbers at a time, bucket by bucket.
+TOGETHER = 1 << 14
 #: Tokens of a context from which its successors are dealt to several buckets.
 SPLIT = 1 << 17
 #: Tasks that share the segments; each takes one segment at a time.
@@ -61,11 +64,23 @@ class _Tokens:
 
     @classmethod
     def of_texts(cls, table: pa.Table, folds: int) -> tuple[_Tokens, np.ndarray]:
-        """The tokens, and the hashes of their words."""
-        hashes = [word_hashes([*(x.as_py() or b"").lower().split(), END]) for x in table.column("text").cast(pa.large_binary())]
-        words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        end = int(np.searchsorted(words, word_hashes([END])[0]))
-        return cls(table.column("doc_id").to_pylist(), np.array([len(x) for x in hashes]), at, end, folds), words
+        """The tokens, and the hashes of their words.  Each distinct word is hashed once."""
+        texts = [x or b"" for x in table.column("text").cast(pa.large_binary()).to_pylist()]
+        starts = np.cumsum([0, *map(len, texts)])
+        split = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(starts), pa.py_buffer(b"".join(texts).lower())))
+        flat, bounds = split.flatten(), np.asarray(split.offsets)
+        kept = np.asarray(pc.binary_length(flat)) > 0  # white space at either end leaves an empty piece
+        before = np.concatenate([[0], np.cumsum(kept)])[bounds]
+        coded = flat.filter(pa.array(kept)).dictionary_encode()
+        # words are cut out of the dictionary's bytes, which is several times faster than asking for them one by one
+        _, cut, body = coded.dictionary.buffers()
+        cut, body = np.frombuffer(cut, np.int64).tolist(), body.to_pybytes()
+        words, place = np.unique(word_hashes([*(body[i:j] for i, j in zip(cut, cut[1:], strict=False)), END]), return_inverse=True)
+        n, end = np.diff(before) + 1, int(place[-1])
+        at, is_end = np.full(int(n.sum()), end, np.int64), np.zeros(int(n.sum()), bool)
+        is_end[np.cumsum(n) - 1] = True
+        at[~is_end] = place[np.asarray(coded.indices)]
+        return cls(table.column("doc_id").to_pylist(), n, at, end, folds), words
 
     def dump(self) -> bytes:
         ids = np.array([0 if x is None else x for x in self.ids], np.int64).view(np.uint64)
@@ -85,15 +100,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(29)
 
 
-def _bucket(context: list[np.ndarray], word: np.ndarray, tokens: np.ndarray, n_buckets: int, split: int) -> np.ndarray:
-    """Where an n-gram is dealt: by its context and, of a context of more than ``split`` tokens, by a range of the word's hash."""
-    h = np.zeros(len(word), np.uint64)
-    for x in context:
-        h = _mix(h, x)
-    parts = 1 + (tokens // split).astype(np.uint64)
-    part = (_mix(word, word) >> np.uint64(32)) * parts >> np.uint64(32)
-    h = np.where(part > 0, _mix(h, part), h)
-    return ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+def _bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets <= 1 << 16 else np.int64)
 
 
 def _distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,18 +111,43 @@ def _distinct(keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.
     """
     bits = max(1, len(keys).bit_length())
     if below.bit_length() + bits <= 63:
-        mixed = np.sort(keys.astype(np.int64) << bits | np.arange(len(keys)))
-        order, ordered = mixed & ((1 << bits) - 1), mixed >> bits
+        ordered = keys.astype(np.int64)
+        ordered <<= bits
+        ordered |= np.arange(len(keys))
+        ordered.sort()
+        order = ordered & ((1 << bits) - 1)
+        ordered >>= bits
     else:
         order = np.argsort(keys)
         ordered = keys[order]
     new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(new) - 1
     return ordered[new], order[new], at
 
 
+class _Grams:
+    """A segment's distinct n-grams of a level, in ascending order: runs of successors under their contexts.
+
+    ``context``: a column of words for each of a context's words, ``tokens``: its training tokens, ``of``: each n-gram's
+    context, ``word``: its last word, ``at``: each token's n-gram (-1: none), ``order`` and ``bucket``: n-grams as they are dealt.
+    """
+
+    def __init__(self, context: list[np.ndarray], tokens: np.ndarray, of: np.ndarray, word: np.ndarray, at: np.ndarray, h: np.ndarray, ids: np.ndarray, n_buckets: int, split: int):
+        """``h``: a hash of each context.  An n-gram is dealt by it and, of a context of more than ``split`` tokens, by a range of the word's hash."""
+        self.context, self.tokens, self.of, self.word, self.at = context, tokens, of, word, at
+        bucket = _bucket(h, n_buckets)[of]
+        wide = np.flatnonzero((tokens >= split)[of])
+        if len(wide):
+            parts, w = 1 + (tokens[of[wide]] // split).astype(np.uint64), ids[word[wide]]
+            part = (_mix(w, w) >> np.uint64(32)) * parts >> np.uint64(32)
+            wide, part = wide[part > 0], part[part > 0]
+            bucket[wide] = _bucket(_mix(h[of[wide]], part), n_buckets)
+        self.order = np.argsort(bucket, kind="stable")  # numbers of 16 bits are sorted by radix
+        self.bucket = bucket[self.order]
+
+
 class _Segment:
     """A segment with what the levels have answered so far."""
 
@@ -124,18 +157,18 @@ class _Segment:
         self.t, self.n_buckets, self.backoff, self.split = _Tokens.load(f"{side}/{self.id}", folds), n_buckets, backoff, split
         tokens = self.t
         ids, count = self._known(1)
-        count = count.astype(np.float64)
-        self.count = count[tokens.at]
-        #: Ids of the segment in ascending order; a word is its place among them.
-        self.ids = np.unique(np.concatenate([np.array([UNKNOWN, BEGIN], np.uint64), ids]))
-        self.word = np.searchsorted(self.ids, ids)[tokens.at]
-        self.before = np.concatenate([[BEGIN], self.word[:-1]])
+        # ids of the segment in ascending order; a word is its place among them
+        used, first, place = _distinct(np.concatenate([[UNKNOWN, BEGIN], ids.astype(np.int64)]), int(ids.max(initial=BEGIN)) + 1)
+        self.ids = used.astype(np.uint64)
+        self.word = place[2:][tokens.at]
+        #: Training tokens of each word; every training text has one begin and one end.
+        self.n_word = np.concatenate([[0.0, 0.0], count.astype(np.float64)])[first]
+        self.n_context = self.n_word.copy()
+        self.n_context[BEGIN] = count[tokens.end]
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
         self.before[tokens.first] = BEGIN
-        # every training text has one begin and one end
-        self.context_count = np.concatenate([[0.0], self.count[:-1]])
-        self.context_count[tokens.first] = count[tokens.end]
-        self.place = np.arange(len(self.word)) - np.repeat(tokens.first, tokens.n)
-        self._bigrams()
+        self.grams2: _Grams | None = None
 
     def _known(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         if level not in self.known:
@@ -143,21 +176,6 @@ class _Segment:
             self.known[level] = tuple(unpack_all(raw.tobytes(), 2)) if len(raw) else (np.zeros(0, np.uint64),) * 2
         return self.known[level]
 
-    def _bigrams(self) -> None:
-        size = len(self.ids)
-        ok = (self.word > UNKNOWN) & (self.before > UNKNOWN)
-        keys, first, inverse = _distinct(self.before[ok] * size + self.word[ok], size * size)
-        self.at2 = np.full(len(self.word), -1, np.int64)
-        self.at2[ok] = inverse
-        self.pair = keys // size, keys % size
-        self.tokens2, self.ordered2 = self.context_count[ok][first], None
-
-    def _order(self, context, word, tokens) -> tuple[np.ndarray, np.ndarray]:
-        bucket = _bucket([self.ids[x] for x in context], self.ids[word], tokens, self.n_buckets, self.split)
-        # numbers of 16 bits are sorted by radix
-        order = np.argsort(bucket.astype(np.uint16) if self.n_buckets <= 1 << 16 else bucket, kind="stable")
-        return order, bucket[order]
-
     def _answers(self, level: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the level's n-grams in their ascending order."""
         out = np.zeros((2, len(order)), np.uint16)
@@ -166,28 +184,40 @@ class _Segment:
                 out[j, order] = codes
         return out[0], out[1]
 
-    def level2(self):
-        if self.ordered2 is None:
-            self.ordered2 = self._order(self.pair[:1], self.pair[1], self.tokens2)
-        return [self.pair[0]], self.pair[1], self.tokens2, self.at2, *self.ordered2
-
-    def level3(self):
-        """Trigrams whose context was seen in training; others have no count anywhere."""
-        order2 = self.level2()[4]
-        gamma = self._answers(2, order2)[1]
-        k, size = self.backoff[1], len(self.ids)
-        context = np.concatenate([[-1], self.at2[:-1]])
-        context[self.t.first] = -1
-        ok = (self.word > UNKNOWN) & (context >= 0)
-        ok[ok] = gamma[context[ok]] > 0
-        keys, _, inverse = _distinct(context[ok] * size + self.word[ok], max(1, len(gamma)) * size)
+    def _runs(self, ok: np.ndarray, context: np.ndarray, n_contexts: int) -> tuple[np.ndarray, ...]:
+        """Distinct pairs of context and word of the tokens ``ok``: the contexts in use, each pair's one of these, its word, each token's pair."""
+        size = len(self.ids)
+        keys = context[ok] * size
+        keys += self.word[ok]
+        keys, _, inverse = _distinct(keys, max(1, n_contexts) * size)
         at = np.full(len(self.word), -1, np.int64)
         at[ok] = inverse
-        c, w = keys // size, keys % size
-        tokens = k / dequantise(gamma[c], 1.0) - k
-        u, v = self.pair[0][c], self.pair[1][c]
-        order, bucket = self._order([u, v], w, tokens)
-        return [u, v], w, tokens, at, order, bucket
+        of = keys // size
+        word = keys - of * size
+        new = np.diff(of, prepend=-1) != 0
+        return of[new], np.cumsum(new) - 1, word, at
+
+    def level2(self) -> _Grams:
+        if self.grams2 is None:
+            u, of, word, at = self._runs((self.word > UNKNOWN) & (self.before > UNKNOWN), self.before, len(self.ids))
+            h = _mix(np.zeros(len(u), np.uint64), self.ids[u])
+            self.grams2 = _Grams([u], self.n_context[u], of, word, at, h, self.ids, self.n_buckets, self.split)
+        return self.grams2
+
+    def level3(self) -> _Grams:
+        """Trigrams whose context was seen in training; others have no count anywhere."""
+        two = self.level2()
+        gamma = self._answers(2, two.order)[1]
+        k = self.backoff[1]
+        context = np.empty_like(two.at)
+        context[1:] = two.at[:-1]
+        context[self.t.first] = -1
+        # the last place, which -1 means, is that of none
+        ok = (self.word > UNKNOWN) & np.append(gamma > 0, False)[context]
+        c, of, word, at = self._runs(ok, context, len(gamma))
+        u, v = two.context[0][two.of[c]], two.word[c]
+        h = _mix(_mix(np.zeros(len(u), np.uint64), self.ids[u]), self.ids[v])
+        return _Grams([u, v], k / dequantise(gamma[c], 1.0) - k, of, word, at, h, self.ids, self.n_buckets, self.split)
 
     def asked(self, level: int) -> list[tuple]:
         """(bucket, segment, body) of a level: words in use, contexts, runs of successors and their training counts.
@@ -195,36 +225,59 @@ class _Segment:
         Contexts that are dealt to several buckets carry the code of their weight; that of the others is known where all
         their successors meet.
         """
-        context, word, tokens, at, order, bucket = self.level2() if level == 2 else self.level3()
-        k = self.backoff[level - 2]
-        gamma = np.where(tokens >= self.split, quantise(k / (tokens + k)), 0)
-        n = np.bincount(at[self.t.train & (at >= 0)], minlength=len(word))[order]
-        context, word, gamma = [c[order] for c in context], word[order], gamma[order]
-        cut, rows = np.flatnonzero(np.diff(bucket, prepend=-1, append=-2)) if len(bucket) else np.zeros(0, np.int64), []
-        for s, e in zip(cut, cut[1:], strict=False):
-            columns = [*(c[s:e] for c in context), word[s:e]]
-            used, back = np.unique(np.concatenate(columns), return_inverse=True)
-            *c, w = back.reshape(len(columns), e - s)
-            new = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in c], axis=0)]))
-            body = pack_all(gaps(self.ids[used]), gaps(c[0][new]), *(x[new] for x in c[1:]), gamma[s:e][new], np.diff(np.append(new, e - s)), w, n[s:e])
-            rows.append((int(bucket[s]), self.id, body))
+        g = self.level2() if level == 2 else self.level3()
+        k, size = self.backoff[level - 2], len(self.ids)
+        if not len(g.word):
+            return []
+        gamma = np.zeros(len(g.tokens), np.uint16)
+        wide = g.tokens >= self.split
+        gamma[wide] = quantise(k / (g.tokens[wide] + k))
+        n = np.bincount(g.at[self.t.train & (g.at >= 0)], minlength=len(g.word))[g.order]
+        of, word = g.of[g.order], g.word[g.order]
+        cut = np.flatnonzero(np.diff(g.bucket.astype(np.int64), prepend=-1, append=-2))
+        new = np.diff(of, prepend=-1) != 0
+        new[cut[:-1]] = True
+        new = np.flatnonzero(new)
+        run, of = np.diff(np.append(new, len(word))), of[new]
+        context, gamma = [c[of] for c in g.context], gamma[of]
+        head = np.searchsorted(new, cut)
+        rows, a = [], 0
+        while a < len(cut) - 1:
+            # buckets of few n-grams are numbered together, which keeps the work a bucket small
+            b = max(a + 1, int(np.searchsorted(cut, cut[a] + TOGETHER)) - 1)
+            (s, e), (i, j) = cut[[a, b]], head[[a, b]]
+            lot = np.arange(b - a)
+            of_word, of_head = np.repeat(lot, np.diff(cut[a : b + 1])), np.repeat(lot, np.diff(head[a : b + 1]))
+            used, _, back = _distinct(np.concatenate([*(x[i:j] + of_head * size for x in context), word[s:e] + of_word * size]), (b - a) * size)
+            bound = np.searchsorted(used, np.arange(b - a + 1) * size)
+            back -= bound[np.concatenate([*(of_head for _ in context), of_word])]
+            *c, w = np.split(back, np.arange(1, level) * (j - i))
+            own = self.ids[used - np.repeat(lot * size, np.diff(bound))]
+            for x in range(b - a):
+                p, q, r, t = cut[a + x], cut[a + x + 1], head[a + x], head[a + x + 1]
+                here = slice(r - i, t - i)
+                body = pack_all(gaps(own[bound[x] : bound[x + 1]]), gaps(c[0][here]), *(y[here] for y in c[1:]), gamma[r:t], run[r:t], w[p - s : q - s], n[p:q])
+                rows.append((int(g.bucket[p]), self.id, body))
+            a = b
         return rows
 
     def scores(self, order: int, n_all: float, v_all: int, add: float) -> tuple[np.ndarray, np.ndarray]:
         """Each token's probability under the words alone and under the model."""
-        p1 = p = (self.count + add) / (n_all + add * (v_all + 1))
+        p1 = p = ((self.n_word + add) / (n_all + add * (v_all + 1)))[self.word]
         if order > 1:
-            *_, at, order2, _ = self.level2()
-            alpha, gamma = self._answers(2, order2)
-            weight = dequantise(quantise(self.backoff[0] / (self.context_count + self.backoff[0])))
-            p = np.where(at >= 0, dequantise(alpha)[at] if len(alpha) else 0.0, 0.0) + weight * p
+            two = self.level2()
+            alpha, gamma = self._answers(2, two.order)
+            weight = dequantise(quantise(self.backoff[0] / (self.n_context + self.backoff[0])))[self.before]
+            # the last place, which -1 means, is that of none
+            p = np.append(dequantise(alpha), 0.0)[two.at] + weight * p
         if order > 2:
-            before = np.concatenate([[-1], at[:-1]])
+            before = np.empty_like(two.at)
+            before[1:] = two.at[:-1]
             before[self.t.first] = -1
-            weight = np.where(before >= 0, dequantise(gamma, 1.0)[before] if len(gamma) else 1.0, 1.0)
-            *_, at, order3, _ = self.level3()
-            alpha = self._answers(3, order3)[0]
-            p = np.where(at >= 0, dequantise(alpha)[at] if len(alpha) else 0.0, 0.0) + weight * p
+            weight = np.append(dequantise(gamma, 1.0), 1.0)[before]
+            three = self.level3()
+            alpha = self._answers(3, three.order)[0]
+            p = np.append(dequantise(alpha), 0.0)[three.at] + weight * p
         return p1, p
 
 
@@ -338,39 +391,41 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
         bucket, size = table.column("bucket")[0].as_py(), level - 1
         path = _own_file(model, level, bucket, keep)
         parts = [unpack_all(b, size + 5) for b in table.column("body").to_pylist()]
-        ids = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        words = np.unique(np.concatenate(ids))
+        ids, *rest = zip(*parts, strict=True)
+        words, _, place = _distinct(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in ids]), max(int(x.sum(dtype=np.uint64)) for x in ids) + 1)
         if len(words) ** level >= 1 << 63:
             raise ValueError("too many words in a bucket: use smaller buckets")
-        key = []
-        for own, (_, *context, _, run, word, _) in zip(ids, parts, strict=True):
-            place = np.searchsorted(words, own)
-            k = place[np.cumsum(context[0], dtype=np.int64)]
-            for c in context[1:]:
-                k = k * len(words) + place[c.astype(np.int64)]
-            key.append(np.repeat(k, run.astype(np.int64)) * len(words) + place[word.astype(np.int64)])
-        cut = np.cumsum([0, *map(len, key)])
-        asked, first, at = _distinct(np.concatenate(key), len(words) ** level)
-        *context, word = columns = np.empty((level, len(asked)), np.int64)
-        rest = asked
-        for column in columns[::-1]:
-            rest, column[:] = np.divmod(rest, len(words))
+        start = np.cumsum([0, *map(len, ids)])[:-1]
+        placed = lambda columns: place[np.concatenate([x.view(np.int64) + y for x, y in zip(columns, start, strict=True)])]
+        *context, gamma, run, word, n = rest
+        head = placed([np.cumsum(x, dtype=np.int64) for x in context[0]])
+        for c in context[1:]:
+            head = head * len(words) + placed(c)
+        cut = np.cumsum([0, *map(len, word)])
+        # contexts first, then successors under them: two short numbers are sorted faster than a long one
+        heads, some, of = _distinct(head, len(words) ** size)
+        asked, _, at = _distinct(np.repeat(of * len(words), np.concatenate(run).view(np.int64)) + placed(word), len(heads) * len(words))
+        of = asked // len(words)
+        word = asked - of * len(words)
+        *context, _ = columns = np.empty((level, len(heads)), np.int64)
+        left = heads
+        for column in columns[-2::-1]:
+            left, column[:] = np.divmod(left, len(words))
         if learn:
-            total = np.bincount(at, np.concatenate([p[-1] for p in parts]), len(asked))
-            weight = dequantise(np.concatenate([np.repeat(p[-4], p[-3].astype(np.int64)) for p in parts])[first])
-            whole = distinct(asked // len(words))[2]
-            here = backoff[level - 2] / (np.bincount(whole, total)[whole] + backoff[level - 2])
-            weight = np.where(weight > 0, weight, here)
+            total = np.bincount(at, np.concatenate(n), len(asked))
+            weight = dequantise(np.concatenate(gamma)[some].astype(np.uint16))
+            weight = np.where(weight > 0, weight, backoff[level - 2] / (np.bincount(of, total, len(heads)) + backoff[level - 2]))
             held = np.flatnonzero(total > 0)
-            alpha = quantise(total[held] * weight[held] / backoff[level - 2])
+            alpha = quantise(total[held] * weight[of[held]] / backoff[level - 2])
             gamma = np.zeros(len(held), np.uint16) if last else quantise(backoff[level - 1] / (total[held] + backoff[level - 1]))
-            write_file(path, TrieLevel.encode_placed(words, [c[held] for c in context], word[held], alpha, gamma).tobytes())
-            del total, weight, whole, here, held, alpha, gamma
+            write_file(path, TrieLevel.encode_runs(words, context, of[held], word[held], alpha, gamma).tobytes())
+            del total, weight, held, alpha, gamma
         known = _mapped(path, learn)
         if not keep:
             remove_file(path)
-        codes = TrieLevel(known.view(np.uint64)).find_placed(words, context, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
-        rows = [(seg, bucket, level, pack_all(codes[0][at[s:e]], codes[1][at[s:e]])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
+        alpha, gamma = TrieLevel(known.view(np.uint64)).find_runs(words, context, of, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
+        alpha, gamma = alpha[at], gamma[:0] if last else gamma[at]  # nothing has a context of the last level
+        rows = [(seg, bucket, level, pack_all(alpha[s:e], gamma[s:e])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
         return _table(rows, _REPLY_FIELDS)
 
     return segments.mapInArrow(tidy(entries), _ASK).groupBy("bucket").applyInArrow(serve, _REPLY)
@@ -427,7 +482,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, add: float = ADD, ba
         s = _Segment(side, table.column("segment_id")[0].as_py(), folds, n_buckets, backoff, split, _joined(table, n_buckets))
         t, (p1, p) = s.t, s.scores(order, n_all, v_all, add)
         logs = lambda x: np.add.reduceat(np.log10(x), t.first)
-        values = (t.ids, ~t.train_row, t.n, np.add.reduceat((s.count > 0).astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
+        values = (t.ids, ~t.train_row, t.n, np.add.reduceat((s.n_word > 0)[s.word].astype(np.int64), t.first), np.full(len(t.n), int(n_all)), logs(p1), logs(p))
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], schema=fields)
 
     return replies.groupBy("segment_id").applyInArrow(combine, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
