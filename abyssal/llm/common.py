@@ -251,9 +251,54 @@ def unpack_all(blob, n: int) -> list[np.ndarray]:
     return out
 
 
-def gaps(ascending: np.ndarray) -> np.ndarray:
-    """The first of an ascending sequence, then its differences."""
-    return np.diff(ascending, prepend=ascending[:1] * 0)
+def pack_many(*columns: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+    """A blob as of ``pack_all`` for each of many groups; a column is its values and the bounds of the groups in them.
+
+    Columns are cut into byte planes once, so that a group costs little beside its bytes.
+    """
+    heads, cuts, planes = [], [], []
+    for v, cut in columns:
+        v, size = np.ascontiguousarray(v, dtype="<u8"), np.diff(cut)
+        top, some = np.zeros(len(size), np.uint64), np.flatnonzero(size)
+        if len(some):
+            top[some] = np.maximum.reduceat(v[: cut[-1]], cut[:-1][some])
+        width = 1 + sum((top >> np.uint64(8 * k) > 0).astype(np.int64) for k in range(1, 8))
+        heads.append(size << 4 | width)
+        cuts.append([*zip(cut[:-1].tolist(), cut[1:].tolist(), width.tolist(), strict=True)])
+        planes.append([(v >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width.max(initial=0))])
+    head, size, compress = np.stack(heads, 1).astype("<u8").tobytes(), 8 * len(columns), zstandard.ZstdCompressor(3).compress
+    bodies = (b"".join([x[s:e] for (s, e, width), of in zip(group, planes, strict=True) for x in of[:width]]) for group in zip(*cuts, strict=True))
+    return [head[size * i : size * (i + 1)] + compress(body) for i, body in enumerate(bodies)]
+
+
+def unpack_many(blobs: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The columns of ``pack_many`` or of many blobs of ``pack_all``, each with the bounds of the groups in it."""
+    heads = np.frombuffer(b"".join([x[: 8 * n] for x in blobs]), "<i8").reshape(-1, n)
+    sizes, widths, decompress = heads >> 4, heads & 15, zstandard.ZstdDecompressor().decompress
+    raw, out = [decompress(x[8 * n :]) for x in blobs], []
+    at = np.cumsum(sizes * widths, 1) - sizes * widths
+    for j in range(n):
+        groups = [*zip(raw, at[:, j].tolist(), sizes[:, j].tolist(), widths[:, j].tolist(), strict=True)]
+        v = np.zeros(int(sizes[:, j].sum()), "<u8")
+        for k in range(widths[:, j].max(initial=0)):
+            plane = b"".join([x[a + k * size : a + (k + 1) * size] if k < width else bytes(size) for x, a, size, width in groups])
+            v |= np.frombuffer(plane, np.uint8).astype("<u8") << np.uint64(8 * k)
+        out.append((v, np.concatenate([[0], np.cumsum(sizes[:, j])])))
+    return out
+
+
+def gaps_within(ascending: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The first of each ascending group between the bounds ``cut``, then its differences."""
+    out, starts = np.empty_like(ascending), cut[:-1][np.diff(cut) > 0]
+    out[1:] = ascending[1:] - ascending[:-1]
+    out[starts] = ascending[starts]
+    return out
+
+
+def sums_within(gaps: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """What ``gaps_within`` was made of."""
+    total = np.concatenate([np.zeros(1, gaps.dtype), np.cumsum(gaps, dtype=gaps.dtype)])
+    return total[1:] - np.repeat(total[cut[:-1]], np.diff(cut))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

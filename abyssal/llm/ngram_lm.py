@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEGMENT_BYTES, bucket_bounds, gaps, map_file, new_path, pack_all, release, remove_file, remove_folder, runs, small_batches, stage, text_bytes, tidy, unpack_all, word_hashes, write_file
+from .common import SEGMENT_BYTES, bucket_bounds, gaps_within, map_file, new_path, pack_all, pack_many, release, remove_file, remove_folder, runs, small_batches, stage, sums_within, text_bytes, tidy, unpack_all, unpack_many, word_hashes, write_file
 from .elias_fano import TrieLevel, WordLevel, dequantise, quantise
 
 ADD = 0.1
@@ -253,11 +253,9 @@ class _Segment:
             back -= bound[np.concatenate([*(of_head for _ in context), of_word])]
             *c, w = np.split(back, np.arange(1, level) * (j - i))
             own = self.ids[used - np.repeat(lot * size, np.diff(bound))]
-            for x in range(b - a):
-                p, q, r, t = cut[a + x], cut[a + x + 1], head[a + x], head[a + x + 1]
-                here = slice(r - i, t - i)
-                body = pack_all(gaps(own[bound[x] : bound[x + 1]]), gaps(c[0][here]), *(y[here] for y in c[1:]), gamma[r:t], run[r:t], w[p - s : q - s], n[p:q])
-                rows.append((int(g.bucket[p]), self.id, body))
+            heads, grams = head[a : b + 1] - i, cut[a : b + 1] - s
+            bodies = pack_many((gaps_within(own, bound), bound), (gaps_within(c[0], heads), heads), *((x, heads) for x in (*c[1:], gamma[i:j], run[i:j])), (w, grams), (n[s:e], grams))
+            rows += [(x, self.id, body) for x, body in zip(g.bucket[cut[a:b]].tolist(), bodies, strict=True)]
             a = b
         return rows
 
@@ -299,12 +297,13 @@ def _joined(replies: pa.Table, n_buckets: int) -> dict[int, tuple[np.ndarray, np
     got: dict[int, list] = {}
     for level, bucket, body in sorted(zip(*(replies.column(c).to_pylist() for c in ("level", "bucket", "body")), strict=True)):
         if level:
-            got.setdefault(level, []).append((bucket, *unpack_all(body, 2)))
+            got.setdefault(level, []).append((bucket, body))
     known = {}
     for level, rows in got.items():
-        first, second = (np.concatenate([r[j] for r in rows]) for j in (1, 2))
+        bucket, bodies = zip(*rows, strict=True)
+        (first, cut), (second, _) = unpack_many(bodies, 2)
         if level == 1:  # a rank in a bucket to an id of its own
-            bucket = np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[1]) for r in rows])
+            bucket = np.repeat(np.array(bucket, np.uint64), np.diff(cut))
             first = np.where(first > 0, (first - np.minimum(first, np.uint64(1))) * np.uint64(n_buckets) + bucket + np.uint64(2), np.uint64(UNKNOWN))
         known[level] = first, second
     return known
@@ -349,18 +348,19 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
             write_file(f"{side}/{segment_id}", t.dump())
             n = np.bincount(t.at[t.train], minlength=len(words))
             cut = bucket_bounds(words, n_buckets)
-            rows = [(b, segment_id, pack_all(gaps(words[s:e]), n[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if s < e]
+            some = np.flatnonzero(np.diff(cut))
+            cut = np.append(cut[some], len(words))
+            rows = [(b, segment_id, body) for b, body in zip(some.tolist(), pack_many((gaps_within(words, cut), cut), (n, cut)), strict=True)]
             yield from _table(rows, _ASK_FIELDS).to_batches()
 
     def serve(table: pa.Table) -> pa.Table:
         release()
         bucket = table.column("bucket")[0].as_py()
         path = _own_file(model, 1, bucket, keep)
-        parts = [unpack_all(b, 2) for b in table.column("body").to_pylist()]
-        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in parts]
-        asked, at = np.unique(np.concatenate(keys), return_inverse=True)
+        (keys, cut), (n, _) = unpack_many(table.column("body").to_pylist(), 2)
+        asked, at = np.unique(sums_within(keys, cut), return_inverse=True)
         if learn:
-            total = np.bincount(at, np.concatenate([n for _, n in parts]), len(asked))
+            total = np.bincount(at, n, len(asked))
             held = np.flatnonzero(total > 0)
             rank = np.empty(len(held), np.int64)
             rank[np.argsort(-total[held], kind="stable")] = np.arange(len(held))
@@ -369,8 +369,8 @@ def _words(docs: DataFrame, model: str, side: str, learn: bool, keep: bool, n_bu
         if not keep:
             remove_file(path)
         rank, count = WordLevel(known.view(np.uint64)).find(asked) if len(known) else (np.zeros(len(asked), np.uint64),) * 2
-        cut = np.cumsum([0, *map(len, keys)])
-        rows = [(seg, bucket, 1, pack_all(rank[at[s:e]], count[at[s:e]]), float(count.sum()), int((count > 0).sum())) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
+        n, v = float(count.sum()), int((count > 0).sum())
+        rows = [(seg, bucket, 1, body, n, v) for seg, body in zip(table.column("segment_id").to_pylist(), pack_many((rank[at], cut), (count[at], cut)), strict=True)]
         return _table(rows, _REPLY_FIELDS.append(pa.field("bucket_n", pa.float64())).append(pa.field("bucket_v", pa.int64())))
 
     sent = docs.mapInArrow(tidy(entries), _ASK)
@@ -390,21 +390,19 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
         release()
         bucket, size = table.column("bucket")[0].as_py(), level - 1
         path = _own_file(model, level, bucket, keep)
-        parts = [unpack_all(b, size + 5) for b in table.column("body").to_pylist()]
-        ids, *rest = zip(*parts, strict=True)
-        words, _, place = _distinct(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in ids]), max(int(x.sum(dtype=np.uint64)) for x in ids) + 1)
+        (ids, cut), *columns = unpack_many(table.column("body").to_pylist(), size + 5)
+        ids = sums_within(ids, cut)
+        words, _, place = _distinct(ids, int(ids.max()) + 1)
         if len(words) ** level >= 1 << 63:
             raise ValueError("too many words in a bucket: use smaller buckets")
-        start = np.cumsum([0, *map(len, ids)])[:-1]
-        placed = lambda columns: place[np.concatenate([x.view(np.int64) + y for x, y in zip(columns, start, strict=True)])]
-        *context, gamma, run, word, n = rest
-        head = placed([np.cumsum(x, dtype=np.int64) for x in context[0]])
+        placed = lambda x, own: place[x.view(np.int64) + np.repeat(cut[:-1], np.diff(own))]
+        *context, (gamma, _), (run, _), (word, own), (n, _) = columns
+        head = placed(sums_within(*context[0]), context[0][1])
         for c in context[1:]:
-            head = head * len(words) + placed(c)
-        cut = np.cumsum([0, *map(len, word)])
+            head = head * len(words) + placed(*c)
         # contexts first, then successors under them: two short numbers are sorted faster than a long one
         heads, some, of = _distinct(head, len(words) ** size)
-        asked, _, at = _distinct(np.repeat(of * len(words), np.concatenate(run).view(np.int64)) + placed(word), len(heads) * len(words))
+        asked, _, at = _distinct(np.repeat(of * len(words), run.view(np.int64)) + placed(word, own), len(heads) * len(words))
         of = asked // len(words)
         word = asked - of * len(words)
         *context, _ = columns = np.empty((level, len(heads)), np.int64)
@@ -412,8 +410,8 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
         for column in columns[-2::-1]:
             left, column[:] = np.divmod(left, len(words))
         if learn:
-            total = np.bincount(at, np.concatenate(n), len(asked))
-            weight = dequantise(np.concatenate(gamma)[some].astype(np.uint16))
+            total = np.bincount(at, n, len(asked))
+            weight = dequantise(gamma[some].astype(np.uint16))
             weight = np.where(weight > 0, weight, backoff[level - 2] / (np.bincount(of, total, len(heads)) + backoff[level - 2]))
             held = np.flatnonzero(total > 0)
             alpha = quantise(total[held] * weight[of[held]] / backoff[level - 2])
@@ -424,8 +422,9 @@ def _level(segments: DataFrame, level: int, last: bool, model: str, side: str, l
         if not keep:
             remove_file(path)
         alpha, gamma = TrieLevel(known.view(np.uint64)).find_runs(words, context, of, word) if len(known) else (np.zeros(len(word), np.uint16),) * 2
-        alpha, gamma = alpha[at], gamma[:0] if last else gamma[at]  # nothing has a context of the last level
-        rows = [(seg, bucket, level, pack_all(alpha[s:e], gamma[s:e])) for seg, s, e in zip(table.column("segment_id").to_pylist(), cut, cut[1:], strict=False)]
+        # nothing has a context of the last level
+        bodies = pack_many((alpha[at], own), (gamma[:0], own * 0) if last else (gamma[at], own))
+        rows = [(seg, bucket, level, body) for seg, body in zip(table.column("segment_id").to_pylist(), bodies, strict=True)]
         return _table(rows, _REPLY_FIELDS)
 
     return segments.mapInArrow(tidy(entries), _ASK).groupBy("bucket").applyInArrow(serve, _REPLY)

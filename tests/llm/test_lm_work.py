@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from abyssal.llm import ngram_lm
-from abyssal.llm.common import pack_all, unpack_all, word_hashes, write_file
+from abyssal.llm.common import gaps_within, pack_all, pack_many, sums_within, unpack_all, unpack_many, word_hashes, write_file
 
 TEXTS = [" The the\x0bTHE\x0cthe\r\n\tend ", None, "", " \n", "a\x1cb \x85  x cafÉ CAFÉ \x00 n\x00l", "İ K K", "the " * 500, "x"]
 
@@ -61,3 +61,35 @@ def test_bodies_hold_the_segments_ngrams(split, tmp_path, monkeypatch):
 def test_packed_numbers_of_every_width():
     arrays = [np.zeros(0, np.uint64), *(np.array([0, 1, (1 << b) - 1, 1 << (b - 1)], np.uint64) for b in range(1, 65))]
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(arrays, unpack_all(pack_all(*arrays), len(arrays)), strict=True))
+
+
+@pytest.mark.parametrize("sizes", [[], [0], [0, 3, 0, 0, 5, 1, 0], [1] * 50, [2000]])
+def test_many_groups_are_packed_as_each_alone(sizes):
+    rng = np.random.default_rng(len(sizes))
+    cut = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    half = cut // 2  # a column of other groups
+    v, w = (rng.integers(0, 1 << 62, cut[-1], dtype=np.uint64) >> rng.integers(0, 63, cut[-1]).astype(np.uint64) for _ in range(2))
+    groups = [*zip(cut, cut[1:], half, half[1:])]
+    blobs = pack_many((v, cut), (w[: half[-1]], half))
+    assert blobs == [pack_all(v[a:b], w[c:d]) for a, b, c, d in groups]
+    (x, at), (y, own) = unpack_many(blobs, 2)
+    assert (x == v).all() and (at == cut).all() and (y == w[: half[-1]]).all() and (own == half).all()
+    rising = np.concatenate([np.zeros(0, np.uint64), *(np.sort(v[a:b]) for a, b, *_ in groups)])
+    apart = gaps_within(rising, cut)
+    assert (sums_within(apart, cut) == rising).all() and all((np.cumsum(apart[a:b]) == rising[a:b]).all() for a, b, *_ in groups)
+
+
+def test_a_group_is_packed_without_a_pass_over_arrays(monkeypatch):
+    """The calls of numpy don't grow with the number of groups, which are segments times buckets over the whole job."""
+    from abyssal.llm import common
+
+    made = []
+    monkeypatch.setattr(common, "np", type("Counted", (), {"__getattr__": lambda _, name: (made.append(name), getattr(np, name))[1]})())
+    calls = []
+    for n in (10, 1000):
+        cut = np.arange(n + 1) * 3
+        v = np.arange(3 * n).astype(np.uint64) % np.uint64(200)
+        made.clear()
+        unpack_many(pack_many((v, cut), (v, cut)), 2)
+        calls.append(len(made))
+    assert calls[0] == calls[1]
