@@ -319,7 +319,11 @@ def _gather(replies: DataFrame, side: str, n_buckets: int) -> DataFrame:
             write_file(f"{side}/{segment_id}.{level}", pack_all(*codes))
         return _table([(segment_id, 0, 0, b"")], _REPLY_FIELDS)
 
-    return stage(replies.groupBy("segment_id").applyInArrow(keep, _REPLY), "lm-segments", settle=True)
+    found = stage(replies.groupBy("segment_id").applyInArrow(keep, _REPLY), "lm-segments", settle=True)
+    # Spark holds an execution until its last events are handled: after another, small one the level's shuffles are garbage as well
+    found.count()
+    found.sparkSession._jvm.System.gc()
+    return found
 
 
 def _own_file(model: str, level: int, bucket: int, keep: bool) -> str:

@@ -93,3 +93,25 @@ def test_a_group_is_packed_without_a_pass_over_arrays(monkeypatch):
         unpack_many(pack_many((v, cut), (v, cut)), 2)
         calls.append(len(made))
     assert calls[0] == calls[1]
+
+
+def test_shuffles_of_a_level_are_gone_before_the_next(spark, monkeypatch):
+    import time
+
+    def shuffled():
+        return {f.getName(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+
+    before, left, gather = shuffled(), [], ngram_lm._gather
+
+    def watched(*given):
+        found, end = gather(*given), time.time() + 10
+        kept = lambda: sum(n for name, n in shuffled().items() if name not in before)
+        while kept() > 2000 and time.time() < end:  # the count of the small job has some bytes of its own
+            time.sleep(0.1)
+        left.append(kept())
+        return found
+
+    monkeypatch.setattr(ngram_lm, "_gather", watched)
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(map(str, rng.integers(0, 5000, 500)))) for i in range(100)], "doc_id long, text string")
+    assert ngram_lm.score(docs).count() == 100 and len(left) == 2 and max(left) <= 2000
